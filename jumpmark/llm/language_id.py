@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jumpmark.llm.text_bytes import slices
 
@@ -124,6 +125,20 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
     return rows.withColumnRenamed("k", key)
 
 
+def label(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
+    """docs with columns _pred and _score added, row by row (no join): the prediction of each row's text."""
+    names, prior, logp = model
+    logp = logp.astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text, 1 << 20):
+            out, best = score_texts(b.column(text).to_pylist(), names, prior, logp)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string()), pa.array(best)], [*b.schema.names, "_pred", "_score"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
 def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
