@@ -28,9 +28,9 @@ from jumpmark.llm.text_bytes import raw, slices
 #: Bytes of a string; bytes of the substrings that key it; windows in a run at most (a run's marks fit 32 bits).
 LENGTH, GRAM, RUN = 50, 24, 27
 #: Bytes of text for each block of keys; bytes of runs that one transform is built of.
-BLOCK, TRANSFORM = 24 << 20, 3 << 20
+BLOCK, TRANSFORM = 8 << 20, 2 << 20
 #: Runs a task gathers before it sends them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 def window_keys(data: np.ndarray) -> np.ndarray:
@@ -110,7 +110,7 @@ def _keyed_runs(texts: DataFrame, blocks: int) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 7))], ["p", "hi", "lo", "ts", "often", "fs", "ss"])
 
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", 1 << 20):
             take, ids = [], []
             for t, h in zip(raw(b, "t"), b.column("h").to_pylist(), strict=True):
                 if t and len(t) >= LENGTH and h not in seen:
