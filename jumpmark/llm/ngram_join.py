@@ -8,7 +8,7 @@ filter (what can still overlap before and behind the shared token) and the suffi
 the symmetric difference from below); the pairs that remain are verified once each on the whole sets.
 
 So that groups of near copies are not expanded into all their pairs, a first round pairs each token's documents with one
-pivot only; the second round pairs documents that are not yet in one component. No link that could join two components is
+pivot only and a second, for the longer lists, with a few; the last round pairs documents that are not yet in one component. No link that could join two components is
 left out, so the components are those of all links.
 """
 
@@ -28,6 +28,8 @@ from jumpmark.llm.text_bytes import raw, slices, space_words
 
 #: Counters of the frequency sketch (4 bytes each, whatever the corpus), and how many travel in one row.
 SKETCH, CHUNK = 1 << 20, 1 << 12
+#: Pivots per token in the second round.
+PIVOTS = 8
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -196,22 +198,40 @@ def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, n: int, perc
     return both.where(100 * F.col("c") >= percent * (F.col("n") - F.col("c"))).select("a", "b").distinct()
 
 
+def _unjoined(post: DataFrame, found: DataFrame, more_than: int) -> DataFrame:
+    """Postings with their component's root, of the tokens that more than one component (and so many classes) share."""
+    roots = connected(found)
+    placed = post.join(roots, post["r"] == roots["node"], "left").withColumn("root", F.coalesce("root", "r")).drop("node")
+    still = placed.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where((F.col("lo") != F.col("hi")) & (F.col("m") > more_than)).select("tok")
+    return stored(placed.join(still, "tok"))
+
+
 def links(docs: DataFrame, survey: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) of classes whose components are those of all similar pairs."""
     owners = survey.where("chunk is null and n > 0 and k is not null").groupBy("r").agg(F.min("k").alias("owner"))
     signs = survey.where("chunk is null and n > 0").groupBy("r").agg(*(F.min(f"b{i}").alias(f"b{i}") for i in range(4)))
     texts = docs.where("k is not null")
     post = stored(_postings(texts, n, percent, _sketch(survey)).join(signs, "r"))
-    pivots = post.groupBy("tok").agg(F.min(F.struct("r", "n", "pos", "b0", "b1", "b2", "b3")).alias("p")).select("tok", "p.*")
+    fields = ("pos", "r", "n", "b0", "b1", "b2", "b3")
+    same, filters = F.col("x.tok") == F.col("y.tok"), _passes(percent)
     pair = (F.least("x.r", "y.r").alias("a"), F.greatest("x.r", "y.r").alias("b"))
-    first = stored(post.alias("x").join(pivots.alias("y"), (F.col("x.tok") == F.col("y.tok")) & (F.col("x.r") != F.col("y.r")) & _passes(percent)).select(*pair).distinct())
-    found = stored(_verified(first, texts, owners, n, percent))
-    roots = connected(found)
-    placed = post.join(roots, post["r"] == roots["node"], "left").withColumn("root", F.coalesce("root", "r")).drop("node")
-    open_toks = placed.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
-    placed = stored(placed.join(open_toks, "tok"))
-    second = placed.alias("x").join(placed.alias("y"), (F.col("x.tok") == F.col("y.tok")) & (F.col("x.r") < F.col("y.r")) & (F.col("x.root") != F.col("y.root")) & _passes(percent)).select(*pair).distinct()
-    second = stored(second.join(first, ["a", "b"], "left_anti"))
+    tried, found = None, None
+    # what stands early in a document's order has few rarer tokens before it: such documents are central in their group
+    for pivots in (1, PIVOTS):
+        rows = post if found is None else _unjoined(post, found, 4 * PIVOTS)
+        top = rows.groupBy("tok", F.pmod("r", F.lit(pivots)).alias("part")).agg(F.min(F.struct(*fields)).alias("p")).select("tok", "p.*")
+        differ = F.col("x.r") != F.col("y.r")
+        if found is not None:
+            top = top.join(rows.select("tok", "r", "root"), ["tok", "r"])
+            differ = F.col("x.root") != F.col("y.root")
+        new = rows.alias("x").join(top.alias("y"), same & differ & filters).select(*pair).distinct()
+        new = stored(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
+        good = _verified(new, texts, owners, n, percent)
+        tried = new if tried is None else tried.union(new)
+        found = stored(good if found is None else found.union(good))
+    rows = _unjoined(post, found, 0)
+    second = rows.alias("x").join(rows.alias("y"), same & (F.col("x.r") < F.col("y.r")) & (F.col("x.root") != F.col("y.root")) & filters).select(*pair).distinct()
+    second = stored(second.join(tried, ["a", "b"], "left_anti"))
     return stored(found.union(_verified(second, texts, owners, n, percent)))
 
 
