@@ -23,6 +23,8 @@ BUCKETS = 1 << 14
 ALPHA = 0.5
 #: Longer texts are hashed in pieces of so many characters; n-grams across a cut are not counted.
 PIECE = 1 << 20
+#: Bytes of text hashed at a time.
+SLICE = 1 << 18
 UND = "und"
 
 
@@ -64,7 +66,7 @@ def train(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "l
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in slices(batches, "t", 1 << 20):
+        for b in slices(batches, "t", SLICE):
             langs = np.array(b.column("l").to_pylist(), dtype=object)
             texts = np.array(b.column("t").to_pylist(), dtype=object)
             for name in set(langs.tolist()):
@@ -117,7 +119,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
     key_type = docs.schema[key].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t", 1 << 20):
+        for b in slices(batches, "t", SLICE):
             out, best = score_texts(b.column("t").to_pylist(), names, prior, logp)
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(out, pa.string()), pa.array(best)], ["k", "lang_pred", "score"])
 
@@ -131,7 +133,7 @@ def label(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text
     logp = logp.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text, 1 << 20):
+        for b in slices(batches, text, SLICE):
             out, best = score_texts(b.column(text).to_pylist(), names, prior, logp)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string()), pa.array(best)], [*b.schema.names, "_pred", "_score"])
 
