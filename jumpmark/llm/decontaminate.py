@@ -1,9 +1,10 @@
 """Benchmark decontamination: word windows of benchmark items, looked up in documents.
 
 Every benchmark window of m words holds, wherever it stands in a document, a whole block of b = (m + 1) // 2 words that
-starts at a multiple of b. So a document sends only its n / b aligned blocks, as 64-bit hashes, to a broadcast hash join
-with all b-word blocks of the benchmark; a block that meets brings the few words around it along, and the windows in
-those are compared as whole strings (the verification) with the benchmark's windows. Nothing but hits is shuffled.
+starts at a multiple of b.
+So a document sends only its n / b aligned blocks, as 64-bit hashes, to a hash join with all b-word blocks of the
+benchmark. In the documents a block of which meets, the windows around the meeting blocks are compared as whole strings
+(the verification) with the benchmark's windows. Nothing but meeting blocks and hits is shuffled.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jumpmark.llm.common import ALNUM_WORD, ascii_lower, maybe_broadcast, words
+from jumpmark.llm.common import ALNUM_WORD, ascii_lower, maybe_broadcast, stored, words
 
 WINDOW = 10
 #: As ALNUM_WORD, before A-Z is lower-cased; and what stands between such words.
-RAW_WORD, RAW_GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RAW_WORD, RAW_GAP = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _windows(w: Column, m: Column) -> Column:
@@ -34,24 +35,28 @@ def _key(text: str) -> Column:
     return F.xxhash64(F.col(text))
 
 
+def _block(w: Column, i: Column, b: int) -> Column:
+    return F.xxhash64(*(F.get(w, i + k) for k in range(b)))
+
+
 def _hits(docs: DataFrame, wins: DataFrame, m: int, n_bytes: int, key: str, text: str) -> DataFrame:
     b = (m + 1) // 2
     around = m - b
     mine = wins.filter(F.col("m") == m)
-    blocks = mine.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(around)), lambda i: F.xxhash64(F.array_join(F.slice(F.split("win", " "), i + 1, b), " ")))).alias("h")).distinct()
-    w = F.col("_w")
-    d = docs.select(F.col(key).alias("_id"), _key(text).alias("_k"), words(ascii_lower(F.col(text)), ALNUM_WORD).alias("_w")).filter(F.size("_w") >= m)
-
-    def block(i: Column) -> Column:  # i: first word of the block, from 0
-        left = F.greatest(i - around, F.lit(0))
-        context = F.array_join(F.slice(w, left + 1, i - left + b + around), " ")
-        return F.struct(left.alias("left"), F.xxhash64(F.array_join(F.slice(w, i + 1, b), " ")).alias("h"), context.alias("ctx"))
-
-    d = d.select("_id", "_k", F.explode(F.transform(F.sequence(F.lit(0), F.size(w) - b, F.lit(b)), block)).alias("x")).select("_id", "_k", "x.*")
-    met = d.join(maybe_broadcast(blocks, n_bytes), "h", "left_semi")
-    ctx = F.split("ctx", " ")
-    places = F.transform(F.sequence(F.lit(0), F.size(ctx) - m), lambda j: F.struct((F.col("left") + j).alias("s"), F.array_join(F.slice(ctx, j + 1, m), " ").alias("win")))
-    seen = met.filter(F.size(ctx) >= m).select("_id", "_k", F.explode(places).alias("p")).select("_id", "_k", "p.*")
+    # blocks are hashed in Unicode lower case, which agrees wherever ASCII lower case does and is fast; the windows decide
+    blocks = mine.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(around)), lambda i: _block(F.split(F.lower("win"), " "), i, b))).alias("h")).distinct()
+    d = docs.select(F.col(key).alias("_id"), _key(text).alias("_k"), words(F.lower(F.col(text)), ALNUM_WORD).alias("_w")).filter(F.size("_w") >= m)
+    at = F.sequence(F.lit(0), F.size("_w") - b, F.lit(b))
+    d = d.select("_id", "_k", F.posexplode(F.transform(at, lambda i: _block(F.col("_w"), i, b))).alias("p", "h"))
+    met = d.join(maybe_broadcast(blocks, n_bytes), "h", "left_semi").groupBy("_id", "_k").agg(F.collect_set(F.col("p") * b).alias("at"))
+    met = stored(met.withColumnsRenamed({"_id": "_i4", "_k": "_k4"}))
+    size = met.agg(F.sum(F.size("at") * 8 + 64).alias("b")).first()["b"] or 0
+    again = docs.select(F.col(key).alias("_id"), _key(text).alias("_k"), F.col(text).alias("_t"))
+    again = again.join(maybe_broadcast(met, size), F.col("_id").eqNullSafe(F.col("_i4")) & F.col("_k").eqNullSafe(F.col("_k4")))
+    again = again.select("_id", "_k", "at", words(ascii_lower(F.col("_t")), ALNUM_WORD).alias("_w"))
+    starts = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(F.greatest(i - around, F.lit(0)), F.least(i, F.size("_w") - m)))))
+    places = F.transform(starts, lambda s: F.struct(s.alias("s"), F.array_join(F.slice(F.col("_w"), s + 1, F.lit(m)), " ").alias("win")))
+    seen = again.select("_id", "_k", F.explode(places).alias("p")).select("_id", "_k", "p.*")
     return seen.join(maybe_broadcast(mine.select("win", "items"), n_bytes), "win").select("_id", "_k", "s", F.lit(m).alias("m"), "items")
 
 
@@ -64,7 +69,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     wins = item_windows(benchmark, text=text if text in benchmark.columns else "text", window=window)
     # at most `window` rows: the lengths that occur, and the size of what would be broadcast
     sizes = wins.groupBy("m").agg(F.sum(F.length("win") + 16 * F.size("items") + 64).alias("b")).collect()
-    base = docs.select(F.col(key).alias("_id"), _key(text).alias("_k"), F.coalesce(F.regexp_count(ascii_lower(F.col(text)), F.lit(ALNUM_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    base = docs.select(F.col(key).alias("_id"), _key(text).alias("_k"), F.coalesce(F.regexp_count(F.col(text), F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
     item_type = benchmark.schema["item_id"].dataType.simpleString()
     if not sizes:
         return base.select(F.col("_id").alias(key), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"), F.array().cast(f"array<{item_type}>").alias("items"))
