@@ -99,13 +99,13 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "document", key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs without its contaminated documents (mode document) or without the hit words (mode span), same columns.
 
-    Rows are matched by key and text. In span mode a removed word takes the gap before it along.
+    Rows are matched by key. In span mode a removed word takes the gap before it along.
     """
-    found = find(docs.select(key, text), benchmark, key, text, window).filter("n_hit > 0").select(F.col(key).alias("_i3"), "spans").distinct()
+    found = find(docs.select(key, text), benchmark, key, text, window).filter("n_hit > 0").select(F.col(key).alias("_i3"), F.col("spans").alias("_spans3")).distinct()
     on = F.col(key).eqNullSafe(F.col("_i3"))
     if mode == "document":
         return docs.join(found, on, "left_anti")
     parts = F.regexp_extract_all(F.col(text), F.lit(f"(?:{RAW_GAP})?{RAW_WORD}|{RAW_GAP}$"), F.lit(0))
-    kept = F.filter(F.transform(parts, lambda x, i: F.when(~F.exists("spans", lambda s: (s["s"] <= i) & (i < s["e"])), x)), lambda x: x.isNotNull())
-    cut = F.when(F.col("spans").isNotNull(), F.array_join(kept, "")).otherwise(F.col(text))
+    kept = F.filter(F.transform(parts, lambda x, i: F.when(~F.exists("_spans3", lambda s: (s["s"] <= i) & (i < s["e"])), x)), lambda x: x.isNotNull())
+    cut = F.when(F.col("_spans3").isNotNull(), F.array_join(kept, "")).otherwise(F.col(text))
     return docs.join(found, on, "left").withColumn(text, cut).select(*docs.columns)
