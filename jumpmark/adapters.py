@@ -39,9 +39,14 @@ def bench_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c, n, li = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation", "lineitem"))
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     g = j.groupBy(F.col("n_name").alias("video"), F.col("o_orderpriority").alias("codec"), F.col("o_orderstatus").alias("quality_param"))
-    return g.agg(
-        F.round(F.sum("l_extendedprice"), 2).alias("input_size"), F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")) + 1, 2).alias("output_size"),
-        F.round(F.avg("l_extendedprice"), 4).alias("bitrate"), F.round(F.avg("l_quantity"), 4).alias("psnr"), F.round(1 - F.avg("l_tax"), 6).alias("ssim"), F.count("*").alias("n_frames"),
+    # sums in whole cents and integer division: the same on any engine and in any order
+    cents = lambda e: F.sum(F.round(F.expr(e) * 100).cast("long"))
+    sums = {"i": "l_extendedprice", "o": "l_extendedprice * l_discount", "q": "l_quantity", "t": "l_tax"}
+    g = g.agg(*(cents(e).alias(k) for k, e in sums.items()), F.count("*").alias("n_frames"))
+    share = lambda k: F.expr(f"({k} * 100) div n_frames") / 10000
+    return g.select(
+        "video", "codec", "quality_param", (F.col("i") / 100).alias("input_size"), (F.col("o") / 100 + 1).alias("output_size"),
+        share("i").alias("bitrate"), share("q").alias("psnr"), (1 - share("t")).alias("ssim"), "n_frames",
     )
 
 

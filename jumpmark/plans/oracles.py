@@ -14,11 +14,11 @@ _LC = "CASE WHEN N > 0 AND N < r THEN (lgamma(r + 1) - lgamma(N + 1) - lgamma(r
 _COL = "(n_trans + 1) * log2(m) AS Ba, N * log2(m) AS Bb, N * H + m * (floor(log2(m)) + 1) AS Bc, N * (log2(m) + 2 * log2(greatest(1.0, log2(m)))) AS Bd"
 _TMP = f"log2(N + 1) + N * log2(r) AS R1, r * log2(N / r + 1) AS R2, N * log2(r) AS R3, r AS R4a, log2(N + 1) + {_LC} AS R4b"
 _TMX = f"N * log2(r) AS R1, r * log2(N / r + 1) AS R2, N * log2(r / N + 1) AS R3, r AS R4a, log2(N + 1) + {_LC} AS R4b"
-_TYP = "N * log2(m) AS Aa, 0.0 AS Ab, N * H AS Ac, 0.8 * N * H AS Ad, n_trans * log2(m) AS Ae"
+_TYP = "N * log2(m) AS Aa, 0::DOUBLE AS Ab, N * H AS Ac, 0.8 * N * H AS Ad, n_trans * log2(m) AS Ae"
 _G = "g AS (SELECT label AS block, vec_id AS t, x - 1 AS x, least(greatest(floor((v + 0.5) * 16), 0), 15)::BIGINT AS c FROM (SELECT label, vec_id, generate_subscripts(embedding, 1) AS x, unnest(embedding)::DOUBLE AS v FROM embeddings))"
 _CH = f"{_G}, ch AS (SELECT *, coalesce(c <> lag(c) OVER (PARTITION BY block, x ORDER BY t), true) AS b, lag(c) OVER (PARTITION BY block, x ORDER BY t) AS p FROM g)"
-_RUNS = """br AS (SELECT n_name AS video, o_orderpriority AS codec, o_orderstatus AS quality_param, round(sum(l_extendedprice), 2) AS input_size, round(sum(l_extendedprice * l_discount) + 1, 2) AS output_size,
- round(avg(l_extendedprice), 4) AS bitrate, round(avg(l_quantity), 4) AS psnr, round(1 - avg(l_tax), 6) AS ssim, count(*) AS n_frames
+_RUNS = """br AS (SELECT n_name AS video, o_orderpriority AS codec, o_orderstatus AS quality_param, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT / 100 AS input_size, sum(round((l_extendedprice * l_discount) * 100)::BIGINT)::BIGINT / 100 + 1 AS output_size,
+ sum(round(l_extendedprice * 100)::BIGINT)::BIGINT * 100 // count(*) / 10000 AS bitrate, sum(round(l_quantity * 100)::BIGINT)::BIGINT * 100 // count(*) / 10000 AS psnr, 1 - sum(round(l_tax * 100)::BIGINT)::BIGINT * 100 // count(*) / 10000 AS ssim, count(*) AS n_frames
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
  rr AS (SELECT *, CASE WHEN output_size > 0 THEN input_size / output_size ELSE 0 END AS ratio FROM br)"""
 _SUM = "su AS (SELECT codec, count(*) AS n, avg(ratio) AS ratio, coalesce(avg(psnr) FILTER (psnr > 0), 0) AS psnr, coalesce(avg(ssim) FILTER (ssim > 0), 0) AS ssim, avg(bitrate) AS bitrate, sum(input_size) / sum(output_size) AS overall_ratio FROM rr GROUP BY codec)"
@@ -52,10 +52,10 @@ _NODES = " UNION ALL ".join(f"SELECT block, {s} AS size, x // {s} AS node, c FRO
 _QUAL = f"""{_CH}, q0 AS (SELECT block, t, avg((c - p) ** 2) AS mse, avg(abs(c - p)) AS mad, avg(c) AS mc, avg(p) AS mp, var_pop(c) AS vc, var_pop(p) AS vp, covar_pop(c, p) AS cov FROM ch WHERE p IS NOT NULL GROUP BY block, t),
  q AS (SELECT block, t, mad, CASE WHEN mse > 0 THEN 10 * log10(225 / mse) END AS psnr, ((2 * mc * mp + 0.0225) * (2 * cov + 0.2025)) / ((mc * mc + mp * mp + 0.0225) * (vc + vp + 0.2025)) AS ssim FROM q0)"""
 _CAND = [(17 * i % 256, 71 * i % 256, 113 * i % 256) for i in range(16)]
-_NEAR = " UNION ALL ".join(f"SELECT p_partkey, r, g, b, {i} AS idx, (r - {x}) * (r - {x}) + (g - {y}) * (g - {y}) + (b - {z}) * (b - {z}) AS dist FROM co" for i, (x, y, z) in enumerate(_CAND))
+_NEAR = " UNION ALL ".join(f"SELECT p_partkey, r, g, b, {i}::BIGINT AS idx, (r - {x}) * (r - {x}) + (g - {y}) * (g - {y}) + (b - {z}) * (b - {z}) AS dist FROM co" for i, (x, y, z) in enumerate(_CAND))
 _CLIP = lambda e: f"least(greatest({e}, 0), 255)::BIGINT"
 _GRID = {"H_s": (0.5, 0.9, 5), "rho_high": (0.6, 0.95, 5), "rho_low": (0.05, 0.3, 5), "chi2": (0.01, 0.1, 4), "R1_max": (0.05, 0.2, 4), "R4b_R2": (0.7, 0.9, 4), "R4a_min": (0.4, 0.65, 4)}
-_AXES = ", ".join(f"(SELECT i AS i{k}, round({lo} + i * {(hi - lo) / (n - 1)!r}, 10) AS {k} FROM range({n}) t(i))" for k, (lo, hi, n) in _GRID.items())
+_AXES = ", ".join(f"(SELECT i AS i{k}, round({lo}::DOUBLE + i * {(hi - lo) / (n - 1)!r}::DOUBLE, 10) AS {k} FROM range({n}) t(i))" for k, (lo, hi, n) in _GRID.items())
 _ID = "0"
 for _k, (_, _, _n) in _GRID.items():
     _ID = f"({_ID}) * {_n} + i{_k}"
