@@ -74,3 +74,94 @@ def colex_unrank(rank: int, n: int, r: int) -> list[int]:
         out.append(p)
         rank -= comb(p, i)
     return out[::-1]
+
+
+def unary(n: Column) -> Column:
+    return F.concat(F.repeat(F.lit("1"), n.cast("int")), F.lit("0"))
+
+
+def rice(n: Column, k: int) -> Column:
+    """Quotient by 2^k in unary, remainder in k bits; a Golomb code for a power of two."""
+    return F.concat(unary(F.shiftright(n.cast("long"), k)), F.lpad(F.bin(n.cast("long") % (1 << k)), k, "0") if k else F.lit(""))
+
+
+def omega(n: int) -> str:
+    """Recursive Elias code of n >= 1."""
+    out = "0"
+    while n > 1:
+        b = format(n, "b")
+        out, n = b + out, len(b) - 1
+    return out
+
+
+def omega_decode(bits: str) -> int:
+    n, at = 1, 0
+    while bits[at] == "1":
+        n, at = int(bits[at : at + n + 1], 2), at + n + 1
+    return n
+
+
+def fibonacci(n: int) -> str:
+    """Zeckendorf code of n >= 1, closed by a second 1."""
+    f = [1, 2]
+    while f[-1] <= n:
+        f.append(f[-1] + f[-2])
+    out = ""
+    for x in reversed(f[:-1]):
+        out, n = ("1" if x <= n else "0") + out, n - x if x <= n else n
+    return out.rstrip("0") + "1"
+
+
+def fibonacci_decode(bits: str) -> int:
+    f, total = [1, 2], 0
+    while len(f) < len(bits):
+        f.append(f[-1] + f[-2])
+    return total + sum(x for x, b in zip(f, bits[:-1], strict=False) if b == "1")
+
+
+def arithmetic_encode(symbols: list[int], freqs: dict[int, int]) -> tuple[int, int]:
+    """A fraction (numerator, number of bits) inside the interval of a sequence, by exact integers."""
+    order = sorted(freqs)
+    total = sum(freqs.values())
+    below, acc = {}, 0
+    for s in order:
+        below[s], acc = acc, acc + freqs[s]
+    low, width, den = 0, 1, 1
+    for s in symbols:
+        low, width, den = low * total + width * below[s], width * freqs[s], den * total
+    bits = 1
+    while True:
+        num = -(-low * (1 << bits) // den)
+        if (num + 0) * den < (low + width) << bits:
+            return num, bits
+        bits += 1
+
+
+def arithmetic_decode(num: int, bits: int, n: int, freqs: dict[int, int]) -> list[int]:
+    order, total, out = sorted(freqs), sum(freqs.values()), []
+    den = 1 << bits
+    for _ in range(n):
+        at = num * total // den
+        acc = 0
+        for s in order:
+            if at < acc + freqs[s]:
+                break
+            acc += freqs[s]
+        out.append(s)
+        num, den = num * total - acc * den, den * freqs[s]
+    return out
+
+
+def round_trips(events: DataFrame, block: str = "block_id") -> DataFrame:
+    """Per block: bits of the Huffman and the arithmetic code of its mark sequence, and whether both decode to it."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        seq = pdf.sort_values(["t", "seq"])["mark"].astype(int).tolist()
+        freqs = {s: seq.count(s) for s in set(seq)}
+        codes = canonical(code_lengths(freqs))
+        h = encode(seq, codes)
+        num, bits = arithmetic_encode(seq, freqs)
+        ok = decode(h, codes) == seq and arithmetic_decode(num, bits, len(seq), freqs) == seq
+        return pd.DataFrame([(pdf[block].iloc[0], len(h), bits, ok)], columns=[block, "huffman_bits", "arithmetic_bits", "ok"])
+
+    return events.select(block, "t", "seq", "mark").groupBy(block).applyInPandas(one, f"{block} {events.schema[block].dataType.simpleString()}, huffman_bits long, arithmetic_bits long, ok boolean")

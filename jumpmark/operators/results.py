@@ -80,3 +80,66 @@ def kruskal(runs: DataFrame, metric: str) -> DataFrame:
 def confidence(runs: DataFrame, metric: str, z: float = 1.96) -> DataFrame:
     g = runs.groupBy("codec").agg(F.count("*").alias("n"), F.avg(metric).alias("mean"), (F.stddev_samp(metric) / F.sqrt(F.count("*"))).alias("se"))
     return g.select("codec", "n", "mean", (F.col("mean") - z * F.col("se")).alias("lo"), (F.col("mean") + z * F.col("se")).alias("hi"))
+
+
+def performance(runs: DataFrame) -> DataFrame:
+    """Sums, means and extremes over all runs; the overall ratio is a ratio of sums."""
+    r = with_ratio(runs)
+    return r.agg(F.count("*").alias("n"), F.sum("input_size").alias("total_in"), F.sum("output_size").alias("total_out"), (F.sum("input_size") / F.sum("output_size")).alias("overall"), F.avg("ratio").alias("mean_ratio"), F.min("ratio").alias("min_ratio"), F.max("ratio").alias("max_ratio"), F.stddev_pop("ratio").alias("std_ratio"))
+
+
+def keep(runs: DataFrame, video: str | None = None, codec: str | None = None, quality: str | None = None) -> DataFrame:
+    """Conjunctive equality; an argument that is empty is no condition."""
+    for name, value in (("video", video), ("codec", codec), ("quality_param", quality)):
+        if value:
+            runs = runs.where(F.col(name) == value)
+    return runs
+
+
+def wilcoxon(runs: DataFrame, metric: str, a: str, b: str) -> DataFrame:
+    """Signed ranks of paired differences by video: the smaller rank sum, and z by the normal approximation."""
+    per = runs.groupBy("video").pivot("codec", [a, b]).agg(F.avg(metric))
+    d = per.select(F.round(F.col(a) - F.col(b), 9).alias("d")).where("d <> 0")
+    w = W.partitionBy("one").orderBy("m").rowsBetween(W.unboundedPreceding, 0)  # one row per distinct difference
+    v = d.groupBy(F.abs("d").alias("m")).agg(F.count("*").alias("k"), F.count_if(F.col("d") > 0).alias("up")).withColumn("one", F.lit(1))
+    v = v.withColumn("rank", F.sum("k").over(w) - (F.col("k") - 1) / 2)
+    g = v.agg(F.sum("k").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("plus"), F.sum(F.col("rank") * (F.col("k") - F.col("up"))).alias("minus"))
+    s = F.least("plus", "minus")
+    n = F.col("n").cast("double")
+    return g.select("n", s.alias("w"), ((s - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)).alias("z"))
+
+
+def bd_rate(runs: DataFrame, reference: str, quality: str = "psnr") -> DataFrame:
+    """Bjontegaard rate difference (%) of each codec to a reference, pooled over videos; 0 where it is not defined.
+
+    A cubic of log rate on quality needs only power sums, so each codec comes down to one row; the 4 x 4 systems are solved
+    from those.
+    """
+    import numpy as np
+    import pandas as pd
+
+    q, y = F.col(quality), F.log10("bitrate")
+    mid = runs.agg(F.avg(quality).alias("mid")).first()["mid"] or 0.0  # centred powers are better conditioned
+    c = q - mid
+    sums = runs.where("bitrate > 0").groupBy("codec").agg(F.count("*").alias("n"), F.min(quality).alias("lo"), F.max(quality).alias("hi"), *(F.sum(F.pow(c, F.lit(k))).alias(f"s{k}") for k in range(7)), *(F.sum(F.pow(c, F.lit(k)) * y).alias(f"y{k}") for k in range(4)))
+    ref = sums.where(F.col("codec") == reference).select(*(F.col(n).alias(f"r_{n}") for n in sums.columns))
+
+    def mean(row, prefix: str, lo: float, hi: float) -> float:
+        a = np.array([[row[f"{prefix}s{i + j}"] for j in range(4)] for i in range(4)], dtype=float)
+        p = np.linalg.solve(a, np.array([row[f"{prefix}y{i}"] for i in range(4)], dtype=float))
+        return sum(p[k] * ((hi - mid) ** (k + 1) - (lo - mid) ** (k + 1)) / (k + 1) for k in range(4)) / (hi - lo)
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                lo, hi, value = max(row["lo"], row["r_lo"]), min(row["hi"], row["r_hi"]), 0.0
+                if min(row["n"], row["r_n"]) >= 4 and lo < hi:
+                    try:
+                        value = (10 ** (mean(row, "", lo, hi) - mean(row, "r_", lo, hi)) - 1) * 100
+                    except np.linalg.LinAlgError:
+                        value = 0.0
+                out.append((row["codec"], value))
+            yield pd.DataFrame(out, columns=["codec", "bd_rate"])
+
+    return sums.where(F.col("codec") != reference).join(ref, F.lit(True)).mapInPandas(solve, "codec string, bd_rate double")

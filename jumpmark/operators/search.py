@@ -51,3 +51,41 @@ def density_costs(features: DataFrame, grid_configs: DataFrame) -> DataFrame:
 
 def top(costs: DataFrame, k: int = 10) -> DataFrame:
     return costs.orderBy(F.round("cost", 6), "config_id").limit(k)
+
+
+def sample(spark: SparkSession, n: int, seed: int = 42, grid: dict[str, tuple[float, float, int]] = GRID) -> DataFrame:
+    """n configurations drawn with replacement, each step by a hash of seed, draw and threshold."""
+    out = spark.range(n).withColumnRenamed("id", "draw")
+    for name, span in grid.items():
+        steps = F.array(*(F.lit(v) for v in values(span)))
+        out = out.withColumn(name, F.get(steps, F.pmod(F.xxhash64(F.lit(seed), "draw", F.lit(name)), F.lit(span[2])).cast("int")))
+    return out
+
+
+def neighbors(config_ids: DataFrame, grid: dict[str, tuple[float, float, int]] = GRID) -> DataFrame:
+    """(config_id, neighbor): configurations one step up or down in one threshold."""
+    total, moves, step = reduce(lambda a, g: a * g[2], grid.values(), 1), [], None
+    step = total
+    for name, (_, _, n) in grid.items():
+        step //= n
+        digit = F.floor(F.col("config_id") / step) % n
+        moves += [F.when(digit > 0, F.col("config_id") - step), F.when(digit < n - 1, F.col("config_id") + step)]
+    return config_ids.select("config_id", F.explode(F.array_compact(F.array(*moves))).alias("neighbor"))
+
+
+def climb(costs: DataFrame, start: int, limit: int = 200) -> list[tuple[int, float]]:
+    """First-improvement hill climb from a configuration; each step looks up its neighbours (at most 14 rows)."""
+    spark = costs.sparkSession
+    look = costs.select("config_id", "cost").cache()
+    try:
+        at = look.where(F.col("config_id") == start).first()
+        path = [(at["config_id"], at["cost"])]
+        for _ in range(limit):
+            near = neighbors(spark.createDataFrame([(path[-1][0],)], "config_id long"))
+            better = look.join(near.select(F.col("neighbor").alias("config_id")), "config_id").where(F.col("cost") < path[-1][1] - 1e-9).orderBy("config_id").first()
+            if better is None:
+                return path
+            path.append((better["config_id"], better["cost"]))
+        return path
+    finally:
+        look.unpersist()

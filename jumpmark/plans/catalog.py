@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from jumpmark import adapters as A
 from jumpmark.functions import coding, scalar
 from jumpmark.functions.scalar import clean
-from jumpmark.operators import changes, costs, features, frames, intensity, results, search, validation
+from jumpmark.operators import changes, costs, description, features, frames, generate, intensity, joins, results, search, validation
 from jumpmark.plans import ql
 from jumpmark.streaming import windows
 
@@ -491,3 +491,282 @@ def tumbling_counts(spark, sf):
 def sliding_intensity(spark, sf):
     s = windows.sliding(A.table(spark, sf, "events"), "12 hours", "6 hours")
     return rounded(s.select(F.unix_seconds("window.start").alias("t0"), "event_type", "n"))
+
+
+# description lengths of blocks
+
+
+@query
+def pixel_rep_lengths(spark, sf):
+    return rounded(description.representation_lengths(description.pixels(A.grid_emb(spark, sf))))
+
+
+@query
+def block_process_lengths(spark, sf):
+    return rounded(description.block_lengths(description.pixels(A.grid_emb(spark, sf))))
+
+
+@query
+def mono_vs_marked(spark, sf):
+    n = F.col("n")
+    per = features.mark_counts(A.pp_events(spark, sf)).groupBy("block_id").agg(F.sum(F.log2(n + 1) + scalar.log2_comb(F.lit(A.R), n)).alias("mono"))
+    c = costs.color_costs()
+    marked = costs.temporal_costs()["R4b"] + F.least(c["Ba"], c["Bb"], c["Bc"])
+    return rounded(block_table(spark, sf).join(per, "block_id").select("block_id", "mono", marked.alias("marked"), (marked - F.col("mono")).alias("gain")))
+
+
+@query
+def markov_chi2(spark, sf):
+    """Chi-square statistic of each block's transition table against independence, one added to every cell."""
+    t = changes.transitions(A.pp_events(spark, sf)).groupBy("block_id").agg(F.collect_list(F.struct("h", "j", "n")).alias("t"))
+    cells = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda h: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.struct(h.alias("h"), j.alias("j")))))
+    full = t.select("block_id", F.explode(F.transform(cells, lambda c: F.struct(c["h"].alias("h"), c["j"].alias("j"), (1 + F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + F.when((x["h"] == c["h"]) & (x["j"] == c["j"]), x["n"]).otherwise(0))).alias("n")))).alias("c")).select("block_id", "c.*")
+    w = lambda *k: F.sum("n").over(W.partitionBy("block_id", *k))
+    e = full.select("block_id", "n", (w("h") * w("j") / w()).alias("e"))
+    return rounded(e.groupBy("block_id").agg(F.sum(F.pow(F.col("n") - F.col("e"), 2) / F.col("e")).alias("chi2")))
+
+
+@query
+def symmetric_counter_bound(spark, sf):
+    n, r = F.least(F.col("N"), F.col("r")).cast("double"), F.col("r").cast("double")
+    bound = F.least(F.log2(F.greatest(n, F.lit(1.0))), F.log2(F.greatest(r - n, F.lit(1.0)))) + scalar.log2_comb(F.col("r"), F.col("N")) + F.col("N") * F.log2("m")
+    return rounded(block_table(spark, sf).select("block_id", bound.alias("bound")))
+
+
+@query
+def zoom_level(spark, sf):
+    rate = F.col("o_totalprice")
+    level = F.when(rate >= 200000, 0).when(rate >= 100000, 1).when(rate >= 50000, 2).otherwise(3)
+    return rounded(A.table(spark, sf, "orders").groupBy(level.alias("level")).agg(F.count("*").alias("n")))
+
+
+@query
+def pyramid_lod(spark, sf):
+    return rounded(joins.pyramid(spark, 6, 5, 4))
+
+
+# joins
+
+
+@query
+def tag_intervals(spark, sf):
+    """Events within the first and last time of long runs of one mark, by user."""
+    e = A.pp_events(spark, sf)
+    tags = changes.spans(e).where("n >= 3").select("block_id", "run", "t0", "t1")
+    return rounded(joins.interval(e.select("block_id", "seq", "t"), tags, "block_id", "t", 10).groupBy("block_id", "run").agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")))
+
+
+@query
+def covering_block(spark, sf):
+    g = A.grid_emb(spark, sf).select("block", "t", F.floor(F.col("x") / 8).cast("int").alias("y"), (F.col("x") % 8).cast("int").alias("x"))
+    return rounded(joins.covering_block(g, 4, 50, 2, 4).groupBy("block", "block_no").agg(F.count("*").alias("n")))
+
+
+@query
+def lut_quantize(spark, sf):
+    return rounded(_colors(spark, sf).select("p_partkey", (F.shiftright("r", 3) * 1024 + F.shiftright("g", 3) * 32 + F.shiftright("b", 3)).alias("cell")))
+
+
+@query
+def transition_index(spark, sf):
+    t = changes.transitions(A.pp_events(spark, sf))
+    return rounded(t.withColumn("idx", F.dense_rank().over(W.partitionBy("block_id").orderBy("h", "j")) - 1))
+
+
+def _versions(spark, sf):
+    r = results.with_ratio(A.bench_runs(spark, sf))
+    v = lambda q: r.where(F.col("quality_param") == q).groupBy("video").agg((F.sum("output_size") * 8 / F.sum("input_size")).alias("bpp"), F.avg("ratio").alias("ratio"))
+    return v("F"), v("O").where("video <> 'NATION_3'")
+
+
+@query
+def corpus_delta(spark, sf):
+    return rounded(joins.deltas(*_versions(spark, sf)))
+
+
+@query
+def corpus_delta_eval(spark, sf):
+    return rounded(joins.judge(joins.deltas(*_versions(spark, sf))))
+
+
+@query
+def untested_rules(spark, sf):
+    parts = A.table(spark, sf, "part").select("p_partkey", "p_size")
+    tested = A.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    return rounded(parts.join(tested, "p_partkey", "left_anti"))
+
+
+@query
+def next_rule(spark, sf):
+    return rounded(A.table(spark, sf, "part").select("p_partkey", F.col("p_size").alias("priority"), F.col("p_name").alias("name")).orderBy("priority", "name", "p_partkey").limit(1))
+
+
+# generators
+
+
+@query
+def gen_gradient(spark, sf):
+    return rounded(generate.gradient(generate.grid(spark, 4, 16, 16), 16))
+
+
+@query
+def gen_moving_square(spark, sf):
+    return rounded(generate.moving_square(generate.grid(spark, 16, 16, 16)))
+
+
+@query
+def gen_bernoulli(spark, sf):
+    return rounded(generate.bernoulli(generate.grid(spark, 64, 16, 16), 4, 0.15))
+
+
+@query
+def gen_poisson(spark, sf):
+    p = None
+    for family in generate.FAMILIES:
+        x = generate.poisson(spark, family, 200, 64).withColumn("family", F.lit(family))
+        p = x if p is None else p.union(x)
+    return rounded(p.groupBy("family").agg(F.count("*").alias("n"), F.avg("t").alias("mean_t")))
+
+
+# more results and search
+
+
+@query
+def aggregate_performance(spark, sf):
+    return rounded(results.performance(A.bench_runs(spark, sf)), 4)
+
+
+@query
+def results_filter(spark, sf):
+    return rounded(results.keep(A.bench_runs(spark, sf), codec="1-URGENT", quality="F"), 4)
+
+
+@query
+def wilcoxon_stat(spark, sf):
+    return rounded(results.wilcoxon(A.bench_runs(spark, sf), "bitrate", "1-URGENT", "5-LOW"))
+
+
+@query
+def bd_rate(spark, sf):
+    return rounded(results.bd_rate(A.bench_runs(spark, sf), "1-URGENT"), 4)
+
+
+@query
+def best_config_per_base(spark, sf):
+    r = results.with_ratio(A.bench_runs(spark, sf)).withColumn("base", F.regexp_replace("video", "_[^_]*$", "")).withColumn("quality_param", F.concat("video", F.lit("/"), "quality_param"))
+    return rounded(results.best_per(r, "base", "ratio", True), 4)
+
+
+@query
+def running_best(spark, sf):
+    c = search.density_costs(block_table(spark, sf), search.configs(spark)).where("config_id % 64 = 0")
+    w = W.orderBy("config_id").rowsBetween(W.unboundedPreceding, 0)
+    return rounded(c.select("config_id", F.min(F.round("cost", 4)).over(w).alias("best")))
+
+
+@query
+def grid_random_sample(spark, sf):
+    return rounded(search.sample(spark, 100))
+
+
+@query
+def grid_neighbors(spark, sf):
+    return rounded(search.neighbors(spark.range(32000).withColumnRenamed("id", "config_id")).groupBy("config_id").agg(F.count("*").alias("n"), F.min("neighbor").alias("lo"), F.max("neighbor").alias("hi")))
+
+
+@query
+def grid_objective_full(spark, sf):
+    """All 32,000 configurations over the blocks, summarised."""
+    c = search.density_costs(block_table(spark, sf), search.configs(spark))
+    return rounded(c.agg(F.count("*").alias("n"), F.min("cost").alias("best"), F.max("cost").alias("worst"), F.count_distinct(F.round("cost", 6)).alias("levels")), 4)
+
+
+# codes and estimation
+
+
+@query
+def integer_codes(spark, sf):
+    n = F.col("p_partkey") % 100
+    return rounded(A.table(spark, sf, "part").select("p_partkey", coding.unary(n).alias("unary"), coding.rice(n, 2).alias("golomb4"), coding.rice(n, 4).alias("rice4")))
+
+
+@query
+def temporal_arrays(spark, sf):
+    """The five temporal forms of a block's times: sorted, counts, gaps, presence, distinct count."""
+    t = A.pp_events(spark, sf).groupBy("block_id").agg(F.array_sort(F.collect_list("t")).alias("own"))
+    r2 = F.transform(F.sequence(F.lit(0), F.lit(A.R - 1)), lambda i: F.size(F.filter("own", lambda x: x == i)))
+    s = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    gaps = F.transform("own", lambda x, i: F.when(i == 0, x).otherwise(x - F.get(F.col("own"), i - 1)))
+    out = t.withColumn("hist", r2)
+    return rounded(out.select("block_id", s(F.col("own")).alias("r1"), s(F.col("hist")).alias("r2"), s(gaps).alias("r3"), s(F.transform("hist", lambda x: (x > 0).cast("int"))).alias("r4a"), F.size(F.array_distinct("own")).alias("n_distinct")))
+
+
+@query
+def code_round_trips(spark, sf):
+    return rounded(coding.round_trips(A.pp_events(spark, sf)))
+
+
+@query
+def convergence_rate(spark, sf):
+    """Slope of the log distance to the whole over the log sample size, users added by powers of two."""
+    e = A.pp_events(spark, sf).withColumn("bin", F.floor(F.col("t") / 6).cast("int"))
+    whole = e.groupBy("bin").agg(F.count("*").alias("a")).withColumn("p", F.col("a") / F.sum("a").over(W.partitionBy(F.lit(1))))
+    sizes = F.explode(F.array(*(F.lit(2**k) for k in range(1, 6)))).alias("s")
+    part = e.select("block_id", "bin", sizes).where(F.col("block_id") < F.col("s")).groupBy("s", "bin").agg(F.count("*").alias("b"))
+    part = part.withColumn("q", F.col("b") / F.sum("b").over(W.partitionBy("s")))
+    dense = whole.select("bin", "p", sizes).join(part, ["s", "bin"], "left")
+    h = dense.groupBy("s").agg((F.sum(F.pow(F.sqrt("p") - F.sqrt(F.coalesce("q", F.lit(0.0))), 2)) / 2).alias("h2"))
+    return rounded(h.where("h2 > 1e-12").agg((-F.regr_slope(F.log("h2"), F.log("s"))).alias("gamma"), F.count("*").alias("n")))
+
+
+@query
+def log_likelihood(spark, sf):
+    """Marked log-likelihood of the histogram intensity: sum of log intensity at jumps, minus its integral, plus uniform marks."""
+    e = A.pp_events(spark, sf)
+    h = intensity.histogram(e, A.R, 15)
+    at = e.select("event_type", F.least(F.floor(F.col("t") / 6), F.lit(14)).cast("int").alias("bin")).groupBy("event_type", "bin").agg(F.count("*").alias("k"))
+    j = h.join(at, ["event_type", "bin"], "left")
+    g = j.groupBy("event_type").agg(F.sum(F.coalesce("k", F.lit(0)) * F.log(F.greatest("alpha", F.lit(1e-10)))).alias("s"), F.sum(F.col("alpha") * 6).alias("i"), F.sum("n").alias("n"))
+    return rounded(g.select("event_type", (F.col("s") - F.col("i") - F.col("n") * F.log(F.lit(5.0))).alias("loglik"), (F.lit(15 / 2) * F.log("n") / F.log(F.lit(2.0))).alias("penalty")))
+
+
+@query
+def error_cube(spark, sf):
+    e = A.block_pred(spark, sf).select((F.col("act_a") != F.col("pred_a")).cast("int").alias("a"), (F.col("act_c") != F.col("pred_c")).cast("int").alias("c"))
+    return rounded(e.cube("a", "c").agg(F.count("*").alias("n"), F.grouping_id().alias("g")).na.fill(-1))
+
+
+@query
+def subsample_420(spark, sf):
+    g = A.grid_emb(spark, sf).select("block", "t", F.floor(F.col("x") / 8).cast("int").alias("y"), (F.col("x") % 8).cast("int").alias("x"), "c")
+    return rounded(g.groupBy("block", "t", F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).agg(F.floor((F.sum("c") + 2) / 4).alias("c")))
+
+
+@query
+def kmeans_palette(spark, sf):
+    """Sixteen colours by k-means with a fixed seed, and how many pixels each takes."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    v = VectorAssembler(inputCols=["r", "g", "b"], outputCol="features").transform(_colors(spark, sf))
+    model = KMeans(k=16, seed=42, maxIter=20).fit(v)
+    return rounded(model.transform(v).groupBy(F.col("prediction").alias("idx")).agg(F.count("*").alias("n")))
+
+
+@query
+def stream_jump_detect(spark, sf):
+    """State changes per user, as a stateful stream over the events file run to its end."""
+    path = f"{sf}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    name = f"jumps_{abs(hash((id(spark), sf)))}"
+    stream = windows.source(spark, path, schema).select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    run = windows.jumps(stream).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@query
+def session_counts(spark, sf):
+    e = A.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
+    return rounded(s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest")))

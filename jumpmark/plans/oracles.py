@@ -151,3 +151,62 @@ ORACLE_SQL: dict[str, str] = {
     "tumbling_counts": "SELECT epoch(ts)::BIGINT // 86400 * 86400 AS t0, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY ALL",
     "sliding_intensity": "SELECT epoch(ts)::BIGINT // 21600 * 21600 - o * 21600 AS t0, event_type, count(*) AS n FROM events, range(2) r(o) GROUP BY ALL",
 }
+
+_PX = f"""{_G}, fr AS (SELECT block, t, row_number() OVER (PARTITION BY block ORDER BY t) - 1 AS f FROM (SELECT DISTINCT block, t FROM g)), gp AS (SELECT g.block, g.x, g.c, f, f // 32 AS gop FROM g JOIN fr ON fr.block = g.block AND fr.t = g.t),
+ gl AS (SELECT *, lag(c) OVER (PARTITION BY block, gop, x ORDER BY f) AS p FROM gp), gb AS (SELECT *, p IS NULL OR p <> c AS b FROM gl),
+ px AS (SELECT block, gop, x, count(*) AS r, count(*) FILTER (b) AS n, min_by(c, f) AS first, string_agg(b::INT::VARCHAR, '' ORDER BY f) AS pattern FROM gb GROUP BY ALL),
+ pb AS (SELECT *, CASE WHEN n > 0 AND n < r THEN length(bin(round(exp(lgamma(r + 1.0) - lgamma(n + 1.0) - lgamma(r - n + 1.0)))::BIGINT - 1)) ELSE 0 END AS sb, length(bin(r)) AS d FROM px),
+ pl AS (SELECT *, r * 8 AS L1, d + n * (d + 8) AS L2, r + n * 8 AS L3, d + sb + n * 8 AS L4 FROM pb)"""
+_VER = """v1 AS (SELECT video, sum(output_size) * 8 / sum(input_size) AS bpp, avg(ratio) AS ratio FROM rr WHERE quality_param = 'F' GROUP BY video), v0 AS (SELECT video, sum(output_size) * 8 / sum(input_size) AS bpp, avg(ratio) AS ratio FROM rr WHERE quality_param = 'O' AND video <> 'NATION_3' GROUP BY video),
+ de AS (SELECT v1.video, coalesce(v0.bpp, 8) - v1.bpp AS bpp_delta, v1.ratio / greatest(coalesce(v0.ratio, 1), 0.01) - 1 AS ratio_delta FROM v1 LEFT JOIN v0 ON v0.video = v1.video)"""
+_GRIDCOST = f"{_FEAT}, {_CONF}, co AS (SELECT block_id, N / r AS density, {_TMP} FROM f), pr AS (SELECT DISTINCT R1_max, R4b_R2 FROM cf), su AS (SELECT R1_max, R4b_R2, sum(CASE WHEN density <= R1_max THEN R1 WHEN density <= R4b_R2 THEN R4b ELSE R2 END) AS cost FROM co, pr GROUP BY ALL), gc AS (SELECT config_id, cost FROM cf JOIN su ON su.R1_max = cf.R1_max AND su.R4b_R2 = cf.R4b_R2)"
+_STEPS = [_n for _, _, _n in _GRID.values()]
+_MOVES = []
+_step = 32000
+for _n in _STEPS:
+    _step //= _n
+    _MOVES += [f"SELECT id, id - {_step} AS nb FROM ids WHERE id // {_step} % {_n} > 0", f"SELECT id, id + {_step} FROM ids WHERE id // {_step} % {_n} < {_n - 1}"]
+_LCM = "CASE WHEN n > 0 AND n < 90 THEN (lgamma(91.0) - lgamma(n + 1.0) - lgamma(91.0 - n)) / ln(2) ELSE 0 END"
+
+ORACLE_SQL |= {
+    "pixel_rep_lengths": f"WITH {_PX} SELECT block::BIGINT AS block, gop, x, L1, L2, L3, L4 FROM pl",
+    "block_process_lengths": f"""WITH {_PX}, wh AS (SELECT block, gop, max(r) AS r, count(*) AS px, sum(n) AS jumps, max(n) = 1 AS still, count(DISTINCT first) AS firsts, least(sum(L1), sum(L2), sum(L3), sum(L4)) AS pp, sum(L4) AS all4 FROM pl GROUP BY ALL),
+ tr AS (SELECT block, gop, count(DISTINCT (p, c)) AS nb FROM gb WHERE p IS NOT NULL AND b GROUP BY ALL), pa AS (SELECT block, gop, pattern, count(*) AS k, max(n) AS nd, sum(L4) AS r4 FROM pl GROUP BY ALL), tp AS (SELECT * FROM pa QUALIFY row_number() OVER (PARTITION BY block, gop ORDER BY k DESC, pattern DESC) = 1),
+ x AS (SELECT wh.block, wh.gop, CASE WHEN still AND firsts = 1 THEN 15 ELSE -1 END AS mono, 8 + pp AS pp, CASE WHEN 10 * k >= 4 * px THEN 8 + r + 2 * (length(bin(nd)) - 1) + 1 + k * (1 + nd * 8) + (px - k) + all4 - r4 ELSE -1 END AS spatial,
+  CASE WHEN coalesce(nb, 0) > 0 THEN 7 + 2 * (length(bin(nb)) - 1) + 1 + nb * 16 + 1 + px * 8 + px * (r - 1) + (jumps - px) * greatest(1, ceil(log2(greatest(nb, 2)))) ELSE -1 END AS markov FROM wh JOIN tp ON tp.block = wh.block AND tp.gop = wh.gop LEFT JOIN tr ON tr.block = wh.block AND tr.gop = wh.gop),
+ y AS (SELECT *, least(CASE WHEN mono >= 0 THEN mono END, pp, CASE WHEN spatial >= 0 THEN spatial END, CASE WHEN markov >= 0 THEN markov END) AS lo FROM x)
+ SELECT block::BIGINT AS block, gop, mono::BIGINT AS mono, pp::BIGINT AS pp, spatial::BIGINT AS spatial, markov::BIGINT AS markov, CASE lo WHEN mono THEN 'mono' WHEN pp THEN 'pp' WHEN spatial THEN 'spatial' ELSE 'markov' END AS process FROM y""",
+    "mono_vs_marked": f"WITH {_FEAT}, cc AS (SELECT block_id, {_COL}, {_TMP} FROM f), mo AS (SELECT block_id, sum(log2(n + 1) + {_LCM}) AS mono FROM mc GROUP BY block_id) SELECT mo.block_id, round(mono, 6) AS mono, round(R4b + least(Ba, Bb, Bc), 6) AS marked, round(R4b + least(Ba, Bb, Bc) - mono, 6) + 0.0 AS gain FROM mo JOIN cc ON cc.block_id = mo.block_id",
+    "markov_chi2": f"WITH {_EV}, {_SEQ}, tr AS (SELECT block_id, pm AS h, mark AS j, count(*) AS n FROM sq WHERE pm <> mark GROUP BY ALL), fl AS (SELECT b.block_id, h.h, j.j, 1 + coalesce(tr.n, 0) AS n FROM (SELECT DISTINCT block_id FROM tr) b, range(5) h(h), range(5) j(j) LEFT JOIN tr ON tr.block_id = b.block_id AND tr.h = h.h AND tr.j = j.j), e AS (SELECT block_id, n, sum(n) OVER (PARTITION BY block_id, h) * sum(n) OVER (PARTITION BY block_id, j) / sum(n) OVER (PARTITION BY block_id) AS e FROM fl) SELECT block_id, round(sum((n - e) ** 2 / e), 6) AS chi2 FROM e GROUP BY block_id",
+    "symmetric_counter_bound": f"WITH {_FEAT} SELECT block_id, round(least(log2(greatest(least(N, r), 1)), log2(greatest(r - least(N, r), 1))) + {_LC} + N * log2(m), 6) AS bound FROM f",
+    "zoom_level": "SELECT (CASE WHEN o_totalprice >= 200000 THEN 0 WHEN o_totalprice >= 100000 THEN 1 WHEN o_totalprice >= 50000 THEN 2 ELSE 3 END)::BIGINT AS level, count(*) AS n FROM orders GROUP BY ALL",
+    "pyramid_lod": "WITH RECURSIVE d AS (SELECT 0::BIGINT AS level, 0::BIGINT AS node UNION ALL SELECT level + 1, node * 4 + k FROM d, range(4) r(k) WHERE level < 4 AND NOT (level > 0 AND node % 5 = 0)) SELECT level, count(*) AS n, sum(node)::BIGINT AS s, count(*) FILTER (level > 0 AND node % 5 = 0) AS n_static FROM d GROUP BY level",
+    "tag_intervals": f"WITH {_EV}, {_SEQ}, rn AS (SELECT *, sum(coalesce((mark <> pm)::INT, 0)) OVER (PARTITION BY block_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS run FROM sq), tg AS (SELECT block_id, run, min(t) AS t0, max(t) AS t1 FROM rn GROUP BY block_id, run, mark HAVING count(*) >= 3) SELECT ev.block_id, run::BIGINT AS run, count(*) AS n, min(t) AS lo, max(t) AS hi FROM ev JOIN tg ON tg.block_id = ev.block_id AND t BETWEEN t0 AND t1 GROUP BY ALL",
+    "covering_block": f"WITH {_G} SELECT block::BIGINT AS block, t // 50 * 4 + (x // 8) // 4 * 2 + (x % 8) // 4 AS block_no, count(*) AS n FROM g GROUP BY ALL",
+    "lut_quantize": f"WITH {_RGB} SELECT p_partkey, (r // 8) * 1024 + (g // 8) * 32 + b // 8 AS cell FROM co",
+    "transition_index": f"WITH {_EV}, {_SEQ}, tr AS (SELECT block_id, pm AS h, mark AS j, count(*) AS n FROM sq WHERE pm <> mark GROUP BY ALL) SELECT *, dense_rank() OVER (PARTITION BY block_id ORDER BY h, j) - 1 AS idx FROM tr",
+    "corpus_delta": f"WITH {_RUNS}, {_VER} SELECT video, {_r('bpp_delta ratio_delta')} FROM de",
+    "corpus_delta_eval": f"WITH {_RUNS}, {_VER}, j AS (SELECT count(*) AS n, avg(bpp_delta) AS bpp, avg(ratio_delta) AS ratio, stddev_pop(ratio_delta) AS std, count(*) FILTER (ratio_delta < -0.01) AS regressions FROM de) SELECT n, {_r('bpp ratio std')}, regressions, round(greatest(0, 1 - std / greatest(abs(ratio), 0.001)), 6) AS confidence, CASE WHEN ratio > 0.001 AND regressions = 0 THEN 'accept' ELSE 'reject' END AS recommendation FROM j",
+    "untested_rules": "SELECT p_partkey, p_size::BIGINT AS p_size FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)",
+    "next_rule": "SELECT p_partkey, p_size::BIGINT AS priority, p_name AS name FROM part ORDER BY p_size, p_name, p_partkey LIMIT 1",
+    "gen_gradient": "SELECT t, y, x, y * 255 // 15 AS c FROM range(4) a(t), range(16) b(y), range(16) c(x)",
+    "gen_moving_square": "SELECT t, y, x, CASE WHEN x - t BETWEEN 0 AND 3 AND y BETWEEN 0 AND 3 THEN 200 ELSE 50 END::BIGINT AS c FROM range(16) a(t), range(16) b(y), range(16) c(x)",
+    "aggregate_performance": f"WITH {_RUNS} SELECT count(*) AS n, round(sum(input_size), 4) AS total_in, round(sum(output_size), 4) AS total_out, round(sum(input_size) / sum(output_size), 4) AS overall, round(avg(ratio), 4) AS mean_ratio, round(min(ratio), 4) AS min_ratio, round(max(ratio), 4) AS max_ratio, round(stddev_pop(ratio), 4) AS std_ratio FROM rr",
+    "results_filter": f"WITH {_RUNS} SELECT video, codec, quality_param, {_r('input_size output_size bitrate psnr ssim', 4)}, n_frames FROM br WHERE codec = '1-URGENT' AND quality_param = 'F'",
+    "wilcoxon_stat": f"""WITH {_RUNS}, p AS (SELECT video, avg(bitrate) FILTER (codec = '1-URGENT') AS a, avg(bitrate) FILTER (codec = '5-LOW') AS b FROM br GROUP BY video), d AS (SELECT round(a - b, 9) AS d FROM p WHERE round(a - b, 9) <> 0), rk AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rk FROM d),
+ s AS (SELECT count(*)::DOUBLE AS n, least(coalesce(sum(rk) FILTER (d > 0), 0), coalesce(sum(rk) FILTER (d < 0), 0))::DOUBLE AS w FROM rk) SELECT n::BIGINT AS n, round(w, 6) AS w, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z FROM s""",
+    "best_config_per_base": f"WITH {_RUNS}, x AS (SELECT regexp_replace(video, '_[^_]*$', '') AS base, codec, video || '/' || quality_param AS quality_param, ratio FROM rr) SELECT base, codec, quality_param, round(ratio, 4) AS ratio FROM x QUALIFY row_number() OVER (PARTITION BY base ORDER BY ratio DESC, codec, quality_param) = 1",
+    "running_best": f"WITH {_GRIDCOST} SELECT config_id, min(round(cost, 4)) OVER (ORDER BY config_id ROWS UNBOUNDED PRECEDING) AS best FROM gc WHERE config_id % 64 = 0",
+    "grid_neighbors": f"WITH ids AS (SELECT range AS id FROM range(32000)), nb AS ({' UNION ALL '.join(_MOVES)}) SELECT id AS config_id, count(*) AS n, min(nb) AS lo, max(nb) AS hi FROM nb GROUP BY id",
+    "grid_objective_full": f"WITH {_GRIDCOST} SELECT count(*) AS n, round(min(cost), 4) AS best, round(max(cost), 4) AS worst, count(DISTINCT round(cost, 6)) AS levels FROM gc",
+    "integer_codes": "WITH x AS (SELECT p_partkey, p_partkey % 100 AS n FROM part) SELECT p_partkey, repeat('1', n) || '0' AS unary, repeat('1', n // 4) || '0' || lpad(bin(n % 4), 2, '0') AS golomb4, repeat('1', n // 16) || '0' || lpad(bin(n % 16), 4, '0') AS rice4 FROM x",
+    "temporal_arrays": f"""WITH {_EV}, us AS (SELECT block_id, list_sort(list(t)) AS r1 FROM ev GROUP BY block_id), c AS (SELECT block_id, r1, list_transform(range(90), lambda i: len(list_filter(r1, lambda x: x = i))) AS r2 FROM us)
+ SELECT block_id, array_to_string(r1, ',') AS r1, array_to_string(r2, ',') AS r2, array_to_string(list_transform(range(1, len(r1) + 1), lambda i: CASE WHEN i = 1 THEN r1[1] ELSE r1[i] - r1[i - 1] END), ',') AS r3, array_to_string(list_transform(r2, lambda x: (x > 0)::INT), ',') AS r4a, len(list_distinct(r1))::BIGINT AS n_distinct FROM c""",
+    "convergence_rate": f"""WITH {_EV}, e AS (SELECT block_id, t // 6 AS bin FROM ev), wh AS (SELECT bin, count(*) / sum(count(*)) OVER () AS p FROM e GROUP BY bin), sz AS (SELECT unnest([2, 4, 8, 16, 32]) AS s), pt AS (SELECT s, bin, count(*) / sum(count(*)) OVER (PARTITION BY s) AS q FROM e, sz WHERE block_id < s GROUP BY s, bin),
+ h AS (SELECT sz.s, sum((sqrt(p) - sqrt(coalesce(q, 0))) ** 2) / 2 AS h2 FROM wh, sz LEFT JOIN pt ON pt.s = sz.s AND pt.bin = wh.bin GROUP BY sz.s) SELECT round(-regr_slope(ln(h2), ln(s)), 6) AS gamma, count(*) AS n FROM h WHERE h2 > 1e-12""",
+    "log_likelihood": f"WITH {_HIST} SELECT event_type, round(sum(n * ln(greatest(alpha, 1e-10))) - sum(alpha * 6) - sum(n) * ln(5), 6) AS loglik, round(7.5 * ln(sum(n)) / ln(2), 6) AS penalty FROM h GROUP BY event_type",
+    "error_cube": f"WITH {_PRED}, e AS (SELECT (act_a <> pred_a)::INT AS a, (act_c <> pred_c)::INT AS c FROM bp) SELECT coalesce(a, -1)::BIGINT AS a, coalesce(c, -1)::BIGINT AS c, count(*) AS n, grouping(a, c) AS g FROM e GROUP BY CUBE (a, c)",
+    "subsample_420": f"WITH {_G} SELECT block::BIGINT AS block, t, (x // 8) // 2 AS y, (x % 8) // 2 AS x, ((sum(c) + 2) // 4)::BIGINT AS c FROM g GROUP BY ALL",
+    "stream_jump_detect": "WITH l AS (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_type AS after FROM events) SELECT * FROM l WHERE before <> after",
+    "session_counts": "WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM l), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
+}

@@ -20,3 +20,21 @@ def tumbling(events: DataFrame, size: str, watermark: str | None = None) -> Data
 
 def sliding(events: DataFrame, size: str, slide: str) -> DataFrame:
     return events.groupBy(F.window(F.col("ts").cast("timestamp"), size, slide), "event_type").agg(F.count("*").alias("n"))
+
+
+def jumps(events: DataFrame, key: str = "user_id") -> DataFrame:
+    """On a stream: a row whenever a key's state differs from its last one. The last state is kept per key."""
+    import pandas as pd
+
+    def step(k, batches, state):
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out = []
+        for event, kind in zip(rows["event_id"], rows["event_type"], strict=True):
+            if last is not None and kind != last:
+                out.append((k[0], event, last, kind))
+            last = kind
+        state.update((last,))
+        yield pd.DataFrame(out, columns=[key, "event_id", "before", "after"])
+
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, before string, after string", "last string", "append", "NoTimeout")
