@@ -11,8 +11,10 @@ Only hashes are shuffled; long runs of equal lines are counted before they are.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -24,14 +26,18 @@ from jumpmark.llm.text_bytes import raw, slices
 
 #: Leading tokens that lead to a leaf; documents a template recurs in; share of tokens a line must agree on.
 DEPTH, MIN_DOCS, AGREE = 3, 5, 0.8
+#: Template hashes (8 bytes each) that may be sent to tasks at once; beyond it they are joined.
+WANTED = 1 << 20
 #: Lines of fewer tokens are never dropped.
 MIN_TOKENS = 5
-DIGITS = frozenset(b"0123456789")
+_DIGIT = re.compile(rb"[0-9]")
 FIELD = b"<*>"
 
 
 def masked(line: bytes) -> list[bytes]:
-    return [FIELD if not DIGITS.isdisjoint(t) else t for t in line.split()]
+    if not _DIGIT.search(line):
+        return line.split()
+    return [FIELD if _DIGIT.search(t) else t for t in line.split()]
 
 
 def _hash(data: bytes) -> int:
@@ -42,13 +48,14 @@ def leaf_of(tokens: list[bytes], depth: int) -> int:
     return _hash(b"%d " % len(tokens) + b" ".join(tokens[:depth]))
 
 
-def _lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int, with_tokens: bool) -> DataFrame:
-    """(k, leaf, tpl[, toks]) for each distinct line template of each document."""
+def _lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int, with_tokens: bool, wanted: np.ndarray | None = None) -> DataFrame:
+    """(k, leaf, tpl[, toks]) for each distinct line template of each document; wanted: only these templates (sorted)."""
+    sent = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t"):
-            at, leaves, templates, tokens = [], [], [], []
+        for b in slices(batches, "t", 1 << 20):
+            at, leaves, templates, lines = [], [], [], []
             for i, t in enumerate(raw(b, "t")):
                 seen = set()
                 for line in (t or b"").split(b"\n"):
@@ -63,11 +70,15 @@ def _lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int, wi
                     leaves.append(leaf_of(ts, depth))
                     templates.append(tpl)
                     if with_tokens:
-                        tokens.append([xxhash.xxh32_intdigest(x) - (1 << 31) for x in ts])
-            cols = [b.column("k").take(pa.array(at, pa.int32())), pa.array(leaves, pa.int64()), pa.array(templates, pa.int64())]
+                        lines.append(ts)
+            take = np.arange(len(at))
+            if sent is not None and len(at):
+                tpls = np.array(templates, np.int64)
+                take = np.flatnonzero(sent.value[np.minimum(np.searchsorted(sent.value, tpls), len(sent.value) - 1)] == tpls) if len(sent.value) else take[:0]
+            cols = [b.column("k").take(pa.array(np.array(at, np.int32)[take])), pa.array(np.array(leaves, np.int64)[take]), pa.array(np.array(templates, np.int64)[take])]
             names = ["k", "leaf", "tpl"]
             if with_tokens:
-                cols.append(pa.array(tokens, pa.list_(pa.int32())))
+                cols.append(pa.array([[xxhash.xxh32_intdigest(x) - (1 << 31) for x in lines[i]] for i in take.tolist()], pa.list_(pa.int32())))
                 names.append("toks")
             yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -88,7 +99,9 @@ def templates(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: i
     # leaves of more than one template are generalised: one row of tokens per template there
     mixed = per.where("n_tpl > 1").select("tpl", "leaf", "n")
     n_mixed = mixed.count()
-    tokens = _lines(docs, key, text, depth, min_tokens, True).join(maybe_broadcast(mixed, 64 * n_mixed), ["leaf", "tpl"])
+    # their hashes go along to the tasks only where that is little; else the join alone picks them
+    wanted = np.sort(np.array(mixed.select("tpl").distinct().toArrow().column("tpl"), dtype=np.int64)) if n_mixed <= WANTED else None
+    tokens = _lines(docs, key, text, depth, min_tokens, True, wanted).join(maybe_broadcast(mixed, 64 * n_mixed), ["leaf", "tpl"])
     tokens = stored(tokens.groupBy("leaf", "tpl", "n").agg(F.min("toks").alias("toks")))
     by_place = tokens.select("leaf", "n", F.posexplode("toks").alias("p", "tok")).groupBy("leaf", "p", "tok").agg(F.sum("n").alias("n"))
     common = by_place.groupBy("leaf", "p").agg(F.max(F.struct("n", "tok")).alias("top"), F.sum("n").alias("all")).where("2 * top.n >= all")

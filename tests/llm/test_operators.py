@@ -214,7 +214,9 @@ def test_language_id(spark, docs, none):
     assert found(no_lang, "lang_pred", "score") == Counter({("und", 0.0): len(DATA)})
 
 
-def test_line_dedup(spark, docs, none):
+@pytest.mark.parametrize("wanted", [line_dedup.WANTED, -1])
+def test_line_dedup(spark, docs, none, monkeypatch, wanted):
+    monkeypatch.setattr(line_dedup, "WANTED", wanted)
     out = line_dedup.dedup(docs)
     assert out.columns == [*docs.columns, "_n_lines", "_n_dropped"] and out.count() == len(DATA)
     got = {r["doc_id"]: r for r in out.where("doc_id is not null").collect()}
