@@ -74,7 +74,7 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT n_words, coalesce(list_sum(list_transform
              (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines, coalesce(n, 0)::BIGINT n_repeat_words, len(ls)::BIGINT n_lines
       FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
 f AS (SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-             + CASE WHEN 5 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
+             + CASE WHEN 5 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
              + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 14 * n_words THEN 32 ELSE 0 END AS bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, n_lines, bits::BIGINT AS failed_bits FROM f
 """
