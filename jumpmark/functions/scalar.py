@@ -80,3 +80,23 @@ def rgb_to_ycbcr(r: Column, g: Column, b: Column) -> tuple[Column, Column, Colum
 def clean(c: Column, digits: int = 6) -> Column:
     """Rounded, without a negative zero."""
     return F.round(c, digits) + F.lit(0.0)
+
+#: Fields of the 7-bit method code of the block coder: name, shift, width.
+METHOD = [("proc", 5, 2), ("rep", 3, 2), ("comp", 1, 2), ("col", 0, 1)]
+
+
+def pack_method(fields: dict[str, Column]) -> Column:
+    out = F.lit(0)
+    for name, shift, width in METHOD:
+        out = out.bitwiseOR(F.shiftleft(fields[name].cast("int").bitwiseAND(F.lit((1 << width) - 1)), shift))
+    return out
+
+
+def unpack_method(code: Column) -> dict[str, Column]:
+    return {name: F.shiftright(code.cast("int"), shift).bitwiseAND(F.lit((1 << width) - 1)) for name, shift, width in METHOD}
+
+
+def fragment(uri: Column, name: str) -> Column:
+    """A parameter of a URI's fragment; null if it is not there."""
+    found = F.regexp_extract(uri, rf"#(?:.*&)?{name}=([^&]*)", 1)
+    return F.when(found != "", found)

@@ -770,3 +770,71 @@ def session_counts(spark, sf):
     e = A.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     s = e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
     return rounded(s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest")))
+
+
+@query
+def method_code(spark, sf):
+    p = F.col("p_partkey")
+    code = scalar.pack_method({"proc": p % 4, "rep": p * 3 % 4, "comp": p * 5 % 3, "col": p % 2})
+    return rounded(A.table(spark, sf, "part").select("p_partkey", code.alias("code"), *(v.alias(k) for k, v in scalar.unpack_method(code).items())))
+
+
+@query
+def uri_fragment(spark, sf):
+    p = F.col("p_partkey").cast("string")
+    uri = F.concat(F.lit("pp://v/"), p, F.lit("#t="), p, F.lit("&b=1,2&lod="), (F.col("p_partkey") % 3).cast("string"))
+    return A.table(spark, sf, "part").select("p_partkey", *(scalar.fragment(uri, n).alias(n) for n in ("t", "b", "lod", "tag")))
+
+
+@query
+def feature_rollup(spark, sf):
+    return rounded(block_table(spark, sf).agg(F.count("*").alias("blocks"), F.avg("N").alias("mean_n"), F.avg(F.col("N") / F.col("r")).alias("density"), F.avg("H").alias("mean_h"), F.sum("N").alias("total")))
+
+
+@query
+def process_type_5(spark, sf):
+    """Joint, then marginal, then monochromatic, else marked, by thresholds on the grid's blocks."""
+    g = A.grid_emb(spark, sf)
+    j = changes.jumps(g)
+    counts = j.groupBy("block", "mark").agg(F.count("*").alias("n"))
+    alphabet = g.groupBy("block").agg(F.count_distinct("c").alias("m"), (F.count_distinct("t") * F.count_distinct("x")).alias("r"))
+    mono = counts.join(alphabet, "block").groupBy("block", "m", "r").agg(F.sum(F.log2(F.col("n") + 1.0) + scalar.log2_comb(F.col("r"), F.col("n"))).alias("mono"), F.sum("n").alias("N"))
+    marked = F.log2(F.col("N") + 1.0) + scalar.log2_comb(F.col("r"), F.col("N")) + F.col("N") * F.log2("m")
+    s = features.spatial(g).join(mono, "block")
+    kind = F.when((F.col("H_s") > 0.7) & (F.col("rho") > 0.8), "JOINT").when(F.col("rho") < 0.15, "MARGINAL").when(marked > F.col("mono"), "MONO").otherwise("MARKED")
+    return rounded(s.select("block", kind.alias("kind"), (marked - F.col("mono")).alias("gain")), 3)
+
+
+@query
+def stall_lengths(spark, sf):
+    """Runs of orders of a customer in a row that are not finished: longest run, and whether it reaches five."""
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = A.table(spark, sf, "orders").withColumn("k", F.sum((F.col("o_orderstatus") == "F").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    runs = o.groupBy("o_custkey", "k").agg(F.count_if(F.col("o_orderstatus") != "F").alias("n"))
+    return rounded(runs.groupBy("o_custkey").agg(F.max("n").alias("longest"), F.max((F.col("n") >= 5).cast("int")).alias("stops")))
+
+
+@query
+def version_progression(spark, sf):
+    v = results.with_ratio(A.bench_runs(spark, sf)).groupBy("video", F.col("quality_param").alias("version")).agg(F.avg("ratio").alias("ratio"))
+    return rounded(v.withColumn("delta", F.col("ratio") - F.lag("ratio").over(W.partitionBy("video").orderBy("version"))), 4)
+
+
+@query
+def ql_table_function(spark, sf):
+    _stream(spark, sf).createOrReplaceTempView("video_stream")
+    ql.register(spark)
+    return rounded(spark.sql("SELECT tag, count(*) AS n FROM spatial_region(1, 1, 1) GROUP BY tag"))
+
+
+@query
+def heuristic_tree(spark, sf):
+    """A decision tree that predicts the best colour mode and representation from the features; its accuracy."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    f = block_table(spark, sf).withColumn("label", costs.best(costs.joint(costs.temporal_costs(), costs.color_costs()))["ord"].cast("double"))
+    v = VectorAssembler(inputCols=["N", "H", "m_eff", "n_trans", "R_temp"], outputCol="features").transform(f)
+    model = DecisionTreeClassifier(impurity="gini", maxDepth=8, minInstancesPerNode=5, seed=42).fit(v.where("block_id % 5 <> 0"))
+    p = model.transform(v).withColumn("held_out", F.col("block_id") % 5 == 0)
+    return rounded(p.groupBy("held_out").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy")))

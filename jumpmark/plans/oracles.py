@@ -210,3 +210,17 @@ ORACLE_SQL |= {
     "stream_jump_detect": "WITH l AS (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_type AS after FROM events) SELECT * FROM l WHERE before <> after",
     "session_counts": "WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM l), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
 }
+
+_LCB = lambda k: f"CASE WHEN {k} > 0 AND {k} < r THEN (lgamma(r + 1.0) - lgamma({k} + 1.0) - lgamma(r - {k} + 1.0)) / ln(2) ELSE 0 END"
+_SPATIAL = ORACLE_SQL["spatial_features"].removeprefix("WITH ").rpartition("\n SELECT block::BIGINT AS block")[0]
+ORACLE_SQL |= {
+    "method_code": "WITH x AS (SELECT p_partkey, p_partkey % 4 AS proc, p_partkey * 3 % 4 AS rep, p_partkey * 5 % 3 AS comp, p_partkey % 2 AS col FROM part) SELECT p_partkey, proc * 32 + rep * 8 + comp * 2 + col AS code, proc, rep, comp, col FROM x",
+    "uri_fragment": "SELECT p_partkey, p_partkey::VARCHAR AS t, '1,2' AS b, (p_partkey % 3)::VARCHAR AS lod, NULL::VARCHAR AS tag FROM part",
+    "feature_rollup": f"WITH {_FEAT} SELECT count(*) AS blocks, round(avg(N), 6) AS mean_n, round(avg(N / r), 6) AS density, round(avg(H), 6) AS mean_h, sum(N)::BIGINT AS total FROM f",
+    "process_type_5": f"""WITH {_SPATIAL}, sp AS (SELECT block, coalesce(eq, 1.0) AS H_s, CASE WHEN va < 1e-10 THEN 1.0 ELSE least(greatest((cov / va + 1) / 2, 0), 1) END AS rho FROM a), j AS (SELECT block, c, p FROM (SELECT block, c, lag(c) OVER (PARTITION BY block, x ORDER BY t) AS p FROM g) WHERE p <> c), jc AS (SELECT block, c, count(*) AS n FROM j GROUP BY ALL),
+ al AS (SELECT block, count(DISTINCT c) AS m, count(DISTINCT t) * count(DISTINCT x) AS r FROM g GROUP BY block), mo AS (SELECT jc.block, m, r, sum(log2(n + 1) + {_LCB('n')}) AS mono, sum(n) AS N FROM jc JOIN al ON al.block = jc.block GROUP BY ALL), mk AS (SELECT *, log2(N + 1) + {_LCB('N')} + N * log2(m) AS marked FROM mo)
+ SELECT sp.block::BIGINT AS block, CASE WHEN H_s > 0.7 AND rho > 0.8 THEN 'JOINT' WHEN rho < 0.15 THEN 'MARGINAL' WHEN marked > mono THEN 'MONO' ELSE 'MARKED' END AS kind, round(marked - mono, 3) + 0.0 AS gain FROM sp JOIN mk ON mk.block = sp.block""",
+    "stall_lengths": "WITH o AS (SELECT o_custkey, o_orderstatus, sum((o_orderstatus = 'F')::INT) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS k FROM orders), r AS (SELECT o_custkey, k, count(*) FILTER (o_orderstatus <> 'F') AS n FROM o GROUP BY ALL) SELECT o_custkey, max(n) AS longest, max((n >= 5)::INT)::BIGINT AS stops FROM r GROUP BY o_custkey",
+    "version_progression": f"WITH {_RUNS}, v AS (SELECT video, quality_param AS version, avg(ratio) AS ratio FROM rr GROUP BY ALL) SELECT video, version, round(ratio, 4) AS ratio, round(ratio - lag(ratio) OVER (PARTITION BY video ORDER BY version), 4) + 0.0 AS delta FROM v",
+    "ql_table_function": f"WITH {_ST} SELECT tag, count(*) AS n FROM vs WHERE (bx - 1) ** 2 + (\"by\" - 1) ** 2 <= 1 GROUP BY tag",
+}

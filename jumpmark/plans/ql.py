@@ -34,3 +34,11 @@ def rewrite(query: str) -> str:
 def run(spark: SparkSession, query: str, video_stream: DataFrame) -> DataFrame:
     video_stream.createOrReplaceTempView("video_stream")
     return spark.sql(rewrite(query))
+
+
+def register(spark: SparkSession) -> None:
+    """video_block(x, y) and spatial_region(cx, cy, r) as temporary SQL table functions over the view video_stream."""
+    columns = "id BIGINT, time TIMESTAMP_NTZ, by INT, bx INT, tag STRING, magnitude DOUBLE"
+    names = "id, time, by, bx, tag, magnitude"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION video_block(x INT, y INT) RETURNS TABLE({columns}) RETURN SELECT {names} FROM video_stream WHERE bx = x AND by = y")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION spatial_region(cx DOUBLE, cy DOUBLE, r DOUBLE) RETURNS TABLE({columns}) RETURN SELECT {names} FROM video_stream WHERE (bx - cx) * (bx - cx) + (by - cy) * (by - cy) <= r * r")
