@@ -97,7 +97,7 @@ def predict_rows(texts: list[bytes | None], chain: Chain) -> np.ndarray:
     base = [w[:n] for w in chain.weights]
     out = np.zeros((len(texts), len(chain.categories)))
     for i, t in enumerate(texts):
-        at = [chain.vocabulary[w] for w in known & set(alnum_words(t or b""))]
+        at = sorted(chain.vocabulary[w] for w in known & set(alnum_words(t or b"")))
         for k, w in enumerate(chain.weights):
             out[i, k] = base[k][at].sum() + out[i, :k] @ w[n:-1] + w[-1]
             out[i, k] = 1 / (1 + np.exp(-min(30, max(-30, out[i, k]))))
@@ -142,12 +142,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.keys()
         for b in slices(batches, "t"):
-            found = [[vocabulary[w] for w in known & set(alnum_words(t or b""))] for t in raw(b, "t")]
+            found = [sorted(vocabulary[w] for w in known & set(alnum_words(t or b""))) for t in raw(b, "t")]
             yield pa.RecordBatch.from_arrays([b.column("f"), *(b.column(f"y{i}") for i in range(len(names))), pa.array(found, pa.list_(pa.int32()))], ["f", *(f"y{i}" for i in range(len(names))), "at"])
 
     folds = chosen.withColumn("f", F.pmod(F.xxhash64(F.lit("fold"), "k"), F.lit(FOLDS)).cast("int"))
     ys = ", ".join(f"y{i} int" for i in range(len(names)))
-    rows = folds.mapInArrow(present, f"f int, {ys}, at array<int>").orderBy("f", *(f"y{i}" for i in range(len(names))), "at").collect()  # max_train rows
+    rows = folds.mapInArrow(present, f"f int, {ys}, at array<int>").collect()  # max_train rows
+    rows.sort()  # the same model whatever order they come in
     x = np.zeros((len(rows), len(vocabulary)))
     for i, r in enumerate(rows):
         x[i, r["at"]] = 1
