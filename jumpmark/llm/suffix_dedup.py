@@ -7,7 +7,12 @@ and neighbouring windows mostly share one. Runs of windows of one key travel as
 holds are dropped; for the others the runs' bytes are gathered by key, and per block of keys the transform of the distinct
 runs is expanded (bwt.classes) to the classes of equal windows. A window repeats where its class has a smaller owner.
 
-Blocks are sized by bytes of text, so a task's memory does not depend on the corpus. Nothing is collected.
+Keys that very many runs hold (a passage that a large share of all documents has) are split: their windows are keyed by all
+their bytes instead, and of equal windows that a task holds only the one of the smallest document travels; the others are
+marked at once. Which keys are split is estimated from texts of at most about SAMPLE bytes; it decides how rows are spread,
+not what is found, and the list is bounded by the share of all runs a key must hold.
+
+Blocks are sized by bytes of text, so a task's memory does not depend on the corpus. No text, run or mark is collected.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ LENGTH, GRAM, RUN = 50, 24, 27
 BLOCK, TRANSFORM = 8 << 20, 2 << 20
 #: Runs a task gathers before it sends them on.
 FLUSH = 1 << 19
+#: Runs from which on a key is split, the share of the corpus' bytes that raises it, and bytes of texts it is estimated from.
+HOT, HOT_SHARE, SAMPLE = 1 << 12, 1 << 24, 1 << 30
 
 
 def window_keys(data: np.ndarray) -> np.ndarray:
@@ -92,17 +99,101 @@ def _owners(docs: DataFrame) -> DataFrame:
     return docs.where("k is not null").groupBy("h").agg(F.min("k").alias("k"), F.max(F.octet_length("t")).alias("b"))
 
 
-def _keyed_runs(texts: DataFrame, blocks: int) -> DataFrame:
-    """Packed runs by block of keys: (p, key high, key low, text ids and how often each, first window, windows)."""
+def hot_keys(texts: DataFrame, n_bytes: int) -> np.ndarray:
+    """Keys that about HOT runs or more hold (more in a large corpus: see HOT_SHARE), sorted.
+
+    Every n-th text is counted, n growing with the corpus; keys that are rare in each batch are left out of the shuffle as
+    far as that cannot hide a hot one. At most a key for each HOT_SHARE-th part of the runs comes to the driver.
+    """
+    step = max(1, n_bytes // SAMPLE)
+    least = max(HOT, n_bytes // HOT_SHARE) // step
+    flushes = max(1, n_bytes // step // 14 // FLUSH)
+    local = max(1, least // (4 * flushes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[np.ndarray] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            key, count = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            some = count >= local
+            return pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(count[some].astype(np.int64))], ["key", "n"])
+
+        for b in slices(batches, "t", 1 << 20):
+            take = []
+            for t, h in zip(raw(b, "t"), b.column("h").to_pylist(), strict=True):
+                if h not in seen:
+                    seen.add(h)
+                    take.append(t)
+            if take:
+                held.append(runs(take)[0])
+                n += len(held[-1])
+            if n >= FLUSH:
+                yield flush()
+                n = 0
+        if held:
+            yield flush()
+
+    some = texts.where(F.pmod(F.xxhash64("h"), F.lit(step)) == 0).select("h", "t")
+    counts = some.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, least // 2))
+    return np.sort(np.array([r["key"] for r in counts.select("key").collect()], dtype=np.int64).view(np.uint64))
+
+
+def split_hot(hot: np.ndarray, data: bytes, begin: np.ndarray, key: np.ndarray, text: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of hot keys as single windows keyed by all their bytes; begin: where each run's text starts in data."""
+    at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+    is_hot = hot[at] == key
+    if not is_hot.any():
+        return key, text, first, size, np.zeros(len(key), bool)
+    n = size[is_hot]
+    place = bwt.ranges((begin + first)[is_hot], n)
+    flat = np.frombuffer(data, np.uint8)
+    h = np.zeros(len(place), np.uint64)
+    for j in range(LENGTH):
+        h = (h ^ flat[place + j]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    cold = ~is_hot
+    cat = lambda a, b: np.concatenate([a[cold], b])
+    one = np.ones(len(place), size.dtype)
+    return cat(key, h), cat(text, np.repeat(text[is_hot], n)), cat(first, bwt.ranges(first[is_hot], n)), cat(size, one), np.repeat([False, True], [int(cold.sum()), len(place)])
+
+
+def first_holders(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Of windows with one key those of the smallest owner."""
+    _, which = np.unique(key, return_inverse=True)
+    least = np.full(int(which.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, which, owner)
+    return owner == least[which]
+
+
+def _keyed_runs(texts: DataFrame, blocks: int, hot: np.ndarray) -> DataFrame:
+    """Packed runs by block of keys: (p, key high, key low, text ids and how often each, first window, windows).
+
+    Windows of hot keys that a smaller document of the same task holds come as marks instead, by block of documents:
+    (p, documents, first window) in ts and fs, with ss empty.
+    """
+    shared_hot = texts.sparkSession.sparkContext.broadcast(hot) if len(hot) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
         held: list[tuple] = []
         n = 0
 
         def flush() -> pa.RecordBatch:
-            key, text, first, size = (np.concatenate(c) for c in zip(*held, strict=True))
+            key, text, first, size, single, row = (np.concatenate(c) for c in zip(*held, strict=True))
             rows = []
+            if single.any():
+                at = np.flatnonzero(single)
+                gone = at[~first_holders(key[at], row[at])]
+                for q, (o, f) in _by_block(row[gone] % blocks, [row[gone], first[gone]]) if len(gone) else ():
+                    rows.append((q, b"", b"", o.tobytes(), b"", f.astype(np.uint32).tobytes(), b""))
+                stay = np.ones(len(key), bool)
+                stay[gone] = False
+                key, text, first, size = key[stay], text[stay], first[stay], size[stay]
+                order = np.argsort(text, kind="stable")
+                key, text, first, size = key[order], text[order], first[order], size[order]
             for p, (ks, ts, fs, ss) in _by_block((key % np.uint64(blocks)).astype(np.int64), [key // np.uint64(blocks), text, first, size]):
                 new = np.flatnonzero(np.concatenate([[True], ts[1:] != ts[:-1]]))
                 often = np.diff(np.append(new, len(ts)))
@@ -111,16 +202,21 @@ def _keyed_runs(texts: DataFrame, blocks: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 7))], ["p", "hi", "lo", "ts", "often", "fs", "ss"])
 
         for b in slices(batches, "t", 1 << 20):
-            take, ids = [], []
-            for t, h in zip(raw(b, "t"), b.column("h").to_pylist(), strict=True):
-                if t and len(t) >= LENGTH and h not in seen:
-                    seen.add(h)
+            take, ids, own = [], [], []
+            for t, h, k in zip(raw(b, "t"), b.column("h").to_pylist(), b.column("k").to_pylist(), strict=True):
+                if t and len(t) >= LENGTH and (h not in seen or k < seen[h]):
+                    seen[h] = k
                     take.append(t)
                     ids.append(h)
+                    own.append(k)
             if not take:
                 continue
             key, text, first, size = runs(take)
-            held.append((key, np.array(ids, np.int64)[text], first, size))
+            single = np.zeros(len(key), bool)
+            if shared_hot is not None and len(key):
+                lengths = np.array([len(t) for t in take], dtype=np.int64)
+                key, text, first, size, single = split_hot(shared_hot.value, b"".join(take), (np.cumsum(lengths) - lengths)[text], key, text, first, size)
+            held.append((key, np.array(ids, np.int64)[text], first, size, single, np.array(own, np.int64)[text]))
             n += len(key)
             if n >= FLUSH:
                 yield flush()
@@ -128,13 +224,21 @@ def _keyed_runs(texts: DataFrame, blocks: int) -> DataFrame:
         if held:
             yield flush()
 
-    return texts.select("h", "t").mapInArrow(run, "p long, hi binary, lo binary, ts binary, often binary, fs binary, ss binary")
+    return texts.select("k", "h", "t").mapInArrow(run, "p long, hi binary, lo binary, ts binary, often binary, fs binary, ss binary")
 
 
 def _shared_runs(keyed: DataFrame, blocks: int) -> DataFrame:
-    """Of packed runs those whose key two texts hold, packed by block of texts: (q, text ids, key block, key, first, windows)."""
+    """Of packed runs those whose key two texts hold, packed by block of texts: (q, text ids, key block, key, first, windows).
+
+    Marks pass through with -1 for the key block.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        marks = pdf["ss"].map(len) == 0
+        done = [(int(q), -1, ts, b"", fs, b"") for q, ts, fs in zip(pdf["p"][marks], pdf["ts"][marks], pdf["fs"][marks], strict=True)]
+        pdf = pdf[~marks]
+        if pdf.empty:
+            return pd.DataFrame(done, columns=["q", "p", "ts", "ks", "fs", "ss"])
         key = (_join(pdf["hi"], "u4").astype(np.uint64) << np.uint64(16)) | _join(pdf["lo"], "u2")
         text = np.repeat(_join(pdf["ts"], "i8"), _join(pdf["often"], "u4"))
         first, size = _join(pdf["fs"], "u4"), _join(pdf["ss"], "u1")
@@ -144,7 +248,7 @@ def _shared_runs(keyed: DataFrame, blocks: int) -> DataFrame:
         shared = np.minimum.reduceat(t, head) != np.maximum.reduceat(t, head)
         keep = order[np.repeat(shared, np.diff(np.append(head, len(k))))]
         keep = keep[np.argsort(text[keep], kind="stable")]
-        p, rows = int(pdf["p"].iloc[0]), []
+        p, rows = int(pdf["p"].iloc[0]), done
         for q, (ts, ks, fs, ss) in _by_block(text[keep] % blocks, [text[keep], key[keep].astype(np.uint32), first[keep], size[keep]]):
             rows.append((q, p, ts.tobytes(), ks.tobytes(), fs.tobytes(), ss.tobytes()))
         return pd.DataFrame(rows, columns=["q", "p", "ts", "ks", "fs", "ss"])
@@ -244,15 +348,18 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     owners = stored(_owners(d))
     total = owners.agg(F.sum("b").alias("b"), F.count("*").alias("n")).first()
     blocks = max(8, -(-(total["b"] or 0) // BLOCK))
-    keyed = _keyed_runs(d.where("k is not null and octet_length(t) >= %d" % LENGTH), blocks)
-    shared = stored(_shared_runs(keyed, blocks))
+    long = d.where("k is not null and octet_length(t) >= %d" % LENGTH)
+    keyed = _keyed_runs(long, blocks, hot_keys(long, total["b"] or 0))
+    found = stored(_shared_runs(keyed, blocks))
+    shared = found.where("p >= 0")
     # only texts with shared runs go on, once each
     ids = shared.select("ts").mapInArrow(_ids, "h long").distinct()
     wanted = stored(ids.join(owners, "h").select("h", "k"))
     one = d.join(maybe_broadcast(wanted, 24 * total["n"]), ["h", "k"])
     one = one.withColumn("q", F.pmod("h", F.lit(blocks)))
-    marks = stored(_marks(_segments(shared, one), blocks))
-    spans = stored(_spans(marks))
+    marks = _marks(_segments(shared, one), blocks)
+    at_once = found.where("p < 0").mapInArrow(_single_marks, marks.schema)
+    spans = stored(_spans(stored(marks.unionByName(at_once))))
     size = spans.agg(F.sum(F.length("spans") + 32).alias("b")).first()["b"] or 0
     who = owners.select(F.col("h").alias("oh"), F.col("k").alias("ok"))
     small = d.select("k", "h").join(who, F.col("h") == F.col("oh")).where("k > ok").select("k").distinct()
@@ -263,6 +370,13 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return out.select("k", "h", "t", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
 
 
+def _single_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of single windows: the first bit of each."""
+    for b in batches:
+        ones = [np.ones(len(x) // 4, np.uint32).tobytes() for x in b.column("fs").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("q"), b.column("ts"), b.column("fs"), pa.array(ones, pa.binary())], ["q", "ow", "fs", "ms"])
+
+
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [np.unique(np.frombuffer(x, "i8")) for x in b.column("ts").to_pylist()]

@@ -121,6 +121,9 @@ def test_suffix_dedup(docs, none, monkeypatch):
     assert found(suffix_dedup.digest(docs), *cols) == want
     monkeypatch.setattr(suffix_dedup, "BLOCK", 10_000)  # many blocks
     assert found(suffix_dedup.digest(docs), *cols) == want
+    for hot in (2, 6):  # nearly all shared keys are split, or some
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        assert found(suffix_dedup.digest(docs), *cols) == want
     assert suffix_dedup.digest(none).count() == 0
 
 
