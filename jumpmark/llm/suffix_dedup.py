@@ -37,7 +37,7 @@ BLOCK, TRANSFORM = 8 << 20, 2 << 20
 #: Runs a task gathers before it sends them on.
 FLUSH = 1 << 19
 #: Runs from which on a key is split, the share of the corpus' bytes that raises it, and bytes of texts it is estimated from.
-HOT, HOT_SHARE, SAMPLE = 1 << 12, 1 << 24, 1 << 30
+HOT, HOT_SHARE, SAMPLE = 1 << 15, 1 << 24, 1 << 30
 
 
 def window_keys(data: np.ndarray) -> np.ndarray:
