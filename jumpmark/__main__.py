@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from jumpmark.plans import choices  # noqa: F401  registers its queries
 from jumpmark.plans.catalog import QUERIES
 
 

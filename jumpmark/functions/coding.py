@@ -67,6 +67,39 @@ def colex_rank(positions: Column, r: int) -> Column:
     return F.aggregate(F.transform(positions, lambda p, i: F.get(F.get(rows, i), p)), F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)"))
 
 
+def lex_rank(positions: Column, r: int) -> Column:
+    """Rank of a set of positions (sorted, below r) by lexicographic order: all sets less those that come after, less one."""
+    n = F.size(positions)
+    rows = F.array(*(F.array(*(F.lit(comb(p, i)).cast("decimal(38,0)") for p in range(r + 1))) for i in range(r + 1)))
+    at = lambda p, i: F.get(F.get(rows, i), p)
+    after = F.transform(positions, lambda p, i: at(r - 1 - p, n - i))
+    return F.aggregate(after, (at(F.lit(r), n) - 1).cast("decimal(38,0)"), lambda a, x: (a - x).cast("decimal(38,0)"))
+
+
+def lex_unrank(rank: int, n: int, r: int) -> list[int]:
+    out, p = [], 0
+    while len(out) < n:
+        block = comb(r - 1 - p, n - len(out) - 1)
+        if rank < block:
+            out.append(p)
+        else:
+            rank -= block
+        p += 1
+    return out
+
+
+def unranked(ranks: DataFrame, r: int) -> DataFrame:
+    """ranks (rank, lex, n: decimals and size) with the sets both give, a batch at a time; exact integers."""
+
+    def run(batches):
+        for pdf in batches:
+            pdf["colex_set"] = [colex_unrank(int(a), int(n), r) for a, n in zip(pdf["rank"], pdf["n"], strict=True)]
+            pdf["lex_set"] = [lex_unrank(int(a), int(n), r) for a, n in zip(pdf["lex"], pdf["n"], strict=True)]
+            yield pdf
+
+    return ranks.mapInPandas(run, ranks.schema.simpleString()[7:-1].replace(":", " ") + ", colex_set array<int>, lex_set array<int>")
+
+
 def colex_unrank(rank: int, n: int, r: int) -> list[int]:
     out = []
     for i in range(n, 0, -1):

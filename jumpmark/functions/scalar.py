@@ -100,3 +100,8 @@ def fragment(uri: Column, name: str) -> Column:
     """A parameter of a URI's fragment; null if it is not there."""
     found = F.regexp_extract(uri, rf"#(?:.*&)?{name}=([^&]*)", 1)
     return F.when(found != "", found)
+
+
+def distance(a: list[Column], b: list[Column]) -> Column:
+    """Euclidean distance of two vectors of columns."""
+    return F.sqrt(sum(((x - y).cast("double") * (x - y).cast("double") for x, y in zip(a, b, strict=True)), F.lit(0.0)))

@@ -57,3 +57,22 @@ def block_lengths(px: DataFrame, color_bits: int = 8, block: str = "block") -> D
     names = ("mono", "pp", "spatial", "markov")
     best = F.array_min(F.filter(F.array(*(F.struct(F.col(n).alias("bits"), F.lit(i).alias("ord"), F.lit(n).alias("name")) for i, n in enumerate(names))), lambda s: s["bits"] >= 0))
     return j.withColumn("process", best["name"])
+
+
+def index_gain(px: DataFrame, colors: DataFrame, color_bits: int = 8, block: str = "block") -> DataFrame:
+    """Bits of a block with colours as palette indices against colours in full, and the gain in percent.
+
+    px: as pixels() gives; colors: (block, gop, m distinct colours).
+    """
+    n = F.col("n")
+    per = px.groupBy(block, "gop").agg(F.sum(gamma_bits(n) + binomial_bits(F.col("r"), n)).alias("times"), F.sum("n").alias("jumps"), F.avg("n").alias("mean_jumps"))
+    j = per.join(colors, [block, "gop"])
+    width = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest("m", F.lit(2)))))
+    j = j.withColumns({"indexed": gamma_bits(F.col("m")) + F.col("m") * color_bits + F.col("times") + F.col("jumps") * width, "plain": F.col("times") + F.col("jumps") * color_bits})
+    return j.select(block, "gop", "m", "mean_jumps", F.col("indexed").cast("long").alias("indexed"), F.col("plain").cast("long").alias("plain"), F.when(F.col("plain") > 0, (1 - F.col("indexed") / F.col("plain")) * 100).otherwise(0.0).alias("gain"))
+
+
+def pixel_colors(cells: DataFrame, gop: int = LONGEST, block: str = "block") -> DataFrame:
+    """(block, gop, m): distinct colours of a group of pictures."""
+    frames = cells.select(block, "t").distinct().withColumn("f", F.row_number().over(W.partitionBy(block).orderBy("t")) - 1)
+    return cells.join(frames, [block, "t"]).groupBy(block, F.floor(F.col("f") / gop).cast("int").alias("gop")).agg(F.count_distinct("c").alias("m"))

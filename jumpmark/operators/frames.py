@@ -69,3 +69,17 @@ def split_tree(bits: DataFrame, sizes: tuple[int, ...] = (64, 32, 16, 8), block:
         j = own.join(kids, [block, "node"])
         best = j.select(block, "node", F.least("bits", "split").alias("best"), F.when(F.col("split") < F.col("bits"), F.col("leaves")).otherwise(1).alias("leaves"))
     return best
+
+
+def median_cut(colors: DataFrame, channels: tuple[str, ...], rounds: int = 4) -> DataFrame:
+    """colors with box: 2^rounds boxes at most; each round cuts every box at the median of its widest channel.
+
+    A round is one aggregation to a row per box (never more than the palette) and a broadcast join of those rows.
+    """
+    out = colors.withColumn("box", F.lit(0))
+    for _ in range(rounds):
+        spans = F.array_max(F.array(*(F.struct((F.max(c) - F.min(c)).cast("double").alias("span"), F.lit(-i).alias("o"), F.percentile(c, F.lit(0.5)).alias("cut")) for i, c in enumerate(channels))))
+        cuts = out.groupBy("box").agg(spans.alias("s")).select("box", F.col("s.o").alias("o"), F.col("s.cut").alias("cut"))
+        value = F.element_at(F.array(*(F.col(c).cast("double") for c in channels)), 1 - F.col("o"))
+        out = out.join(F.broadcast(cuts), "box").withColumn("box", 2 * F.col("box") + (value > F.col("cut")).cast("int")).select(*colors.columns, "box")
+    return out

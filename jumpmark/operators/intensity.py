@@ -41,3 +41,11 @@ def hellinger(a: DataFrame, b: DataFrame, cls: str = "bin") -> DataFrame:
     j = a.select(cls, F.col("p").alias("pa")).join(b.select(cls, F.col("p").alias("pb")), cls, "full")
     d = F.sqrt(F.coalesce("pa", F.lit(0.0))) - F.sqrt(F.coalesce("pb", F.lit(0.0)))
     return j.agg((F.sum(d * d) / 2).alias("h2"))
+
+
+def fit_errors(hist: DataFrame, smooth: DataFrame, r: int, bins: int, block: str = "event_type") -> DataFrame:
+    """Constant estimate, root mean square distance of histogram and moving average, and the bound K ln n / (2 n) for K bins."""
+    j = hist.join(smooth.select(block, "bin", "smooth"), [block, "bin"])
+    n = F.sum("n")
+    bound = F.when(n > 0, bins * F.log(n) / (2 * n)).otherwise(0.0)
+    return j.groupBy(block).agg(n.alias("n"), (n / r).alias("constant"), F.sqrt(F.avg(F.pow((F.col("n") - F.col("smooth")) / (r / bins), 2))).alias("l2"), bound.alias("bound"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from jumpmark.functions import probability
+
 
 def with_ratio(runs: DataFrame) -> DataFrame:
     return runs.withColumn("ratio", F.when(F.col("output_size") > 0, F.col("input_size") / F.col("output_size")).otherwise(0.0))
@@ -143,3 +145,30 @@ def bd_rate(runs: DataFrame, reference: str, quality: str = "psnr") -> DataFrame
             yield pd.DataFrame(out, columns=["codec", "bd_rate"])
 
     return sums.where(F.col("codec") != reference).join(ref, F.lit(True)).mapInPandas(solve, "codec string, bd_rate double")
+
+
+def best_per_metric(runs: DataFrame) -> DataFrame:
+    """For each video the codec that is best by ratio, PSNR, SSIM (largest) and bitrate (smallest), in one aggregation."""
+    score = {"ratio": -F.col("ratio"), "psnr": -F.col("psnr"), "ssim": -F.col("ssim"), "bitrate": F.col("bitrate")}
+    g = with_ratio(runs).groupBy("video").agg(*(F.min(F.struct(s.alias("s"), "codec", "quality_param")).alias(k) for k, s in score.items()))
+    return g.select("video", *(F.col(f"{k}.codec").alias(f"best_{k}") for k in score))
+
+
+def pair_report(runs: DataFrame, metric: str) -> DataFrame:
+    """pairs() with two-sided p and the size of the effect: negligible, small, medium, large from 0.2, 0.5, 0.8."""
+    d = F.abs("d")
+    size = F.when(d < 0.2, "negligible").when(d < 0.5, "small").when(d < 0.8, "medium").otherwise("large")
+    return pairs(runs, metric).withColumns({"p": probability.p_t(F.col("t"), (F.col("n") - 1).cast("double")), "effect": size})
+
+
+def group_tests(runs: DataFrame, metric: str) -> DataFrame:
+    """ANOVA and Kruskal-Wallis of the codec groups with their p values."""
+    a = anova(runs, metric).select(F.lit("anova").alias("test"), F.col("f").alias("statistic"), probability.p_f(F.col("f"), (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double")).alias("p"))
+    k = kruskal(runs, metric).select(F.lit("kruskal"), F.col("h"), probability.p_chi2(F.col("h"), (F.col("k") - 1).cast("double")))
+    return a.union(k)
+
+
+def rate_verdict(rates: DataFrame) -> DataFrame:
+    """bd_rate() in words, by bounds of -10, 0 and 10 percent."""
+    r = F.col("bd_rate")
+    return rates.withColumn("verdict", F.when(r < -10, "much better").when(r < 0, "better").when(r == 0, "equal").when(r < 10, "worse").otherwise("much worse"))

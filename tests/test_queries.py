@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from jumpmark.plans import catalog, oracles
+from jumpmark.plans import catalog, choices, oracles
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -22,14 +22,17 @@ def plain(rows):
     return sorted(repr(tuple(round(float(v), 6) + 0.0 if isinstance(v, float) and not math.isnan(v) else v for v in r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(oracles.ORACLE_SQL))
+ORACLES = oracles.ORACLE_SQL | choices.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_oracle(spark, sf, con, name):
     got = catalog.QUERIES[name](spark, sf)
-    want = con.sql(oracles.ORACLE_SQL[name])
+    want = con.sql(ORACLES[name])
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     assert plain(got.select(*cols).collect()) == plain(want.select(*(f'"{c}"' for c in cols)).fetchall())
 
 
 def test_every_oracle_has_a_query():
-    assert set(oracles.ORACLE_SQL) <= set(catalog.QUERIES)
+    assert set(ORACLES) <= set(catalog.QUERIES)
