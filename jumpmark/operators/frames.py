@@ -83,3 +83,23 @@ def median_cut(colors: DataFrame, channels: tuple[str, ...], rounds: int = 4) ->
         value = F.element_at(F.array(*(F.col(c).cast("double") for c in channels)), 1 - F.col("o"))
         out = out.join(F.broadcast(cuts), "box").withColumn("box", 2 * F.col("box") + (value > F.col("cut")).cast("int")).select(*colors.columns, "box")
     return out
+
+
+def windowed_ssim(pairs: DataFrame, size: int = 7, top: float = 15.0, by: tuple[str, ...] = ("block", "t")) -> DataFrame:
+    """Mean SSIM over all whole size x size windows of frames (y, x, c against p), with sample covariances.
+
+    Window sums are moving sums along rows, then along columns, so a cell is never multiplied by the windows that hold it.
+    Frames without a whole window give no row.
+    """
+    half, n = size // 2, size * size
+    own = {"sc": F.col("c"), "sp": F.col("p"), "cc": F.col("c") * F.col("c"), "pp": F.col("p") * F.col("p"), "cp": F.col("c") * F.col("p"), "k": F.lit(1)}
+    out = pairs.select(*by, "y", "x", *(v.cast("double").alias(a) for a, v in own.items()))
+    for across, along in (("y", "x"), ("x", "y")):
+        w = W.partitionBy(*by, across).orderBy(along).rangeBetween(-half, half)
+        out = out.select(*by, "y", "x", *(F.sum(a).over(w).alias(a) for a in own))
+    out = out.where(F.col("k") == n)
+    mc, mp = F.col("sc") / n, F.col("sp") / n
+    spread = lambda q, a, b: (F.col(q) / n - a * b) * (n / (n - 1))
+    c1, c2 = (0.01 * top) ** 2, (0.03 * top) ** 2
+    one = ((2 * mc * mp + c1) * (2 * spread("cp", mc, mp) + c2)) / ((mc * mc + mp * mp + c1) * (spread("cc", mc, mc) + spread("pp", mp, mp) + c2))
+    return out.groupBy(*by).agg(F.avg(one).alias("ssim"), F.count("*").alias("windows"))

@@ -54,3 +54,22 @@ def poisson(spark: SparkSession, family: str, pixels: int, frames: int, seed: in
     p = 1 - F.exp(-(big(t + 1) - big(t)))
     g = spark.range(pixels * frames).select((F.floor(F.col("id") / frames)).cast("int").alias("pixel"), (F.col("id") % frames).cast("int").alias("t"))
     return g.withColumn("p", p).where(uniform(seed, F.lit(family), F.col("pixel"), F.col("t")) < F.col("p"))
+
+
+def markov_marks(jumps: DataFrame, matrix: list[list[float]], seed: int = 42, key: str = "pixel") -> DataFrame:
+    """Jumps (key, t) with a mark from a Markov chain along t that starts in state 0, by inverse cumulative rows.
+
+    Each step's number depends on key and t only, so results do not depend on partitions; a key's chain is one fold.
+    """
+    sums = [[sum(row[: i + 1]) for i in range(len(row) - 1)] for row in matrix]
+    rows = F.array(*(F.array(*(F.lit(float(v)) for v in s)) for s in sums))
+    u = jumps.select(key, "t", uniform(seed, F.lit("mark"), F.col(key), F.col("t")).alias("u"))
+    steps = u.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "u"))).alias("s"))
+
+    def step(done, s):
+        last = F.coalesce(F.get(done, F.size(done) - 1)["mark"], F.lit(0))
+        mark = F.size(F.filter(F.get(rows, last), lambda v: v <= s["u"]))
+        return F.concat(done, F.array(F.struct(s["t"].alias("t"), mark.alias("mark"))))
+
+    start = F.array().cast(f"array<struct<t:{jumps.schema['t'].dataType.simpleString()},mark:int>>")
+    return steps.select(key, F.explode(F.aggregate("s", start, step)).alias("j")).select(key, "j.*")

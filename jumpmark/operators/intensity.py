@@ -49,3 +49,20 @@ def fit_errors(hist: DataFrame, smooth: DataFrame, r: int, bins: int, block: str
     n = F.sum("n")
     bound = F.when(n > 0, bins * F.log(n) / (2 * n)).otherwise(0.0)
     return j.groupBy(block).agg(n.alias("n"), (n / r).alias("constant"), F.sqrt(F.avg(F.pow((F.col("n") - F.col("smooth")) / (r / bins), 2))).alias("l2"), bound.alias("bound"))
+
+
+def dimension_scores(events: DataFrame, r: int, sizes: tuple[int, ...], marks: int, precision: int = 8, block: str = "event_type") -> DataFrame:
+    """(block, k, n, score): description length of the histogram fit with k bins, for every k, from one pass over the events.
+
+    Minus the log-likelihood, half a log n and `precision` for each coefficient, and uniform marks.
+    """
+    k = F.explode(F.array(*(F.lit(s) for s in sizes))).alias("k")
+    bins = events.select(block, "t", k).groupBy(block, "k", F.expr(f"(t * k) div {r}").alias("bin")).agg(F.count("*").alias("c"))
+    n, kk = F.sum("c"), F.col("k").cast("double")
+    loglik = F.sum(F.col("c") * F.log(F.col("c") * F.col("k") / r)) - n
+    return bins.groupBy(block, "k").agg(n.alias("n"), loglik.alias("l")).select(block, "k", "n", (-F.col("l") + kk / 2 * F.log("n") + kk * precision + F.col("n") * F.log(F.lit(float(marks)))).alias("score"))
+
+
+def best_dimension(scores: DataFrame, block: str = "event_type") -> DataFrame:
+    """The size with the smallest score (to 9 digits); the smaller size wins ties."""
+    return scores.groupBy(block).agg(F.min(F.struct(F.round("score", 9).alias("score"), "k")).alias("b")).select(block, "b.k", "b.score")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from jumpmark import adapters as A
 from jumpmark.functions import coding, scalar
-from jumpmark.operators import costs, description, frames, generate, intensity, prediction, results, selection
+from jumpmark.operators import costs, description, frames, generate, intensity, prediction, results, search, selection
 from jumpmark.plans.catalog import _colors, _positions, block_table, query, rounded
 from jumpmark.plans.oracles import _CH, _FEAT, _G, _HIST, _RGB, _RUNS, _T, _TMX, _least
 
@@ -277,3 +278,47 @@ def threshold_distance(spark, sf):
 
 
 ORACLE_SQL["threshold_distance"] = "SELECT l.doc_id AS block_id, round(sqrt((quality - (1 - toxic)) ** 2 + (n_chars % 4 - l.doc_id % 4) ** 2 + (least(n_chars // 1000, 4) - least(n_chars // 1200, 4)) ** 2), 6) + 0.0 AS distance FROM labels l JOIN documents d ON d.doc_id = l.doc_id"
+
+
+@query
+def windowed_quality(spark, sf):
+    """SSIM over 7 x 7 windows of each frame against the one before."""
+    p = frames.consecutive(A.grid_emb(spark, sf)).withColumn("y", F.floor(F.col("x") / 8).cast("int")).withColumn("x", (F.col("x") % 8).cast("int"))
+    return rounded(frames.windowed_ssim(p))
+
+
+_SUMS = ("sc", "sp", "cc", "pp", "cp", "k")
+ORACLE_SQL["windowed_quality"] = f"""WITH {_CH}, w0 AS (SELECT block, t, x // 8 AS y, x % 8 AS x, c::DOUBLE AS sc, p::DOUBLE AS sp, (c * c)::DOUBLE AS cc, (p * p)::DOUBLE AS pp, (c * p)::DOUBLE AS cp, 1 AS k FROM ch WHERE p IS NOT NULL),
+ w1 AS (SELECT block, t, y, x, {', '.join(f'sum({c}) OVER w AS {c}' for c in _SUMS)} FROM w0 WINDOW w AS (PARTITION BY block, t, y ORDER BY x RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+ w2 AS (SELECT block, t, y, x, {', '.join(f'sum({c}) OVER w AS {c}' for c in _SUMS)} FROM w1 WINDOW w AS (PARTITION BY block, t, x ORDER BY y RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+ m AS (SELECT block, t, sc / 49 AS a, sp / 49 AS b, (cc / 49 - (sc / 49) ** 2) * 49 / 48 AS va, (pp / 49 - (sp / 49) ** 2) * 49 / 48 AS vb, (cp / 49 - sc / 49 * (sp / 49)) * 49 / 48 AS co FROM w2 WHERE k = 49)
+ SELECT block::BIGINT AS block, t, round(avg(((2 * a * b + 0.0225::DOUBLE) * (2 * co + 0.2025::DOUBLE)) / ((a * a + b * b + 0.0225::DOUBLE) * (va + vb + 0.2025::DOUBLE))), 6) + 0.0 AS ssim, count(*) AS windows FROM m GROUP BY block, t"""
+
+
+@query
+def dimension_choice(spark, sf):
+    return rounded(intensity.best_dimension(intensity.dimension_scores(A.pp_events(spark, sf), A.R, (1, 2, 3, 5, 6, 9, 10, 15), 5)), 4)
+
+
+ORACLE_SQL["dimension_choice"] = f"""WITH {_HIST}, kb AS (SELECT event_type, k, (t * k) // 90 AS bin, count(*) AS c FROM ev, (SELECT unnest([1, 2, 3, 5, 6, 9, 10, 15]) AS k) GROUP BY ALL),
+ sc AS (SELECT event_type, k, -(sum(c * ln(c * k / 90)) - sum(c)) + k / 2 * ln(sum(c)) + k * 8 + sum(c) * ln(5) AS score FROM kb GROUP BY event_type, k)
+ SELECT event_type, k::BIGINT AS k, round(score, 4) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(score, 9), k) = 1"""
+
+
+@query
+def markov_marks(spark, sf):
+    """Simulated jumps with marks from a chain that mostly stays: how often each state follows each."""
+    j = generate.markov_marks(generate.poisson(spark, "linear", 64, 64), [[0.8, 0.1, 0.1], [0.1, 0.8, 0.1], [0.1, 0.1, 0.8]])
+    steps = j.withColumn("h", F.coalesce(F.lag("mark").over(W.partitionBy("pixel").orderBy("t")), F.lit(0)))
+    return rounded(steps.groupBy("h", F.col("mark").alias("j")).agg(F.count("*").alias("n")))
+
+
+@query
+def rule_loop(spark, sf):
+    """Rules that set the block side, measured on the grid: bits of the blocks at that side against eight bits a cell."""
+    sides = (64, 32, 16, 8)
+    bits = frames.split_bits(A.grid_emb(spark, sf), sides).groupBy("block", "size").agg(F.sum("bits").alias("bits"))
+    cells = A.grid_emb(spark, sf).groupBy("block").agg(F.count("*").alias("n"))
+    both = bits.join(cells, "block").select(F.col("block").cast("string").alias("video"), "size", (F.col("bits") / F.col("n")).alias("bpp"), (8 * F.col("n") / F.col("bits")).alias("ratio")).cache()
+    rules = [(i, f"block_size={s}") for i, s in enumerate(sorted(sides))]
+    return rounded(search.rule_loop(spark, rules, lambda name: both.where(F.col("size") == int(name.split("=")[1])).drop("size")))

@@ -72,3 +72,60 @@ def probe(df: DataFrame, column: str = "json") -> DataFrame:
     rate = F.try_divide(F.split_part(s["r_frame_rate"], F.lit("/"), F.lit(1)).cast("double"), F.split_part(s["r_frame_rate"], F.lit("/"), F.lit(2)).cast("double"))
     duration = s["duration"].try_cast("double")
     return df.select(s["width"].alias("width"), s["height"].alias("height"), rate.alias("fps"), F.coalesce(s["nb_frames"].try_cast("int"), F.floor(rate * duration).cast("int")).alias("n_frames"), duration.alias("duration"))
+
+
+#: Fixed layout of a block container: magic, version (2 bytes) and lengths (4 bytes) big-endian; the header little-endian
+#: (columns, rows, frames, rate, block side, block frames, colours).
+BLOCK_MAGIC, BLOCK_HEADER = b"LMDV", "<HHIfBBH"
+
+
+def parse_container(data: bytes) -> tuple[int, tuple, list[tuple[int, int, int]], list[bytes]]:
+    """Version, header fields, palette and block payloads; ValueError where the bytes are no container or end early."""
+    if data[:4] != BLOCK_MAGIC:
+        raise ValueError("no block container")
+    at = 6
+
+    def piece() -> bytes:
+        nonlocal at
+        if at + 4 > len(data):
+            raise ValueError("container ends early")
+        n = int.from_bytes(data[at : at + 4], "big")
+        at += 4 + n
+        if at > len(data):
+            raise ValueError("container ends early")
+        return data[at - n : at]
+
+    header, colors = piece(), piece()
+    n_blocks = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    blocks = [piece() for _ in range(n_blocks)]
+    n = int.from_bytes(colors[:2], "little")
+    palette = [tuple(colors[2 + 3 * i : 5 + 3 * i]) for i in range(n)]
+    return int.from_bytes(data[4:6], "big"), struct.unpack(BLOCK_HEADER, header[: struct.calcsize(BLOCK_HEADER)]), palette, blocks
+
+
+def build_container(header: tuple, palette: list[tuple[int, int, int]], blocks: list[bytes], version: int = 1) -> bytes:
+    sized = lambda b: len(b).to_bytes(4, "big") + b
+    colors = len(palette).to_bytes(2, "little") + bytes(v for c in palette for v in c)
+    return BLOCK_MAGIC + version.to_bytes(2, "big") + sized(struct.pack(BLOCK_HEADER, *header)) + sized(colors) + len(blocks).to_bytes(4, "big") + b"".join(map(sized, blocks))
+
+
+def containers(spark: SparkSession, path: str, pattern: str = "*.lmd") -> DataFrame:
+    """(path, block, columns, rows, frames, fps, payload, error): a row for each block of container files.
+
+    A file that cannot be read gives one row with null fields and the reason; one task reads a file.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "block", "columns", "rows", "frames", "fps", "payload", "error"]
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    _, head, _, blocks = parse_container(bytes(content))
+                    rows = [(name, i, *head[:4], b, None) for i, b in enumerate(blocks)]
+                except (ValueError, struct.error) as e:
+                    rows = [(name, None, None, None, None, None, None, str(e))]
+                yield pd.DataFrame(rows, columns=names).astype(object).where(lambda x: x.notna(), None)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, block int, columns int, rows int, frames long, fps double, payload binary, error string")

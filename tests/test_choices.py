@@ -103,3 +103,67 @@ def test_zone(spark):
     for r in got:
         h = r["r"] // 2
         assert r["z"] == (r["r"] >= 30 or math.log2(h + 1) + math.log2(math.comb(r["r"], h)) > r["r"])
+
+
+def test_markov_marks(spark, sf):
+    rows = {(r["h"], r["j"]): r["n"] for r in catalog.QUERIES["markov_marks"](spark, sf).collect()}
+    total = sum(rows.values())
+    stays = sum(n for (h, j), n in rows.items() if h == j)
+    assert total > 300 and 0.7 < stays / total < 0.9
+
+
+def test_rule_loop(spark, sf):
+    rows = catalog.QUERIES["rule_loop"](spark, sf).orderBy("step").collect()
+    assert [r["rule"] for r in rows] == ["block_size=8", "block_size=16", "block_size=32", "block_size=64"]
+    assert all(r["kept"] == (r["gain"] > 0.001 and r["regressions"] == 0) for r in rows)
+
+
+def test_rule_loop_stops(spark):
+    from jumpmark.operators import search
+
+    worse = spark.createDataFrame([("v", 9.0, 0.5)], "video string, bpp double, ratio double")
+    log = search.rule_loop(spark, [(1, f"r{i}") for i in range(9)], lambda name: worse).collect()
+    assert len(log) == 5 and not any(r["kept"] for r in log)
+
+
+def test_containers(spark, tmp_path):
+    from jumpmark.sources import stores
+
+    head = (64, 48, 32, 25.0, 16, 8, 2)
+    data = stores.build_container(head, [(0, 0, 0), (255, 128, 1)], [b"ab", b"", b"xyz"])
+    assert stores.parse_container(data) == (1, head, [(0, 0, 0), (255, 128, 1)], [b"ab", b"", b"xyz"])
+    (tmp_path / "a.lmd").write_bytes(data)
+    (tmp_path / "b.lmd").write_bytes(data[:-2])
+    (tmp_path / "c.lmd").write_bytes(b"nothing")
+    (tmp_path / "d.txt").write_bytes(data)
+    rows = stores.containers(spark, str(tmp_path)).collect()
+    good = [r for r in rows if r["error"] is None]
+    assert sorted((r["block"], bytes(r["payload"]), r["columns"], r["rows"], r["frames"], r["fps"]) for r in good) == [(0, b"ab", 64, 48, 32, 25.0), (1, b"", 64, 48, 32, 25.0), (2, b"xyz", 64, 48, 32, 25.0)]
+    assert sorted(r["error"] for r in rows if r["error"]) == ["container ends early", "no block container"]
+
+
+def test_tables(spark):
+    from jumpmark.sources import reports
+
+    df = spark.createDataFrame([("a_b", 1.23456, None), ("<c>", 2.0, 7)], "name string, v double, n long")
+    assert reports.text_table(df, 2).split("\n")[2] == "a_b   1.23"
+    assert "<td>&lt;c&gt;</td><td>2.000</td><td>7</td>" in reports.html_table(df)
+    assert r"a\_b & 1.235 &  \\" in reports.latex_table(df)
+    page = reports.html_report("T & U", {"one": df, "two": "x < y"})
+    assert "<title>T &amp; U</title>" in page and "<p>x &lt; y</p>" in page
+    with pytest.raises(ValueError, match="rows"):
+        reports.text_table(spark.range(reports.MOST_ROWS + 1))
+
+
+def test_windowed_ssim_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 16, (9, 10)), rng.integers(0, 16, (9, 10))
+    rows = [(1, 0, y, x, int(a[y, x]), int(b[y, x])) for y in range(9) for x in range(10)]
+    got = frames.windowed_ssim(spark.createDataFrame(rows, "block int, t int, y int, x int, c int, p int")).first()
+    c1, c2, want = 0.15**2, 0.45**2, []
+    for y in range(3):
+        for x in range(4):
+            u, v = a[y : y + 7, x : x + 7].ravel(), b[y : y + 7, x : x + 7].ravel()
+            cov = np.cov(u, v)
+            want.append((2 * u.mean() * v.mean() + c1) * (2 * cov[0, 1] + c2) / ((u.mean() ** 2 + v.mean() ** 2 + c1) * (cov[0, 0] + cov[1, 1] + c2)))
+    assert got["windows"] == 12 and got["ssim"] == pytest.approx(np.mean(want))
