@@ -35,6 +35,11 @@ def _key(text: str) -> Column:
     return F.xxhash64(F.col(text))
 
 
+def _folded(c: Column) -> Column:
+    """Unicode lower case without the one rule that looks at a letter's surroundings (final sigma)."""
+    return F.replace(F.lower(c), F.lit("\u03c2"), F.lit("\u03c3"))
+
+
 def _block(w: Column, i: Column, b: int) -> Column:
     return F.xxhash64(*(F.get(w, i + k) for k in range(b)))
 
@@ -44,8 +49,8 @@ def _hits(docs: DataFrame, wins: DataFrame, m: int, n_bytes: int, key: str, text
     around = m - b
     mine = wins.filter(F.col("m") == m)
     # blocks are hashed in Unicode lower case, which agrees wherever ASCII lower case does and is fast; the windows decide
-    blocks = mine.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(around)), lambda i: _block(F.split(F.lower("win"), " "), i, b))).alias("h")).distinct()
-    d = docs.select(F.col(key).alias("_id"), _key(text).alias("_k"), words(F.lower(F.col(text)), ALNUM_WORD).alias("_w")).filter(F.size("_w") >= m)
+    blocks = mine.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(around)), lambda i: _block(F.split(_folded(F.col("win")), " "), i, b))).alias("h")).distinct()
+    d = docs.select(F.col(key).alias("_id"), _key(text).alias("_k"), words(_folded(F.col(text)), ALNUM_WORD).alias("_w")).filter(F.size("_w") >= m)
     at = F.sequence(F.lit(0), F.size("_w") - b, F.lit(b))
     d = d.select("_id", "_k", F.posexplode(F.transform(at, lambda i: _block(F.col("_w"), i, b))).alias("p", "h"))
     met = d.join(maybe_broadcast(blocks, n_bytes), "h", "left_semi").groupBy("_id", "_k").agg(F.collect_set(F.col("p") * b).alias("at"))

@@ -321,3 +321,10 @@ def test_token_counts(docs, none):
         want[(i, count(t), count(e))] += 1
     assert found(out, "doc_id", "n_tokens", "n_tokens_edited") == want
     assert token_counts.count_edits(none, ranks).count() == 0
+
+
+def test_decontaminate_final_sigma(spark):
+    text = " ".join(f"ΑΣ{i}ΣΑΣ" if i % 2 else "ΛΟΓΟΣ" for i in range(10))
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + text.replace(" ", "'") + "'Β y"), (2, text.replace("ΛΟΓΟΣ", "ΛΟΓΟς"))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_hit"] for r in decontaminate.find(docs, bench).collect()} == {1: 10, 2: 0}
