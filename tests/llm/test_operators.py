@@ -233,6 +233,15 @@ def test_line_dedup(spark, docs, none, monkeypatch, wanted):
     assert "boiler" in cut[0] and all("boiler" not in cut[i] for i in range(1, 10))
 
 
+def test_line_dedup_few_documents(spark):
+    """Equal lines recur from two documents on, long and with fields too; one different word or field needs more of them."""
+    long = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    texts = {1: [long, "the cat sat on a mat", "sold 7 of the last 9 chairs"], 2: [long, "the cat sat on a hat", "sold 8 of the last 9 chairs"], 3: ["own words stand in this line", "sold  8 of the last 9 chairs", long]}
+    d = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup(d).collect()}
+    assert got == {1: texts[1], 2: texts[2][1:], 3: texts[3][:1]}
+
+
 def test_toxicity(spark, docs, none):
     d, lab = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     held = F.col("doc_id") % 3 == 0
