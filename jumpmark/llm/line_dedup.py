@@ -27,11 +27,11 @@ from jumpmark.llm.text_bytes import raw, slices
 
 #: Leading tokens that lead to a leaf; documents a template recurs in; share of tokens a line must agree on.
 DEPTH, MIN_DOCS, AGREE = 3, 5, 0.8
-#: Documents that equal lines recur in.
-EQUAL_DOCS = 2
+#: Documents that equal lines recur in; documents that short lines recur in, equal or not.
+EQUAL_DOCS, SHORT_DOCS = 2, 10
 #: Template hashes (8 bytes each) that may be sent to tasks at once; beyond it they are joined.
 WANTED = 1 << 20
-#: Lines of fewer tokens are never dropped.
+#: Lines of fewer tokens are short.
 MIN_TOKENS = 5
 _DIGIT = re.compile(rb"[0-9]")
 FIELD = b"<*>"
@@ -59,9 +59,9 @@ def whole(line: bytes) -> int | None:
 
 
 def _lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int, with_tokens: bool, wanted: np.ndarray | None = None) -> DataFrame:
-    """(k, leaf, tpl, equal[, toks]) for each distinct line template of each document; wanted: only these templates (sorted).
+    """(k, leaf, tpl, equal, short[, toks]) for each distinct line template of each document; wanted: only these templates (sorted).
 
-    equal: lines of this tpl are equal. A line with fields has a second row with the hash of its whole text as leaf and tpl;
+    equal: lines of this tpl are equal; short: they have fewer than min_tokens tokens. Blank lines have no row. A line with fields has a second row with the hash of its whole text as leaf and tpl;
     with_tokens leaves those out.
     """
     sent = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
@@ -69,12 +69,12 @@ def _lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int, wi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t", 1 << 20):
-            at, leaves, templates, equal, lines = [], [], [], [], []
+            at, leaves, templates, equal, short, lines = [], [], [], [], [], []
             for i, t in enumerate(raw(b, "t")):
                 seen = set()
                 for line in (t or b"").split(b"\n"):
                     ts = masked(line)
-                    if len(ts) < min_tokens:
+                    if not ts:
                         continue
                     own = whole(line)
                     if own is not None and not with_tokens and own not in seen:
@@ -83,6 +83,7 @@ def _lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int, wi
                         leaves.append(own)
                         templates.append(own)
                         equal.append(True)
+                        short.append(len(ts) < min_tokens)
                     tpl = _hash(b" ".join(ts))
                     if tpl in seen:
                         continue
@@ -91,36 +92,38 @@ def _lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int, wi
                     leaves.append(leaf_of(ts, depth))
                     templates.append(tpl)
                     equal.append(FIELD not in ts)
+                    short.append(len(ts) < min_tokens)
                     if with_tokens:
                         lines.append(ts)
             take = np.arange(len(at))
             if sent is not None and len(at):
                 tpls = np.array(templates, np.int64)
                 take = np.flatnonzero(sent.value[np.minimum(np.searchsorted(sent.value, tpls), len(sent.value) - 1)] == tpls) if len(sent.value) else take[:0]
-            cols = [b.column("k").take(pa.array(np.array(at, np.int32)[take])), pa.array(np.array(leaves, np.int64)[take]), pa.array(np.array(templates, np.int64)[take]), pa.array(np.array(equal, bool)[take])]
-            names = ["k", "leaf", "tpl", "equal"]
+            cols = [b.column("k").take(pa.array(np.array(at, np.int32)[take])), pa.array(np.array(leaves, np.int64)[take]), pa.array(np.array(templates, np.int64)[take]), pa.array(np.array(equal, bool)[take]), pa.array(np.array(short, bool)[take])]
+            names = ["k", "leaf", "tpl", "equal", "short"]
             if with_tokens:
                 cols.append(pa.array([[xxhash.xxh32_intdigest(x) - (1 << 31) for x in lines[i]] for i in take.tolist()], pa.list_(pa.int32())))
                 names.append("toks")
             yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & F.col("t").isNotNull())
-    return rows.mapInArrow(run, f"k {key_type}, leaf long, tpl long, equal boolean" + (", toks array<int>" if with_tokens else ""))
+    return rows.mapInArrow(run, f"k {key_type}, leaf long, tpl long, equal boolean, short boolean" + (", toks array<int>" if with_tokens else ""))
 
 
 def distinct_lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int) -> DataFrame:
     return stored(_lines(docs, key, text, depth, min_tokens, False).distinct())
 
 
-def templates(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, agree: float = AGREE, min_tokens: int = MIN_TOKENS, lines: DataFrame | None = None, equal_docs: int = EQUAL_DOCS) -> DataFrame:
+def templates(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, agree: float = AGREE, min_tokens: int = MIN_TOKENS, lines: DataFrame | None = None, equal_docs: int = EQUAL_DOCS, short_docs: int = SHORT_DOCS) -> DataFrame:
     """(tpl, cluster, n_docs, first): line templates that recur, the cluster each generalises to, documents, first document."""
     lines = distinct_lines(docs, key, text, depth, min_tokens) if lines is None else lines
-    per = lines.groupBy("leaf", "tpl", "equal").agg(F.count("*").alias("n"), F.min("k").alias("first"))
+    per = lines.groupBy("leaf", "tpl", "equal", "short").agg(F.count("*").alias("n"), F.min("k").alias("first"))
     leaves = per.groupBy("leaf").agg(F.sum("n").alias("n_leaf"), F.count("*").alias("n_tpl")).where(F.col("n_leaf") >= equal_docs)
-    recurs = F.col("n") >= F.when(F.col("equal"), equal_docs).otherwise(min_docs)
-    per = stored(per.join(leaves, "leaf").where(recurs | (F.col("n_leaf") >= min_docs)))
+    least = F.when(F.col("short"), short_docs).otherwise(min_docs)
+    recurs = F.col("n") >= F.when(F.col("equal") & ~F.col("short"), equal_docs).otherwise(least)
+    per = stored(per.join(leaves, "leaf").where(recurs | (F.col("n_leaf") >= least)))
     # leaves of more than one template are generalised: one row of tokens per template there
-    mixed = per.where((F.col("n_tpl") > 1) & (F.col("n_leaf") >= min_docs)).select("tpl", "leaf", "n")
+    mixed = per.where((F.col("n_tpl") > 1) & (F.col("n_leaf") >= least)).select("tpl", "leaf", "n")
     n_mixed = mixed.count()
     # their hashes go along to the tasks only where that is little; else the join alone picks them
     wanted = np.sort(np.array(mixed.select("tpl").distinct().toArrow().column("tpl"), dtype=np.int64)) if n_mixed <= WANTED else None
@@ -132,7 +135,7 @@ def templates(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: i
     agreed = tokens.select("leaf", "tpl", F.size("toks").alias("len"), F.posexplode("toks").alias("p", "tok")).join(constant, ["leaf", "p", "tok"]).groupBy("leaf", "tpl", "len").agg(F.count("*").alias("same"))
     joined = agreed.where(F.col("same") >= agree * F.col("len")).select("leaf", "tpl", F.lit(True).alias("in_leaf"))
     out = per.join(joined, ["leaf", "tpl"], "left").withColumn("cluster", F.when(F.col("in_leaf"), F.col("leaf")).otherwise(F.col("tpl")))
-    groups = out.groupBy("cluster").agg(F.sum("n").alias("n_docs"), F.min("first").alias("group_first")).where(F.col("n_docs") >= min_docs)
+    groups = out.groupBy("cluster", "short").agg(F.sum("n").alias("n_docs"), F.min("first").alias("group_first")).where(F.col("n_docs") >= least).drop("short")
     out = out.join(groups, "cluster", "left").where(recurs | F.col("n_docs").isNotNull())
     return out.select("tpl", F.when(F.col("n_docs").isNull(), F.col("tpl")).otherwise(F.col("cluster")).alias("cluster"), F.coalesce("n_docs", "n").alias("n_docs"), F.coalesce("group_first", "first").alias("first"))
 
@@ -143,7 +146,7 @@ def _dropped_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
     return hits.groupBy("k").agg(F.collect_set("tpl").alias("drop"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, agree: float = AGREE, min_tokens: int = MIN_TOKENS, equal_docs: int = EQUAL_DOCS) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, agree: float = AGREE, min_tokens: int = MIN_TOKENS, equal_docs: int = EQUAL_DOCS, short_docs: int = SHORT_DOCS) -> DataFrame:
     """docs with recurring lines taken out of text, and columns _n_lines and _n_dropped (long).
 
     A document counts once for a template, however often it repeats the line. Null text stays null; rows with a null key
@@ -151,7 +154,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     \\n separates; tokens are separated by ASCII white space.
     """
     lines = distinct_lines(docs, key, text, depth, min_tokens)
-    found = templates(docs, key, text, depth, min_docs, agree, min_tokens, lines, equal_docs)
+    found = templates(docs, key, text, depth, min_docs, agree, min_tokens, lines, equal_docs, short_docs)
     drop = stored(_dropped_lines(lines, found))
     size = drop.agg(F.sum(F.size("drop") * 8 + 32).alias("b")).first()["b"] or 0
     named = drop.select(F.col("k").alias("_dk"), F.col("drop").alias("_drop"))
@@ -164,7 +167,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
                 lines = (t or b"").split(b"\n")
                 if d:
                     gone = set(d)
-                    stay = [x for x in lines if len(ts := masked(x)) < min_tokens or (_hash(b" ".join(ts)) not in gone and whole(x) not in gone)]
+                    stay = [x for x in lines if not (ts := masked(x)) or (_hash(b" ".join(ts)) not in gone and whole(x) not in gone)]
                     t = b"\n".join(stay)
                 else:
                     stay = lines

@@ -242,6 +242,14 @@ def test_line_dedup_few_documents(spark):
     assert got == {1: texts[1], 2: texts[2][1:], 3: texts[3][:1]}
 
 
+def test_line_dedup_short_lines(spark):
+    """Short lines recur too, from ten documents on."""
+    d = spark.createDataFrame([(i, "All rights reserved.\n\n" + ("Rarely seen\n" if i < 9 else "") + "own" * (i + 1)) for i in range(10)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(d).collect()}
+    assert got[0] == "All rights reserved.\n\nRarely seen\nown"
+    assert all(got[i] == "\n" + ("Rarely seen\n" if i < 9 else "") + "own" * (i + 1) for i in range(1, 10))
+
+
 def test_toxicity(spark, docs, none):
     d, lab = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     held = F.col("doc_id") % 3 == 0
