@@ -5,7 +5,7 @@ first DEPTH tokens (fields as <*>). In a leaf that lines of enough documents rea
 held by less than half of the documents are generalised to <*>; lines that agree with enough of the leaf's tokens share
 the leaf's template, the others keep a template of their own (their masked tokens). Templates found in enough documents
 recur: their lines are dropped from every document but the first that holds one. Equal lines (the same tokens, fields
-included) need no such evidence and recur from two documents on.
+included) need no such evidence and recur from two documents on; lines that are nearly all fields are compared that way only.
 
 Only hashes are shuffled; long runs of equal lines are counted before they are.
 """
@@ -31,6 +31,8 @@ DEPTH, MIN_DOCS, AGREE = 3, 5, 0.8
 EQUAL_DOCS, SHORT_DOCS = 2, 10
 #: Template hashes (8 bytes each) that may be sent to tasks at once; beyond it they are joined.
 WANTED = 1 << 20
+#: Tokens that are no fields a template needs, besides half of all.
+CONSTANT = 3
 #: Lines of fewer tokens are short.
 MIN_TOKENS = 5
 _DIGIT = re.compile(rb"[0-9]")
@@ -58,6 +60,12 @@ def whole(line: bytes) -> int | None:
     return None
 
 
+def has_template(tokens: list[bytes]) -> bool:
+    """Whether a line has enough tokens beside its fields to be compared by its template."""
+    n = tokens.count(FIELD)
+    return not n or len(tokens) - n >= max(CONSTANT, n)
+
+
 def _lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int, with_tokens: bool, wanted: np.ndarray | None = None) -> DataFrame:
     """(k, leaf, tpl, equal, short[, toks]) for each distinct line template of each document; wanted: only these templates (sorted).
 
@@ -84,6 +92,8 @@ def _lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int, wi
                         templates.append(own)
                         equal.append(True)
                         short.append(len(ts) < min_tokens)
+                    if not has_template(ts):
+                        continue
                     tpl = _hash(b" ".join(ts))
                     if tpl in seen:
                         continue

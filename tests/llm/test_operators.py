@@ -250,6 +250,14 @@ def test_line_dedup_short_lines(spark):
     assert all(got[i] == "\n" + ("Rarely seen\n" if i < 9 else "") + "own" * (i + 1) for i in range(1, 10))
 
 
+def test_line_dedup_keeps_lines_of_fields(spark):
+    """Rows of numbers, dates and ids differ unless they are equal, however many documents hold such rows."""
+    rows_of = {i: [" ".join(str(i * 100 + j * 10 + c) for c in range(6)) for j in range(3)] + [f"2020-01-{i:02} id{i} x 5 6 7"] for i in range(12)}
+    d = spark.createDataFrame([(i, "\n".join([*r, "1 2 3 4 5 6"])) for i, r in rows_of.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup(d).collect()}
+    assert got == {i: [*r, "1 2 3 4 5 6"] if i == 0 else r for i, r in rows_of.items()}
+
+
 def test_toxicity(spark, docs, none):
     d, lab = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     held = F.col("doc_id") % 3 == 0
