@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from jumpmark.llm.common import ALNUM_WORD, ascii_lower, words
 
-#: Words before and after an anchor that a rule can see.
-LEFT, RIGHT = 8, 12
+#: Words before an anchor and from it on that a rule can see: "under the terms of the gnu lesser general public" is 9 words,
+#: and notices name holders, addresses or versions between the two parts of a '.*' rule.
+LEFT, RIGHT = 9, 32
 MARK = "@"
 #: A rule's regular expression sees the context with MARK before the anchor word.
 ANCHORS = ["license", "licence", "licensed", "licenced", "licenses", "licensing", "spdx", "copyright", "copyleft", "warranty", "unlicense", "domain"]
@@ -50,12 +51,12 @@ FORMS = {
 #: Hand-written rules: (keyword, pattern, label, priority, confidence)
 SINGLE = [
     ("copyright", r"(?:^| )@copyright (?:c )?(?:19|20)[0-9][0-9](?= |$)", "copyright-notice", 1, 0.3),
-    ("reserved", r"(?:^| )@copyright .*all rights reserved", "proprietary", 2, 0.6),
+    ("reserved", r"(?:^| )@copyright .*?all rights reserved", "proprietary", 2, 0.6),
     ("domain", r"(?:^| )(?:in|into|to) the public @domain", "public-domain", 2, 0.8),
     ("unlicense", r"(?:^| )@unlicense(?= |$)", "unlicense", 2, 0.8),
     ("copyleft", r"(?:^| )@copyleft(?= |$)", "copyleft", 1, 0.4),
     ("warranty", r"(?:^| )without @warranty of any kind", "warranty-disclaimer", 1, 0.4),
-    ("any later version", r"(?:^| )general public @license .*any later version", "gpl-or-later", 3, 0.95),
+    ("any later version", r"(?:^| )general public @license .*?any later version", "gpl-or-later", 3, 0.95),
     ("creative commons", r"(?:^| )@licensed under (?:a )?creative commons zero", "cc0", 3, 0.95),
 ]
 

@@ -48,6 +48,18 @@ def test_license_base(docs, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_license_standard_notices(spark):
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    bsd = "Copyright (c) 1990 The Regents of the University of California. All rights reserved."
+    lgpl = "under the terms of the GNU Lesser General Public License"
+    d = spark.createDataFrame([(1, gpl), (2, bsd), (3, lgpl), (4, bsd + " MIT License. All rights reserved.")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(d).collect()}
+    assert "gpl-or-later" in got[1]["labels"].split(",")
+    assert got[2]["labels"] == "proprietary" and got[2]["n_detections"] == 1
+    assert got[3]["score"] == 0.95  # the nine words before the anchor
+    assert got[4]["labels"] == "mit,proprietary" and got[4]["n_detections"] == 2  # a notice ends with its first reservation
+
+
 def test_license_suppression(spark):
     d = spark.createDataFrame([(1, "under the terms of the GNU Lesser General Public License version 3 or later"), (2, "the Creative Commons Attribution NonCommercial License")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in license_scan.scan(d).collect()}
