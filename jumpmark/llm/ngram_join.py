@@ -206,12 +206,25 @@ def _unjoined(post: DataFrame, found: DataFrame, more_than: int) -> DataFrame:
     return stored(placed.join(still, "tok"))
 
 
-def links(docs: DataFrame, survey: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) of classes whose components are those of all similar pairs."""
+def _posted(docs: DataFrame, survey: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Smallest key of each class, texts, postings with signatures."""
     owners = survey.where("chunk is null and n > 0 and k is not null").groupBy("r").agg(F.min("k").alias("owner"))
     signs = survey.where("chunk is null and n > 0").groupBy("r").agg(*(F.min(f"b{i}").alias(f"b{i}") for i in range(4)))
     texts = docs.where("k is not null")
-    post = stored(_postings(texts, n, percent, _sketch(survey)).join(signs, "r"))
+    return owners, texts, stored(_postings(texts, n, percent, _sketch(survey)).join(signs, "r"))
+
+
+def every_link(docs: DataFrame, survey: DataFrame, n: int, percent: int) -> DataFrame:
+    """All similar pairs (a, b) of classes, a < b; as many rows as there are links, which near copies have by the square."""
+    owners, texts, post = _posted(docs, survey, n, percent)
+    same = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.r") < F.col("y.r"))
+    pairs = post.alias("x").join(post.alias("y"), same & _passes(percent)).select(F.col("x.r").alias("a"), F.col("y.r").alias("b")).distinct()
+    return stored(_verified(stored(pairs), texts, owners, n, percent))
+
+
+def links(docs: DataFrame, survey: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) of classes whose components are those of all similar pairs."""
+    owners, texts, post = _posted(docs, survey, n, percent)
     fields = ("pos", "r", "n", "b0", "b1", "b2", "b3")
     same, filters = F.col("x.tok") == F.col("y.tok"), _passes(percent)
     pair = (F.least("x.r", "y.r").alias("a"), F.greatest("x.r", "y.r").alias("b"))
@@ -235,17 +248,18 @@ def links(docs: DataFrame, survey: DataFrame, n: int, percent: int) -> DataFrame
     return stored(found.union(_verified(second, texts, owners, n, percent)))
 
 
-def components(docs: DataFrame, shingle: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+def components(docs: DataFrame, shingle: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
     """One row per input row: key, n_shingles (size of its set), component_id (smallest key reachable by links), n_links.
 
-    threshold is the similarity in percent. n_links counts the row's class's links that were needed, between different sets.
+    threshold is the similarity in percent. n_links counts the links of the row's class to classes of other sets: with every,
+    all of them; else only those that were needed for the components, which depend on the order of classes.
     Null text and text without words have an empty set, link with nothing and stand alone. Rows with a null key get no
     links of their own but belong to their class; alone, their component_id is null. Repeated rows are one document.
     Columns beside key and text are not looked at.
     """
     d = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     survey = stored(_survey(d, shingle))
-    linked = links(d, survey, shingle, threshold)
+    linked = (every_link if every else links)(d, survey, shingle, threshold)
     rows = survey.where("chunk is null").select("k", "r", "n")
     roots = connected(linked)
     ends = linked.select(F.col("a").alias("r")).union(linked.select(F.col("b").alias("r"))).groupBy("r").agg(F.count("*").alias("l"))

@@ -41,6 +41,11 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"), shingle=4, threshold=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6_ngram_join, whose columns its SQL fixes, with the exact number of links."""
+    return ngram_join.components(table(spark, sf_dir, "documents"), shingle=4, threshold=85, every=True)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_quality_rules, op4_suffix_dedup, op5_decontaminate, op6_ngram_join, op7_language_id, op8_line_dedup, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_quality_rules, op4_suffix_dedup, op5_decontaminate, op6_ngram_join, op6_ngram_links, op7_language_id, op8_line_dedup, op9_toxicity, op10_packing)}
 
 _OP3 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),

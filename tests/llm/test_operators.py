@@ -192,6 +192,16 @@ def brute_components(data, n, percent):
     return {(i, len(s), up(i)) for i, s in sets}
 
 
+def test_ngram_links(spark, docs):
+    """Every link inside a group of near copies counts, not only those its component needs."""
+    words = [f"w{i}" for i in range(200)]
+    near = [(i, " ".join([*words[:i], f"x{i}", *words[i + 1 :]])) for i in range(40)] + [(100, " ".join(words)), (101, " ".join(words))]
+    out = ngram_join.components(spark.createDataFrame(near, "doc_id long, text string"), 4, 85, every=True).collect()
+    assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in out} == {(i, 0, 40) for i, _ in near}
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.components(docs, 4, 85, every=True).where("doc_id is not null").collect()}
+    assert got == brute_components(DATA, 4, 85)
+
+
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
 def test_ngram_join(docs, none, n, percent):
     out = ngram_join.components(docs, n, percent)
