@@ -1,15 +1,22 @@
 """Similarity join of documents on sets of word n-grams, by rare-first prefix filtering.
 
-Documents with equal sets form a class; classes are joined. Tokens (64-bit hashes of n-grams) are ordered by frequency,
-rare first, then by value. The frequency comes from a count sketch of fixed size over all documents: any total order is
-right for prefix filtering, a good one is only faster. Two sets with Jaccard similarity of at least t share a token in
-their prefixes of n - ceil(t n) + 1 tokens. Pairs that meet in a prefix token pass the length filter, the positional
-filter (what can still overlap before and behind the shared token) and the suffix filter (a 256-bit parity signature bounds
-the symmetric difference from below); the pairs that remain are verified once each on the whole sets.
+Documents with equal sets form a class; classes are joined. Tokens are hashes of n-grams, ordered by the exact number of
+documents that hold them, rare first, then by value. Two sets with Jaccard similarity of at least t share a token in their
+prefixes of n - ceil(t n) + 1 tokens. Tokens of one document only come first in every order and never match, so a document
+with that many of them links with nothing and goes at once; the others keep the tokens they share with some document.
+Pairs that meet in a prefix token pass the length filter, the positional filter (what can still overlap before and behind
+the shared token) and the suffix filter (own tokens and a 256-bit parity signature of the shared ones bound the symmetric
+difference from below); the pairs that remain are verified once each on the whole sets.
+
+Frequencies: tokens travel packed, seven bytes each, to blocks of token values; those of two documents or more come back
+to the flush of documents they came from. Tokens of very many documents (found by counting in the first pass, at most a
+fixed number of them) would meet in one block; their frequency goes with the tasks instead.
 
 So that groups of near copies are not expanded into all their pairs, a first round pairs each token's documents with one
-pivot only and a second, for the longer lists, with a few; the last round pairs documents that are not yet in one component. No link that could join two components is
-left out, so the components are those of all links.
+pivot only and a second, for the longer lists, with a few. Lists that still hold more than one component are then paired
+across components, long ones in blocks of CELL documents, so that no row is made for a pair that fails a filter. No link
+that could join two components is left out, so the components are those of all links. Links are counted component by
+component, in blocks of bounded size, without a row for each pair.
 """
 
 from __future__ import annotations
@@ -22,15 +29,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jumpmark.llm.common import stored
+from jumpmark.llm.common import maybe_broadcast, stored
 from jumpmark.llm.graph import components as connected
 from jumpmark.llm.text_bytes import raw, slices, space_words
 
-#: Counters of the frequency sketch (4 bytes each, whatever the corpus), and how many travel in one row.
-SKETCH, CHUNK = 1 << 20, 1 << 12
-#: Pivots per token in the second round.
-PIVOTS = 8
+#: Tokens a task gathers before it sends them on; tokens for each block of values; blocks at least (a power of two).
+FLUSH, BLOCK, LEAST_BLOCKS = 1 << 20, 1 << 20, 1 << 8
+#: A token is counted apart from this many documents on (more in a corpus of over HOT * HOT_SHARE tokens), and how often a flush must hold it to say so.
+HOT, HOT_SHARE, HOT_LOCAL = 1 << 12, 1 << 20, 4
+#: Pivots per token in the second round; documents of a list that are paired by a join, and in a block beyond that.
+PIVOTS, LIGHT, CELL = 8, 64, 1 << 11
+#: Tokens that one side of a block of link counting holds, about.
+CELL_TOKENS = 1 << 20
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_MOVED = "p long, f long, hi binary, lo binary, at binary, df binary, rs binary, ns binary"
+_NAMES = ["p", "f", "hi", "lo", "at", "df", "rs", "ns"]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,171 +74,250 @@ def fingerprint(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s) & 0xFFFFFFFF) - (1 << 63)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """256 parity bits as four signed words: equal tokens cancel, so differing bits are at most the symmetric difference."""
-    bits = (np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
-    return np.packbits(bits).view(np.int64)
-
-
-def _needed(n: int, percent: int) -> int:
+def _needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * n // 100)
 
 
 def _survey(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each document (k, r: set fingerprint, n, signature), and rows (chunk, counts) of the sketch from each task."""
+    """A row for each document (k, r: set fingerprint, n), and rows (tok, c) of tokens that a flush of a task holds often."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    key_type = docs.schema["k"].dataType
+    key_arrow = to_arrow_type(key_type)
+    names = ["k", "r", "n", "tok", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, seen = np.zeros(SKETCH, np.uint32), set()
-        shift = np.uint64(64 - SKETCH.bit_length() + 1)
-        names = ["k", "r", "n", "b0", "b1", "b2", "b3", "chunk", "counts"]
+        seen, held, size = set(), [], 0
+
+        def often() -> pa.RecordBatch:
+            tok, c = np.unique(np.concatenate(held), return_counts=True)
+            some = c >= HOT_LOCAL
+            m = int(some.sum())
+            return pa.RecordBatch.from_arrays([pa.nulls(m, key_arrow), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(tok[some].view(np.int64)), pa.array(c[some].astype(np.int64))], names)
+
         for b in slices(batches, "t"):
             sets = shingle_sets(raw(b, "t"), n)
             prints = [fingerprint(s) for s in sets]
-            signs = np.array([signature(s) for s in sets]).reshape(-1, 4)
-            fresh = []
-            for s, p in zip(sets, prints, strict=True):
-                if p not in seen:
-                    seen.add(p)
-                    fresh.append(s)
-            if fresh:
-                sketch += np.bincount((np.concatenate(fresh) >> shift).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+            for s, r in zip(sets, prints, strict=True):
+                if r not in seen:
+                    seen.add(r)
+                    held.append(s)
+                    size += len(s)
             m = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(prints, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(signs[:, i]) for i in range(4)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
-        used = [c for c in range(SKETCH // CHUNK) if sketch[c * CHUNK : (c + 1) * CHUNK].any()]
-        m = len(used)
-        if m:
-            blobs = [sketch[c * CHUNK : (c + 1) * CHUNK].tobytes() for c in used]
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, key_arrow), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *(pa.nulls(m, pa.int64()) for _ in range(4)), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(prints, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
+            if size >= FLUSH:
+                yield often()
+                held, size = [], 0
+        if held:
+            yield often()
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    return docs.mapInArrow(run, f"k {key_type.simpleString()}, r long, n int, tok long, c long")
 
-    key_type = docs.schema["k"].dataType
-    key_arrow = to_arrow_type(key_type)
-    return docs.mapInArrow(run, f"k {key_type.simpleString()}, r long, n int, b0 long, b1 long, b2 long, b3 long, chunk int, counts binary")
 
+def _hot_tokens(survey: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of very many documents, sorted, and their counts: at most HOT_SHARE of them, however large the corpus."""
+    least = max(HOT, total // HOT_SHARE)
+    rows = survey.where("tok is not null").groupBy("tok").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toArrow()
+    tok, c = rows.column("tok").to_numpy().view(np.uint64), rows.column("c").to_numpy()
+    order = np.argsort(tok)
+    return tok[order], c[order]
 
-def _sketch(survey: DataFrame) -> np.ndarray:
-    """The summed sketch: SKETCH counters, whatever the corpus."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for c, x in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                sums[c] = sums.get(c, 0) + np.frombuffer(x, np.uint32).astype(np.int64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
-
-    out = np.zeros(SKETCH, np.uint32)
-    for r in survey.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect():
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint32)
-    return out
+def _send(docs: DataFrame, n: int, bits: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Packed tokens by block p and flush f: (token without its block in hi and lo, at: which document of the flush).
 
+    Each flush has a row with its documents (rs, ns) and their hot tokens with frequencies (hi and lo hold all of their bits).
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
+    mask, wide = np.uint64((1 << bits) - 1), np.uint64((1 << (40 + bits)) - 1)
 
-def _postings(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(tok, r, n, pos) for the prefix tokens that two classes or more share."""
-    sent = docs.sparkSession.sparkContext.broadcast(sketch.tobytes())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        hot_tok, hot_n = sent.value
+        seen, held, rs, number = set(), [], [], 0
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            f = (TaskContext.get().partitionId() << 24) + number
+            ns = np.array([len(s) for s in held], np.int64)
+            tok, at = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.uint16), ns)
+            where = np.minimum(np.searchsorted(hot_tok, tok), max(0, len(hot_tok) - 1))
+            is_hot = hot_tok[where] == tok if len(hot_tok) else np.zeros(len(tok), bool)
+            own = tok[is_hot] & wide
+            rows = [(f & ((1 << bits) - 1), f, own.tobytes(), b"", at[is_hot].tobytes(), hot_n[where[is_hot]].astype(np.uint32).tobytes() if len(hot_tok) else b"", np.array(rs, np.int64).tobytes(), ns.astype(np.uint32).tobytes())]
+            tok, at = tok[~is_hot] & wide, at[~is_hot]
+            p = (tok & mask).astype(np.int64)
+            order = np.argsort(p, kind="stable")
+            p, tok, at = p[order], tok[order] >> np.uint64(bits), at[order]
+            hi, lo = (tok >> np.uint64(8)).astype(np.uint32), tok.astype(np.uint8)
+            first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
+            for i, j in zip(first, np.append(first[1:], len(p)), strict=True):
+                rows.append((int(p[i]), f, hi[i:j].tobytes(), lo[i:j].tobytes(), at[i:j].tobytes(), None, None, None))
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], _NAMES)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.frombuffer(sent.value, np.uint32), set()
-        shift = np.uint64(64 - SKETCH.bit_length() + 1)
         for b in slices(batches, "t"):
-            toks, rs, ns, poss = [], [], [], []
             for s in shingle_sets(raw(b, "t"), n):
                 r = fingerprint(s)
-                if not len(s) or r in seen:
-                    continue
-                seen.add(r)
-                length = len(s) - _needed(len(s), percent) + 1
-                df = counts[(s >> shift).astype(np.int64)]
-                order = np.argsort(df, kind="stable")[:length]
-                pos = np.flatnonzero(df[order] > 1)  # a counter of 1: this class is the only one with the token
-                toks.append(s[order[pos]].view(np.int64))
-                rs.append(np.full(len(pos), r, np.int64))
-                ns.append(np.full(len(pos), len(s), np.int32))
-                poss.append(pos.astype(np.int32))
-            if toks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (toks, rs, ns, poss)], ["tok", "r", "n", "pos"])
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by tok and r, those whose tok has two different r; memory of one batch."""
-        last, last_met = None, False
-        for b in batches:
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("tok", "r", "n", "pos")]
-            if not len(cols[0]):
-                continue
-            if last is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(last, cols, strict=True)]
-            tok, r = cols[0], cols[1]
-            fresh = np.concatenate([[True], (tok[1:] != tok[:-1]) | (r[1:] != r[:-1])])
-            cols = [x[fresh] for x in cols]
-            same = cols[0][1:] == cols[0][:-1]
-            before = np.concatenate([[last_met], same])
-            met = before | np.concatenate([same, [False]])
-            last, last_met = [x[-1:] for x in cols], bool(before[-1])
-            out = [x[:-1][met[:-1]] for x in cols]
-            if len(out[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["tok", "r", "n", "pos"])
-        if last is not None and last_met:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], ["tok", "r", "n", "pos"])
-
-    kinds = "tok long, r long, n int, pos int"
-    return docs.mapInArrow(prefixes, kinds).repartition("tok").sortWithinPartitions("tok", "r").mapInArrow(shared, kinds)
+                if len(s) and r not in seen:
+                    seen.add(r)
+                    held.append(s)
+                    rs.append(r)
+                    size += len(s)
+                    if size >= FLUSH or len(held) == 1 << 16:
+                        yield flush()
+                        held, rs, size, number = [], [], 0, number + 1
+        if held:
+            yield flush()
+
+    return docs.mapInArrow(run, _MOVED)
+
+
+def _returned(moved: DataFrame) -> DataFrame:
+    """Of packed tokens those that two documents hold, by flush, with their frequency in df."""
+
+    def one(table: pa.Table) -> pa.Table:
+        cols = [table.column(c).to_pylist() for c in _NAMES]
+        rows, parts = [], []
+        for p, f, hi, lo, at, df, rs, ns in zip(*cols, strict=True):
+            if rs is not None:
+                rows.append((p, f, hi, lo, at, df, rs, ns))
+            else:
+                parts.append((p, f, np.frombuffer(hi, np.uint32), np.frombuffer(lo, np.uint8), np.frombuffer(at, np.uint16)))
+        if parts:
+            sizes = [len(x[2]) for x in parts]
+            tok = (np.concatenate([x[2] for x in parts]).astype(np.uint64) << np.uint64(8)) | np.concatenate([x[3] for x in parts])
+            order = np.argsort(tok)
+            ordered = tok[order]
+            head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            count = np.diff(np.append(head, len(tok)))
+            df = np.empty(len(tok), np.uint32)
+            df[order] = np.repeat(count, count)
+            end = np.cumsum(sizes)
+            for (p, f, hi, lo, at), e, m in zip(parts, end.tolist(), sizes, strict=True):
+                own = df[e - m : e]
+                some = np.flatnonzero(own > 1)
+                if len(some):
+                    rows.append((p, f, hi[some].tobytes(), lo[some].tobytes(), at[some].tobytes(), own[some].tobytes(), None, None))
+        cols = list(zip(*rows, strict=True)) if rows else [[] for _ in _NAMES]
+        return pa.Table.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], _NAMES)
+
+    return moved.groupBy("p").applyInArrow(one, _MOVED)
+
+
+def _candidates(returned: DataFrame, bits: int, percent: int) -> DataFrame:
+    """Classes that can link: (r, f, n, alone: tokens of no other document, toks: the others, rare first, b0 to b3: their parity).
+
+    A class has a row for each flush that holds it, all alike but for f.
+    """
+    schema = "r long, f long, n int, alone int, toks array<long>, b0 long, b1 long, b2 long, b3 long"
+    names = ["r", "f", "n", "alone", "toks", "b0", "b1", "b2", "b3"]
+
+    def one(table: pa.Table) -> pa.Table:
+        tok, at, df, rs, ns, f = [], [], [], None, None, 0
+        for p, f, hi, lo, a, d, r, n in zip(*(table.column(c).to_pylist() for c in _NAMES), strict=True):
+            if r is not None:
+                rs, ns = np.frombuffer(r, np.int64), np.frombuffer(n, np.uint32).astype(np.int64)
+                tok.append(np.frombuffer(hi, np.uint64))
+            else:
+                key = (np.frombuffer(hi, np.uint32).astype(np.uint64) << np.uint64(8)) | np.frombuffer(lo, np.uint8)
+                tok.append((key << np.uint64(bits)) | np.uint64(p))
+            at.append(np.frombuffer(a, np.uint16))
+            df.append(np.frombuffer(d, np.uint32))
+        tok, at, df = np.concatenate(tok).view(np.int64), np.concatenate(at).astype(np.int64), np.concatenate(df)
+        shared = np.bincount(at, minlength=len(rs))
+        alone = ns - shared
+        keep = (alone < ns - _needed(ns, percent) + 1) & (shared > 0)
+        some = keep[at]
+        tok, at, df = tok[some], at[some], df[some]
+        order = np.lexsort((tok, df, at))
+        tok, at = tok[order], at[order]
+        rows = np.flatnonzero(keep)
+        sizes = shared[rows]
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        number = np.cumsum(keep) - 1
+        cell = number[at] * 256 + ((tok >> 3) & 255)
+        bit = (np.bincount(cell, minlength=256 * len(rows)) & 1).astype(np.uint8)
+        signs = np.packbits(bit).view(np.int64).reshape(-1, 4)
+        return pa.Table.from_arrays([pa.array(rs[rows]), pa.array(np.full(len(rows), f, np.int64)), pa.array(ns[rows].astype(np.int32)), pa.array(alone[rows].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tok)), *(pa.array(np.ascontiguousarray(signs[:, i])) for i in range(4))], names)
+
+    return returned.groupBy("f").applyInArrow(one, schema)
+
+
+def _posted(docs: DataFrame, survey: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Classes that can link, once each, and their postings (tok, r, n, m, i, alone, signature): prefix tokens of two classes or more."""
+    total = survey.agg(F.sum("n")).first()[0] or 0
+    bits = max(LEAST_BLOCKS, total // BLOCK).bit_length() - 1
+    moved = _send(docs, n, bits, _hot_tokens(survey, total))
+    classes = stored(_candidates(_returned(moved), bits, percent))
+    once = stored(classes.groupBy("r").agg(F.min("f").alias("f")))
+    classes = classes.join(maybe_broadcast(once, 24 * once.count()), ["r", "f"])
+    length = F.expr(f"n - (({percent} * n + 99) div 100) + 1 - alone").cast("int")
+    rows = classes.select("r", "n", "alone", F.size("toks").alias("m"), *(f"b{i}" for i in range(4)), F.posexplode(F.slice("toks", F.lit(1), length)).alias("i", "tok"))
+    met = rows.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
+    return classes, stored(rows.join(met, "tok"))
 
 
 def _passes(percent: int) -> Column:
     """Length, positional and suffix filter of two postings x and y of one token."""
-    c = lambda name: F.col(name).cast("long")
     need = F.expr(f"({percent} * (cast(x.n as long) + y.n) + {99 + percent}) div {100 + percent}")
-    overlap = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1)
-    differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(4)), F.lit(0))
-    return (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (overlap >= need) & (differ <= c("x.n") + c("y.n") - 2 * need)
+    overlap = F.least("x.i", "y.i") + 1 + F.least(F.col("x.m") - F.col("x.i") - 1, F.col("y.m") - F.col("y.i") - 1)
+    differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(4)), F.col("x.alone") + F.col("y.alone"))
+    return (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (overlap >= need) & (differ <= F.col("x.n").cast("long") + F.col("y.n") - 2 * need)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of candidate pairs of classes (a, b) those that are similar; whole sets are compared."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t"):
-            found = [s.view(np.int64) for s in shingle_sets(raw(b, "t"), n)]
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("r"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))], ["r", "s"])
-
-    wanted = pairs.select(F.col("a").alias("r")).union(pairs.select(F.col("b").alias("r"))).distinct().join(owners, "r").select("r", F.col("owner").alias("k"))
-    own = docs.join(wanted, "k").select("r", "t")
-    found = stored(own.mapInArrow(sets, "r long, s array<long>"))
-    both = pairs.join(found.select(F.col("r").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("r").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("c"))
-    return both.where(100 * F.col("c") >= percent * (F.col("n") - F.col("c"))).select("a", "b").distinct()
+def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of distinct candidate pairs of classes (a, b) those that are similar; whole sets are compared (only shared tokens can meet)."""
+    side = lambda c: classes.select(F.col("r").alias(c), F.col("n").alias(f"n{c}"), F.col("toks").alias(f"s{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("c"))
+    return both.where(100 * F.col("c") >= percent * (F.col("n") - F.col("c"))).select("a", "b")
 
 
 def _unjoined(post: DataFrame, found: DataFrame, more_than: int) -> DataFrame:
-    """Postings with their component's root, of the tokens that more than one component (and so many classes) share."""
+    """Postings with their component's root and their list's size, of the tokens that more than one component (and so many classes) share."""
     roots = connected(found)
     placed = post.join(roots, post["r"] == roots["node"], "left").withColumn("root", F.coalesce("root", "r")).drop("node")
-    still = placed.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where((F.col("lo") != F.col("hi")) & (F.col("m") > more_than)).select("tok")
+    still = placed.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where((F.col("lo") != F.col("hi")) & (F.col("c") > more_than)).select("tok", "c")
     return stored(placed.join(still, "tok"))
 
 
-def _posted(docs: DataFrame, survey: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Smallest key of each class, texts, postings with signatures."""
-    owners = survey.where("chunk is null and n > 0 and k is not null").groupBy("r").agg(F.min("k").alias("owner"))
-    signs = survey.where("chunk is null and n > 0").groupBy("r").agg(*(F.min(f"b{i}").alias(f"b{i}") for i in range(4)))
-    texts = docs.where("k is not null")
-    return owners, texts, stored(_postings(texts, n, percent, _sketch(survey)).join(signs, "r"))
-
-
-def every_link(docs: DataFrame, survey: DataFrame, n: int, percent: int) -> DataFrame:
-    """All similar pairs (a, b) of classes, a < b; as many rows as there are links, which near copies have by the square."""
-    owners, texts, post = _posted(docs, survey, n, percent)
-    same = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.r") < F.col("y.r"))
-    pairs = post.alias("x").join(post.alias("y"), same & _passes(percent)).select(F.col("x.r").alias("a"), F.col("y.r").alias("b")).distinct()
-    return stored(_verified(stored(pairs), texts, owners, n, percent))
-
-
-def links(docs: DataFrame, survey: DataFrame, n: int, percent: int) -> DataFrame:
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components of long lists that pass the filters, in blocks of about CELL postings by CELL."""
+    cells = F.ceil(F.col("c") / CELL).cast("int")
+    dealt = rows.withColumn("cells", cells).withColumn("own", F.pmod(F.xxhash64("r"), F.col("cells")).cast("int"))
+    each = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
+    each = each.select("tok", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "own", "r", "root", "n", "m", "i", "alone", "b0", "b1", "b2", "b3")
+
+    def one(table: pa.Table) -> pa.Table:
+        c = {x: table.column(x).to_numpy() for x in table.column_names}
+        u, v = c["u"][0], c["v"][0]
+        order = np.argsort(c["n"], kind="stable")
+        left, right = order[c["own"][order] == u], order[c["own"][order] == v]
+        ns = c["n"].astype(np.int64)
+        sign = np.column_stack([c[f"b{i}"] for i in range(4)])
+        out = []
+        for x in left.tolist():
+            lo, hi = np.searchsorted(ns[right], [_needed(int(ns[x]), percent), 100 * int(ns[x]) // percent + 1])
+            y = right[lo:hi]
+            y = y[(c["root"][y] != c["root"][x]) & ((u != v) | (c["r"][y] > c["r"][x]))]
+            both = ns[x] + ns[y]
+            need = (percent * both + 99 + percent) // (100 + percent)
+            overlap = np.minimum(c["i"][x], c["i"][y]) + 1 + np.minimum(c["m"][x] - c["i"][x] - 1, c["m"][y] - c["i"][y] - 1)
+            differ = np.bitwise_count(sign[y] ^ sign[x]).sum(axis=1, dtype=np.int64) + c["alone"][x] + c["alone"][y]
+            y = y[(overlap >= need) & (differ <= both - 2 * need)]
+            if len(y):
+                out.append(np.column_stack([np.minimum(c["r"][y], c["r"][x]), np.maximum(c["r"][y], c["r"][x])]))
+        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        return pa.Table.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
+
+    return each.groupBy("tok", "u", "v").applyInArrow(one, "a long, b long")
+
+
+def links(classes: DataFrame, post: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of classes whose components are those of all similar pairs."""
-    owners, texts, post = _posted(docs, survey, n, percent)
-    fields = ("pos", "r", "n", "b0", "b1", "b2", "b3")
+    fields = ("i", "r", "n", "m", "alone", "b0", "b1", "b2", "b3")
     same, filters = F.col("x.tok") == F.col("y.tok"), _passes(percent)
     pair = (F.least("x.r", "y.r").alias("a"), F.greatest("x.r", "y.r").alias("b"))
     tried, found = None, None
@@ -239,41 +331,133 @@ def links(docs: DataFrame, survey: DataFrame, n: int, percent: int) -> DataFrame
             differ = F.col("x.root") != F.col("y.root")
         new = rows.alias("x").join(top.alias("y"), same & differ & filters).select(*pair).distinct()
         new = stored(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
-        good = _verified(new, texts, owners, n, percent)
+        good = _verified(new, classes, percent)
         tried = new if tried is None else tried.union(new)
         found = stored(good if found is None else found.union(good))
     rows = _unjoined(post, found, 0)
-    second = rows.alias("x").join(rows.alias("y"), same & (F.col("x.r") < F.col("y.r")) & (F.col("x.root") != F.col("y.root")) & filters).select(*pair).distinct()
+    light = rows.where(F.col("c") <= LIGHT)
+    second = light.alias("x").join(light.alias("y"), same & (F.col("x.r") < F.col("y.r")) & (F.col("x.root") != F.col("y.root")) & filters).select(*pair)
+    second = second.union(_across(rows.where(F.col("c") > LIGHT), percent)).distinct()
     second = stored(second.join(tried, ["a", "b"], "left_anti"))
-    return stored(found.union(_verified(second, texts, owners, n, percent)))
-
-
-def components(docs: DataFrame, shingle: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
-    """One row per input row: key, n_shingles (size of its set), component_id (smallest key reachable by links), n_links.
-
-    threshold is the similarity in percent. n_links counts the links of the row's class to classes of other sets: with every,
-    all of them; else only those that were needed for the components, which depend on the order of classes.
-    Null text and text without words have an empty set, link with nothing and stand alone. Rows with a null key get no
-    links of their own but belong to their class; alone, their component_id is null. Repeated rows are one document.
-    Columns beside key and text are not looked at.
+    return stored(found.union(_verified(second, classes, percent)))
+
+
+def linked(x: list[np.ndarray], y: list[np.ndarray], nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of x (rows) are similar to which of y (columns); nx, ny: their whole sizes, tokens that meet nothing included."""
+    both = np.zeros((len(x), len(y)), np.int64)
+    tx, ty = np.concatenate(x), np.concatenate(y)
+    at_x, at_y = np.repeat(np.arange(len(x)), [len(s) for s in x]), np.repeat(np.arange(len(y)), [len(s) for s in y])
+    known = np.intersect1d(tx, ty)
+    ix, iy = np.searchsorted(known, tx), np.searchsorted(known, ty)
+    some = known[np.minimum(ix, len(known) - 1)] == tx if len(known) else np.zeros(len(tx), bool)
+    ix, at_x = ix[some], at_x[some]
+    some = known[np.minimum(iy, len(known) - 1)] == ty if len(known) else np.zeros(len(ty), bool)
+    iy, at_y = iy[some], at_y[some]
+    cx, cy = np.bincount(ix, minlength=len(known)), np.bincount(iy, minlength=len(known))
+    # tokens that much of both sides hold go through a matrix product, the others token by token
+    many = cx * cy >= max(256, len(x) * len(y) // 64)
+    wide = np.flatnonzero(many)
+    for lo in range(0, len(wide), 1024):
+        number = np.full(len(known) + 1, -1)
+        number[wide[lo : lo + 1024]] = np.arange(len(wide[lo : lo + 1024]))
+        mx, my = np.zeros((len(x), 1024), np.float32), np.zeros((len(y), 1024), np.float32)
+        for m, at, i in ((mx, at_x, ix), (my, at_y, iy)):
+            has = number[i] >= 0
+            m[at[has], number[i[has]]] = 1
+        both += np.rint(mx @ my.T).astype(np.int64)
+    order_x, order_y = np.argsort(ix, kind="stable"), np.argsort(iy, kind="stable")
+    few = np.flatnonzero(~many)
+    start_x, start_y = np.cumsum(cx) - cx, np.cumsum(cy) - cy
+    flat = both.reshape(-1)
+    made = np.cumsum(cx[few] * cy[few]) // (1 << 22)
+    for part in np.split(few, np.flatnonzero(np.diff(made)) + 1) if len(few) else ():
+        n_x, n_y = cx[part], cy[part]
+        row = np.repeat(np.repeat(np.arange(len(part)), n_x), np.repeat(n_y, n_x))
+        # every holder on one side with every holder on the other, token by token
+        total = n_x * n_y
+        begin = np.repeat(np.cumsum(total) - total, total)
+        inside = np.arange(int(total.sum())) - begin
+        i = at_x[order_x[start_x[part][row] + inside // n_y[row]]]
+        j = at_y[order_y[start_y[part][row] + inside % n_y[row]]]
+        flat += np.bincount(i * len(y) + j, minlength=len(flat))
+    return 100 * both >= percent * (nx[:, None] + ny[None, :] - both)
+
+
+def _cells(table: pa.Table, percent: int) -> pa.Table:
+    """Links between the two parts (own = u and own = v) of each component of a group: rows (r, l)."""
+    root, own, r, n, size, u, v = (table.column(c).to_numpy() for c in ("root", "own", "r", "n", "size", "u", "v"))
+    toks = table.column("toks").combine_chunks()
+    ends, flat = toks.offsets.to_numpy(), toks.values.to_numpy()
+    order = np.argsort(root, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1]]))
+    rs, ls = [], []
+    for rows in np.split(order, heads[1:]):
+        x, y = rows[own[rows] == u[0]], rows[own[rows] == v[0]]
+        if not len(x) or not len(y):
+            continue
+        sets = lambda at: [flat[ends[k] : ends[k + 1]] for k in at.tolist()]
+        found = linked(sets(x), sets(y), n[x].astype(np.int64), n[y].astype(np.int64), percent)
+        if u[0] == v[0]:
+            np.fill_diagonal(found, False)
+        else:
+            rs.append(r[y])
+            ls.append(found.T.astype(np.float64) @ size[x])
+        rs.append(r[x])
+        ls.append(found.astype(np.float64) @ size[y])
+    if not rs:
+        return pa.Table.from_arrays([pa.array([], pa.int64())] * 2, ["r", "l"])
+    return pa.Table.from_arrays([pa.array(np.concatenate(rs)), pa.array(np.rint(np.concatenate(ls)).astype(np.int64))], ["r", "l"])
+
+
+def count_links(classes: DataFrame, roots: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(r, l): documents of other classes that a class links with, for the classes of components (node, root); sizes: (r, size).
+
+    A component is cut into parts of about CELL classes and CELL_TOKENS tokens at most; each pair of parts is compared in
+    one task, which makes a row for each class of the two, not for each link. Small components share a task's call.
+    """
+    own = classes.select("r", "n", "toks").join(roots.withColumnRenamed("node", "r"), "r").join(sizes, "r")
+    weigh = classes.select(F.col("r").alias("node"), F.size("toks").alias("m")).join(roots, "node")
+    per = weigh.groupBy("root").agg(F.count("*").alias("c"), F.sum("m").alias("m"))
+    parts = stored(per.select("root", "m", F.greatest(F.ceil(F.col("c") / CELL), F.ceil(F.col("m") / CELL_TOKENS)).cast("int").alias("cells")))
+    groups = max(1, (parts.agg(F.sum("m")).first()[0] or 0) // (CELL_TOKENS // 4))
+    dealt = own.join(parts.drop("m"), "root").withColumn("own", F.pmod(F.xxhash64("r"), F.col("cells")).cast("int"))
+    group = F.when(F.col("cells") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(groups)))
+    each = dealt.withColumn("g", group).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    each = each.select("g", (F.col("cells") > 1).alias("large"), F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "root", "own", "r", "n", "toks", "size")
+    return each.groupBy("g", "large", "u", "v").applyInArrow(lambda t: _cells(t, percent), "r long, l long").groupBy("r").agg(F.sum("l").alias("l"))
+
+
+def components(docs: DataFrame, shingle: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text", count: bool = True) -> DataFrame:
+    """One row per input row: key, n_shingles (size of its set), component_id (smallest key reachable by links) and, with count, n_links.
+
+    threshold is the similarity in percent. n_links: the other documents that the row's text links with, exact copies
+    included. Null text and text without words have an empty set, link with nothing and stand alone. Rows with a null key
+    are no documents: they make no link, but get the component of equal sets; alone, their component_id is null. Repeated
+    rows are one document. Columns beside key and text are not looked at. docs should be read from a table, so that a task
+    that runs again finds its rows in the same order.
     """
     d = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     survey = stored(_survey(d, shingle))
-    linked = (every_link if every else links)(d, survey, shingle, threshold)
-    rows = survey.where("chunk is null").select("k", "r", "n")
-    roots = connected(linked)
-    ends = linked.select(F.col("a").alias("r")).union(linked.select(F.col("b").alias("r"))).groupBy("r").agg(F.count("*").alias("l"))
-    owners = rows.where("n > 0").groupBy("r").agg(F.min("k").alias("owner"))
-    placed = owners.join(roots, owners["r"] == roots["node"], "left").select("r", "owner", F.coalesce("root", "r").alias("root")).join(ends, "r", "left")
+    rows = survey.where("n is not null").select("k", "r", "n")
+    classes, post = _posted(d.where("k is not null"), rows.where("k is not null").select("r", "n").unionByName(survey.where("tok is not null").select("tok", "c"), allowMissingColumns=True), shingle, threshold)
+    roots = stored(connected(links(classes, post, threshold)))
+    owners = rows.where("n > 0 and k is not null").groupBy("r").agg(F.min("k").alias("owner"), *([F.count_distinct("k").alias("size")] if count else []))
+    placed = owners.join(roots, owners["r"] == roots["node"], "left").withColumn("root", F.coalesce("root", "r")).drop("node")
     smallest = placed.groupBy("root").agg(F.min("owner").alias("smallest"))
-    of_class = placed.join(smallest, "root").select("r", "smallest", "l")
+    of_class = placed.join(smallest, "root").drop("root", "owner")
+    if count:
+        of_class = of_class.join(count_links(classes, roots, owners.select("r", "size"), threshold), "r", "left")
     out = rows.join(of_class, "r", "left")
     alone = F.col("n") == 0
-    return out.select(F.col("k").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("k")).otherwise(F.col("smallest")).alias("component_id"), F.when(alone, 0).otherwise(F.coalesce("l", F.lit(0))).cast("long").alias("n_links"))
+    cols = [F.col("k").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("k")).otherwise(F.col("smallest")).alias("component_id")]
+    if count:
+        copies = F.coalesce("size", F.lit(0)) - F.when(F.col("k").isNotNull(), 1).otherwise(0)
+        cols.append(F.when(alone, 0).otherwise(F.coalesce("l", F.lit(0)) + copies).cast("long").alias("n_links"))
+    return out.select(*cols)
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each group of linked ones: the smallest key. Rows with a null key and empty ones stay."""
-    placed = components(docs, shingle, threshold, key, text)
+    placed = components(docs, shingle, threshold, key, text, count=False)
     extra = placed.where(F.col(key) != F.col("component_id")).select(key).distinct()
     return docs.join(extra, key, "left_anti")

@@ -38,12 +38,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.components(table(spark, sf_dir, "documents"), shingle=4, threshold=85).select("doc_id", "n_shingles", "component_id")
-
-
-def op6_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6_ngram_join, whose columns its SQL fixes, with the exact number of links."""
-    return ngram_join.components(table(spark, sf_dir, "documents"), shingle=4, threshold=85, every=True)
+    return ngram_join.components(table(spark, sf_dir, "documents"), shingle=4, threshold=85)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_quality_rules, op4_suffix_dedup, op5_decontaminate, op6_ngram_join, op6_ngram_links, op7_language_id, op8_line_dedup, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_quality_rules, op4_suffix_dedup, op5_decontaminate, op6_ngram_join, op7_language_id, op8_line_dedup, op9_toxicity, op10_packing)}
 
 _OP3 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
@@ -104,7 +99,9 @@ s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+3], ' ') g FROM p),
 n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
 x AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM x JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
-r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
-SELECT r.a AS doc_id, coalesce(min(n.n), 0)::BIGINT n_shingles, min(r.b) component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT a, count(*) n_links FROM l GROUP BY a)
+SELECT r.a AS doc_id, coalesce(min(n.n), 0)::BIGINT n_shingles, min(r.b) component_id, coalesce(min(n_links), 0)::BIGINT n_links
+FROM r LEFT JOIN n ON n.doc_id = r.a LEFT JOIN k ON k.a = r.a GROUP BY r.a
 """
 ORACLE_SQL = {"op3_quality_rules": _OP3, "op5_decontaminate": _OP5, "op6_ngram_join": _OP6}

@@ -172,6 +172,11 @@ def test_decontaminate(spark, docs, none):
     assert not set(" ".join(PASSAGE.split()).split()) <= set(cut.split()) and len(cut) > 50
 
 
+def brute_links(data, n, percent):
+    sets = {i: frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if (w := SPACE.findall(low(t))) else frozenset() for i, t in data if i is not None}
+    return {(i, sum(j != i and bool(a) and bool(b) and 100 * len(a & b) >= percent * len(a | b) for j, b in sets.items())) for i, a in sets.items()}
+
+
 def brute_components(data, n, percent):
     def shingles(t):
         w = SPACE.findall(low(t))
@@ -192,14 +197,40 @@ def brute_components(data, n, percent):
     return {(i, len(s), up(i)) for i, s in sets}
 
 
-def test_ngram_links(spark, docs):
+def test_ngram_links(spark, docs, monkeypatch):
     """Every link inside a group of near copies counts, not only those its component needs."""
     words = [f"w{i}" for i in range(200)]
     near = [(i, " ".join([*words[:i], f"x{i}", *words[i + 1 :]])) for i in range(40)] + [(100, " ".join(words)), (101, " ".join(words))]
-    out = ngram_join.components(spark.createDataFrame(near, "doc_id long, text string"), 4, 85, every=True).collect()
-    assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in out} == {(i, 0, 40) for i, _ in near}
-    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.components(docs, 4, 85, every=True).where("doc_id is not null").collect()}
-    assert got == brute_components(DATA, 4, 85)
+    for cell in (ngram_join.CELL, 16):  # in one block and in several
+        monkeypatch.setattr(ngram_join, "CELL", cell)
+        out = ngram_join.components(spark.createDataFrame(near, "doc_id long, text string"), 4, 85).collect()
+        assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in out} == {(i, 0, 41) for i, _ in near}
+
+
+def test_ngram_common_token(spark, monkeypatch):
+    """A passage that very many otherwise different documents hold makes no candidates; long lists are paired in blocks."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(12))
+    data = [(i, passage + " " + " ".join(f"v{rng.randrange(10**7)}" for _ in range(40))) for i in range(3000)]
+    data += [(5000 + i, " ".join(rng.sample([f"s{j}" for j in range(9)], 4))) for i in range(600)]
+    monkeypatch.setattr(ngram_join, "HOT", 500)
+    monkeypatch.setattr(ngram_join, "HOT_LOCAL", 2)
+    monkeypatch.setattr(ngram_join, "LIGHT", 2)
+    monkeypatch.setattr(ngram_join, "CELL", 4)
+    for n in (4, 1):
+        few = data if n == 4 else data[3000:]
+        out = ngram_join.components(spark.createDataFrame(few, "doc_id long, text string").repartition(5), n, 85)
+        brute = brute_components(few if n == 1 else few[:50] + few[3000:], n, 85)
+        assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()} >= brute
+
+
+def test_linked():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(120)]
+    extra = rng.integers(0, 4, 120)
+    n = np.array([len(s) for s in sets]) + extra
+    want = [[100 * len(np.intersect1d(a, b)) >= 60 * (n[i] + n[j] - len(np.intersect1d(a, b))) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    assert (ngram_join.linked(sets, sets, n, n, 60) == np.array(want)).all()
 
 
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
@@ -208,6 +239,7 @@ def test_ngram_join(docs, none, n, percent):
     assert out.count() == len(DATA)
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.where("doc_id is not null").collect()}
     assert got == brute_components(DATA, n, percent)
+    assert {(r["doc_id"], r["n_links"]) for r in out.where("doc_id is not null").collect()} == brute_links(DATA, n, percent)
     assert ngram_join.components(none, n, percent).count() == 0
 
 
