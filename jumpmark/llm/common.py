@@ -55,6 +55,17 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes that df has no such column (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def maybe_broadcast(df: DataFrame, n_bytes: int, limit: int = 64 << 20) -> DataFrame:
     """Broadcast hint only below a measured size; above it the join shuffles."""
     return F.broadcast(df) if n_bytes <= limit else df

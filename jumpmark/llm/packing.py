@@ -1,9 +1,13 @@
 """Best-fit packing into bins of several permitted lengths.
 
-Documents are dealt by hash into shards of about SHARD_ROWS rows, so no task sees more however large the corpus is. In a
-shard, pieces go from long to short into the open bin they leave least room in; where none takes a piece, the permitted
-size with the least cost per token it can still be filled with is opened. At the end each bin is downsized to the
-smallest permitted size that holds its contents.
+Rows are dealt evenly into shards of about SHARD_ROWS, equal rows too, so no task sees more however large the corpus is.
+In a shard, pieces go from long to short into the open bin they leave least room in. Where none takes a piece, a bin is
+opened, of the permitted size that costs least for each token: what a bin of that size could hold is found by filling it
+from the lengths that are still to be placed, longest first, and its cost is that of the smallest size which holds this
+(tokens, attention that grows with the square of the length, and a fixed part).
+So the sizes compete for the same pieces, and small bins are opened where large ones would stay half empty. At the end
+each bin is downsized to the smallest permitted size that holds its contents. A shard is also packed with the largest
+size alone, and the cheaper of the two packings stays.
 """
 
 from __future__ import annotations
@@ -16,23 +20,71 @@ from pyspark.sql import functions as F
 from jumpmark.llm.common import SPACE_WORD
 
 CAPACITIES = (512, 1024, 2048, 4096)
-#: What a bin costs beside its capacity, in tokens.
-OVERHEAD = 16
+#: What a bin costs beside its capacity, in tokens; and the length at which attention costs a token as much as all else.
+OVERHEAD, ATTENTION = 16, 1 << 14
 SHARD_ROWS = 50_000
 
 
-def open_size(item: int, left: int, capacities: tuple[int, ...], overhead: int) -> int:
-    """The permitted size to open for an item when so many tokens, its own included, are still to be placed."""
-    fits = [c for c in capacities if c >= item]
-    return min(fits, key=lambda c: ((c + overhead) / min(c, left), c))
+class Remaining:
+    """The lengths still to be placed: how many of each, and a bit mask of those there are."""
 
+    def __init__(self, lengths: list[int]):
+        self.count: dict[int, int] = {}
+        self.mask = 0
+        for n in lengths:
+            self.count[n] = self.count.get(n, 0) + 1
+            self.mask |= 1 << n
 
-def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
-    """Bin and offset of each item (lengths from 1 to the largest capacity, longest first), and each bin's final size."""
+    def take(self, n: int) -> None:
+        self.count[n] -= 1
+        if not self.count[n]:
+            self.mask ^= 1 << n
+
+    def fill(self, room: int) -> int:
+        """Tokens that would go into so much room, the longest pieces that fit first; nothing is taken."""
+        used, mask = 0, self.mask
+        while room:
+            mask &= (1 << (room + 1)) - 1
+            n = mask.bit_length() - 1
+            if n <= 0:
+                break
+            k = min(self.count[n], room // n)
+            used += k * n
+            room -= k * n
+            mask &= ~(1 << n)
+        return used
+
+
+def smallest(capacities: tuple[int, ...], used: int) -> int:
+    return next(c for c in capacities if c >= used)
+
+
+def bin_cost(capacity: int, overhead: int = OVERHEAD) -> float:
+    """What a sequence of a permitted length costs: its tokens, attention among them, and a fixed part."""
+    return capacity + capacity * capacity / ATTENTION + overhead
+
+
+def open_size(item: int, remaining: Remaining, capacities: tuple[int, ...], overhead: int) -> int:
+    """The permitted size to open for an item (already taken from what remains): least cost for each token it could hold."""
+    best = None
+    for c in capacities:
+        if c >= item:
+            used = item + remaining.fill(c - item)
+            cost = (bin_cost(smallest(capacities, used), overhead) / used, c)
+            best = cost if best is None or cost < best else best
+    return best[1]
+
+
+def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, joint: bool = True) -> tuple[list[int], list[int], list[int]]:
+    """Bin and offset of each item (lengths from 1 to the largest capacity, longest first), and each bin's final size.
+
+    Without joint only the largest size is opened.
+    """
     capacities = tuple(sorted(capacities))
-    left, room_mask, by_room = sum(lengths), 0, [[] for _ in range(capacities[-1] + 1)]
-    bins, offsets, size, used = [], [], [], []
+    remaining, room_mask, by_room = Remaining(lengths), 0, [[] for _ in range(capacities[-1] + 1)]
+    bins, offsets, used = [], [], []
     for n in lengths:
+        remaining.take(n)
         fitting = room_mask >> n
         if fitting:
             room = n + (fitting & -fitting).bit_length() - 1
@@ -40,18 +92,21 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead:
             if not by_room[room]:
                 room_mask ^= 1 << room
         else:
-            b, room = len(size), open_size(n, left, capacities, overhead)
-            size.append(room)
+            b, room = len(used), open_size(n, remaining, capacities, overhead) if joint else capacities[-1]
             used.append(0)
         bins.append(b)
         offsets.append(used[b])
         used[b] += n
-        left -= n
         room -= n
         if room:
             by_room[room].append(b)
             room_mask |= 1 << room
-    return bins, offsets, [next(c for c in capacities if c >= u) for u in used]
+    return bins, offsets, [smallest(capacities, u) for u in used]
+
+
+def pack_best(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
+    """The cheaper of the packings with all sizes and with the largest alone; of equal ones the former."""
+    return min((pack(lengths, capacities, overhead, joint) for joint in (True, False)), key=lambda p: sum(bin_cost(c, overhead) for c in p[2]))
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -75,7 +130,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", cap
         out["n_tokens"] = np.minimum(top, out["n"] - out["start"])
         out = out.iloc[np.argsort(-out["n_tokens"].to_numpy(), kind="stable")].reset_index(drop=True)
         some = int((out["n_tokens"] > 0).sum())
-        bins, offsets, sizes = pack(out["n_tokens"].iloc[:some].tolist(), capacities, overhead)
+        bins, offsets, sizes = pack_best(out["n_tokens"].iloc[:some].tolist(), capacities, overhead)
         b = np.array(bins, dtype=np.int64)
         used = np.bincount(b, weights=out["n_tokens"].iloc[:some], minlength=len(sizes)).astype(np.int64) if some else np.zeros(0, np.int64)
         rest = [None] * (len(out) - some)
@@ -83,6 +138,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", cap
             out[name] = pd.array([*map(int, values), *rest], dtype="Int64")
         return out[["k", "piece", "start", "n_tokens", "shard", "bin", "offset", "capacity", "bin_used"]]
 
-    dealt = lengths.withColumn("shard", F.pmod(F.xxhash64("k", "n"), F.lit(shards)))
+    # a row's place in its file counts too, so that equal rows are spread
+    dealt = lengths.withColumn("shard", F.pmod(F.xxhash64("k", "n", F.monotonically_increasing_id()), F.lit(shards)))
     packed = dealt.groupBy("shard").applyInPandas(one, f"k {key_type}, piece long, start long, n_tokens long, shard long, bin long, offset long, capacity long, bin_used long")
     return packed.withColumnRenamed("k", key)

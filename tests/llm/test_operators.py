@@ -358,21 +358,63 @@ def test_packing(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def cost_of(packed):
+    return sum(map(packing.bin_cost, packed[2]))
+
+
 def test_pack_is_best_fit():
     rng = random.Random(2)
     lengths = sorted((rng.randint(1, 4096) for _ in range(500)), reverse=True)
     bins, offsets, sizes = packing.pack(lengths)
-    room, left = {}, sum(lengths)
+    room, remaining = {}, packing.Remaining(lengths)
     for n, b in zip(lengths, bins, strict=True):
+        remaining.take(n)
         fits = [r for r in room.values() if r >= n]
         if fits:
             assert room[b] == min(fits)
         else:
             assert b not in room
-            room[b] = packing.open_size(n, left, packing.CAPACITIES, packing.OVERHEAD)
+            room[b] = packing.open_size(n, remaining, packing.CAPACITIES, packing.OVERHEAD)
         room[b] -= n
-        left -= n
-    assert sum(sizes) < 1.1 * sum(lengths)
+    assert sum(sizes) < 1.2 * sum(lengths)
+
+
+def test_pack_mixes_sizes():
+    """Several sizes are opened, for less than the largest one alone costs, and small inputs come near the optimum."""
+    rng = random.Random(3)
+    lengths = sorted((int(min(4096, rng.lognormvariate(6, 1))) or 1 for _ in range(3000)), reverse=True)
+    joint, single = packing.pack(lengths), packing.pack(lengths, joint=False)
+    assert len(set(joint[2])) >= 3 and min(joint[2].count(c) for c in set(joint[2])) > 20
+    assert cost_of(packing.pack_best(lengths)) <= min(cost_of(joint), cost_of(single))
+    assert cost_of(joint) < cost_of(single)
+
+    def optimum(items):
+        best = [float("inf")]
+
+        def place(k, loads):
+            low = sum(packing.bin_cost(packing.smallest(packing.CAPACITIES, u)) for u in loads)
+            if low >= best[0]:
+                return
+            if k == len(items):
+                best[0] = low
+                return
+            for b in range(len(loads)):
+                if loads[b] + items[k] <= packing.CAPACITIES[-1]:
+                    place(k + 1, [*loads[:b], loads[b] + items[k], *loads[b + 1 :]])
+            place(k + 1, [*loads, items[k]])
+
+        place(0, [])
+        return best[0]
+
+    for _ in range(30):
+        items = sorted((rng.randint(1, 3000) for _ in range(7)), reverse=True)
+        assert cost_of(packing.pack_best(items)) <= 1.35 * optimum(items)
+
+
+def test_packing_spreads_equal_rows(spark):
+    d = spark.createDataFrame([(1, "a b c")] * 4000, "doc_id long, text string")
+    per = [r["n"] for r in packing.pack_documents(d, shard_rows=500).groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert len(per) == 8 and max(per) < 700 and sum(per) == 4000
 
 
 def test_token_counts(docs, none):
