@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jumpmark.llm.common import ALNUM_WORD, ascii_lower, maybe_broadcast, stored, words
+from jumpmark.llm.common import ALNUM_WORD, ascii_lower, fresh, maybe_broadcast, stored, words
 
 WINDOW = 10
 #: As ALNUM_WORD, before A-Z is lower-cased; and what stands between such words.
@@ -44,44 +44,58 @@ def _block(w: Column, i: Column, b: int) -> Column:
     return F.xxhash64(*(F.get(w, i + k) for k in range(b)))
 
 
-def _hits(docs: DataFrame, wins: DataFrame, m: int, n_bytes: int, key: str, text: str) -> DataFrame:
-    b = (m + 1) // 2
-    around = m - b
-    mine = wins.filter(F.col("m") == m)
+def _hits(docs: DataFrame, wins: DataFrame, lengths: dict[int, int], key: str, text: str) -> DataFrame:
+    """(_id, _k, s, m, items): windows of documents that items hold; lengths: words of a window -> bytes of all such windows.
+
+    Documents are read twice, however many lengths there are: for their aligned blocks, and, those with a block that meets,
+    for the windows around it.
+    """
+    n_bytes = sum(lengths.values())
+    part = {m: (m + 1) // 2 for m in lengths}
     # blocks are hashed in Unicode lower case, which agrees wherever ASCII lower case does and is fast; the windows decide
-    blocks = mine.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(around)), lambda i: _block(F.split(_folded(F.col("win")), " "), i, b))).alias("h")).distinct()
-    d = docs.select(F.col(key).alias("_id"), _key(text).alias("_k"), words(_folded(F.col(text)), ALNUM_WORD).alias("_w")).filter(F.size("_w") >= m)
-    at = F.sequence(F.lit(0), F.size("_w") - b, F.lit(b))
-    d = d.select("_id", "_k", F.posexplode(F.transform(at, lambda i: _block(F.col("_w"), i, b))).alias("p", "h"))
-    met = d.join(maybe_broadcast(blocks, n_bytes), "h", "left_semi").groupBy("_id", "_k").agg(F.collect_set(F.col("p") * b).alias("at"))
+    low = F.split(_folded(F.col("win")), " ")
+    blocks = None
+    for m, b in part.items():
+        own = wins.filter(F.col("m") == m).select(F.lit(m).alias("m"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(m - b)), lambda i: _block(low, i, b))).alias("h"))
+        blocks = own if blocks is None else blocks.unionByName(own)
+    d = docs.select(F.col(key).alias("_id"), _key(text).alias("_k"), words(_folded(F.col(text)), ALNUM_WORD).alias("_w")).filter(F.size("_w") >= min(lengths))
+    w, none = F.col("_w"), F.array().cast("array<struct<m:int,at:int,h:bigint>>")
+    each = [F.when(F.size(w) >= m, F.transform(F.sequence(F.lit(0), F.size(w) - b, F.lit(b)), lambda i: F.struct(F.lit(m).alias("m"), i.alias("at"), _block(w, i, b).alias("h")))).otherwise(none) for m, b in part.items()]
+    d = d.select("_id", "_k", F.explode(F.concat(*each)).alias("x")).select("_id", "_k", "x.*")
+    met = d.join(maybe_broadcast(blocks.distinct(), n_bytes), ["m", "h"], "left_semi").groupBy("_id", "_k").agg(F.collect_set(F.struct("m", "at")).alias("met"))
     met = stored(met.withColumnsRenamed({"_id": "_i4", "_k": "_k4"}))
-    size = met.agg(F.sum(F.size("at") * 8 + 64).alias("b")).first()["b"] or 0
+    size = met.agg(F.sum(F.size("met") * 16 + 64).alias("b")).first()["b"] or 0
     again = docs.select(F.col(key).alias("_id"), _key(text).alias("_k"), F.col(text).alias("_t"))
     again = again.join(maybe_broadcast(met, size), F.col("_id").eqNullSafe(F.col("_i4")) & F.col("_k").eqNullSafe(F.col("_k4")))
-    again = again.select("_id", "_k", "at", words(ascii_lower(F.col("_t")), ALNUM_WORD).alias("_w"))
-    starts = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(F.greatest(i - around, F.lit(0)), F.least(i, F.size("_w") - m)))))
-    places = F.transform(starts, lambda s: F.struct(s.alias("s"), F.array_join(F.slice(F.col("_w"), s + 1, F.lit(m)), " ").alias("win")))
+    again = again.select("_id", "_k", "met", words(ascii_lower(F.col("_t")), ALNUM_WORD).alias("_w"))
+
+    def around(x: Column) -> Column:
+        """Starts of the windows of m words that hold the block at x.at."""
+        first = F.greatest(x["at"] - (x["m"] - F.floor((x["m"] + 1) / 2).cast("int")), F.lit(0))
+        return F.transform(F.sequence(first, F.least(x["at"], F.size("_w") - x["m"])), lambda s: F.struct(x["m"].alias("m"), s.alias("s")))
+
+    starts = F.array_distinct(F.flatten(F.transform("met", around)))
+    places = F.transform(starts, lambda p: F.struct(p["m"].alias("m"), p["s"].alias("s"), F.array_join(F.slice(F.col("_w"), p["s"] + 1, p["m"]), " ").alias("win")))
     seen = again.select("_id", "_k", F.explode(places).alias("p")).select("_id", "_k", "p.*")
-    return seen.join(maybe_broadcast(mine.select("win", "items"), n_bytes), "win").select("_id", "_k", "s", F.lit(m).alias("m"), "items")
+    return seen.join(maybe_broadcast(wins.select("m", "win", "items"), n_bytes), ["m", "win"]).select("_id", "_k", "s", "m", "items")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, item: str = "item_id", item_text: str = "text", keep_hash: bool = False) -> DataFrame:
     """One row per input row: key, n_words, n_hit, spans (word intervals, merged), items.
 
     Null text has no words and no hits, as has an item with null text; an item with a null id is left out. Repeated rows
-    give repeated results. Columns beside those named are not looked at. An empty benchmark hits nothing.
+    give repeated results. Columns beside those named are not looked at. An empty benchmark hits nothing. With keep_hash
+    a column _k, the hash of the row's text.
     """
-    wins = item_windows(benchmark, text=text if text in benchmark.columns else "text", window=window)
+    wins = item_windows(benchmark, item, item_text, window)
     # at most `window` rows: the lengths that occur, and the size of what would be broadcast
-    sizes = wins.groupBy("m").agg(F.sum(F.length("win") + 16 * F.size("items") + 64).alias("b")).collect()
+    sizes = {r["m"]: r["b"] for r in wins.groupBy("m").agg(F.sum(F.length("win") + 16 * F.size("items") + 64).alias("b")).collect()}
     base = docs.select(F.col(key).alias("_id"), _key(text).alias("_k"), F.coalesce(F.regexp_count(F.col(text), F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
-    item_type = benchmark.schema["item_id"].dataType.simpleString()
+    item_type = benchmark.schema[item].dataType.simpleString()
+    also = ["_k"] if keep_hash else []
     if not sizes:
-        return base.select(F.col("_id").alias(key), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"), F.array().cast(f"array<{item_type}>").alias("items"))
-    hits = None
-    for row in sizes:
-        h = _hits(docs, wins, row["m"], row["b"], key, text)
-        hits = h if hits is None else hits.unionByName(h)
+        return base.select(F.col("_id").alias(key), *also, "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"), F.array().cast(f"array<{item_type}>").alias("items"))
+    hits = _hits(docs, wins, dict(sorted(sizes.items())), key, text)
     per = hits.groupBy("_id", "_k").agg(F.array_sort(F.collect_set(F.struct("s", "m"))).alias("p"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     none = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("out"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
 
@@ -96,21 +110,27 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
     joined = base.join(per, F.col("_id").eqNullSafe(F.col("_i2")) & F.col("_k").eqNullSafe(F.col("_k2")), "left")
     return joined.select(
-        F.col("_id").alias(key), "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"),
+        F.col("_id").alias(key), *also, "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("spans", F.array().cast("array<struct<s:int,e:int>>")).alias("spans"), F.coalesce("items", F.array().cast(f"array<{item_type}>")).alias("items"),
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "document", key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "document", key: str = "doc_id", text: str = "text", window: int = WINDOW, item: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without its contaminated documents (mode document) or without the hit words (mode span), same columns.
 
-    Rows are matched by key. In span mode a removed word takes the gap before it along.
+    Rows are matched by key, in span mode by key and text, so that a key's other texts keep theirs; repeated rows change
+    alike. In span mode a removed word takes the gap before it along. Names of docs' columns may be any.
     """
-    found = find(docs.select(key, text), benchmark, key, text, window).filter("n_hit > 0").select(F.col(key).alias("_i3"), F.col("spans").alias("_spans3")).distinct()
-    on = F.col(key).eqNullSafe(F.col("_i3"))
+    k3, t3, spans3 = fresh(docs, "_k3", "_t3", "_spans3")
+    own = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
+    on = F.col(f"`{key}`").eqNullSafe(F.col(k3))
     if mode == "document":
-        return docs.join(found, on, "left_anti")
-    parts = F.regexp_extract_all(F.col(text), F.lit(f"(?:{RAW_GAP})?{RAW_WORD}|{RAW_GAP}$"), F.lit(0))
-    kept = F.filter(F.transform(parts, lambda x, i: F.when(~F.exists("_spans3", lambda s: (s["s"] <= i) & (i < s["e"])), x)), lambda x: x.isNotNull())
-    cut = F.when(F.col("_spans3").isNotNull(), F.array_join(kept, "")).otherwise(F.col(text))
-    return docs.join(found, on, "left").withColumn(text, cut).select(*docs.columns)
+        found = find(own, benchmark, "_key", "_text", window, item, item_text).filter("n_hit > 0")
+        return docs.join(found.select(F.col("_key").alias(k3)).distinct(), on, "left_anti")
+    placed = find(own, benchmark, "_key", "_text", window, item, item_text, keep_hash=True).filter("n_hit > 0")
+    placed = placed.select(F.col("_key").alias(k3), F.col("_k").alias(t3), F.col("spans").alias(spans3)).distinct()
+    parts = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(f"(?:{RAW_GAP})?{RAW_WORD}|{RAW_GAP}$"), F.lit(0))
+    kept = F.filter(F.transform(parts, lambda x, i: F.when(~F.exists(spans3, lambda s: (s["s"] <= i) & (i < s["e"])), x)), lambda x: x.isNotNull())
+    cut = F.when(F.col(spans3).isNotNull(), F.array_join(kept, "")).otherwise(F.col(f"`{text}`"))
+    out = docs.join(placed, on & F.xxhash64(f"`{text}`").eqNullSafe(F.col(t3)), "left")
+    return out.select(*(cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))

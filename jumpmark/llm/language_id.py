@@ -2,7 +2,7 @@
 
 Training counts hashed 2- and 3-grams by language over all learnable documents: each task counts with numpy and sends at
 most languages x buckets sums. The log-probability matrix (languages x BUCKETS doubles, bounded by the number of
-languages) goes to the tasks with the function; scoring is a gather and a segmented sum in numpy.
+languages) is a broadcast variable; scoring is a gather and a segmented sum in numpy.
 """
 
 from __future__ import annotations
@@ -12,16 +12,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jumpmark.llm.common import fresh
 from jumpmark.llm.text_bytes import slices
 
 BUCKETS = 1 << 14
 #: Additive smoothing of the counts.
 ALPHA = 0.5
-#: Longer texts are hashed in pieces of so many characters; n-grams across a cut are not counted.
+#: Longer texts are hashed in pieces of so many characters, each with its neighbours' nearest one, so that no n-gram is lost or added.
 PIECE = 1 << 20
 #: Bytes of text hashed at a time.
 SLICE = 1 << 18
@@ -33,13 +35,16 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams, and where each text's begin (one more entry than texts)."""
-    low = [f" {t.lower()} " for t in texts]
-    c = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    starts = np.concatenate([[0], np.cumsum([len(t) for t in low])])
-    at = np.flatnonzero(_letters()[c])  # never first or last: each text has a space on both sides
+def _grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams around the letters of each part but its first and last character, and where each part's begin (one more entry than parts)."""
+    c = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    lengths = np.array([len(p) for p in parts], dtype=np.int64)
+    ends = np.cumsum(lengths)
     letter = _letters()[c]
+    inner = letter.copy()
+    inner[ends - lengths] = False
+    inner[ends - 1] = False
+    at = np.flatnonzero(inner)
     c = np.where(letter, c, 32).astype(np.uint32)
     x, y, z = c[at - 1], c[at], c[at + 1]
     pair = y * np.uint32(0x9E3779B1) ^ z * np.uint32(0x85EBCA6B)
@@ -49,14 +54,16 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     three = ((trio ^ trio >> np.uint32(13)) * np.uint32(0x297A2D39)) >> shift
     out = np.empty(2 * len(at), dtype=np.int32)
     out[::2], out[1::2] = two, three
-    return out, 2 * np.searchsorted(at, starts)
+    return out, 2 * np.searchsorted(at, np.concatenate([[0], ends]))
 
 
 def _pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Lower-cased texts in pieces, each between its neighbours' characters or spaces, and the text each belongs to."""
     parts, owner = [], []
     for i, t in enumerate(texts):
-        for k in range(0, max(len(t), 1), PIECE):
-            parts.append(t[k : k + PIECE])
+        low = f" {t.lower()} "
+        for k in range(0, max(len(low) - 2, 1), PIECE):
+            parts.append(low[k : k + PIECE + 2])
             owner.append(i)
     return parts, np.array(owner)
 
@@ -112,13 +119,19 @@ def score_texts(texts: list[str | None], names: list[str], prior: np.ndarray, lo
     return out, best
 
 
+def _sent(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> Broadcast:
+    """The model as a broadcast variable: languages x BUCKETS floats, bounded by the number of languages."""
+    names, prior, logp = model
+    return docs.sparkSession.sparkContext.broadcast((names, prior, logp.astype(np.float32)))
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score for each row. Text that is null or has no letter: und with score 0; equal scores: the language first in order."""
-    names, prior, logp = model
-    logp = logp.astype(np.float32)
+    sent = _sent(docs, model)
     key_type = docs.schema[key].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, prior, logp = sent.value
         for b in slices(batches, "t", SLICE):
             out, best = score_texts(b.column("t").to_pylist(), names, prior, logp)
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(out, pa.string()), pa.array(best)], ["k", "lang_pred", "score"])
@@ -128,16 +141,20 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
 
 
 def label(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
-    """docs with columns _pred and _score added, row by row (no join): the prediction of each row's text."""
-    names, prior, logp = model
-    logp = logp.astype(np.float32)
+    """docs with two more columns at the end, row by row (no join): the language predicted for each row's text and its score.
+
+    They are named _pred and _score, with more underscores before them where docs has such a column already.
+    """
+    sent = _sent(docs, model)
+    added = fresh(docs, "_pred", "_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, prior, logp = sent.value
         for b in slices(batches, text, SLICE):
             out, best = score_texts(b.column(text).to_pylist(), names, prior, logp)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string()), pa.array(best)], [*b.schema.names, "_pred", "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string()), pa.array(best)], [*b.schema.names, *added])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jumpmark.llm.common import SPACE_WORD, maybe_broadcast, stored
+from jumpmark.llm.common import SPACE_WORD, fresh, maybe_broadcast, stored
 from jumpmark.llm.text_bytes import raw, slices
 
 #: Leading tokens that lead to a leaf; documents a template recurs in; share of tokens a line must agree on.
@@ -124,6 +124,12 @@ def distinct_lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens:
     return stored(_lines(docs, key, text, depth, min_tokens, False).distinct())
 
 
+def _few(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df stored, to be broadcast where it is small."""
+    kept = stored(df)
+    return maybe_broadcast(kept, row_bytes * kept.count())
+
+
 def templates(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, agree: float = AGREE, min_tokens: int = MIN_TOKENS, lines: DataFrame | None = None, equal_docs: int = EQUAL_DOCS, short_docs: int = SHORT_DOCS) -> DataFrame:
     """(tpl, cluster, n_docs, first): line templates that recur, the cluster each generalises to, documents, first document."""
     lines = distinct_lines(docs, key, text, depth, min_tokens) if lines is None else lines
@@ -141,39 +147,46 @@ def templates(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: i
     tokens = stored(tokens.groupBy("leaf", "tpl", "n").agg(F.min("toks").alias("toks")))
     by_place = tokens.select("leaf", "n", F.posexplode("toks").alias("p", "tok")).groupBy("leaf", "p", "tok").agg(F.sum("n").alias("n"))
     common = by_place.groupBy("leaf", "p").agg(F.max(F.struct("n", "tok")).alias("top"), F.sum("n").alias("all")).where("2 * top.n >= all")
-    constant = common.select("leaf", "p", F.col("top.tok").alias("tok"))
+    constant = _few(common.select("leaf", "p", F.col("top.tok").alias("tok")), 40)
     agreed = tokens.select("leaf", "tpl", F.size("toks").alias("len"), F.posexplode("toks").alias("p", "tok")).join(constant, ["leaf", "p", "tok"]).groupBy("leaf", "tpl", "len").agg(F.count("*").alias("same"))
-    joined = agreed.where(F.col("same") >= agree * F.col("len")).select("leaf", "tpl", F.lit(True).alias("in_leaf"))
-    out = per.join(joined, ["leaf", "tpl"], "left").withColumn("cluster", F.when(F.col("in_leaf"), F.col("leaf")).otherwise(F.col("tpl")))
-    groups = out.groupBy("cluster", "short").agg(F.sum("n").alias("n_docs"), F.min("first").alias("group_first")).where(F.col("n_docs") >= least).drop("short")
-    out = out.join(groups, "cluster", "left").where(recurs | F.col("n_docs").isNotNull())
-    return out.select("tpl", F.when(F.col("n_docs").isNull(), F.col("tpl")).otherwise(F.col("cluster")).alias("cluster"), F.coalesce("n_docs", "n").alias("n_docs"), F.coalesce("group_first", "first").alias("first"))
+    joined = stored(agreed.where(F.col("same") >= agree * F.col("len")).select("leaf", "tpl", F.lit(True).alias("in_leaf")))
+    n_joined = joined.count()
+    # documents of a group: each once, however many of its templates it holds
+    held = lines.select("k", "leaf", "tpl", "short").join(maybe_broadcast(joined.select("leaf", "tpl"), 40 * n_joined), ["leaf", "tpl"]).groupBy("leaf", "k").agg(F.max("short").alias("short"))
+    groups = held.groupBy("leaf", "short").agg(F.count("*").alias("n_docs"), F.min("k").alias("group_first")).where(F.col("n_docs") >= least)
+    groups = _few(groups.select("leaf", "n_docs", "group_first"), 40)
+    out = per.join(maybe_broadcast(joined, 40 * n_joined), ["leaf", "tpl"], "left")
+    out = out.join(groups, "leaf", "left").withColumn("grouped", F.col("in_leaf").isNotNull() & F.col("n_docs").isNotNull()).where(recurs | F.col("grouped"))
+    pick = lambda a, b: F.when(F.col("grouped"), F.col(a)).otherwise(F.col(b))
+    return out.select("tpl", pick("leaf", "tpl").alias("cluster"), pick("n_docs", "n").alias("n_docs"), pick("group_first", "first").alias("first"))
 
 
 def _dropped_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
     """(k, drop): hashes of the line templates to drop from a document."""
-    hits = lines.select("k", "tpl").join(found.select("tpl", "first"), "tpl").where(F.col("k") > F.col("first"))
+    hits = lines.select("k", "tpl").join(_few(found.select("tpl", "first"), 40), "tpl").where(F.col("k") > F.col("first"))
     return hits.groupBy("k").agg(F.collect_set("tpl").alias("drop"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, agree: float = AGREE, min_tokens: int = MIN_TOKENS, equal_docs: int = EQUAL_DOCS, short_docs: int = SHORT_DOCS) -> DataFrame:
-    """docs with recurring lines taken out of text, and columns _n_lines and _n_dropped (long).
+    """docs with recurring lines taken out of text, and two more columns (long) at the end: lines and lines dropped.
 
-    A document counts once for a template, however often it repeats the line. Null text stays null; rows with a null key
-    are neither counted nor changed. Repeated rows of a key are one document. Empty tables give empty tables. Lines are what
-    \\n separates; tokens are separated by ASCII white space.
+    These are named _n_lines and _n_dropped, with more underscores before them where docs has such a column already.
+    A document counts once for a template and for a group of them, however often it repeats the line. Null text stays null
+    with one line; rows with a null key are neither counted nor changed. Repeated rows of a key are one document. Empty tables
+    give empty tables. Lines are what \\n separates; tokens are separated by ASCII white space.
     """
+    d_key, d_drop, n_all, n_gone = fresh(docs, "_dk", "_drop", "_n_lines", "_n_dropped")
     lines = distinct_lines(docs, key, text, depth, min_tokens)
     found = templates(docs, key, text, depth, min_docs, agree, min_tokens, lines, equal_docs, short_docs)
     drop = stored(_dropped_lines(lines, found))
     size = drop.agg(F.sum(F.size("drop") * 8 + 32).alias("b")).first()["b"] or 0
-    named = drop.select(F.col("k").alias("_dk"), F.col("drop").alias("_drop"))
-    own = docs.join(maybe_broadcast(named, size), F.col(key) == F.col("_dk"), "left")
+    named = drop.select(F.col("k").alias(d_key), F.col("drop").alias(d_drop))
+    own = docs.join(maybe_broadcast(named, size), F.col(f"`{key}`") == F.col(d_key), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
             kept, n_lines, n_dropped = [], [], []
-            for t, d in zip(raw(b, text), b.column("_drop").to_pylist(), strict=True):
+            for t, d in zip(raw(b, text), b.column(d_drop).to_pylist(), strict=True):
                 lines = (t or b"").split(b"\n")
                 if d:
                     gone = set(d)
@@ -184,12 +197,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
                 kept.append(None if t is None else t.decode("utf-8", "replace"))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(stay))
-            cols = {n: b.column(n) for n in b.schema.names if n not in ("_dk", "_drop")}
+            cols = {n: b.column(n) for n in b.schema.names if n not in (d_key, d_drop)}
             cols[text] = pa.array(kept, pa.string())
-            cols["_n_lines"], cols["_n_dropped"] = pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())
+            cols[n_all], cols[n_gone] = pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField(n_all, T.LongType()), T.StructField(n_gone, T.LongType())])
     return own.mapInArrow(cut, schema)
 
 

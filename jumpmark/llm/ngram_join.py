@@ -14,9 +14,10 @@ fixed number of them) would meet in one block; their frequency goes with the tas
 
 So that groups of near copies are not expanded into all their pairs, a first round pairs each token's documents with one
 pivot only and a second, for the longer lists, with a few. Lists that still hold more than one component are then paired
-across components, long ones in blocks of CELL documents, so that no row is made for a pair that fails a filter. No link
-that could join two components is left out, so the components are those of all links. Links are counted component by
-component, in blocks of bounded size, without a row for each pair.
+across components: short ones by a join; long ones, gathered into groups that have documents in common, in blocks of bounded
+size, which compare whole sets and make a row only for a link that joins two components. No link that could join two
+components is left out, so the components are those of all links. Links are counted component by component, in such blocks
+too, without a row for each pair.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ from jumpmark.llm.text_bytes import raw, slices, space_words
 FLUSH, BLOCK, LEAST_BLOCKS = 1 << 20, 1 << 20, 1 << 8
 #: A token is counted apart from this many documents on (more in a corpus of over HOT * HOT_SHARE tokens), and how often a flush must hold it to say so.
 HOT, HOT_SHARE, HOT_LOCAL = 1 << 12, 1 << 20, 4
-#: Pivots per token in the second round; documents of a list that are paired by a join, and in a block beyond that.
+#: Pivots per token in the second round; documents of a list that are paired by a join; documents of one side of a block.
 PIVOTS, LIGHT, CELL = 8, 64, 1 << 11
-#: Tokens that one side of a block of link counting holds, about.
+#: Tokens that one side of a block holds, about.
 CELL_TOKENS = 1 << 20
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _MOVED = "p long, f long, hi binary, lo binary, at binary, df binary, rs binary, ns binary"
@@ -283,65 +284,6 @@ def _unjoined(post: DataFrame, found: DataFrame, more_than: int) -> DataFrame:
     return stored(placed.join(still, "tok"))
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components of long lists that pass the filters, in blocks of about CELL postings by CELL."""
-    cells = F.ceil(F.col("c") / CELL).cast("int")
-    dealt = rows.withColumn("cells", cells).withColumn("own", F.pmod(F.xxhash64("r"), F.col("cells")).cast("int"))
-    each = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
-    each = each.select("tok", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "own", "r", "root", "n", "m", "i", "alone", "b0", "b1", "b2", "b3")
-
-    def one(table: pa.Table) -> pa.Table:
-        c = {x: table.column(x).to_numpy() for x in table.column_names}
-        u, v = c["u"][0], c["v"][0]
-        order = np.argsort(c["n"], kind="stable")
-        left, right = order[c["own"][order] == u], order[c["own"][order] == v]
-        ns = c["n"].astype(np.int64)
-        sign = np.column_stack([c[f"b{i}"] for i in range(4)])
-        out = []
-        for x in left.tolist():
-            lo, hi = np.searchsorted(ns[right], [_needed(int(ns[x]), percent), 100 * int(ns[x]) // percent + 1])
-            y = right[lo:hi]
-            y = y[(c["root"][y] != c["root"][x]) & ((u != v) | (c["r"][y] > c["r"][x]))]
-            both = ns[x] + ns[y]
-            need = (percent * both + 99 + percent) // (100 + percent)
-            overlap = np.minimum(c["i"][x], c["i"][y]) + 1 + np.minimum(c["m"][x] - c["i"][x] - 1, c["m"][y] - c["i"][y] - 1)
-            differ = np.bitwise_count(sign[y] ^ sign[x]).sum(axis=1, dtype=np.int64) + c["alone"][x] + c["alone"][y]
-            y = y[(overlap >= need) & (differ <= both - 2 * need)]
-            if len(y):
-                out.append(np.column_stack([np.minimum(c["r"][y], c["r"][x]), np.maximum(c["r"][y], c["r"][x])]))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.Table.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
-
-    return each.groupBy("tok", "u", "v").applyInArrow(one, "a long, b long")
-
-
-def links(classes: DataFrame, post: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of classes whose components are those of all similar pairs."""
-    fields = ("i", "r", "n", "m", "alone", "b0", "b1", "b2", "b3")
-    same, filters = F.col("x.tok") == F.col("y.tok"), _passes(percent)
-    pair = (F.least("x.r", "y.r").alias("a"), F.greatest("x.r", "y.r").alias("b"))
-    tried, found = None, None
-    # what stands early in a document's order has few rarer tokens before it: such documents are central in their group
-    for pivots in (1, PIVOTS):
-        rows = post if found is None else _unjoined(post, found, 4 * PIVOTS)
-        top = rows.groupBy("tok", F.pmod("r", F.lit(pivots)).alias("part")).agg(F.min(F.struct(*fields)).alias("p")).select("tok", "p.*")
-        differ = F.col("x.r") != F.col("y.r")
-        if found is not None:
-            top = top.join(rows.select("tok", "r", "root"), ["tok", "r"])
-            differ = F.col("x.root") != F.col("y.root")
-        new = rows.alias("x").join(top.alias("y"), same & differ & filters).select(*pair).distinct()
-        new = stored(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
-        good = _verified(new, classes, percent)
-        tried = new if tried is None else tried.union(new)
-        found = stored(good if found is None else found.union(good))
-    rows = _unjoined(post, found, 0)
-    light = rows.where(F.col("c") <= LIGHT)
-    second = light.alias("x").join(light.alias("y"), same & (F.col("x.r") < F.col("y.r")) & (F.col("x.root") != F.col("y.root")) & filters).select(*pair)
-    second = second.union(_across(rows.where(F.col("c") > LIGHT), percent)).distinct()
-    second = stored(second.join(tried, ["a", "b"], "left_anti"))
-    return stored(found.union(_verified(second, classes, percent)))
-
-
 def linked(x: list[np.ndarray], y: list[np.ndarray], nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
     """Which sets of x (rows) are similar to which of y (columns); nx, ny: their whole sizes, tokens that meet nothing included."""
     both = np.zeros((len(x), len(y)), np.int64)
@@ -383,48 +325,119 @@ def linked(x: list[np.ndarray], y: list[np.ndarray], nx: np.ndarray, ny: np.ndar
     return 100 * both >= percent * (nx[:, None] + ny[None, :] - both)
 
 
-def _cells(table: pa.Table, percent: int) -> pa.Table:
-    """Links between the two parts (own = u and own = v) of each component of a group: rows (r, l)."""
-    root, own, r, n, size, u, v = (table.column(c).to_numpy() for c in ("root", "own", "r", "n", "size", "u", "v"))
+def _in_cells(members: DataFrame, of: str) -> DataFrame:
+    """Members (of: group, r, n, toks, ...) dealt to pairs of parts of their group: rows with g, large, u and v to group by.
+
+    A group is cut into parts of about CELL classes and CELL_TOKENS tokens at most, and a row goes to each pair of parts
+    that its own part (own) is in. Small groups share a task's call.
+    """
+    per = members.groupBy(of).agg(F.count("*").alias("c"), F.sum(F.size("toks")).alias("m"))
+    parts = stored(per.select(of, "m", F.greatest(F.ceil(F.col("c") / CELL), F.ceil(F.col("m") / CELL_TOKENS), F.lit(1)).cast("int").alias("cells")))
+    calls = max(1, (parts.agg(F.sum("m")).first()[0] or 0) // (CELL_TOKENS // 4))
+    dealt = members.join(parts.drop("m"), of).withColumn("own", F.pmod(F.xxhash64("r"), F.col("cells")).cast("int"))
+    call = F.when(F.col("cells") > 1, F.col(of)).otherwise(F.pmod(F.xxhash64(of), F.lit(calls)))
+    each = dealt.withColumn("g", call).withColumn("large", F.col("cells") > 1).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    return each.withColumns({"u": F.least("own", "other"), "v": F.greatest("own", "other")}).drop("cells", "other")
+
+
+def _compared(table: pa.Table, of: str, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """For each group of a call: the rows of its two parts (own = u and own = v), which of them are similar, and whether the parts are one."""
+    group, own, n, u, v = (table.column(c).to_numpy() for c in (of, "own", "n", "u", "v"))
     toks = table.column("toks").combine_chunks()
     ends, flat = toks.offsets.to_numpy(), toks.values.to_numpy()
-    order = np.argsort(root, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1]]))
-    rs, ls = [], []
+    order = np.argsort(group, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
+    sets = lambda at: [flat[ends[k] : ends[k + 1]] for k in at.tolist()]
     for rows in np.split(order, heads[1:]):
         x, y = rows[own[rows] == u[0]], rows[own[rows] == v[0]]
-        if not len(x) or not len(y):
-            continue
-        sets = lambda at: [flat[ends[k] : ends[k + 1]] for k in at.tolist()]
-        found = linked(sets(x), sets(y), n[x].astype(np.int64), n[y].astype(np.int64), percent)
-        if u[0] == v[0]:
-            np.fill_diagonal(found, False)
-        else:
-            rs.append(r[y])
-            ls.append(found.T.astype(np.float64) @ size[x])
-        rs.append(r[x])
-        ls.append(found.astype(np.float64) @ size[y])
-    if not rs:
-        return pa.Table.from_arrays([pa.array([], pa.int64())] * 2, ["r", "l"])
-    return pa.Table.from_arrays([pa.array(np.concatenate(rs)), pa.array(np.rint(np.concatenate(ls)).astype(np.int64))], ["r", "l"])
+        if len(x) and len(y):
+            found = linked(sets(x), sets(y), n[x].astype(np.int64), n[y].astype(np.int64), percent)
+            if u[0] == v[0]:
+                np.fill_diagonal(found, False)
+            yield x, y, found, bool(u[0] == v[0])
+
+
+def _table(rows: list[np.ndarray], names: list[str]) -> pa.Table:
+    whole = np.concatenate(rows) if rows else np.zeros((0, len(names)), np.int64)
+    return pa.Table.from_arrays([pa.array(np.ascontiguousarray(whole[:, k])) for k in range(len(names))], names)
+
+
+def _across(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components between classes that share a long list, as few as join what they join.
+
+    Lists that have classes in common are one group, so that a pair is compared once however many tokens it shares.
+    """
+    first = rows.groupBy("tok").agg(F.min("r").alias("b"))
+    groups = connected(rows.select("tok", F.col("r").alias("a")).join(first, "tok").select("a", "b"))
+    members = rows.select("r", "root").distinct().join(groups.select(F.col("node").alias("r"), F.col("root").alias("grp")), "r").join(classes.select("r", "n", "toks"), "r")
+
+    def one(table: pa.Table) -> pa.Table:
+        r, root = table.column("r").to_numpy(), table.column("root").to_numpy()
+        out, above = [], {}
+
+        def top(k: int) -> int:
+            while above.get(k, k) != k:
+                k = above[k]
+            return k
+
+        for x, y, found, _ in _compared(table, "grp", percent):
+            found &= root[x][:, None] != root[y][None, :]
+            for i in np.flatnonzero(found.any(axis=1)).tolist():
+                at = y[np.flatnonzero(found[i])]
+                for k in at[np.unique(root[at], return_index=True)[1]].tolist():
+                    p, q = top(int(root[x[i]])), top(int(root[k]))
+                    if p != q:
+                        above[max(p, q)] = min(p, q)
+                        out.append(np.array([sorted((int(r[x[i]]), int(r[k])))]))
+        return _table(out, ["a", "b"])
+
+    return _in_cells(members, "grp").groupBy("g", "large", "u", "v").applyInArrow(one, "a long, b long")
+
+
+def links(classes: DataFrame, post: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of classes whose components are those of all similar pairs."""
+    fields = ("i", "r", "n", "m", "alone", "b0", "b1", "b2", "b3")
+    same, filters = F.col("x.tok") == F.col("y.tok"), _passes(percent)
+    pair = (F.least("x.r", "y.r").alias("a"), F.greatest("x.r", "y.r").alias("b"))
+    tried, found = None, None
+    # what stands early in a document's order has few rarer tokens before it: such documents are central in their group
+    for pivots in (1, PIVOTS):
+        rows = post if found is None else _unjoined(post, found, 4 * PIVOTS)
+        top = rows.groupBy("tok", F.pmod("r", F.lit(pivots)).alias("part")).agg(F.min(F.struct(*fields)).alias("p")).select("tok", "p.*")
+        differ = F.col("x.r") != F.col("y.r")
+        if found is not None:
+            top = top.join(rows.select("tok", "r", "root"), ["tok", "r"])
+            differ = F.col("x.root") != F.col("y.root")
+        new = rows.alias("x").join(top.alias("y"), same & differ & filters).select(*pair).distinct()
+        new = stored(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
+        good = _verified(new, classes, percent)
+        tried = new if tried is None else tried.union(new)
+        found = stored(good if found is None else found.union(good))
+    rows = _unjoined(post, found, 0)
+    light, long = rows.where(F.col("c") <= LIGHT), rows.where(F.col("c") > LIGHT)
+    second = light.alias("x").join(light.alias("y"), same & (F.col("x.r") < F.col("y.r")) & (F.col("x.root") != F.col("y.root")) & filters).select(*pair).distinct()
+    second = stored(second.join(tried, ["a", "b"], "left_anti"))
+    found = found.union(_verified(second, classes, percent))
+    return stored(found.union(_across(long, classes, percent)) if long.take(1) else found)
 
 
 def count_links(classes: DataFrame, roots: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(r, l): documents of other classes that a class links with, for the classes of components (node, root); sizes: (r, size).
 
-    A component is cut into parts of about CELL classes and CELL_TOKENS tokens at most; each pair of parts is compared in
-    one task, which makes a row for each class of the two, not for each link. Small components share a task's call.
+    A call makes a row for each class of the parts it compares, not for each link.
     """
-    own = classes.select("r", "n", "toks").join(roots.withColumnRenamed("node", "r"), "r").join(sizes, "r")
-    weigh = classes.select(F.col("r").alias("node"), F.size("toks").alias("m")).join(roots, "node")
-    per = weigh.groupBy("root").agg(F.count("*").alias("c"), F.sum("m").alias("m"))
-    parts = stored(per.select("root", "m", F.greatest(F.ceil(F.col("c") / CELL), F.ceil(F.col("m") / CELL_TOKENS)).cast("int").alias("cells")))
-    groups = max(1, (parts.agg(F.sum("m")).first()[0] or 0) // (CELL_TOKENS // 4))
-    dealt = own.join(parts.drop("m"), "root").withColumn("own", F.pmod(F.xxhash64("r"), F.col("cells")).cast("int"))
-    group = F.when(F.col("cells") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(groups)))
-    each = dealt.withColumn("g", group).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    each = each.select("g", (F.col("cells") > 1).alias("large"), F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "root", "own", "r", "n", "toks", "size")
-    return each.groupBy("g", "large", "u", "v").applyInArrow(lambda t: _cells(t, percent), "r long, l long").groupBy("r").agg(F.sum("l").alias("l"))
+    members = classes.select("r", "n", "toks").join(roots.withColumnRenamed("node", "r"), "r").join(sizes, "r")
+
+    def one(table: pa.Table) -> pa.Table:
+        r, size = table.column("r").to_numpy(), table.column("size").to_numpy().astype(np.float64)
+        out = []
+        for x, y, found, same in _compared(table, "root", percent):
+            out.append(np.column_stack([r[x], np.rint(found @ size[y]).astype(np.int64)]))
+            if not same:
+                out.append(np.column_stack([r[y], np.rint(found.T @ size[x]).astype(np.int64)]))
+        return _table(out, ["r", "l"])
+
+    return _in_cells(members, "root").groupBy("g", "large", "u", "v").applyInArrow(one, "r long, l long").groupBy("r").agg(F.sum("l").alias("l"))
 
 
 def components(docs: DataFrame, shingle: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text", count: bool = True) -> DataFrame:

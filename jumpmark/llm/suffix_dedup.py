@@ -82,6 +82,8 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def _by_block(block: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    if not len(block):
+        return
     order = np.argsort(block, kind="stable")
     b = block[order]
     first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))

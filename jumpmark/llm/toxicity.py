@@ -1,28 +1,29 @@
 """Toxicity by a classifier chain of linear models.
 
-Categories are predicted one after the other; each later model also sees the earlier categories' probabilities, and is
-trained on out-of-fold predictions of them so that it meets the same kind of value in training as in use. Features are
-the presence of selected words. The models are fitted on a bounded sample of labelled rows (MAX_TRAIN, the smallest
-hashes of the key); every document is scored.
+Categories are predicted one after the other, the verdict last; each later model also sees the earlier categories'
+probabilities, and is trained on out-of-fold predictions of them so that it meets the same kind of value in training as in
+use. Features are the presence of selected words. What a fold is predicted with, words included, is chosen and fitted
+without that fold. The models are fitted on a bounded sample of labelled documents (MAX_TRAIN, the smallest hashes of the
+key); every document is scored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jumpmark.llm.common import stored
 from jumpmark.llm.text_bytes import alnum_words, raw, slices
 
-#: Labelled rows the models are fitted on at most; words used as features; folds.
+#: Labelled documents the models are fitted on at most; words each model uses as features; folds.
 MAX_TRAIN, FEATURES, FOLDS = 20_000, 512, 5
-#: category -> test over the labels, in the order of the chain
-CATEGORIES = {"toxic": "toxic = 1", "severe": "toxic = 1 and quality = 0", "mild": "toxic = 1 and quality = 1"}
+#: category -> test over the labels, in the order of the chain; the last is the verdict
+CATEGORIES = {"low_quality": "quality = 0", "severe": "toxic = 1 and quality = 0", "toxic": "toxic = 1"}
 
 
 @dataclass
@@ -39,7 +40,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 2.0, steps: int = 25) -> np.ndarray:
     """Logistic regression with an L2 penalty (not on the constant), by Newton's method; a constant model for one class."""
-    x = np.column_stack([x, np.ones(len(x), dtype=x.dtype)]).astype(np.float64)
+    x = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
     w = np.zeros(x.shape[1])
     rate = (y.sum() + 0.5) / (len(y) + 1)
     w[-1] = np.log(rate / (1 - rate))
@@ -74,33 +75,42 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[k]] + after) / 2)
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, categories: list[str], vocabulary: dict[bytes, int]) -> Chain:
+def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, categories: list[str], vocabulary: dict[bytes, int], chosen: list[list[np.ndarray]]) -> Chain:
+    """x: rows x words; chosen: for each category the words (columns of x) for each fold's predictions, and last those of its model."""
     weights, thresholds, earlier = [], [], np.zeros((len(x), 0))
     for k in range(len(categories)):
-        seen = np.column_stack([x, earlier])
         out = np.zeros(len(x))
         for f in range(FOLDS):
             held = fold == f
             if held.any():
                 rest = ~held if (~held).any() else held
-                out[held] = _apply(seen[held], fit_linear(seen[rest], y[rest, k]))
-        weights.append(fit_linear(seen, y[:, k]))
+                w = fit_linear(np.column_stack([x[rest][:, chosen[k][f]], earlier[rest]]), y[rest, k])
+                out[held] = _apply(np.column_stack([x[held][:, chosen[k][f]], earlier[held]]), w)
+        own = fit_linear(np.column_stack([x[:, chosen[k][-1]], earlier]), y[:, k])
+        wide = np.zeros(len(vocabulary) + k + 1)
+        wide[chosen[k][-1]] = own[: len(chosen[k][-1])]
+        wide[len(vocabulary) :] = own[len(chosen[k][-1]) :]
+        weights.append(wide)
         thresholds.append(_threshold(out, y[:, k]))
         earlier = np.column_stack([earlier, out])
-    return Chain(categories, vocabulary, weights, thresholds)
+    used = np.unique(np.concatenate([c[-1] for c in chosen]))
+    words = {i: w for w, i in vocabulary.items()}
+    keep = [np.concatenate([w[used], w[len(vocabulary) :]]) for w in weights]
+    return Chain(categories, {words[i]: n for n, i in enumerate(used.tolist())}, keep, thresholds)
 
 
 def predict_rows(texts: list[bytes | None], chain: Chain) -> np.ndarray:
     """Probabilities, texts x categories."""
     n = len(chain.vocabulary)
     known = chain.vocabulary.keys()
-    base = [w[:n] for w in chain.weights]
+    base = np.array([w[:n] for w in chain.weights])
     out = np.zeros((len(texts), len(chain.categories)))
     for i, t in enumerate(texts):
         at = sorted(chain.vocabulary[w] for w in known & set(alnum_words(t or b"")))
+        sums = base[:, at].sum(axis=1)
         for k, w in enumerate(chain.weights):
-            out[i, k] = base[k][at].sum() + out[i, :k] @ w[n:-1] + w[-1]
-            out[i, k] = 1 / (1 + np.exp(-min(30, max(-30, out[i, k]))))
+            z = sums[k] + out[i, :k] @ w[n:-1] + w[-1]
+            out[i, k] = 1 / (1 + np.exp(-min(30, max(-30, z))))
     return out
 
 
@@ -108,56 +118,69 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
     """Fit a chain; None without labelled documents.
 
     Labels with a null key or a null label are left out. Of repeated labels of a key the largest tuple counts, of repeated
-    rows of a document each teaches.
+    rows of a document the smallest text (null: no words).
     """
-    names = list(categories)
+    names, n_cat = list(categories), len(categories)
     tests = [F.expr(t).cast("int") for t in categories.values()]
     marked = labels.select(F.col(key).alias("k"), F.struct(*(t.alias(f"y{i}") for i, t in enumerate(tests))).alias("y")).where(F.col("k").isNotNull())
-    marked = marked.where(" and ".join(f"y.y{i} is not null" for i in range(len(names)))).groupBy("k").agg(F.max("y").alias("y"))
+    marked = marked.where(" and ".join(f"y.y{i} is not null" for i in range(n_cat))).groupBy("k").agg(F.max("y").alias("y"))
     sample = marked.orderBy(F.xxhash64("k"), "k").limit(max_train).select("k", "y.*")
-    chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k")  # max_train rows of a few numbers
+    ys = [f"y{i}" for i in range(n_cat)]
+    # max_train rows of a few numbers
+    chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").groupBy("k", *ys).agg(F.min("t").alias("t"))
+    chosen = stored(chosen.withColumn("f", F.pmod(F.xxhash64(F.lit("fold"), "k"), F.lit(FOLDS)).cast("int")))
 
     def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, marks = Counter(), Counter()
+        rows: dict[tuple[bytes, int], np.ndarray] = {}
         for b in slices(batches, "t"):
-            for t, y in zip(raw(b, "t"), b.column("y0").to_pylist(), strict=True):
-                seen = {w for w in alnum_words(t or b"") if len(w) <= 64}
-                rows.update(seen)
-                if y:
-                    marks.update(seen)
-        keys = list(rows)
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([rows[w] for w in keys], pa.int64()), pa.array([marks[w] for w in keys], pa.int64())], ["w", "n", "m"])
-
-    total = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("y0"), F.lit(0)).alias("m")).first()
-    if not total["n"]:
+            marks = np.column_stack([np.ones(b.num_rows, np.int64), *(b.column(y).to_numpy().astype(np.int64) for y in ys)])
+            for t, f, m in zip(raw(b, "t"), b.column("f").to_pylist(), marks, strict=True):
+                for w in set(alnum_words(t or b"")):
+                    rows[w, f] = rows[w, f] + m if (w, f) in rows else m
+        if rows:
+            n = np.array(list(rows.values()))
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([f for _, f in rows], pa.int32()), *(pa.array(n[:, i]) for i in range(n_cat + 1))], ["w", "f", "n", *(f"m{i}" for i in range(n_cat))])
+
+    totals = chosen.groupBy("f").agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in ys)).collect()  # FOLDS rows
+    if not totals:
         return None
-    n, m = float(total["n"]), float(total["m"])
-    # chi-square of word and first category, with the sign of the association ignored
-    counts = chosen.mapInArrow(word_counts, "w binary, n long, m long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    chi = F.pow(F.col("m") * n - F.col("n") * m, 2) / (F.col("n") * (n - F.col("n") + 1.0))
-    best = counts.where("n >= 2").orderBy(chi.desc(), F.col("w")).limit(features).collect()
-    vocabulary = {bytes(r["w"]): i for i, r in enumerate(best)}
+    kinds = "w binary, f int, n long" + "".join(f", m{i} long" for i in range(n_cat))
+    sums = [F.sum(c).alias(c) for c in ("n", *(f"m{i}" for i in range(n_cat)))]
+    counts = chosen.mapInArrow(word_counts, kinds).groupBy("w", "f").agg(*sums)
+    counts = stored(counts.groupBy("w").agg(F.collect_list(F.struct("f", "n", *(f"m{i}" for i in range(n_cat)))).alias("per")))
+
+    def scores(i: int, left_out: int) -> Column:
+        """What a word tells about category i outside a fold: chi-square, the sign of the association ignored."""
+        of = lambda c: F.aggregate("per", F.lit(0).cast("long"), lambda a, x: a + F.when(x["f"] != left_out, x[c]).otherwise(0))
+        n, m = (float(sum(r[c] for r in totals if r["f"] != left_out)) for c in ("n", f"y{i}"))
+        chi = F.pow(of(f"m{i}") * n - of("n") * m, 2) / (of("n") * (n - of("n") + 1.0) * max(1.0, m * (n - m)))
+        return F.when(of("n") >= 2, chi)
+
+    uses = [(i, f) for i in range(n_cat) for f in (*range(FOLDS), -1)]  # what words are chosen for: a category, all but a fold
+    each = counts.select("w", F.posexplode(F.array(*(scores(i, f) for i, f in uses))).alias("s", "score")).where("score is not null")
+    order = Window.partitionBy("s").orderBy(F.col("score").desc(), "w")
+    picked = each.withColumn("at", F.row_number().over(order)).where(F.col("at") <= features).select("s", "w").collect()  # `features` words a use
+    words = sorted({bytes(r["w"]) for r in picked})
+    vocabulary = {w: i for i, w in enumerate(words)}
+    chosen_words = [[np.array(sorted(vocabulary[bytes(r["w"])] for r in picked if r["s"] == i * (FOLDS + 1) + f), dtype=np.int64) for f in range(FOLDS + 1)] for i in range(n_cat)]
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.keys()
         for b in slices(batches, "t"):
             found = [sorted(vocabulary[w] for w in known & set(alnum_words(t or b""))) for t in raw(b, "t")]
-            yield pa.RecordBatch.from_arrays([b.column("f"), *(b.column(f"y{i}") for i in range(len(names))), pa.array(found, pa.list_(pa.int32()))], ["f", *(f"y{i}" for i in range(len(names))), "at"])
+            yield pa.RecordBatch.from_arrays([b.column("f"), *(b.column(y) for y in ys), pa.array(found, pa.list_(pa.int32()))], ["f", *ys, "at"])
 
-    folds = chosen.withColumn("f", F.pmod(F.xxhash64(F.lit("fold"), "k"), F.lit(FOLDS)).cast("int"))
-    ys = ", ".join(f"y{i} int" for i in range(len(names)))
-    rows = folds.mapInArrow(present, f"f int, {ys}, at array<int>").collect()  # max_train rows
+    rows = chosen.mapInArrow(present, f"f int, {', '.join(f'{y} int' for y in ys)}, at array<int>").collect()  # max_train rows: a document has one
     rows.sort()  # the same model whatever order they come in
-    x = np.zeros((len(rows), len(vocabulary)))
+    x = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
     for i, r in enumerate(rows):
         x[i, r["at"]] = 1
-    y = np.array([[r[f"y{i}"] for i in range(len(names))] for r in rows], dtype=np.float64)
-    return fit_chain(x, y, np.array([r["f"] for r in rows]), names, vocabulary)
+    y = np.array([[r[c] for c in ys] for r in rows], dtype=np.float64)
+    return fit_chain(x, y, np.array([r["f"] for r in rows]), names, vocabulary, chosen_words)
 
 
 def classify(docs: DataFrame, chain: Chain | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, p_<category> for each category in order, toxic_pred (the first category's probability reaches its threshold).
+    """key, p_<category> for each category in order, toxic_pred (the probability of the chain's last category reaches its threshold).
 
     Null text has no words and gets the models' constants; without a chain all probabilities are 0 and nothing is toxic.
     """
@@ -167,7 +190,7 @@ def classify(docs: DataFrame, chain: Chain | None, key: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
             p = predict_rows(raw(b, "t"), chain) if chain else np.zeros((b.num_rows, len(names)))
-            toxic = p[:, 0] >= chain.thresholds[0] if chain else np.zeros(b.num_rows, dtype=bool)
+            toxic = p[:, -1] >= chain.thresholds[-1] if chain else np.zeros(b.num_rows, dtype=bool)
             yield pa.RecordBatch.from_arrays([b.column("k"), *(pa.array(p[:, i]) for i in range(len(names))), pa.array(toxic)], ["k", *(f"p_{c}" for c in names), "toxic_pred"])
 
     out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {key_type}, " + ", ".join(f"p_{c} double" for c in names) + ", toxic_pred boolean")

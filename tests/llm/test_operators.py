@@ -1,9 +1,12 @@
 import itertools
+import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 pytest.importorskip("jumpmark.llm")
 from pyspark.sql import functions as F
@@ -258,6 +261,54 @@ def test_ngram_join_large_group(spark):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in brute_components(data, 4, 85)}
 
 
+def brute_grams(text):
+    """Buckets of a text's 2- and 3-grams, character by character."""
+    low = f" {text.lower()} "
+    code = [ord(c) if c.isalpha() else 32 for c in low]
+    m, shift = 0xFFFFFFFF, 32 - language_id.BUCKETS.bit_length() + 1
+    out = []
+    for i in range(1, len(low) - 1):
+        if low[i].isalpha():
+            pair = (code[i] * 0x9E3779B1 & m) ^ (code[i + 1] * 0x85EBCA6B & m)
+            trio = pair ^ (code[i - 1] * 0xC2B2AE35 & m)
+            out += [((pair ^ pair >> 15) * 0x2C1B3C6D & m) >> shift, ((trio ^ trio >> 13) * 0x297A2D39 & m) >> shift]
+    return out
+
+
+def test_language_id_brute(spark, docs, monkeypatch):
+    """Counts, probabilities and verdicts of a plain version, texts cut into pieces or not."""
+    taught = [(i, t or "", None if n % 5 == 0 else "ab"[n % 2]) for n, (i, t) in enumerate(DATA)]
+    grams = {"a": Counter(), "b": Counter()}
+    n_docs = Counter()
+    for (i, t, lang), (_, raw) in zip(taught, DATA, strict=True):
+        if i is not None and lang and raw is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            grams[lang].update(brute_grams(t))
+            n_docs[lang] += 1
+    total = {x: sum(g.values()) + language_id.ALPHA * language_id.BUCKETS for x, g in grams.items()}
+    want = {}
+    for i, t, _ in taught:
+        found = brute_grams(t)
+        scores = {x: math.log(n_docs[x] / sum(n_docs.values())) + sum(math.log((g[k] + language_id.ALPHA) / total[x]) for k in found) for x, g in grams.items()}
+        top = max(scores, key=lambda x: (scores[x], -ord(x)))
+        want[i, t] = (top, 1 / sum(math.exp(s - scores[top]) for s in scores.values())) if found else ("und", 0.0)
+    for piece in (language_id.PIECE, 97):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        model = language_id.train(docs, ~language_id.held_out() & F.col("doc_id").isNotNull())
+        out = language_id.label(docs, model)
+        assert out.columns == [*docs.columns, "_pred", "_score"]
+        for r in out.collect():
+            pred, score = want[r["doc_id"], r["text"] or ""]
+            assert r["_pred"] == pred and abs(r["_score"] - score) < 1e-3
+
+
+def test_language_id_long_text(spark):
+    """Three million characters, with the cuts between pieces inside words."""
+    text = "abcdefg hij " * 262_145
+    assert len(text) > 3 << 20
+    whole, cut = language_id._grams([f" {text} "])[0], language_id._grams(language_id._pieces([text])[0])[0]
+    assert len(language_id._pieces([text])[0]) == 4 and (whole == cut).all()
+
+
 def test_language_id(spark, docs, none):
     d = table(spark, "/root/testdata/sf0.01", "documents")
     out = language_id.identify(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -271,6 +322,115 @@ def test_language_id(spark, docs, none):
     assert found(no_lang, "lang_pred", "score") == Counter({("und", 0.0): len(DATA)})
 
 
+def brute_line_dedup(data):
+    """The texts left, by plain sets and dictionaries."""
+    L = line_dedup
+    held = {}  # (leaf, tpl) -> documents; tokens and kind of each
+    kind = {}
+    for i, t in data:
+        for line in (t or "").encode().split(b"\n") if i is not None and t is not None else ():
+            ts = L.masked(line)
+            if not ts:
+                continue
+            if (own := L.whole(line)) is not None:
+                held.setdefault((own, own), set()).add(i)
+                kind[own, own] = (True, len(ts) < L.MIN_TOKENS, None)
+            if L.has_template(ts):
+                at = (L.leaf_of(ts, L.DEPTH), L._hash(b" ".join(ts)))
+                held.setdefault(at, set()).add(i)
+                kind[at] = (L.FIELD not in ts, len(ts) < L.MIN_TOKENS, ts)
+    leaves = {}
+    for leaf, tpl in held:
+        leaves.setdefault(leaf, []).append(tpl)
+    first = {}
+    for leaf, tpls in leaves.items():
+        short = kind[leaf, tpls[0]][1]
+        least = L.SHORT_DOCS if short else L.MIN_DOCS
+        group = []
+        if len(tpls) > 1 and sum(len(held[leaf, x]) for x in tpls) >= least:
+            toks = {x: [xxhash.xxh32_intdigest(w) - (1 << 31) for w in kind[leaf, x][2]] for x in tpls}
+            constant = {}
+            for p in range(len(toks[tpls[0]])):
+                votes = Counter()
+                for x in tpls:
+                    votes[toks[x][p]] += len(held[leaf, x])
+                n, tok = max((n, tok) for tok, n in votes.items())
+                if 2 * n >= sum(votes.values()):
+                    constant[p] = tok
+            group = [x for x in tpls if sum(constant.get(p) == w for p, w in enumerate(toks[x])) >= L.AGREE * len(toks[x])]
+            docs = set().union(*(held[leaf, x] for x in group)) if group else set()
+            if len(docs) < least:
+                group = []
+        for x in tpls:
+            equal = kind[leaf, x][0]
+            if x in group:
+                first[x] = min(docs)
+            elif len(held[leaf, x]) >= (L.EQUAL_DOCS if equal and not short else least):
+                first[x] = min(held[leaf, x])
+    for i, t in data:
+        if i is None or t is None:
+            yield i, t
+            continue
+        stay = []
+        for line in t.encode().split(b"\n"):
+            ts = L.masked(line)
+            gone = ts and any(i > first.get(h, i) for h in (L.whole(line), L._hash(b" ".join(ts)) if L.has_template(ts) else None))
+            if not gone:
+                stay.append(line)
+        yield i, b"\n".join(stay).decode()
+
+
+def test_line_dedup_brute(spark):
+    rng = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "eps"]
+    data = list(DATA)
+    for i in range(300, 420):
+        lines = []
+        for _ in range(rng.randint(0, 9)):
+            n = rng.choice([1, 2, 4, 5, 6, 7])
+            line = [words[min(4, int(rng.expovariate(1.2)))] for _ in range(n)]
+            if rng.random() < 0.4:
+                line[rng.randrange(n)] = str(rng.randint(0, 30))
+            lines.append(" ".join(line))
+        data.append((i, "\n".join(lines)))
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in line_dedup.dedup(d).collect())
+    want = Counter(brute_line_dedup(data))
+    assert got == want and sum(t != u for (_, t), (_, u) in zip(data, brute_line_dedup(data), strict=True)) > 60
+
+
+def test_line_dedup_counts_documents(spark):
+    """A document with several variants of a line counts once; long leading groups are found all the same."""
+    variants = [f"this line has the same words but {w} near its end" for w in ("one", "two", "three", "four")]
+    d = spark.createDataFrame([(1, "\n".join(variants)), (2, "this line has the same words but five near its end")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"].count("\n") for r in line_dedup.dedup(d).collect()} == {1: 3, 2: 0}
+    kept = line_dedup.dedup(spark.createDataFrame([(i, f"this line has the same words but {'abcdefghij'[i]} near its end") for i in range(10)], "doc_id long, text string"))
+    assert sorted(r["text"] != "" for r in kept.collect()) == [False] * 9 + [True]
+
+
+CLASH = "_drop _dk _n_lines _n_dropped _pred _score _i3 _spans3 _id _k _i2 _i4 _k4 at spans items p s e m win h tok r root shard bin q copy tpl first leaf equal short u v w x y a b own other".split()
+
+
+def test_clashing_names(spark):
+    """Columns named as the operators' own pass through."""
+    data = [(i, f"the same long line stands here in all of them\nown words of document {'abcdefgh'[i]} only", "xy"[i % 2]) for i in range(8)]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string").select("*", *(F.lit(7).alias(c) for c in CLASH))
+    bench = spark.createDataFrame([(1, "own words of document a only")], "item_id long, text string")
+    sevens = lambda df: all(r[c] == 7 for r in df.collect() for c in CLASH)
+    out = line_dedup.dedup(d)
+    assert out.columns[:-2] == d.columns and sevens(out)
+    out = language_id.label(d, language_id.train(d, F.lit(True)))
+    assert out.columns[:-2] == d.columns and sevens(out)
+    for mode in ("span", "document"):
+        out = decontaminate.remove(d, bench, mode=mode)
+        assert out.columns == d.columns and sevens(out) and out.count() == (8 if mode == "span" else 7)
+    assert decontaminate.find(d, bench).count() == 8
+    out = ngram_join.keep_one(d)
+    assert out.columns == d.columns and sevens(out)
+    assert packing.pack_documents(d).count() == 8 and suffix_dedup.digest(d).count() == 8 and quality_rules.ledger(d).count() == 8
+    assert license_scan.scan(d).count() == 8
+
+
 @pytest.mark.parametrize("wanted", [line_dedup.WANTED, -1])
 def test_line_dedup(spark, docs, none, monkeypatch, wanted):
     monkeypatch.setattr(line_dedup, "WANTED", wanted)
@@ -312,6 +472,61 @@ def test_line_dedup_keeps_lines_of_fields(spark):
     assert got == {i: [*r, "1 2 3 4 5 6"] if i == 0 else r for i, r in rows_of.items()}
 
 
+def brute_chain(texts, fold, y):
+    """The chain in plain loops: (probabilities, verdicts) of the training texts."""
+    T = toxicity
+    sets = [set(ALNUM.findall(low(t))) for t in texts]
+
+    def choose(rows, k):
+        n, best = len(rows), []
+        count = Counter(w for i in rows for w in sets[i])
+        for w, c in count.items():
+            if c >= 2:
+                m, hit = y[rows, k].sum(), sum(y[i, k] for i in rows if w in sets[i])
+                score = (hit * n - c * m) ** 2 / (c * (n - c + 1.0) * max(1.0, m * (n - m)))
+                best.append((-score, w.encode()))
+        return [w.decode() for _, w in sorted(best)[: T.FEATURES]]
+
+    x = lambda rows, words: np.array([[w in sets[i] for w in words] for i in rows], dtype=float).reshape(len(rows), len(words))
+    rows = list(range(len(texts)))
+    earlier, ps = np.zeros((len(texts), 0)), np.zeros((len(texts), 0))
+    for k in range(y.shape[1]):
+        out = np.zeros(len(texts))
+        for f in range(T.FOLDS):
+            rest, held = [i for i in rows if fold[i] != f], [i for i in rows if fold[i] == f]
+            if held:
+                words = choose(rest, k)
+                w = T.fit_linear(np.column_stack([x(rest, words), earlier[rest]]), y[rest, k])
+                out[held] = T._apply(np.column_stack([x(held, words), earlier[held]]), w)
+        words = choose(rows, k)
+        w = T.fit_linear(np.column_stack([x(rows, words), earlier]), y[:, k])
+        ps = np.column_stack([ps, T._apply(np.column_stack([x(rows, words), ps]), w)])
+        threshold = T._threshold(out, y[:, k])
+        earlier = np.column_stack([earlier, out])
+    return ps, ps[:, -1] >= threshold
+
+
+def test_toxicity_brute(spark, monkeypatch):
+    """Words chosen and models fitted outside each fold, the verdict by the chain's last link."""
+    monkeypatch.setattr(toxicity, "FEATURES", 12)
+    rng = random.Random(4)
+    texts, labels = [], []
+    for i in range(160):
+        toxic = i % 4 == 0
+        w = [f"w{rng.randrange(40)}" for _ in range(20)] + (["vile", "awful"][: rng.randint(1, 2)] if toxic else []) + ["long" * 300]
+        texts.append(" ".join(w))
+        labels.append((i, int(rng.random() < (0.3 if toxic else 0.8)), int(toxic)))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    chain = toxicity.train(d.union(d), lab, features=12)  # a repeated row teaches once
+    got = toxicity.classify(d, chain).orderBy("doc_id").collect()
+    fold = {r[0]: r[1] for r in d.select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5))).collect()}
+    y = np.array([[q == 0, q == 0 and t == 1, t == 1] for _, q, t in labels], dtype=float)
+    ps, verdict = brute_chain(texts, [fold[i] for i in range(160)], y)
+    assert np.abs(np.array([[r["p_low_quality"], r["p_severe"], r["p_toxic"]] for r in got]) - ps).max() < 1e-4
+    assert [r["toxic_pred"] for r in got] == verdict.tolist()
+
+
 def test_toxicity(spark, docs, none):
     d, lab = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     held = F.col("doc_id") % 3 == 0
