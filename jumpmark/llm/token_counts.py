@@ -1,31 +1,34 @@
 """Edit-aware token counts.
 
-A document's pre-tokens are grouped into leaves, cut only where a pre-token boundary is certain whatever stands around it:
-at a space between two ASCII letters. Token counts of leaves therefore add up to the count of the whole text. They are
-kept in a segment tree; an edit re-encodes the leaves it touches, joined with what stands between the nearest certain
-boundaries on both sides, and only sums on the way to the root change.
-
-The tokenizer is a byte-level BPE given as ranks and a pattern; the pattern must end a pre-token between a letter and a
-space that a letter follows, as the public byte-level vocabularies do.
+A document's leaves are its pre-tokens, each with its characters and its tokens; a segment tree holds the sums of both, so
+that a place in the text is found, and the count corrected, on one path between a leaf and the root. An edit cuts the text
+into pre-tokens again from the last one that could not have seen the edit, up to where a new boundary falls on an old one:
+from there on the pre-tokens are the old ones. Only these are encoded again. They take the place of the first leaf that went;
+the others stay empty until half of all are, or one leaf holds many: then the tree is built anew from the counts it has.
+
+The tokenizer is a byte-level BPE given as ranks and a pattern. The pattern's matches must not depend on what stands before
+them, and see at most two characters behind them, as those of the public byte-level vocabularies.
 """
 
 from __future__ import annotations
 
 import base64
-import bisect
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jumpmark.llm.text_bytes import slices
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters a leaf holds at least, as far as there are certain boundaries.
-LEAF = 1024
+#: Characters behind a pre-token that its match may look at.
+AHEAD = 2
+#: Pre-tokens of one leaf from which on a tree is built anew, and pre-tokens whose counts a worker remembers at most.
+WIDE, REMEMBERED = 64, 1 << 20
 
 
 @lru_cache(2)
@@ -37,109 +40,150 @@ def _encoder(ranks: bytes, pattern: str):
 
 
 def counter(ranks: bytes, pattern: str = PATTERN) -> Callable[[str], int]:
+    """Tokens of a whole text."""
     encoder = _encoder(ranks, pattern)
     return lambda t: len(encoder.encode_ordinary(t))
 
 
-def certain_cuts(text: str) -> np.ndarray:
-    """Places of spaces between two ASCII letters."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    low = c | np.uint32(32)
-    letter = (low >= 97) & (low <= 122) & (c < 128)
-    return np.flatnonzero(letter[:-2] & (c[1:-1] == 32) & letter[2:]) + 1 if len(c) > 2 else np.zeros(0, dtype=np.int64)
+class Tokenizer:
+    """Cuts text into pre-tokens and counts the tokens of each."""
 
+    def __init__(self, ranks: bytes, pattern: str = PATTERN):
+        self.match = regex.compile(pattern).match
+        self.all = regex.compile(pattern).findall
+        self.whole = counter(ranks, pattern)
+        self.known: dict[str, int] = {}
 
-def leaves(text: str, size: int = LEAF) -> list[str]:
-    if len(text) <= size:
-        return [text] if text else []
-    cuts = certain_cuts(text)
-    out, at = [], 0
-    while len(text) - at > size:
-        k = int(np.searchsorted(cuts, at + size))
-        if k == len(cuts):
-            break
-        out.append(text[at : cuts[k]])
-        at = int(cuts[k])
-    return [*out, text[at:]]
+    def counts(self, parts: list[str]) -> list[int]:
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        out = []
+        for p in parts:
+            n = known.get(p)
+            if n is None:
+                n = known[p] = self.whole(p)
+            out.append(n)
+        return out
 
 
 class SegmentTree:
-    """Sums of leaf counts; a leaf's change updates its path to the root only."""
-
-    def __init__(self, values: list[int]):
-        self.n = 1 << max(0, len(values) - 1).bit_length()
-        self.sums = [0] * self.n + values + [0] * (self.n - len(values))
-        for i in range(self.n - 1, 0, -1):
-            self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
-
-    @property
-    def total(self) -> int:
-        return self.sums[1]
-
-    def set(self, leaf: int, value: int) -> None:
+    """Pairs of sums (characters, tokens) over leaves; a leaf's change updates its path to the root only."""
+
+    def __init__(self, chars: list[int], tokens: list[int]):
+        self.n = 1 << max(0, len(chars) - 1).bit_length()
+        self.chars, self.tokens = self._sums(chars), self._sums(tokens)
+
+    def _sums(self, values: list[int]) -> list[int]:
+        row = np.zeros(self.n, np.int64)
+        row[: len(values)] = values
+        rows = [row]
+        while len(row) > 1:
+            row = row[::2] + row[1::2]
+            rows.append(row)
+        return [0, *np.concatenate(rows[::-1]).tolist()]
+
+    def set(self, leaf: int, chars: int, tokens: int) -> None:
         i = self.n + leaf
-        change = value - self.sums[i]
-        while i and change:
-            self.sums[i] += change
+        more, dearer = chars - self.chars[i], tokens - self.tokens[i]
+        while i:
+            self.chars[i] += more
+            self.tokens[i] += dearer
             i //= 2
 
+    def find(self, place: int) -> tuple[int, int]:
+        """The leaf that holds the character at a place of the text, and where the leaf starts."""
+        i, start = 1, 0
+        while i < self.n:
+            i *= 2
+            if place >= start + self.chars[i]:
+                start += self.chars[i]
+                i += 1
+        return i - self.n, start
 
-class CountedText:
-    """A text with its token count, kept right under edits."""
-
-    def __init__(self, text: str, count: Callable[[str], int], size: int = LEAF):
-        self.count, self.size = count, size
-        self.parts = leaves(text, size)
-        self.tree = SegmentTree([count(p) for p in self.parts])
-        self.encoded = 0  # characters that edits made it encode again
-        self._places()
 
-    def _places(self) -> None:
-        self.starts = [0, *np.cumsum([len(p) for p in self.parts]).tolist()]
+class CountedText:
+    """A text with its token count, kept right under edits. A leaf is a pre-token or, where an edit was, a list of them."""
+
+    def __init__(self, text: str, tokenizer: Tokenizer, chars: list[int] | None = None, tokens: list[int] | None = None):
+        """chars and tokens: of the leaves, where they are known from before."""
+        self.tokenizer = tokenizer
+        if chars is None:
+            self._build(tokenizer.all(text))
+        else:
+            ends = np.cumsum(chars).tolist()
+            self._build([text[e - n : e] for e, n in zip(ends, chars, strict=True)], tokens)
+        self.encoded = 0  # characters that edits made it cut and count again
+
+    def _build(self, parts: list[str], tokens: list[int] | None = None) -> None:
+        self.leaves: list[str | list[str]] = parts
+        self.worn = 0  # leaves emptied since
+        self.tree = SegmentTree([len(p) for p in parts], self.tokenizer.counts(parts) if tokens is None else tokens)
 
     @property
     def total(self) -> int:
-        return self.tree.total
+        return self.tree.tokens[1]
+
+    @property
+    def length(self) -> int:
+        return self.tree.chars[1]
+
+    def parts(self) -> list[str]:
+        return [p for leaf in self.leaves for p in ([leaf] if isinstance(leaf, str) else leaf) if p]
 
     @property
     def text(self) -> str:
-        return "".join(self.parts)
+        return "".join(self.parts())
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace the characters from start to end (clipped to the text) with new."""
-        length = self.starts[-1]
-        start = min(max(start, 0), length)
-        end = min(max(end, start), length)
-        if not self.parts:
-            self.parts, self.tree = [new] if new else [], SegmentTree([self.count(new)] if new else [])
+        start = min(max(start, 0), self.length)
+        end = min(max(end, start), self.length)
+        if not self.length:
+            self._build(self.tokenizer.all(new))
             self.encoded += len(new)
-            return self._places()
-        first = min(bisect.bisect_right(self.starts, start) - 1, len(self.parts) - 1)
-        last = max(first, min(bisect.bisect_left(self.starts, end) - 1, len(self.parts) - 1))
-        # a leaf whose edge is touched joins its neighbour: the certain boundary there may be gone
-        while first and start <= self.starts[first] + 1:
-            first -= 1
-        while last + 1 < len(self.parts) and end >= self.starts[last + 1] - 1:
+            return
+        # leaves that end AHEAD characters before the edit cannot have seen it
+        first, begin = self.tree.find(min(max(0, start - AHEAD), self.length - 1))
+        last, region = first - 1, ""
+        while begin + len(region) < end or last < first:
             last += 1
-        base = self.starts[first]
-        old = "".join(self.parts[first : last + 1])
-        region = old[: start - base] + new + old[end - base :]
-        cuts = certain_cuts(old)
-        # boundary context: re-encode from the last certain boundary before the edit to the first behind it
-        before = [c for c in cuts if c < start - base - 1][-1:] or [0]
-        after = [c for c in cuts if c > end - base][:1] or [len(old)]
-        lo, hi = int(before[0]), int(after[0]) - len(old) + len(region)
-        spent = self.count(old[lo : int(after[0])])
-        now = self.count(region[lo:hi])
-        self.encoded += hi - lo
-        self.parts[first] = region
-        total = sum(self.tree.sums[self.tree.n + i] for i in range(first, last + 1)) - spent + now
+            region += self._leaf(last)
+        region = region[: start - begin] + new + region[end - begin :]
+        parts, at, step, old_ends = [], 0, 1, {len(region): last}  # ends of old leaves behind the edit, as places in the region
+        while True:
+            more = last + 1 < len(self.leaves)
+            while at < len(region):
+                m = self.tokenizer.match(region, at)
+                if more and m.end() + AHEAD > len(region):
+                    break  # it might go on
+                parts.append(m.group())
+                at = m.end()
+                if at in old_ends:
+                    return self._replace(first, old_ends[at], parts)
+            if not more:
+                return self._replace(first, last, parts)
+            for last in range(last + 1, min(last + step, len(self.leaves) - 1) + 1):
+                region += self._leaf(last)
+                old_ends[len(region)] = last
+            step *= 2
+
+    def _leaf(self, i: int) -> str:
+        leaf = self.leaves[i]
+        return leaf if isinstance(leaf, str) else "".join(leaf)
+
+    def _replace(self, first: int, last: int, parts: list[str]) -> None:
+        size = sum(map(len, parts))
+        self.encoded += size
+        self.leaves[first] = parts
+        self.tree.set(first, size, sum(self.tokenizer.counts(parts)))
         for i in range(first + 1, last + 1):
-            self.parts[i] = ""
-            self.tree.set(i, 0)
-        self.tree.set(first, total)
-        self._places()
-        return None
+            if self.leaves[i]:
+                self.leaves[i] = ""
+                self.tree.set(i, 0, 0)
+        self.worn += last - first
+        if len(parts) > WIDE or 2 * self.worn > len(self.leaves):
+            self._build(self.parts())
 
 
 def standard_edits(text: str) -> list[tuple[int, int, str]]:
@@ -155,23 +199,24 @@ def standard_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def count_edits(docs: DataFrame, ranks: bytes, edits: Callable[[str], list[tuple[int, int, str]]] = standard_edits, pattern: str = PATTERN, key: str = "doc_id", text: str = "text", size: int = LEAF) -> DataFrame:
+def count_edits(docs: DataFrame, ranks: bytes, edits: Callable[[str], list[tuple[int, int, str]]] = standard_edits, pattern: str = PATTERN, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_chars, n_tokens, n_leaves, n_edits, n_tokens_edited, n_chars_reencoded for each row.
 
     Null text counts as empty: no tokens and no leaves, though edits may add some. Repeated rows give repeated results.
-    The vocabulary goes with the tasks (its size is that of the file). Columns beside key and text are not looked at.
+    ranks is the vocabulary's content, which goes with the tasks (its size is that of the file). Columns beside key and text
+    are not looked at.
     """
     key_type = docs.schema[key].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(sent.value, pattern)
+        tokenizer = Tokenizer(sent.value, pattern)
         for b in slices(batches, "t"):
             rows = []
             for t in b.column("t").to_pylist():
                 t = t or ""
-                doc = CountedText(t, count, size)
-                made, before, n = edits(t), doc.total, len(doc.parts)
+                doc = CountedText(t, tokenizer)
+                made, before, n = edits(t), doc.total, len(doc.leaves)
                 for e in made:
                     doc.edit(*e)
                 rows.append((len(t), before, n, len(made), doc.total, doc.encoded))
@@ -179,3 +224,34 @@ def count_edits(docs: DataFrame, ranks: bytes, edits: Callable[[str], list[tuple
 
     out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {key_type}, n_chars long, n_tokens long, n_leaves long, n_edits long, n_tokens_edited long, n_chars_reencoded long")
     return out.withColumnRenamed("k", key)
+
+
+def trees(docs: DataFrame, ranks: bytes, edits: Callable[[str], list[tuple[int, int, str]]] | None = None, pattern: str = PATTERN, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, text, leaf_chars, leaf_tokens, n_tokens, n_chars_reencoded: each document's leaves, to be kept beside it.
+
+    Where docs has leaf_chars and leaf_tokens already (of its texts), they are taken from there and only what the edits touch is
+    encoded. The text is the edited one. Null text is empty.
+    """
+    known = {"leaf_chars", "leaf_tokens"} <= set(docs.columns)
+    key_type = docs.schema[key].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    names = ["k", "t", "leaf_chars", "leaf_tokens", "n_tokens", "n_chars_reencoded"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = Tokenizer(sent.value, pattern)
+        for b in slices(batches, "t"):
+            rows = []
+            kept = [b.column(c).to_pylist() if known else [None] * b.num_rows for c in ("leaf_chars", "leaf_tokens")]
+            for t, chars, tokens in zip(b.column("t").to_pylist(), *kept, strict=True):
+                doc = CountedText(t or "", tokenizer, chars, tokens)
+                for e in edits(t or "") if edits else ():
+                    doc.edit(*e)
+                parts = doc.parts()
+                rows.append(("".join(parts), [len(p) for p in parts], tokenizer.counts(parts), doc.total, doc.encoded))
+            t, chars, tokens, total, encoded = zip(*rows, strict=True)
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(t, pa.string()), pa.array(chars, ints), pa.array(tokens, ints), pa.array(total, pa.int64()), pa.array(encoded, pa.int64())], names)
+
+    some = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), *(["leaf_chars", "leaf_tokens"] if known else []))
+    out = some.mapInArrow(run, f"k {key_type}, t string, leaf_chars array<int>, leaf_tokens array<int>, n_tokens long, n_chars_reencoded long")
+    return out.withColumnsRenamed({"k": key, "t": text})
