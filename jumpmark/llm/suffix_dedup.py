@@ -25,9 +25,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from jumpmark.llm import bwt
-from jumpmark.llm.common import maybe_broadcast, stored
+from jumpmark.llm.common import fresh, maybe_broadcast, stored
 from jumpmark.llm.text_bytes import raw, slices
 
 #: Bytes of a string; bytes of the substrings that key it; windows in a run at most (a run's marks fit 32 bits).
@@ -98,7 +99,31 @@ def _join(blobs: pd.Series, kind: str) -> np.ndarray:
 
 
 def _owners(docs: DataFrame) -> DataFrame:
-    return docs.where("k is not null").groupBy("h").agg(F.min("k").alias("k"), F.max(F.octet_length("t")).alias("b"))
+    return docs.where("k is not null").groupBy("h").agg(F.min("k").alias("k"), F.max(F.octet_length("t")).alias("b"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+
+
+def _texts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """docs as (k, h: 64-bit hash of the text, t), and a row (h, k, b) for each text.
+
+    Texts that share their 64-bit hash by chance (told by a digest of 128 bits) get another one: there are hardly any such
+    hashes even among ten billion texts, so they are few enough to be named in the plan.
+    """
+    t = F.col(text)
+    d = docs.select(F.col(key).alias("k"), F.xxhash64(t).alias("h"), F.md5(t.cast("binary")).alias("d"), t.alias("t"))
+    owners = stored(_owners(d))
+    clash = [r["h"] for r in owners.where("lo <> hi").select("h").collect()]
+    if clash:
+        d = d.withColumn("h", F.when(F.col("h").isin(clash), F.xxhash64("d")).otherwise(F.col("h")))
+        owners = stored(_owners(d))
+    return d.drop("d"), owners.select("h", "k", "b")
+
+
+def ranked(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """docs with a column that numbers its keys in their order, for keys that are no integers; and the column's name."""
+    name, other = fresh(docs, "_rank", "_rank_key")
+    keys = docs.select(F.col(f"`{key}`").alias(other)).where(F.col(other).isNotNull()).distinct().orderBy(other)
+    keys = stored(keys.withColumn(name, F.monotonically_increasing_id()))  # grows from partition to partition, and these are sorted
+    return docs.join(keys, F.col(f"`{key}`") == F.col(other), "left").drop(other), name
 
 
 def hot_keys(texts: DataFrame, n_bytes: int) -> np.ndarray:
@@ -144,30 +169,33 @@ def hot_keys(texts: DataFrame, n_bytes: int) -> np.ndarray:
 
 
 def split_hot(hot: np.ndarray, data: bytes, begin: np.ndarray, key: np.ndarray, text: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of hot keys as single windows keyed by all their bytes; begin: where each run's text starts in data."""
+    """Runs of hot keys as single windows keyed by all their bytes, and these bytes; begin: where each run's text starts in data."""
     at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
     is_hot = hot[at] == key
-    if not is_hot.any():
-        return key, text, first, size, np.zeros(len(key), bool)
     n = size[is_hot]
-    place = bwt.ranges((begin + first)[is_hot], n)
+    place = bwt.ranges((begin + first)[is_hot], n) if is_hot.any() else np.zeros(0, np.int64)
     flat = np.frombuffer(data, np.uint8)
+    window = flat[place[:, None] + np.arange(LENGTH)]
     h = np.zeros(len(place), np.uint64)
     for j in range(LENGTH):
-        h = (h ^ flat[place + j]) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ window[:, j]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
+    if not len(place):
+        return key, text, first, size, np.zeros(len(key), bool), window
     cold = ~is_hot
     cat = lambda a, b: np.concatenate([a[cold], b])
     one = np.ones(len(place), size.dtype)
-    return cat(key, h), cat(text, np.repeat(text[is_hot], n)), cat(first, bwt.ranges(first[is_hot], n)), cat(size, one), np.repeat([False, True], [int(cold.sum()), len(place)])
+    return cat(key, h), cat(text, np.repeat(text[is_hot], n)), cat(first, bwt.ranges(first[is_hot], n)), cat(size, one), np.repeat([False, True], [int(cold.sum()), len(place)]), window
 
 
-def first_holders(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Of windows with one key those of the smallest owner."""
-    _, which = np.unique(key, return_inverse=True)
-    least = np.full(int(which.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, which, owner)
-    return owner == least[which]
+def first_holders(key: np.ndarray, owner: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """All but the windows that a smaller owner holds as well, byte for byte, as far as equal keys tell."""
+    order = np.lexsort((owner, key))
+    k = key[order]
+    head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    least = np.empty(len(key), np.int64)
+    least[order] = np.repeat(order[head], np.diff(np.append(head, len(k))))
+    return (owner == owner[least]) | (window != window[least]).any(axis=1)
 
 
 def _keyed_runs(texts: DataFrame, blocks: int, hot: np.ndarray) -> DataFrame:
@@ -184,11 +212,11 @@ def _keyed_runs(texts: DataFrame, blocks: int, hot: np.ndarray) -> DataFrame:
         n = 0
 
         def flush() -> pa.RecordBatch:
-            key, text, first, size, single, row = (np.concatenate(c) for c in zip(*held, strict=True))
+            key, text, first, size, single, row, window = (np.concatenate(c) for c in zip(*held, strict=True))
             rows = []
             if single.any():
                 at = np.flatnonzero(single)
-                gone = at[~first_holders(key[at], row[at])]
+                gone = at[~first_holders(key[at], row[at], window)]
                 for q, (o, f) in _by_block(row[gone] % blocks, [row[gone], first[gone]]) if len(gone) else ():
                     rows.append((q, b"", b"", o.tobytes(), b"", f.astype(np.uint32).tobytes(), b""))
                 stay = np.ones(len(key), bool)
@@ -214,11 +242,11 @@ def _keyed_runs(texts: DataFrame, blocks: int, hot: np.ndarray) -> DataFrame:
             if not take:
                 continue
             key, text, first, size = runs(take)
-            single = np.zeros(len(key), bool)
+            single, window = np.zeros(len(key), bool), np.zeros((0, LENGTH), np.uint8)
             if shared_hot is not None and len(key):
                 lengths = np.array([len(t) for t in take], dtype=np.int64)
-                key, text, first, size, single = split_hot(shared_hot.value, b"".join(take), (np.cumsum(lengths) - lengths)[text], key, text, first, size)
-            held.append((key, np.array(ids, np.int64)[text], first, size, single, np.array(own, np.int64)[text]))
+                key, text, first, size, single, window = split_hot(shared_hot.value, b"".join(take), (np.cumsum(lengths) - lengths)[text], key, text, first, size)
+            held.append((key, np.array(ids, np.int64)[text], first, size, single, np.array(own, np.int64)[text], window))
             n += len(key)
             if n >= FLUSH:
                 yield flush()
@@ -346,8 +374,7 @@ def _spans(marks: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs' rows as (k, h: text hash, t, copy: another row with a smaller key has the whole text, spans: packed intervals)."""
-    d = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    owners = stored(_owners(d))
+    d, owners = _texts(docs.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").alias(text)), key, text)
     total = owners.agg(F.sum("b").alias("b"), F.count("*").alias("n")).first()
     blocks = max(8, -(-(total["b"] or 0) // BLOCK))
     long = d.where("k is not null and octet_length(t) >= %d" % LENGTH)
@@ -405,10 +432,18 @@ def cut(data: bytes, copy: bool, spans: bytes | None) -> tuple[bytes, int, int]:
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, n_bytes, n_removed, n_spans, kept_sha256.
 
-    Null text counts as empty. Rows with a null key are kept whole and are no one's smaller document. Keys are 64-bit
-    integers; rows that repeat a key are one document and all get its result. Texts of fewer than LENGTH bytes lose nothing.
-    Columns beside key and text are not looked at.
+    Null text counts as empty. Rows with a null key are kept whole and are no one's smaller document. Keys that are no
+    integers are taken in their own order. Rows that repeat a key with the same text are one document and all get its result;
+    one key should not have two texts. Texts of fewer than LENGTH bytes lose nothing. Columns beside key and text are not
+    looked at.
     """
+    key_type = docs.schema[key].dataType
+    docs = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text))
+    if not isinstance(key_type, IntegralType):
+        docs, number = ranked(docs, key)
+        names = docs.select(number, key).where(F.col(number).isNotNull()).distinct()
+        out = digest(docs.select(number, text), number, text).join(stored(names), number, "left")
+        return out.select(key, "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
@@ -419,4 +454,4 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([b.column("k"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return find(docs, key, text).mapInArrow(run, f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return find(docs, key, text).mapInArrow(run, f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

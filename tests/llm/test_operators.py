@@ -142,6 +142,25 @@ def test_suffix_dedup(docs, none, monkeypatch):
     assert suffix_dedup.digest(none).count() == 0
 
 
+def test_suffix_dedup_string_keys(spark):
+    data = [(None if i is None else f"id{i:05}", t) for i, t in DATA if i is not None or t is None]
+    d = spark.createDataFrame(data, "doc_id string, text string").repartition(3)
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert found(suffix_dedup.digest(d), *cols) == Counter(brute_repeats(data))
+
+
+def test_suffix_dedup_nothing_shared(spark):
+    d = spark.createDataFrame([(i, f"{'abcdefgh'[i]}" * 200) for i in range(8)], "doc_id long, text string")
+    assert found(suffix_dedup.digest(d), "n_removed") == Counter({(0,): 8})
+
+
+def test_first_holders_compares_bytes():
+    window = np.array([[1] * 50, [1] * 50, [2] * 50, [2] * 50], np.uint8)
+    key = np.zeros(4, np.uint64)  # the first two differ from the last though their keys are equal
+    assert suffix_dedup.first_holders(key, np.array([5, 7, 9, 4]), window).tolist() == [True, True, False, True]
+    assert suffix_dedup.first_holders(np.array([1, 1, 2, 2], np.uint64), np.array([5, 7, 9, 4]), window).tolist() == [True, False, False, True]
+
+
 def test_decontaminate(spark, docs, none):
     short = "gnu general public"
     items = [(1, PASSAGE), (2, " ".join(PASSAGE.split()[20:40])), (30, short), (4, None), (5, ""), (2, PASSAGE.upper()), (None, PASSAGE)]
@@ -634,15 +653,15 @@ def test_packing_spreads_equal_rows(spark):
 
 def test_token_counts(docs, none):
     ranks = open("/opt/tokenizers/byte_bpe_50k.tiktoken", "rb").read()
-    count = token_counts.counter(ranks)
+    count, tokenizer = token_counts.counter(ranks), token_counts.Tokenizer(ranks)
     rng = random.Random(11)
     for text in [t or "" for _, t in DATA if len(t or "") < 5000] + ["don't stop  now\n\n ok a b c d" * 80]:
-        doc = token_counts.CountedText(text, count, size=64)
+        doc = token_counts.CountedText(text, tokenizer)
         assert doc.total == count(text)
-        for _ in range(12):
+        for _ in range(40):
             a = rng.randint(0, len(text) + 2)
             b = a + rng.choice([0, 1, 3, 40])
-            new = rng.choice(["", " ", "x", " new words here", "'s", "\n"])
+            new = rng.choice(["", " ", "x", " new words here", "'s", "\n", "  \n ", "many words " * 40])
             a2, b2 = min(a, len(text)), min(b, len(text))
             text = text[:a2] + new + text[b2:]
             doc.edit(a, b, new)
@@ -659,6 +678,31 @@ def test_token_counts(docs, none):
     assert token_counts.count_edits(none, ranks).count() == 0
 
 
+def test_token_counts_edit_is_local():
+    """An edit of a long text encodes a few characters; a word of a million characters is one pre-token."""
+    ranks = open("/opt/tokenizers/byte_bpe_50k.tiktoken", "rb").read()
+    tokenizer = token_counts.Tokenizer(ranks)
+    text = "some plain words stand here, 12 of them. " * 20_000
+    doc = token_counts.CountedText(text, tokenizer)
+    for k in range(50):
+        doc.edit(k * 16_000 + 7, k * 16_000 + 9, "xy z")
+        text = text[: k * 16_000 + 7] + "xy z" + text[k * 16_000 + 9 :]
+    assert doc.encoded < 50 * 60 and doc.text == text and doc.total == tokenizer.whole(text)
+    doc = token_counts.CountedText("ab " + "c" * 30_000 + " de", tokenizer)
+    doc.edit(100, 101, " ")
+    assert doc.total == tokenizer.whole(doc.text)
+
+
+def test_token_trees_are_kept(spark, docs):
+    ranks = open("/opt/tokenizers/byte_bpe_50k.tiktoken", "rb").read()
+    kept = token_counts.trees(docs, ranks)
+    count = token_counts.counter(ranks)
+    assert found(kept, "doc_id", "n_tokens") == Counter((i, count(t or "")) for i, t in DATA)
+    again = token_counts.trees(kept, ranks, token_counts.standard_edits)
+    assert found(again, "doc_id", "n_tokens") == found(token_counts.count_edits(docs, ranks).withColumnRenamed("n_tokens", "old").withColumnRenamed("n_tokens_edited", "n_tokens"), "doc_id", "n_tokens")
+    assert all(sum(r["leaf_chars"]) == len(r["text"]) and sum(r["leaf_tokens"]) == r["n_tokens"] for r in again.collect())
+
+
 def test_decontaminate_final_sigma(spark):
     text = " ".join(f"ΑΣ{i}ΣΑΣ" if i % 2 else "ΛΟΓΟΣ" for i in range(10))
     bench = spark.createDataFrame([(1, text)], "item_id long, text string")
