@@ -1,9 +1,10 @@
 """License scan: ordered signature rules gated by keywords.
 
-A document's words are looked at only where an anchor word stands. Around each anchor a context of a few words is cut out
-with a mark before the anchor, and the rules whose keyword occurs in that context are tried as regular expressions. A
-detection is an interval of words. Sorted by start, a detection that lies inside an earlier one of the same or a higher
-priority is suppressed (for equal intervals the higher priority, then the earlier rule, wins).
+A document's words are looked at only where an anchor word stands. Around each anchor as many words are cut out as the rule
+that reaches farthest can match, with a mark before the anchor; so no rule loses anything by seeing these only. Of the rules
+of that anchor those whose keyword occurs there are tried as regular expressions. A detection is an interval of words.
+Sorted by start, a detection that lies inside an earlier one of the same or a higher priority is suppressed (for equal
+intervals the higher priority, then the earlier rule, wins).
 
 Everything is a column expression; there is no shuffle.
 """
@@ -13,69 +14,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jumpmark.llm import license_rules
 from jumpmark.llm.common import ALNUM_WORD, ascii_lower, words
 
-#: Words before an anchor and from it on that a rule can see: "under the terms of the gnu lesser general public" is 9 words,
-#: and notices name holders, addresses or versions between the two parts of a '.*' rule.
-LEFT, RIGHT = 9, 32
 MARK = "@"
-#: A rule's regular expression sees the context with MARK before the anchor word.
-ANCHORS = ["license", "licence", "licensed", "licenced", "licenses", "licensing", "spdx", "copyright", "copyleft", "warranty", "unlicense", "domain"]
-
-#: name of a licence, as a pattern of normalised words -> label
-FAMILIES = {
-    "mit": "mit", "expat": "mit", "apache": "apache", "apache software": "apache",
-    "(?:gnu )?general public": "gpl", "gpl": "gpl", "gplv2": "gpl-2", "gplv3": "gpl-3",
-    "(?:gnu )?lesser general public": "lgpl", "(?:gnu )?library general public": "lgpl", "lgpl": "lgpl",
-    "(?:gnu )?affero general public": "agpl", "agpl": "agpl", "(?:gnu )?free documentation": "gfdl",
-    "bsd": "bsd", "2 clause bsd": "bsd-2-clause", "3 clause bsd": "bsd-3-clause", "new bsd": "bsd-3-clause", "simplified bsd": "bsd-2-clause",
-    "mozilla public": "mpl", "mpl": "mpl", "eclipse public": "epl", "common development and distribution": "cddl",
-    "common public": "cpl", "ibm public": "ipl", "isc": "isc", "zlib": "zlib", "boost software": "bsl", "artistic": "artistic",
-    "perl artistic": "artistic", "python software foundation": "psf", "academic free": "afl", "open software": "osl",
-    "microsoft public": "ms-pl", "microsoft reciprocal": "ms-rl", "european union public": "eupl", "sil open font": "ofl",
-    "creative commons": "cc", "creative commons attribution": "cc-by", "creative commons attribution sharealike": "cc-by-sa",
-    "creative commons attribution noncommercial": "cc-by-nc", "creative commons attribution noderivatives": "cc-by-nd",
-    "open data commons": "odc", "open database": "odbl", "php": "php", "ruby": "ruby", "openssl": "openssl", "server side public": "sspl",
-    "business source": "busl", "elastic": "elastic", "llama community": "llama", "openrail": "openrail",
-}
-
-#: form -> (pattern around the name N, priority, confidence, suffix of the label)
-FORMS = {
-    "bare": (r"(?:^| )N @licen[cs]e", 1, 0.7, ""),
-    "versioned": (r"(?:^| )N @licen[cs]e (?:version |v )?[1-9](?: [0-9])?(?= |$)", 2, 0.9, ""),
-    "under": (r"(?:^| )under (?:the )?(?:terms of )?(?:the )?N @licen[cs]e", 3, 0.95, ""),
-    "licensed under": (r"(?:^| )@licen[cs]ed under (?:the )?(?:terms of )?(?:the )?N(?= |$)", 3, 0.95, ""),
-    "spdx": (r"(?:^| )@spdx licen[cs]e identifier N(?= |$)", 3, 1.0, ""),
-}
-
-#: Hand-written rules: (keyword, pattern, label, priority, confidence)
-SINGLE = [
-    ("copyright", r"(?:^| )@copyright (?:c )?(?:19|20)[0-9][0-9](?= |$)", "copyright-notice", 1, 0.3),
-    ("reserved", r"(?:^| )@copyright .*?all rights reserved", "proprietary", 2, 0.6),
-    ("domain", r"(?:^| )(?:in|into|to) the public @domain", "public-domain", 2, 0.8),
-    ("unlicense", r"(?:^| )@unlicense(?= |$)", "unlicense", 2, 0.8),
-    ("copyleft", r"(?:^| )@copyleft(?= |$)", "copyleft", 1, 0.4),
-    ("warranty", r"(?:^| )without @warranty of any kind", "warranty-disclaimer", 1, 0.4),
-    ("any later version", r"(?:^| )general public @license .*?any later version", "gpl-or-later", 3, 0.95),
-    ("creative commons", r"(?:^| )@licensed under (?:a )?creative commons zero", "cc0", 3, 0.95),
-]
-
-
-def _keyword(name: str) -> str:
-    """The plain words a context must hold before the rule's regular expression is tried."""
-    return name.replace("(?:gnu )?", "")
-
-
-#: (keyword, pattern, label, priority, confidence), in order.
-RULES = [
-    *SINGLE,
-    *((_keyword(n), pattern.replace("N", n), label + suffix, priority, confidence) for pattern, priority, confidence, suffix in FORMS.values() for n, label in FAMILIES.items()),
-]
+RULES = license_rules.rules()
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 
-def _rules_literal(rules: list[tuple]) -> Column:
-    return F.array(*(F.struct(F.lit(k).alias("kw"), F.lit(p).alias("rx"), F.lit(label).alias("label"), F.lit(pr).alias("prio"), F.lit(conf).alias("conf"), F.lit(i).alias("ord")) for i, (k, p, label, pr, conf) in enumerate(rules)))
+def _detections(rules: list[dict]) -> Column:
+    """What the rules find around the anchors (_ctx: at, word, ctx): start, minus_end, minus_prio, ord, label, conf; as SQL, which is parsed at once."""
+    by_anchor: dict[tuple[str, ...], list[str]] = {}
+    for i, r in enumerate(rules):
+        found = f"named_struct('m', ltrim(regexp_extract(c.ctx, r'{r['regex']}', 0)), 'prio', {r['priority']}, 'ord', {i}, 'label', '{r['label']}', 'version', {str(r['version']).lower()}, 'conf', {r['confidence']}D)"
+        by_anchor.setdefault(tuple(r["anchors"]), []).append(f"if(contains(c.ctx, '{r['keyword']}'), {found}, null)")
+    tried = ", ".join(f"if(c.word in ({', '.join(repr(w) for w in words)}), array_compact(array({', '.join(found)})), array())" for words, found in by_anchor.items())
+    spaces = lambda x: f"(length({x}) - length(replace({x}, ' ', '')))"
+    start = f"(c.at - {spaces(f"substring_index(d.m, '{MARK}', 1)")})"
+    label = "if(d.version, concat(d.label, '-', replace(regexp_extract(d.m, r'[1-9](?: [0-9])?$', 0), ' ', '.')), d.label)"
+    interval = f"named_struct('start', {start}, 'minus_end', -({start} + {spaces('d.m')}), 'minus_prio', -d.prio, 'ord', d.ord, 'label', {label}, 'conf', d.conf)"
+    return F.expr(f"flatten(transform(_ctx, c -> transform(filter(concat({tried}), d -> d.m <> ''), d -> {interval})))")
 
 
 def _places(w: Column, at: Column, phrase: str) -> Column:
@@ -92,19 +50,21 @@ def _places(w: Column, at: Column, phrase: str) -> Column:
     return F.transform(F.filter(at, stands), lambda i: i - (n - 1))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[tuple] = RULES, base: dict[str, str] = BASE, anchors: list[str] = ANCHORS) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[dict] = RULES, base: dict[str, str] = BASE) -> DataFrame:
     """One row per input row: key, n_words, base places and labels, the detections kept and their labels, a score.
 
     Null text counts as empty: no words, no places, empty labels, score 0. Repeated rows give repeated results. Columns of
     docs beside key and text are not looked at. Rows with a null key are scanned as any other.
     """
+    anchors = sorted({a for r in rules for a in r["anchors"]})
+    left, right = max(r["left"] for r in rules) + 1, max(r["right"] for r in rules) + 1
     lasts = sorted({p.split(" ")[-1] for p in base} | set(anchors))
     low = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    df = docs.select(F.col(key).alias("_key"), low.alias("_low"))
-    df = df.select("_key", "_low", words(F.col("_low"), ALNUM_WORD).alias("_w"))
-    gate = F.col("_low").rlike("|".join(sorted({a[:5] for a in lasts})))
+    df = docs.select(F.col(key).alias("_key"), words(low, ALNUM_WORD).alias("_w"))
+    gate = F.arrays_overlap("_w", F.array(*map(F.lit, lasts)))
     spots = F.filter(F.transform(F.col("_w"), lambda x, i: F.when(x.isin(lasts), i)), lambda i: i.isNotNull())
-    df = df.select("_key", F.size("_w").cast("long").alias("n_words"), F.when(gate, F.col("_w")).alias("_w"), F.when(gate, spots).alias("_at"))
+    df = df.select("_key", F.size("_w").cast("long").alias("n_words"), F.when(gate, F.col("_w")).alias("_w"))
+    df = df.withColumn("_at", F.when(F.col("_w").isNotNull(), spots))
     empty = F.array().cast("array<int>")
     df = df.withColumn("_at", F.coalesce("_at", empty))
     some = F.size("_at") > 0
@@ -114,28 +74,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[t
     base_labels = F.array_compact(F.array(*(F.when(F.size(f"_b{k}") > 0, F.lit(label)) for k, label in enumerate(base.values()))))
 
     def context(i: Column) -> Column:
-        left = F.greatest(i - LEFT, F.lit(0))
-        before = F.slice(F.col("_w"), left + 1, i - left)
-        after = F.slice(F.col("_w"), i + 1, F.lit(RIGHT))
-        return F.struct(i.alias("at"), F.concat(F.array_join(before, " "), F.when(i > 0, F.lit(" ")).otherwise(F.lit("")), F.lit(MARK), F.array_join(after, " ")).alias("ctx"))
+        first = F.greatest(i - left, F.lit(0))
+        before = F.slice(F.col("_w"), first + 1, i - first)
+        after = F.slice(F.col("_w"), i + 1, F.lit(right))
+        return F.struct(i.alias("at"), F.get(F.col("_w"), i).alias("word"), F.concat(F.array_join(before, " "), F.when(i > 0, F.lit(" ")).otherwise(F.lit("")), F.lit(MARK), F.array_join(after, " ")).alias("ctx"))
 
     df = df.withColumn("_ctx", F.when(some, F.transform(F.filter("_at", lambda i: F.get(F.col("_w"), i).isin(anchors)), context)))
-    literal = _rules_literal(rules)
-
-    def tried(c: Column) -> Column:
-        fired = F.filter(literal, lambda r: F.contains(c["ctx"], r["kw"]))
-        found = F.transform(fired, lambda r: F.struct(r.alias("r"), F.ltrim(F.call_function("regexp_extract", c["ctx"], r["rx"], F.lit(0))).alias("m")))
-        found = F.filter(found, lambda d: d["m"] != "")
-
-        def interval(d: Column) -> Column:
-            start = c["at"] - F.length(F.regexp_replace(F.substring_index(d["m"], MARK, 1), "[^ ]", ""))
-            end = start + F.length(F.regexp_replace(d["m"], "[^ ]", ""))
-            return F.struct(start.alias("start"), (-end).alias("minus_end"), (-d["r"]["prio"]).alias("minus_prio"), d["r"]["ord"].alias("ord"), d["r"]["label"].alias("label"), d["r"]["conf"].alias("conf"))
-
-        return F.transform(found, interval)
-
-    df = df.withColumn("_found", F.array_sort(F.flatten(F.transform("_ctx", tried))))
-    levels = sorted({-r[3] for r in rules})
+    df = df.withColumn("_found", F.array_sort(_detections(rules)))
+    levels = sorted({-r["priority"] for r in rules})
     nothing = F.struct(*(F.lit(-1).alias(f"e{-p}") for p in levels), F.array().cast("array<string>").alias("labels"), F.lit(0).alias("n"), F.lit(0.0).alias("best"))
 
     def fold(acc: Column, d: Column) -> Column:

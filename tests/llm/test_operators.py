@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import xxhash
 pytest.importorskip("jumpmark.llm")
 from pyspark.sql import functions as F
 
-from jumpmark.llm import bwt, decontaminate, language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, suffix_dedup, token_counts, toxicity
+from jumpmark.llm import bwt, decontaminate, language_id, license_rules, license_scan, line_dedup, ngram_join, packing, quality_rules, suffix_dedup, token_counts, toxicity
 from jumpmark.llm.common import table
 from tests.llm.common_rows import ALNUM, SPACE, frame, low, rows, sha
 
@@ -51,23 +52,71 @@ def test_license_base(docs, none):
     assert license_scan.scan(none).count() == 0
 
 
-def test_license_standard_notices(spark):
-    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
-    bsd = "Copyright (c) 1990 The Regents of the University of California. All rights reserved."
-    lgpl = "under the terms of the GNU Lesser General Public License"
-    d = spark.createDataFrame([(1, gpl), (2, bsd), (3, lgpl), (4, bsd + " MIT License. All rights reserved.")], "doc_id long, text string")
+NOTICES = {
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": {"gpl", "gpl-or-later"},
+    "Copyright (c) 1990 The Regents of the University of California. All rights reserved.": {"proprietary"},
+    "Copyright 2019 " + "some holder of rights and its many heirs in all the lands, " * 4 + "all rights reserved": {"proprietary"},
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": {"mit"},
+    "Redistribution and use in source and binary forms, with or without modification, are permitted": {"bsd"},
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.": {"apache", "apache-2.0"},
+    "under the terms of the GNU Lesser General Public License version 3 or later": {"gpl", "lgpl", "lgpl-3"},
+    "the Creative Commons Attribution NonCommercial License": {"cc-by-nc"},
+    "https://creativecommons.org/licenses/by-sa/4.0/": {"cc-by-sa-4.0"},
+    "SPDX-License-Identifier: ISC": {"isc"},
+    "The Software shall be used for Good, not Evil.": {"json"},
+    "Licensed under CC BY-NC 4.0.": {"cc-by-nc-4.0"},
+    "Mozilla Public License 2.0": {"mpl-2.0"},
+    "a plain sentence about the wild man in the domain of kings": set(),
+}
+
+
+def test_license_notices(spark):
+    d = spark.createDataFrame(list(enumerate(NOTICES)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in license_scan.scan(d).collect()}
-    assert "gpl-or-later" in got[1]["labels"].split(",")
-    assert got[2]["labels"] == "proprietary" and got[2]["n_detections"] == 1
-    assert got[3]["score"] == 0.95  # the nine words before the anchor
-    assert got[4]["labels"] == "mit,proprietary" and got[4]["n_detections"] == 2  # a notice ends with its first reservation
-
-
-def test_license_suppression(spark):
-    d = spark.createDataFrame([(1, "under the terms of the GNU Lesser General Public License version 3 or later"), (2, "the Creative Commons Attribution NonCommercial License")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in license_scan.scan(d).collect()}
-    assert got[1]["labels"].split(",") == ["gpl", "lgpl"]  # gpl is a base label; the plain forms inside the longer one are suppressed
-    assert got[2]["labels"] == "cc-by-nc" and got[2]["n_detections"] == 1
+    for i, want in enumerate(NOTICES.values()):
+        assert want <= set(got[i]["labels"].split(",")) - {""} or not want and got[i]["labels"] == "", (got[i]["labels"], want)
+        assert 0 <= got[i]["score"] <= 1
+    assert got[6]["n_detections"] == 2  # a grant and a version; the plain forms inside them are suppressed
+
+
+def brute_license(text, rules):
+    """(labels, n_detections, best confidence): every rule at every anchor on the whole text."""
+    w = ALNUM.findall(low(text))
+    found = []
+    for at, word in enumerate(w):
+        marked = " ".join([*w[:at], "@" + word, *w[at + 1 :]])
+        for i, r in enumerate(rules):
+            m = re.search(r["regex"], marked) if word in r["anchors"] else None
+            if m:
+                m = m[0].lstrip(" ")
+                start = at - m.split("@")[0].count(" ")
+                number = re.search(r"[1-9](?: [0-9])?$", m) if r["version"] else None
+                found.append((start, -(start + m.count(" ")), -r["priority"], i, r["label"] + ("-" + number[0].replace(" ", ".") if number else ""), r["confidence"]))
+    found.sort()
+    kept = [d for k, d in enumerate(found) if not any(e[1] <= d[1] and e[2] <= d[2] for e in found[:k])]
+    return {d[4] for d in kept}, len(kept), max((d[5] for d in kept), default=0.0)
+
+
+def test_license_brute(spark):
+    """Labels and counts of random texts made of pieces of notices, rules looking at the whole text."""
+    rng = random.Random(9)
+    pieces = [w for t in NOTICES for w in (t, " ".join(t.split()[: rng.randint(2, 9)]))] + [r["pattern"].replace("@", "") for r in license_rules.rules()[:250] if not set("()[]?~") & set(r["pattern"])]
+    texts = ["License", *(" ".join(rng.choice(pieces) if rng.random() < 0.6 else f"w{rng.randint(0, 99)} " * rng.randint(1, 60) for _ in range(rng.randint(1, 8))) for _ in range(60)), *(t for _, t in DATA)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for r in license_scan.scan(d).collect():
+        labels, n, best = brute_license(texts[r["doc_id"]] or "", license_scan.RULES)
+        base = set(r["base_labels"].split(",")) - {""}
+        assert (set(r["labels"].split(",")) - {""}, r["n_detections"]) == (labels | base, n)
+        assert abs(r["score"] - max(best, 0.6 if r["n_base"] else 0.0)) < 1e-9
+
+
+def test_license_rules():
+    rules = license_rules.rules()
+    assert len(license_rules.HAND_WRITTEN.strip().splitlines()) >= 240
+    for r in rules:
+        assert r["pattern"].count("@") == 1 and r["keyword"] and r["anchors"], r
+    assert license_rules.reach("a (?:b )?@c ~5 d") == (2, 7)
+    assert sorted(license_rules.anchors("x @licen[cs]e y")) == ["licence", "license"] and license_rules.keyword("a (?:b )?@cd e? ~5 d") == "@cd "
 
 
 def brute_quality(t):
