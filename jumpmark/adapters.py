@@ -34,6 +34,17 @@ def grid_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("block", "t", "x", c.cast("int").alias("c"), F.col("v").cast("double").alias("v"))
 
 
+#: Vectors in a row that make a block of a label; the blocks grow in number with the table.
+GOP = 256
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells (block: label in a run of GOP vectors, t: vec_id, y, x: place in a frame of 8 x 8, c: quantised component)."""
+    e = table(spark, sf_dir, "embeddings").select((F.floor(F.col("vec_id") / GOP) * 10 + F.col("label")).cast("long").alias("block"), F.col("vec_id").alias("t"), F.posexplode("embedding").alias("p", "v"))
+    c = F.least(F.greatest(F.floor((F.col("v").cast("double") + 0.5) * 16), F.lit(0)), F.lit(15))
+    return e.select("block", "t", F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).cast("int").alias("x"), c.cast("int").alias("c"))
+
+
 def bench_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark facts: video (nation), codec (priority), quality_param (status) with sizes and quality numbers."""
     o, c, n, li = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation", "lineitem"))

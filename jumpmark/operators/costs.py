@@ -70,3 +70,18 @@ def process_type() -> Column:
 
 def suggested_representation() -> Column:
     return F.when(F.col("N") == 0, "R1").when(F.col("N") < 50, "R2").otherwise("R4b")
+
+
+def bandwidth_level(bits: Column, kbps: Column, fps: float = 30.0) -> Column:
+    """0 (best) to 3: how often over the bandwidth a block's bits are, by factors of one, two and four."""
+    need = bits * fps
+    return F.when(need <= kbps * 1000, 0).when(need <= kbps * 2000, 1).when(need <= kbps * 4000, 2).otherwise(3)
+
+
+def adapted(fields: dict[str, Column], level: Column) -> dict[str, Column]:
+    """Method code fields for a level: colours coarser from 1, pixels from 2, sequential colours at 3."""
+    return {
+        "F": F.when(level >= 1, F.greatest(F.lit(1), fields["F"] - level)).otherwise(fields["F"]),
+        "G": F.when(level >= 2, F.least(F.lit(3), fields["G"] + 1)).otherwise(fields["G"]),
+        "B": F.when(level >= 3, 0).otherwise(fields["B"]),
+    }

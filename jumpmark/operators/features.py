@@ -26,9 +26,9 @@ def sequence_features(events: DataFrame, block: str = "block_id") -> DataFrame:
     return g.withColumn("R_temp", F.when(F.col("var_gap") > 0, F.pow("mean_gap", F.lit(2)) / F.col("var_gap")).otherwise(1.0))
 
 
-def block_features(events: DataFrame, r: int, m: int, block: str = "block_id") -> DataFrame:
-    """One row per block: N, r, m, H, m_eff, n_trans, R_temp. Both halves group by block, so they join on one partitioning."""
-    return entropy(mark_counts(events, block), block).join(sequence_features(events, block), block).select(block, "N", F.lit(r).alias("r"), F.lit(m).alias("m"), "H", "m_eff", "n_trans", "R_temp")
+def block_features(events: DataFrame, r: int, block: str = "block_id") -> DataFrame:
+    """One row per block: N, r, m (marks that occur), H, m_eff, n_trans, R_temp. Both halves group by block, so they join on one partitioning."""
+    return entropy(mark_counts(events, block), block).join(sequence_features(events, block), block).select(block, "N", F.lit(r).alias("r"), F.col("m_seen").cast("int").alias("m"), "H", "m_eff", "n_trans", "R_temp")
 
 
 def spatial(cells: DataFrame, block: str = "block") -> DataFrame:

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jumpmark.functions.scalar import log2_comb
 from jumpmark.operators.costs import temporal_costs
 
 #: threshold -> (smallest, largest, steps); the last one varies fastest
@@ -33,6 +34,49 @@ def configs(spark: SparkSession, grid: dict[str, tuple[float, float, int]] = GRI
     return out
 
 
+def predicted(features: DataFrame) -> DataFrame:
+    """features with the classifier's choices (pa, pb, pc), the cheapest ones (oa, ob, oc), their costs (cost, optimum).
+
+    features: N, r, m, H, n_trans, m_eff and, where known, counts (jumps by colour; else they are taken as evenly spread over
+    the effective colours, or as one).
+    """
+    from jumpmark.operators import costs as C
+
+    n, r = F.col("N"), F.col("r")
+    if "counts" not in features.columns:
+        each = F.when(F.col("m_eff") > 0, F.floor(n / F.col("m_eff"))).otherwise(n)
+        rest = F.when(F.col("m_eff") > 0, n % F.col("m_eff")).otherwise(0)
+        split = F.transform(F.sequence(F.lit(1), F.greatest(F.col("m_eff"), F.lit(1))), lambda i: each + F.when(i <= rest, 1).otherwise(0))
+    else:
+        split = F.transform("counts", lambda c: F.floor(c / n * n))
+    mono = F.aggregate(split, F.lit(0.0), lambda a, k: a + F.when(k > 0, F.log2(k + 1.0) + log2_comb(r.cast("int"), k.cast("int"))).otherwise(0.0))
+    color, when_all, kind = C.color_costs(), C.temporal_costs_exhaustive(), C.type_costs()
+    three = {k: color[k] for k in ("Ba", "Bb", "Bc")}
+    f = features.withColumns({"a": F.array(*(v.cast("double") for v in kind.values())), "b": F.array(*(v.cast("double") for v in color.values())), "c": F.array(*(v.cast("double") for v in when_all.values())), "mono": mono})
+    gain = when_all["R4b"] + F.least(*three.values()) - F.col("mono")
+    few = (F.col("m") <= 4) & (F.col("m_eff") >= F.col("m") - 1)
+    f = f.withColumn("pa", F.when((n > 0) & (few | (gain > 0)), 1).otherwise(0))
+    f = f.withColumn("pb", F.when(F.col("m_eff") == 1, 1).otherwise(C.best(three)["ord"]))
+    f = f.withColumn("pc", F.when(n == 0, 0).when(n < 50, 1).otherwise(4))
+    low = lambda x: F.array_position(x, F.array_min(x)).cast("int") - 1  # noqa: E731  the first smallest
+    f = f.withColumns({"oa": low("a"), "ob": low("b"), "oc": low("c"), "cost": F.get("a", "pa") + F.get("b", "pb") + F.get("c", "pc"), "optimum": F.array_min("a") + F.array_min("b") + F.array_min("c")})
+    return f.drop("a", "b", "c", "mono")
+
+
+def objective(features: DataFrame, grid_configs: DataFrame, alpha: float = 1.0, beta: float = 0.5) -> DataFrame:
+    """Each configuration's objective: alpha times the cost of what the classifier chooses, beta times what it costs too much.
+
+    Beside it the accuracy of the choices. The classifier in use looks at no threshold, so that its sums are taken once over the
+    blocks (one aggregation) and every configuration has the same ones.
+    """
+    p = predicted(features)
+    over = F.greatest(F.col("cost") - F.col("optimum"), F.lit(0.0))
+    hit = lambda *d: F.avg(sum(((F.col(f"p{k}") == F.col(f"o{k}")).cast("int") for k in d), F.lit(0)).eqNullSafe(len(d)).cast("int"))
+    sums = p.agg(F.sum("cost").alias("encoding"), F.sum(over).alias("penalty"), F.count("*").alias("n_blocks"), hit("a", "b", "c").alias("exact"), *(hit(k).alias(f"acc_{k}") for k in "abc"), F.avg(over).alias("mean_penalty"), F.max(over).alias("max_penalty"))
+    every = grid_configs.select("config_id").crossJoin(F.broadcast(sums))  # one row
+    return every.select("config_id", (alpha * F.col("encoding") + beta * F.col("penalty")).alias("total"), *sums.columns)
+
+
 def density_costs(features: DataFrame, grid_configs: DataFrame) -> DataFrame:
     """Cost of each configuration when the representation follows the jump density N / r and two thresholds.
 

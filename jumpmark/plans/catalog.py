@@ -34,7 +34,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def block_table(spark: SparkSession, sf: str) -> DataFrame:
-    return features.block_features(A.pp_events(spark, sf), r=A.R, m=5)
+    return features.block_features(A.pp_events(spark, sf), r=A.R)
 
 
 # changes
@@ -126,11 +126,6 @@ def block_features(spark, sf):
     return rounded(block_table(spark, sf))
 
 
-@query
-def block_features_10(spark, sf):
-    return rounded(features.block_statistics(A.grid_emb(spark, sf)))
-
-
 @query
 def spatial_features(spark, sf):
     return rounded(features.spatial(A.grid_emb(spark, sf)))

@@ -9,9 +9,9 @@ _CNT = "mc AS (SELECT block_id, mark, count(*) AS n FROM ev GROUP BY ALL)"
 _ENT = "en AS (SELECT block_id, sum(n) AS N, count(*) AS m_seen, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS H FROM mc GROUP BY block_id)"
 _EFF = "ef AS (SELECT mc.block_id, count(*) FILTER (mc.n >= greatest(2.0, 0.01 * en.N)) AS m_eff FROM mc JOIN en ON mc.block_id = en.block_id GROUP BY mc.block_id)"
 _SF = "sf AS (SELECT block_id, coalesce(sum((mark <> pm)::INT), 0) AS n_trans, CASE WHEN var_pop(gap) > 0 THEN avg(gap) ** 2 / var_pop(gap) ELSE 1.0 END AS R_temp FROM sq GROUP BY block_id)"
-_FEAT = f"{_EV}, {_SEQ}, {_CNT}, {_ENT}, {_EFF}, {_SF}, f AS (SELECT en.block_id, en.N::DOUBLE AS N, 90::DOUBLE AS r, 5::DOUBLE AS m, H, m_eff, n_trans::DOUBLE AS n_trans, R_temp FROM en JOIN ef ON ef.block_id = en.block_id JOIN sf ON sf.block_id = en.block_id)"
+_FEAT = f"{_EV}, {_SEQ}, {_CNT}, {_ENT}, {_EFF}, {_SF}, f AS (SELECT en.block_id, en.N::DOUBLE AS N, 90::DOUBLE AS r, m_seen::DOUBLE AS m, H, m_eff, n_trans::DOUBLE AS n_trans, R_temp FROM en JOIN ef ON ef.block_id = en.block_id JOIN sf ON sf.block_id = en.block_id)"
 _LC = "CASE WHEN N > 0 AND N < r THEN (lgamma(r + 1) - lgamma(N + 1) - lgamma(r - N + 1)) / ln(2) ELSE 0 END"
-_COL = "(n_trans + 1) * log2(m) AS Ba, N * log2(m) AS Bb, N * H + m * (floor(log2(m)) + 1) AS Bc, N * (log2(m) + 2 * log2(greatest(1.0, log2(m)))) AS Bd"
+_COL = "(n_trans + 1) * log2(m) AS Ba, N * log2(m) AS Bb, CASE WHEN m > 1 THEN N * H + m * (floor(log2(m)) + 1) ELSE 0 END AS Bc, N * (log2(m) + 2 * log2(greatest(1.0, log2(m)))) AS Bd"
 _TMP = f"log2(N + 1) + N * log2(r) AS R1, r * log2(N / r + 1) AS R2, N * log2(r) AS R3, r AS R4a, log2(N + 1) + {_LC} AS R4b"
 _TMX = f"N * log2(r) AS R1, r * log2(N / r + 1) AS R2, N * log2(r / N + 1) AS R3, r AS R4a, log2(N + 1) + {_LC} AS R4b"
 _TYP = "N * log2(m) AS Aa, 0::DOUBLE AS Ab, N * H AS Ac, 0.8 * N * H AS Ad, n_trans * log2(m) AS Ae"
@@ -79,9 +79,6 @@ ORACLE_SQL: dict[str, str] = {
     "color_entropy": f"WITH {_FEAT} SELECT en.block_id, en.N::BIGINT AS N, m_seen, round(en.H, 6) + 0.0 AS H, m_eff FROM en JOIN ef ON en.block_id = ef.block_id",
     "sequence_features": f"WITH {_FEAT} SELECT block_id, n_trans::BIGINT AS n_trans, round(R_temp, 6) + 0.0 AS R_temp FROM f",
     "block_features": f"WITH {_FEAT} SELECT block_id, N::BIGINT AS N, r::BIGINT AS r, m::BIGINT AS m, round(H, 6) + 0.0 AS H, m_eff, n_trans::BIGINT AS n_trans, round(R_temp, 6) + 0.0 AS R_temp FROM f",
-    "block_features_10": f"""WITH {_CH}, px AS (SELECT block, x, count(*) FILTER (b) AS n FROM ch GROUP BY ALL), pa AS (SELECT block, avg(n) AS mean_n, stddev_pop(n) AS std_n FROM px GROUP BY block),
- mo AS (SELECT block, max(k) / sum(k) AS mode_share, count(*) AS n_colors FROM (SELECT block, c, count(*) AS k FROM g GROUP BY ALL) GROUP BY block), wh AS (SELECT block, avg((c <> p)::INT) AS change_rate, var_pop(c) AS variance FROM ch GROUP BY block)
- SELECT pa.block::BIGINT AS block, {_r('mean_n std_n mode_share')}, n_colors, {_r('change_rate variance')} FROM pa JOIN mo ON mo.block = pa.block JOIN wh ON wh.block = pa.block""",
     "spatial_features": f"""WITH {_G}, la AS (SELECT * FROM g QUALIFY t = max(t) OVER (PARTITION BY block)), nb AS (SELECT *, lead(c) OVER (PARTITION BY block ORDER BY x) AS nx, avg(c) OVER (PARTITION BY block) AS mu, var_pop(c) OVER (PARTITION BY block) AS va FROM la),
  a AS (SELECT block, avg((c = nx)::INT) AS eq, avg((c - mu) * (nx - mu)) AS cov, max(va) AS va, count(DISTINCT c) AS m, count(*) AS n, avg((abs(c - nx) > 1)::INT) AS edges FROM nb GROUP BY block)
  SELECT block::BIGINT AS block, round(coalesce(eq, 1.0), 6) AS H_s, round(CASE WHEN va < 1e-10 THEN 1.0 ELSE least(greatest((cov / va + 1) / 2, 0), 1) END, 6) AS rho, round(0.3 * m / least(n, 256) + 0.7 * coalesce(edges, 0), 6) AS texture FROM a""",
