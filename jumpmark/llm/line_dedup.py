@@ -33,6 +33,8 @@ EQUAL_DOCS, SHORT_DOCS = 2, 10
 WANTED = 1 << 20
 #: Tokens that are no fields a template needs, besides half of all.
 CONSTANT = 3
+#: Bytes of a table of templates that is broadcast.
+FEW = 16 << 20
 #: Lines of fewer tokens are short.
 MIN_TOKENS = 5
 _DIGIT = re.compile(rb"[0-9]")
@@ -127,7 +129,7 @@ def distinct_lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens:
 def _few(df: DataFrame, row_bytes: int) -> DataFrame:
     """df stored, to be broadcast where it is small."""
     kept = stored(df)
-    return maybe_broadcast(kept, row_bytes * kept.count())
+    return maybe_broadcast(kept, row_bytes * kept.count(), FEW)
 
 
 def templates(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, agree: float = AGREE, min_tokens: int = MIN_TOKENS, lines: DataFrame | None = None, equal_docs: int = EQUAL_DOCS, short_docs: int = SHORT_DOCS) -> DataFrame:

@@ -9,12 +9,14 @@ key); every document is scored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jumpmark.llm.common import stored
@@ -22,6 +24,8 @@ from jumpmark.llm.text_bytes import alnum_words, raw, slices
 
 #: Labelled documents the models are fitted on at most; words each model uses as features; folds.
 MAX_TRAIN, FEATURES, FOLDS = 20_000, 512, 5
+#: Words a task counts before it sends them on.
+HELD = 1 << 18
 #: category -> test over the labels, in the order of the chain; the last is the verdict
 CATEGORIES = {"low_quality": "quality = 0", "severe": "toxic = 1 and quality = 0", "toxic": "toxic = 1"}
 
@@ -39,8 +43,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 2.0, steps: int = 25) -> np.ndarray:
-    """Logistic regression with an L2 penalty (not on the constant), by Newton's method; a constant model for one class."""
-    x = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
+    """Logistic regression with an L2 penalty (not on the constant), by Newton's method; a constant model for one class.
+
+    Curvature is taken in single precision, which changes the path but not where the gradient vanishes.
+    """
+    x = np.column_stack([x, np.ones(len(x))]).astype(np.float32)
     w = np.zeros(x.shape[1])
     rate = (y.sum() + 0.5) / (len(y) + 1)
     w[-1] = np.log(rate / (1 - rate))
@@ -51,10 +58,10 @@ def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 2.0, steps: int =
     for _ in range(steps):
         p = _sigmoid(x @ w)
         g = x.T @ (p - y) + ridge * w
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(h, g)
+        half = x * np.sqrt(p * (1 - p) + 1e-9).astype(np.float32)[:, None]
+        step = np.linalg.solve((half.T @ half).astype(np.float64) + np.diag(ridge), g)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-3:
             break
     return w
 
@@ -131,35 +138,45 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
     chosen = stored(chosen.withColumn("f", F.pmod(F.xxhash64(F.lit("fold"), "k"), F.lit(FOLDS)).cast("int")))
 
     def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[tuple[bytes, int], np.ndarray] = {}
+        held: dict[int, list[Counter]] = {}  # by fold: documents with a word, and those of each category
+
+        def flush() -> pa.RecordBatch:
+            rows = [(w, f, n, *(c[w] for c in of[1:])) for f, of in held.items() for w, n in of[0].items()]
+            held.clear()
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], ["w", "f", "n", *(f"m{i}" for i in range(n_cat))])
+
         for b in slices(batches, "t"):
-            marks = np.column_stack([np.ones(b.num_rows, np.int64), *(b.column(y).to_numpy().astype(np.int64) for y in ys)])
-            for t, f, m in zip(raw(b, "t"), b.column("f").to_pylist(), marks, strict=True):
-                for w in set(alnum_words(t or b"")):
-                    rows[w, f] = rows[w, f] + m if (w, f) in rows else m
-        if rows:
-            n = np.array(list(rows.values()))
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([f for _, f in rows], pa.int32()), *(pa.array(n[:, i]) for i in range(n_cat + 1))], ["w", "f", "n", *(f"m{i}" for i in range(n_cat))])
+            for t, f, *marks in zip(raw(b, "t"), b.column("f").to_pylist(), *(b.column(y).to_pylist() for y in ys), strict=True):
+                seen = set(alnum_words(t or b""))
+                of = held.setdefault(f, [Counter() for _ in range(n_cat + 1)])
+                of[0].update(seen)
+                for c, y in zip(of[1:], marks, strict=True):
+                    if y:
+                        c.update(seen)
+            if sum(len(of[0]) for of in held.values()) > HELD:
+                yield flush()
+        if any(of[0] for of in held.values()):
+            yield flush()
 
     totals = chosen.groupBy("f").agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in ys)).collect()  # FOLDS rows
     if not totals:
         return None
     kinds = "w binary, f int, n long" + "".join(f", m{i} long" for i in range(n_cat))
-    sums = [F.sum(c).alias(c) for c in ("n", *(f"m{i}" for i in range(n_cat)))]
-    counts = chosen.mapInArrow(word_counts, kinds).groupBy("w", "f").agg(*sums)
-    counts = stored(counts.groupBy("w").agg(F.collect_list(F.struct("f", "n", *(f"m{i}" for i in range(n_cat)))).alias("per")))
-
-    def scores(i: int, left_out: int) -> Column:
-        """What a word tells about category i outside a fold: chi-square, the sign of the association ignored."""
-        of = lambda c: F.aggregate("per", F.lit(0).cast("long"), lambda a, x: a + F.when(x["f"] != left_out, x[c]).otherwise(0))
+    columns = ["n", *(f"m{i}" for i in range(n_cat))]
+    in_fold = [F.sum(F.when(F.col("f") == f, F.col(c)).otherwise(0)).alias(f"{c}_{f}") for c in columns for f in range(FOLDS)]
+    counts = chosen.mapInArrow(word_counts, kinds).groupBy("w").agg(*(F.sum(c).alias(c) for c in columns), *in_fold).where("n >= 2")
+    counts = stored(counts)
+
+    def best(use: int, i: int, left_out: int) -> DataFrame:
+        """The words that tell most about category i outside a fold: chi-square, the sign of the association ignored."""
+        of = lambda c: F.col(c) if left_out < 0 else F.col(c) - F.col(f"{c}_{left_out}")
         n, m = (float(sum(r[c] for r in totals if r["f"] != left_out)) for c in ("n", f"y{i}"))
         chi = F.pow(of(f"m{i}") * n - of("n") * m, 2) / (of("n") * (n - of("n") + 1.0) * max(1.0, m * (n - m)))
-        return F.when(of("n") >= 2, chi)
+        return counts.where(of("n") >= 2).select("w", chi.alias("score")).orderBy(F.col("score").desc(), "w").limit(features).select(F.lit(use).alias("s"), "w")
 
     uses = [(i, f) for i in range(n_cat) for f in (*range(FOLDS), -1)]  # what words are chosen for: a category, all but a fold
-    each = counts.select("w", F.posexplode(F.array(*(scores(i, f) for i, f in uses))).alias("s", "score")).where("score is not null")
-    order = Window.partitionBy("s").orderBy(F.col("score").desc(), "w")
-    picked = each.withColumn("at", F.row_number().over(order)).where(F.col("at") <= features).select("s", "w").collect()  # `features` words a use
+    picked = reduce(DataFrame.unionAll, (best(s, *use) for s, use in enumerate(uses))).collect()  # `features` words a use
     words = sorted({bytes(r["w"]) for r in picked})
     vocabulary = {w: i for i, w in enumerate(words)}
     chosen_words = [[np.array(sorted(vocabulary[bytes(r["w"])] for r in picked if r["s"] == i * (FOLDS + 1) + f), dtype=np.int64) for f in range(FOLDS + 1)] for i in range(n_cat)]
