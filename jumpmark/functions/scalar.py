@@ -105,3 +105,68 @@ def fragment(uri: Column, name: str) -> Column:
 def distance(a: list[Column], b: list[Column]) -> Column:
     """Euclidean distance of two vectors of columns."""
     return F.sqrt(sum(((x - y).cast("double") * (x - y).cast("double") for x, y in zip(a, b, strict=True)), F.lit(0.0)))
+
+
+def log_comb(n: Column, k: Column) -> Column:
+    """Natural logarithm of n over k; minus infinity outside 0 <= k <= n."""
+    import math
+
+    return F.when((k < 0) | (k > n), F.lit(float("-inf"))).otherwise(log2_comb(n, k) * math.log(2.0))
+
+
+def comb(n: Column, k: Column) -> Column:
+    """n over k exactly, for n up to 60; 0 outside 0 <= k <= n."""
+    kk = F.least(k, n - k).cast("int")
+    steps = F.sequence(F.lit(1), F.greatest(kk, F.lit(1)))
+    value = F.aggregate(steps, F.lit(1).cast("long"), lambda a, i: F.call_function("div", a * (n - kk + i).cast("long"), i.cast("long")))
+    return F.when((k < 0) | (k > n), 0).when(kk == 0, 1).otherwise(value).cast("long")
+
+
+def bits_to_int(bits: Column) -> Column:
+    """The number an array of 0 and 1 spells, most significant first."""
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a * 2 + b.cast("long"))
+
+
+def int_to_bits(value: Column, width: int) -> Column:
+    return F.transform(F.sequence(F.lit(width - 1), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftright", value.cast("long"), i).bitwiseAND(F.lit(1)).cast("int"))
+
+
+def log_star_bits(n: Column) -> Column:
+    """1 plus the rounded up iterated binary logarithms that stay above 0; 0 below 1. Six rounds do for any 64-bit number."""
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.struct(n.cast("double").alias("x"), F.lit(1).cast("long").alias("s")), lambda a, _: F.struct(F.when(a["x"] > 1, F.log2(a["x"])).otherwise(a["x"]).alias("x"), (a["s"] + F.when(a["x"] > 1, F.ceil(F.log2(F.greatest(a["x"], F.lit(1.0))))).otherwise(0)).alias("s")))
+    return F.when(n < 1, 0).otherwise(done["s"])
+
+
+def ycbcr_to_rgb(y: Column, cb: Column, cr: Column) -> tuple[Column, Column, Column]:
+    """Whole numbers, by shifts, clipped to a byte."""
+    c, d, e = y - 16, cb - 128, cr - 128
+    byte = lambda v: F.least(F.greatest(F.shiftright(v.cast("int"), 8), F.lit(0)), F.lit(255))
+    return byte(298 * c + 409 * e + 128), byte(298 * c - 100 * d - 208 * e + 128), byte(298 * c + 516 * d + 128)
+
+
+def gray(r: Column, g: Column, b: Column) -> Column:
+    return F.floor(0.299 * r + 0.587 * g + 0.114 * b).cast("int")
+
+
+def basis(family: str, k: int, dimension: int, t: Column, span: float) -> Column:
+    """The k-th basis function of a family at t in [0, span): right-open bins, powers, or 1, cos, sin, ... (others: bins)."""
+    import math
+
+    if family == "polynomial":
+        return F.pow(t / span, F.lit(k)) if k else F.lit(1.0)
+    if family == "trigonometric":
+        turn = 2 * math.pi * ((k + 1) // 2) / span * t
+        return F.lit(1.0) if k == 0 else F.cos(turn) if k % 2 else F.sin(turn)
+    edge = span / dimension
+    return ((t >= k * edge) & (t < (k + 1) * edge)).cast("double")
+
+
+#: Intensity and its integral of each family, as expressions of time and parameters.
+INTENSITIES = {
+    "homogeneous": (lambda t, lambda0=0.1: F.lit(lambda0) + 0 * t, lambda t, lambda0=0.1: lambda0 * t),
+    "linear": (lambda t, a=0.01, b=0.01: a * t + b, lambda t, a=0.01, b=0.01: 0.5 * a * t * t + b * t),
+    "sinusoidal": (lambda t, lambda0=0.1, amplitude=0.5, omega=0.19634954084936207, phi=0.0: F.greatest(lambda0 * (1 + amplitude * F.sin(omega * t + phi)), F.lit(1e-10)), lambda t, lambda0=0.1, amplitude=0.5, omega=0.19634954084936207, phi=0.0: lambda0 * (t - amplitude / omega * F.cos(omega * t + phi))),
+    "exponential": (lambda t, lambda0=0.1, beta=0.01: lambda0 * F.exp(beta * t), lambda t, lambda0=0.1, beta=0.01: lambda0 / beta * (F.exp(beta * t) - 1)),
+    "logarithmic": (lambda t, lambda0=0.1, gamma=0.1: lambda0 * F.log(1 + gamma * t + 1e-10), lambda t, lambda0=0.1, gamma=0.1: lambda0 / gamma * ((1 + gamma * t) * F.log(1 + gamma * t + 1e-10) - gamma * t)),
+    "power": (lambda t, lambda0=0.1, p=1.0: lambda0 * F.pow(F.greatest(t, F.lit(1e-10)), F.lit(p)), lambda t, lambda0=0.1, p=1.0: lambda0 / (p + 1) * F.pow(F.greatest(t, F.lit(1e-10)), F.lit(p + 1))),
+}

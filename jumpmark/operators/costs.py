@@ -85,3 +85,17 @@ def adapted(fields: dict[str, Column], level: Column) -> dict[str, Column]:
         "G": F.when(level >= 2, F.least(F.lit(3), fields["G"] + 1)).otherwise(fields["G"]),
         "B": F.when(level >= 3, 0).otherwise(fields["B"]),
     }
+
+
+def hierarchical(counts: DataFrame, levels: int, block: str = "block_id", level_bits: int = 8, target: int = 1) -> DataFrame:
+    """Costs of colours in levels, from counts (block, level, c, n): by each level's entropy and dictionary, uniform, sequential.
+
+    downgraded: the entropy cost when only the first target levels are kept.
+    """
+    n = F.sum("n")
+    per = counts.groupBy(block, "level").agg(n.alias("N"), (F.log2(n) - F.sum(F.col("n") * F.log2("n")) / n).alias("H"), (F.max("c") + 1).alias("m"))
+    total = per.groupBy(block).agg(F.sum("N").alias("all"), F.collect_list(F.struct("level", "H", "m")).alias("l"))
+    cost = lambda x: F.col("all") * x["H"] + x["m"] * (F.floor(F.log2(x["m"].cast("double"))) + 1)
+    some = lambda keep: F.aggregate(F.filter("l", keep), F.lit(0.0), lambda a, x: a + cost(x))
+    bits = F.col("all") * float(levels * level_bits)
+    return total.select(block, some(lambda x: F.lit(True)).alias("huffman"), bits.alias("uniform"), (bits * 0.3).alias("sequential"), some(lambda x: x["level"] < target).alias("downgraded"))

@@ -103,3 +103,51 @@ def windowed_ssim(pairs: DataFrame, size: int = 7, top: float = 15.0, by: tuple[
     c1, c2 = (0.01 * top) ** 2, (0.03 * top) ** 2
     one = ((2 * mc * mp + c1) * (2 * spread("cp", mc, mp) + c2)) / ((mc * mc + mp * mp + c1) * (spread("cc", mc, mc) + spread("pp", mp, mp) + c2))
     return out.groupBy(*by).agg(F.avg(one).alias("ssim"), F.count("*").alias("windows"))
+
+
+def subsample(cells: DataFrame, lines: int, columns: int) -> DataFrame:
+    """(block, t, sy, sx, c): means of 2 x 2 cells, rounded by adding 2; the last line or column counts twice where their number is odd."""
+    weight = lambda c, n: F.when((F.col(c) == n - 1) & F.lit(n % 2 == 1), 2).otherwise(1)
+    s = cells.groupBy("block", "t", F.floor(F.col("y") / 2).alias("sy"), F.floor(F.col("x") / 2).alias("sx")).agg(F.sum(F.col("c") * weight("y", lines) * weight("x", columns)).alias("s"))
+    return s.select("block", "t", "sy", "sx", F.floor((F.col("s") + 2) / 4).alias("c"))
+
+
+def merge_planes(cells: DataFrame, small: DataFrame) -> DataFrame:
+    """cells with chroma: the halved plane's value at each cell (nearest neighbour)."""
+    at = cells.withColumns({"sy": F.floor(F.col("y") / 2), "sx": F.floor(F.col("x") / 2)})
+    return at.join(small.withColumnRenamed("c", "chroma"), ["block", "t", "sy", "sx"]).drop("sy", "sx")
+
+
+def through_lut(colors: DataFrame, palette: list[tuple[int, int, int]], shift: int = 3) -> DataFrame:
+    """colors (r, g, b) with idx and pr, pg, pb of the palette entry nearest to the middle of their cell of 2^shift values a side.
+
+    The table has a row for each of the cube's cells whatever the data, so it is built once and broadcast.
+    """
+    spark, n = colors.sparkSession, 256 >> shift
+    cell = lambda k: F.floor(F.col("id") / n**k) % n
+    cube = spark.range(n**3).select(*(cell(k).cast("int").alias(name) for k, name in ((2, "cr"), (1, "cg"), (0, "cb"))))
+    half = (1 << shift) // 2
+    far = lambda p: sum((F.pow(F.col(c) * (1 << shift) + half - v, 2) for c, v in zip(("cr", "cg", "cb"), p, strict=True)), F.lit(0.0))
+    near = F.array_min(F.array(*(F.struct(far(p).alias("d"), F.lit(i).alias("idx"), F.lit(p[0]).alias("pr"), F.lit(p[1]).alias("pg"), F.lit(p[2]).alias("pb")) for i, p in enumerate(palette))))
+    lut = cube.withColumn("near", near).select("cr", "cg", "cb", "near.idx", "near.pr", "near.pg", "near.pb")
+    at = colors.withColumns({c: F.shiftright(F.col(v).cast("int"), shift) for c, v in (("cr", "r"), ("cg", "g"), ("cb", "b"))})
+    return at.join(F.broadcast(lut), ["cr", "cg", "cb"])
+
+
+def overlapping(cells: DataFrame, size: int, stride: int, lines: int, columns: int) -> DataFrame:
+    """cells with block_y and block_x: a row for each block of size x size, every stride cells, that covers the cell."""
+    last = lambda n: (n - size) // stride
+    over = lambda c, n: F.sequence(F.greatest(F.ceil((F.col(c) - size + 1) / stride), F.lit(0)).cast("int"), F.least(F.floor(F.col(c) / stride), F.lit(last(n))).cast("int"))
+    inside = (F.col("y") <= last(lines) * stride + size - 1) & (F.col("x") <= last(columns) * stride + size - 1)
+    return cells.where(inside).withColumn("block_y", F.explode(over("y", lines))).withColumn("block_x", F.explode(over("x", columns)))
+
+
+def seek(cells: DataFrame, first: int, last: int, step: int = 1) -> DataFrame:
+    """The frames from first to last, every step-th by number; the range reaches the scan."""
+    return cells.where(F.col("t").between(first, last) & (F.col("t") % step == 0))
+
+
+def tiles(cells: DataFrame, size: int, lines: int, columns: int, levels: int) -> DataFrame:
+    """Whole tiles of size x size cells (block_y, block_x); values of a byte become one of levels."""
+    at = cells.withColumns({"block_y": F.floor(F.col("y") / size), "block_x": F.floor(F.col("x") / size), "c": F.floor(F.col("c") * (levels - 1) / 255)})
+    return at.where((F.col("block_y") < lines // size) & (F.col("block_x") < columns // size))

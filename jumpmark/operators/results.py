@@ -172,3 +172,9 @@ def rate_verdict(rates: DataFrame) -> DataFrame:
     """bd_rate() in words, by bounds of -10, 0 and 10 percent."""
     r = F.col("bd_rate")
     return rates.withColumn("verdict", F.when(r < -10, "much better").when(r < 0, "better").when(r == 0, "equal").when(r < 10, "worse").otherwise("much worse"))
+
+
+def derived(runs: DataFrame, seconds: Column, encode_seconds: Column, pixels: int) -> DataFrame:
+    """runs with bitrate_kbps, fps and bits_per_pixel; each is 0 where what it divides by is not positive."""
+    per = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    return runs.withColumns({"bitrate_kbps": per(F.col("output_size") * 8 / 1000, seconds), "fps": per(F.col("n_frames"), encode_seconds), "bits_per_pixel": per(F.col("output_size") * 8, pixels * F.col("n_frames"))})

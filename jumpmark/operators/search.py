@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from jumpmark.functions.scalar import log2_comb
 from jumpmark.operators.costs import temporal_costs
@@ -97,6 +98,15 @@ def top(costs: DataFrame, k: int = 10) -> DataFrame:
     return costs.orderBy(F.round("cost", 6), "config_id").limit(k)
 
 
+def running_minimum(costs: DataFrame, part: int = 256) -> DataFrame:
+    """(config_id, best): the least cost up to each configuration. Parts of configurations are scanned on their own; only the parts' minima are scanned together."""
+    parts = costs.withColumn("part", F.floor(F.col("config_id") / part))
+    least = parts.groupBy("part").agg(F.min("cost").alias("least"))
+    before = least.select("part", F.min("least").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
+    own = F.min("cost").over(W.partitionBy("part").orderBy("config_id").rowsBetween(W.unboundedPreceding, 0))
+    return parts.withColumn("own", own).join(F.broadcast(before), "part").select("config_id", F.least("own", "before").alias("best"))
+
+
 def sample(spark: SparkSession, n: int, seed: int = 42, grid: dict[str, tuple[float, float, int]] = GRID) -> DataFrame:
     """n configurations drawn with replacement, each step by a hash of seed, draw and threshold."""
     out = spark.range(n).withColumnRenamed("id", "draw")

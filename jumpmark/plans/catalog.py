@@ -295,15 +295,21 @@ def log_binomial(spark, sf):
     return rounded(A.table(spark, sf, "part").select("p_partkey", scalar.log2_comb(F.lit(60), F.col("p_partkey") % 64).alias("bits")))
 
 
+#: Places of a sequence that are ranked together: ranks of sets below this fit a decimal.
+SEGMENT = 40
+
+
 def _positions(spark, sf):
+    """Jump places of every sequence, in segments of SEGMENT places."""
     p = changes.changed(A.grid_emb(spark, sf), ["block", "x"])
     place = F.row_number().over(W.partitionBy("block", "x").orderBy("t")) - 1
-    return p.withColumn("i", place).where("b and i < 40").groupBy("block", "x").agg(F.array_sort(F.collect_list("i")).alias("p"))
+    p = p.withColumn("i", place).where("b").withColumns({"segment": F.floor(F.col("i") / SEGMENT), "i": F.col("i") % SEGMENT})
+    return p.groupBy("block", "x", "segment").agg(F.array_sort(F.collect_list("i")).alias("p"))
 
 
 @query
 def combinadic_rank(spark, sf):
-    return _positions(spark, sf).select(F.col("block").cast("long").alias("block"), F.col("x").cast("long").alias("x"), F.size("p").cast("long").alias("n"), coding.colex_rank(F.col("p"), 40).cast("long").alias("rank"))
+    return rounded(_positions(spark, sf).select("block", "x", "segment", F.size("p").alias("n"), coding.colex_rank(F.col("p"), SEGMENT).cast("long").alias("rank")))
 
 
 @query
@@ -571,7 +577,7 @@ def transition_index(spark, sf):
 def _versions(spark, sf):
     r = results.with_ratio(A.bench_runs(spark, sf))
     v = lambda q: r.where(F.col("quality_param") == q).groupBy("video").agg((F.sum("output_size") * 8 / F.sum("input_size")).alias("bpp"), F.avg("ratio").alias("ratio"))
-    return v("F"), v("O").where("video <> 'NATION_3'")
+    return v("F"), v("P")
 
 
 @query
@@ -654,9 +660,9 @@ def best_config_per_base(spark, sf):
 
 @query
 def running_best(spark, sf):
-    c = search.density_costs(block_table(spark, sf), search.configs(spark)).where("config_id % 64 = 0")
-    w = W.orderBy("config_id").rowsBetween(W.unboundedPreceding, 0)
-    return rounded(c.select("config_id", F.min(F.round("cost", 4)).over(w).alias("best")))
+    """The best cost so far along all configurations."""
+    c = search.density_costs(block_table(spark, sf), search.configs(spark)).select("config_id", F.round("cost", 4).alias("cost"))
+    return rounded(search.running_minimum(c))
 
 
 @query
@@ -706,10 +712,10 @@ def convergence_rate(spark, sf):
     """Slope of the log distance to the whole over the log sample size, users added by powers of two."""
     e = A.pp_events(spark, sf).withColumn("bin", F.floor(F.col("t") / 6).cast("int"))
     whole = e.groupBy("bin").agg(F.count("*").alias("a")).withColumn("p", F.col("a") / F.sum("a").over(W.partitionBy(F.lit(1))))
-    sizes = F.explode(F.array(*(F.lit(2**k) for k in range(1, 6)))).alias("s")
-    part = e.select("block_id", "bin", sizes).where(F.col("block_id") < F.col("s")).groupBy("s", "bin").agg(F.count("*").alias("b"))
+    top = e.agg(F.max("block_id").alias("top")).select(F.explode(F.transform(F.sequence(F.lit(1), F.floor(F.log2(F.col("top") + 1)).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))).alias("s"))
+    part = e.select("block_id", "bin").join(F.broadcast(top)).where(F.col("block_id") < F.col("s")).groupBy("s", "bin").agg(F.count("*").alias("b"))
     part = part.withColumn("q", F.col("b") / F.sum("b").over(W.partitionBy("s")))
-    dense = whole.select("bin", "p", sizes).join(part, ["s", "bin"], "left")
+    dense = whole.select("bin", "p").join(F.broadcast(top)).join(part, ["s", "bin"], "left")
     h = dense.groupBy("s").agg((F.sum(F.pow(F.sqrt("p") - F.sqrt(F.coalesce("q", F.lit(0.0))), 2)) / 2).alias("h2"))
     return rounded(h.where("h2 > 1e-12").agg((-F.regr_slope(F.log("h2"), F.log("s"))).alias("gamma"), F.count("*").alias("n")))
 

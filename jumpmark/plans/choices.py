@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from jumpmark import adapters as A
 from jumpmark.functions import coding, scalar
 from jumpmark.operators import costs, description, frames, generate, intensity, prediction, results, search, selection
-from jumpmark.plans.catalog import _colors, _positions, block_table, query, rounded
+from jumpmark.plans.catalog import SEGMENT, _colors, _positions, block_table, query, rounded
 from jumpmark.plans.oracles import _CH, _FEAT, _G, _HIST, _RGB, _RUNS, _T, _TMX, _least
 
 #: r and m of the threshold queries: rows of the tables and values between and beyond them.
@@ -214,15 +214,18 @@ ORACLE_SQL["index_gain"] = f"""WITH {_CH}, fr AS (SELECT block, t, (row_number()
 
 @query
 def rank_round_trips(spark, sf):
-    """Both ranks of the jump times, and whether the sets they give back are the same."""
+    """Both ranks of the jump places of every segment, and whether the sets they give back are the same."""
     p = _positions(spark, sf)
-    r = p.select("block", "x", F.array_join(F.transform("p", lambda v: v.cast("string")), ",").alias("own"), F.size("p").alias("n"), coding.colex_rank(F.col("p"), 40).alias("rank"), coding.lex_rank(F.col("p"), 40).alias("lex"))
-    back = coding.unranked(r, 40)
+    r = p.select("block", "x", "segment", F.array_join(F.transform("p", lambda v: v.cast("string")), ",").alias("own"), F.size("p").alias("n"), coding.colex_rank(F.col("p"), SEGMENT).alias("rank"), coding.lex_rank(F.col("p"), SEGMENT).alias("lex"))
+    back = coding.unranked(r, SEGMENT)
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
-    return rounded(back.select("block", "x", "n", (text("colex_set") == F.col("own")).alias("colex_same"), (text("lex_set") == F.col("own")).alias("lex_same")))
+    return rounded(back.select("block", "x", "segment", "n", F.col("rank").cast("long").alias("colex"), F.col("lex").cast("long").alias("lex"), (text("colex_set") == F.col("own")).alias("colex_same"), (text("lex_set") == F.col("own")).alias("lex_same")))
 
 
-ORACLE_SQL["rank_round_trips"] = f"WITH {_CH}, ps AS (SELECT *, row_number() OVER (PARTITION BY block, x ORDER BY t) - 1 AS i FROM ch) SELECT block::BIGINT AS block, x, count(*) AS n, true AS colex_same, true AS lex_same FROM ps WHERE b AND i < 40 GROUP BY block, x"
+_C = lambda n, k: f"(CASE WHEN {k} < 0 OR {k} > {n} THEN 0 ELSE round(exp(lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0))) END)::BIGINT"
+_SEG = f"""{_CH}, ps AS (SELECT *, row_number() OVER (PARTITION BY block, x ORDER BY t) - 1 AS j FROM ch), po AS (SELECT block, x, j // 40 AS segment, j % 40 AS i, row_number() OVER (PARTITION BY block, x, j // 40 ORDER BY j) AS k, count(*) OVER (PARTITION BY block, x, j // 40) AS n FROM ps WHERE b)"""
+ORACLE_SQL["combinadic_rank"] = f"WITH {_SEG} SELECT block::BIGINT AS block, x, segment, count(*) AS n, sum({_C('i', 'k')})::BIGINT AS rank FROM po GROUP BY ALL"
+ORACLE_SQL["rank_round_trips"] = f"WITH {_SEG} SELECT block::BIGINT AS block, x, segment, count(*) AS n, sum({_C('i', 'k')})::BIGINT AS colex, ({_C('40', 'max(n)')} - 1 - sum({_C('(39 - i)', '(n - k + 1)')}))::BIGINT AS lex, true AS colex_same, true AS lex_same FROM po GROUP BY block, x, segment"
 
 
 @query

@@ -112,11 +112,6 @@ ORACLE_SQL: dict[str, str] = {
  SELECT block::BIGINT AS block, node, best::BIGINT AS best, leaves::BIGINT AS leaves FROM b64""",
     "integer_code_lengths": "WITH x AS (SELECT p_partkey, length(bin(p_partkey)) - 1 AS k FROM part WHERE p_partkey > 0) SELECT p_partkey, 2 * k + 1 AS gamma, 1 + k + 2 * (length(bin(1 + k)) - 1) AS delta, repeat('0', k::BIGINT) || bin(p_partkey) AS code, bit_count(p_partkey)::BIGINT AS ones, (bit_count((p_partkey & -p_partkey) - 1))::BIGINT AS zeros FROM x",
     "log_binomial": "WITH x AS (SELECT p_partkey, (p_partkey % 64)::DOUBLE AS k FROM part) SELECT p_partkey, round(CASE WHEN k > 0 AND k < 60 THEN (lgamma(61.0) - lgamma(k + 1) - lgamma(61.0 - k)) / ln(2) ELSE 0 END, 6) + 0.0 AS bits FROM x",
-    "combinadic_rank": f"""WITH {_CH}, ps AS (SELECT *, row_number() OVER (PARTITION BY block, x ORDER BY t) - 1 AS i FROM ch), po AS (SELECT block, x, i, row_number() OVER (PARTITION BY block, x ORDER BY i) AS k FROM ps WHERE b AND i < 40),
- bn AS (SELECT block, x, i, k, CASE WHEN k > i THEN 0 ELSE round(exp(lgamma(i + 1.0) - lgamma(k + 1.0) - lgamma(i - k + 1.0))) END::BIGINT AS c FROM po) SELECT block::BIGINT AS block, x, count(*) AS n, sum(c)::BIGINT AS rank FROM bn GROUP BY ALL""",
-    "intensity_histogram": f"WITH {_HIST} SELECT event_type, bin, n, round(alpha, 6) AS alpha FROM h",
-    "intensity_cdf": f"WITH {_HIST} SELECT event_type, bin, round(CASE WHEN sum(n) OVER (PARTITION BY event_type) > 0 THEN sum(n) OVER (PARTITION BY event_type ORDER BY bin ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY event_type) ELSE (bin + 1) / 15.0 END, 6) AS cdf FROM h",
-    "moving_intensity": f"WITH {_HIST} SELECT a.event_type, a.bin, round(sum(b.n) / 5, 6) AS smooth FROM h a, range(-2, 3) o(d), h b WHERE b.event_type = a.event_type AND b.bin = CASE WHEN a.bin + d < 0 THEN -1 - (a.bin + d) WHEN a.bin + d > 14 THEN 29 - (a.bin + d) ELSE a.bin + d END GROUP BY ALL",
     "histogram_mle": f"WITH {_HIST}, us AS (SELECT event_type, count(DISTINCT block_id) AS u FROM ev GROUP BY event_type) SELECT h.event_type, bin, round(alpha / u, 6) AS alpha FROM h JOIN us ON us.event_type = h.event_type",
     "hellinger_distance": f"WITH {_HIST}, p AS (SELECT event_type, bin, n / sum(n) OVER (PARTITION BY event_type) AS p FROM h) SELECT round(sum((sqrt(a.p) - sqrt(b.p)) ** 2) / 2, 6) AS h2 FROM p a JOIN p b ON a.bin = b.bin AND a.event_type = 'click' AND b.event_type = 'purchase'",
     "codec_summary": f"WITH {_RUNS}, {_SUM} SELECT codec, n, {_r('ratio psnr ssim bitrate overall_ratio', 4)} FROM su",
@@ -154,7 +149,7 @@ _PX = f"""{_G}, fr AS (SELECT block, t, row_number() OVER (PARTITION BY block OR
  px AS (SELECT block, gop, x, count(*) AS r, count(*) FILTER (b) AS n, min_by(c, f) AS first, string_agg(b::INT::VARCHAR, '' ORDER BY f) AS pattern FROM gb GROUP BY ALL),
  pb AS (SELECT *, CASE WHEN n > 0 AND n < r THEN length(bin(round(exp(lgamma(r + 1.0) - lgamma(n + 1.0) - lgamma(r - n + 1.0)))::BIGINT - 1)) ELSE 0 END AS sb, length(bin(r)) AS d FROM px),
  pl AS (SELECT *, r * 8 AS L1, d + n * (d + 8) AS L2, r + n * 8 AS L3, d + sb + n * 8 AS L4 FROM pb)"""
-_VER = """v1 AS (SELECT video, sum(output_size) * 8 / sum(input_size) AS bpp, avg(ratio) AS ratio FROM rr WHERE quality_param = 'F' GROUP BY video), v0 AS (SELECT video, sum(output_size) * 8 / sum(input_size) AS bpp, avg(ratio) AS ratio FROM rr WHERE quality_param = 'O' AND video <> 'NATION_3' GROUP BY video),
+_VER = """v1 AS (SELECT video, sum(output_size) * 8 / sum(input_size) AS bpp, avg(ratio) AS ratio FROM rr WHERE quality_param = 'F' GROUP BY video), v0 AS (SELECT video, sum(output_size) * 8 / sum(input_size) AS bpp, avg(ratio) AS ratio FROM rr WHERE quality_param = 'P' GROUP BY video),
  de AS (SELECT v1.video, coalesce(v0.bpp, 8) - v1.bpp AS bpp_delta, v1.ratio / greatest(coalesce(v0.ratio, 1), 0.01) - 1 AS ratio_delta FROM v1 LEFT JOIN v0 ON v0.video = v1.video)"""
 _GRIDCOST = f"{_FEAT}, {_CONF}, co AS (SELECT block_id, N / r AS density, {_TMP} FROM f), pr AS (SELECT DISTINCT R1_max, R4b_R2 FROM cf), su AS (SELECT R1_max, R4b_R2, sum(CASE WHEN density <= R1_max THEN R1 WHEN density <= R4b_R2 THEN R4b ELSE R2 END) AS cost FROM co, pr GROUP BY ALL), gc AS (SELECT config_id, cost FROM cf JOIN su ON su.R1_max = cf.R1_max AND su.R4b_R2 = cf.R4b_R2)"
 _STEPS = [_n for _, _, _n in _GRID.values()]
@@ -193,13 +188,13 @@ ORACLE_SQL |= {
     "wilcoxon_stat": f"""WITH {_RUNS}, p AS (SELECT video, avg(bitrate) FILTER (codec = '1-URGENT') AS a, avg(bitrate) FILTER (codec = '5-LOW') AS b FROM br GROUP BY video), d AS (SELECT round(a - b, 9) AS d FROM p WHERE round(a - b, 9) <> 0), rk AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rk FROM d),
  s AS (SELECT count(*)::DOUBLE AS n, least(coalesce(sum(rk) FILTER (d > 0), 0), coalesce(sum(rk) FILTER (d < 0), 0))::DOUBLE AS w FROM rk) SELECT n::BIGINT AS n, round(w, 6) AS w, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z FROM s""",
     "best_config_per_base": f"WITH {_RUNS}, x AS (SELECT regexp_replace(video, '_[^_]*$', '') AS base, codec, video || '/' || quality_param AS quality_param, ratio FROM rr) SELECT base, codec, quality_param, round(ratio, 4) AS ratio FROM x QUALIFY row_number() OVER (PARTITION BY base ORDER BY ratio DESC, codec, quality_param) = 1",
-    "running_best": f"WITH {_GRIDCOST} SELECT config_id, min(round(cost, 4)) OVER (ORDER BY config_id ROWS UNBOUNDED PRECEDING) AS best FROM gc WHERE config_id % 64 = 0",
+    "running_best": f"WITH {_GRIDCOST} SELECT config_id, min(round(cost, 4)) OVER (ORDER BY config_id ROWS UNBOUNDED PRECEDING) AS best FROM gc",
     "grid_neighbors": f"WITH ids AS (SELECT range AS id FROM range(32000)), nb AS ({' UNION ALL '.join(_MOVES)}) SELECT id AS config_id, count(*) AS n, min(nb) AS lo, max(nb) AS hi FROM nb GROUP BY id",
     "grid_objective_full": f"WITH {_GRIDCOST} SELECT count(*) AS n, round(min(cost), 4) AS best, round(max(cost), 4) AS worst, count(DISTINCT round(cost, 6)) AS levels FROM gc",
     "integer_codes": "WITH x AS (SELECT p_partkey, p_partkey % 100 AS n FROM part) SELECT p_partkey, repeat('1', n) || '0' AS unary, repeat('1', n // 4) || '0' || lpad(bin(n % 4), 2, '0') AS golomb4, repeat('1', n // 16) || '0' || lpad(bin(n % 16), 4, '0') AS rice4 FROM x",
     "temporal_arrays": f"""WITH {_EV}, us AS (SELECT block_id, list_sort(list(t)) AS r1 FROM ev GROUP BY block_id), c AS (SELECT block_id, r1, list_transform(range(90), lambda i: len(list_filter(r1, lambda x: x = i))) AS r2 FROM us)
  SELECT block_id, array_to_string(r1, ',') AS r1, array_to_string(r2, ',') AS r2, array_to_string(list_transform(range(1, len(r1) + 1), lambda i: CASE WHEN i = 1 THEN r1[1] ELSE r1[i] - r1[i - 1] END), ',') AS r3, array_to_string(list_transform(r2, lambda x: (x > 0)::INT), ',') AS r4a, len(list_distinct(r1))::BIGINT AS n_distinct FROM c""",
-    "convergence_rate": f"""WITH {_EV}, e AS (SELECT block_id, t // 6 AS bin FROM ev), wh AS (SELECT bin, count(*) / sum(count(*)) OVER () AS p FROM e GROUP BY bin), sz AS (SELECT unnest([2, 4, 8, 16, 32]) AS s), pt AS (SELECT s, bin, count(*) / sum(count(*)) OVER (PARTITION BY s) AS q FROM e, sz WHERE block_id < s GROUP BY s, bin),
+    "convergence_rate": f"""WITH {_EV}, e AS (SELECT block_id, t // 6 AS bin FROM ev), wh AS (SELECT bin, count(*) / sum(count(*)) OVER () AS p FROM e GROUP BY bin), sz AS (SELECT 2 ** unnest(range(1, floor(log2((SELECT max(block_id) FROM ev) + 1))::BIGINT + 1)) AS s), pt AS (SELECT s, bin, count(*) / sum(count(*)) OVER (PARTITION BY s) AS q FROM e, sz WHERE block_id < s GROUP BY s, bin),
  h AS (SELECT sz.s, sum((sqrt(p) - sqrt(coalesce(q, 0))) ** 2) / 2 AS h2 FROM wh, sz LEFT JOIN pt ON pt.s = sz.s AND pt.bin = wh.bin GROUP BY sz.s) SELECT round(-regr_slope(ln(h2), ln(s)), 6) AS gamma, count(*) AS n FROM h WHERE h2 > 1e-12""",
     "log_likelihood": f"WITH {_HIST} SELECT event_type, round(sum(n * ln(greatest(alpha, 1e-10))) - sum(alpha * 6) - sum(n) * ln(5), 6) AS loglik, round(7.5 * ln(sum(n)) / ln(2), 6) AS penalty FROM h GROUP BY event_type",
     "error_cube": f"WITH {_PRED}, e AS (SELECT (act_a <> pred_a)::INT AS a, (act_c <> pred_c)::INT AS c FROM bp) SELECT coalesce(a, -1)::BIGINT AS a, coalesce(c, -1)::BIGINT AS c, count(*) AS n, grouping(a, c) AS g FROM e GROUP BY CUBE (a, c)",
