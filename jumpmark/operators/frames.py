@@ -151,3 +151,19 @@ def tiles(cells: DataFrame, size: int, lines: int, columns: int, levels: int) ->
     """Whole tiles of size x size cells (block_y, block_x); values of a byte become one of levels."""
     at = cells.withColumns({"block_y": F.floor(F.col("y") / size), "block_x": F.floor(F.col("x") / size), "c": F.floor(F.col("c") * (levels - 1) / 255)})
     return at.where((F.col("block_y") < lines // size) & (F.col("block_x") < columns // size))
+
+
+def pyramid_levels(cells: DataFrame, side: int) -> DataFrame:
+    """(block, t, level, tiles, residual): means of tiles from one a frame to one a cell, less the mean of the tile above."""
+    s, level, above, out = side, 0, None, None
+    while s >= 1:
+        at = cells.groupBy("block", "t", F.floor(F.col("y") / s).alias("ty"), F.floor(F.col("x") / s).alias("tx")).agg(F.avg("c").alias("mean"))
+        if above is None:
+            d = at.withColumn("d", F.col("mean"))
+        else:
+            up = above.select("block", "t", F.col("ty").alias("uy"), F.col("tx").alias("ux"), F.col("mean").alias("up"))
+            d = at.withColumns({"uy": F.floor(F.col("ty") / 2), "ux": F.floor(F.col("tx") / 2)}).join(up, ["block", "t", "uy", "ux"]).withColumn("d", F.col("mean") - F.col("up"))
+        g = d.groupBy("block", "t").agg(F.count("*").alias("tiles"), F.sum(F.abs("d")).alias("residual")).withColumn("level", F.lit(level))
+        out = g if out is None else out.unionByName(g)
+        above, s, level = at, s // 2, level + 1
+    return out.select("block", "t", "level", "tiles", "residual")

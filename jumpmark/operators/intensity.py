@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -66,3 +66,17 @@ def dimension_scores(events: DataFrame, r: int, sizes: tuple[int, ...], marks: i
 def best_dimension(scores: DataFrame, block: str = "event_type") -> DataFrame:
     """The size with the smallest score (to 9 digits); the smaller size wins ties."""
     return scores.groupBy(block).agg(F.min(F.struct(F.round("score", 9).alias("score"), "k")).alias("b")).select(block, "b.k", "b.score")
+
+
+def quadrature(spark, true, estimate, span: float, exposed: float, points: int = 1000) -> DataFrame:
+    """(h): Hellinger distance of two intensities, expressions of time, by points over [0, span] with a constant exposure."""
+    t = F.col("id") * span / (points - 1)
+    root = lambda f: F.sqrt(F.greatest(f(t), F.lit(1e-10)))
+    return spark.range(points).agg(F.sqrt(0.5 * F.sum(F.pow(root(true) - root(estimate), 2) * exposed * (span / points))).alias("h"))
+
+
+def bound_holds(h2: Column, error: float, dimension: int, n: int, tolerance: float = 1e-6) -> Column:
+    """Whether the square of h2 is within the squared error of approximation and what the dimension costs (h2 is squared once more, as the bound is stated)."""
+    import math
+
+    return F.pow(h2, F.lit(2)) <= error**2 + dimension * math.log(n) / (2 * n) + tolerance

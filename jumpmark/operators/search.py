@@ -107,13 +107,43 @@ def running_minimum(costs: DataFrame, part: int = 256) -> DataFrame:
     return parts.withColumn("own", own).join(F.broadcast(before), "part").select("config_id", F.least("own", "before").alias("best"))
 
 
+def _draws(spark: SparkSession, n: int, seed: int, grid: dict[str, tuple[float, float, int]]) -> DataFrame:
+    """(draw, a step of each threshold), each step by a digest of seed, draw and threshold."""
+    from jumpmark.operators.generate import uniform
+
+    step = lambda name, k: F.floor(uniform(seed, F.col("draw"), F.lit(name)) * k).cast("int").alias(name)
+    return spark.range(n).withColumnRenamed("id", "draw").select("draw", *(step(name, span[2]) for name, span in grid.items()))
+
+
 def sample(spark: SparkSession, n: int, seed: int = 42, grid: dict[str, tuple[float, float, int]] = GRID) -> DataFrame:
-    """n configurations drawn with replacement, each step by a hash of seed, draw and threshold."""
-    out = spark.range(n).withColumnRenamed("id", "draw")
-    for name, span in grid.items():
-        steps = F.array(*(F.lit(v) for v in values(span)))
-        out = out.withColumn(name, F.get(steps, F.pmod(F.xxhash64(F.lit(seed), "draw", F.lit(name)), F.lit(span[2])).cast("int")))
-    return out
+    """n configurations drawn with replacement."""
+    out = _draws(spark, n, seed, grid)
+    return out.select("draw", *(F.get(F.array(*(F.lit(v) for v in values(span))), F.col(name)).alias(name) for name, span in grid.items()))
+
+
+def sample_ids(spark: SparkSession, n: int, seed: int = 42, grid: dict[str, tuple[float, float, int]] = GRID) -> DataFrame:
+    """The config_id of each of sample()'s configurations."""
+    at = F.lit(0)
+    for name, (_, _, steps) in grid.items():
+        at = at * steps + F.col(name)
+    return _draws(spark, n, seed, grid).select(at.cast("long").alias("config_id"))
+
+
+def resumable(path: str, spark: SparkSession, build) -> DataFrame:
+    """What is written at path; build() is run and written only where no finished table is there."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def save_configs(configs: DataFrame, path: str) -> None:
+    configs.write.mode("overwrite").json(path)
+
+
+def load_configs(spark: SparkSession, path: str, grid: dict[str, tuple[float, float, int]] = GRID) -> DataFrame:
+    return spark.read.schema("config_id long, " + ", ".join(f"{k} double" for k in grid)).json(path)
 
 
 def neighbors(config_ids: DataFrame, grid: dict[str, tuple[float, float, int]] = GRID) -> DataFrame:

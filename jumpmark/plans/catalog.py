@@ -477,17 +477,6 @@ def ql_detect(spark, sf):
     return rounded(d.select("by", "bx", F.unix_seconds(F.col("t0").cast("timestamp")).alias("t0"), "n", "intensity_change"))
 
 
-@query
-def tumbling_counts(spark, sf):
-    """As a stream of the events file, run to its end."""
-    path = f"{sf}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    name = f"tumbling_{abs(hash((id(spark), sf)))}"
-    run = windows.tumbling(windows.source(spark, path, schema), "1 day").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return rounded(spark.table(name).select(F.unix_seconds("window.start").alias("t0"), "event_type", "n", "v"), 4)
-
-
 @query
 def sliding_intensity(spark, sf):
     s = windows.sliding(A.table(spark, sf, "events"), "12 hours", "6 hours")
@@ -665,11 +654,6 @@ def running_best(spark, sf):
     return rounded(search.running_minimum(c))
 
 
-@query
-def grid_random_sample(spark, sf):
-    return rounded(search.sample(spark, 100))
-
-
 @query
 def grid_neighbors(spark, sf):
     return rounded(search.neighbors(spark.range(32000).withColumnRenamed("id", "config_id")).groupBy("config_id").agg(F.count("*").alias("n"), F.min("neighbor").alias("lo"), F.max("neighbor").alias("hi")))
@@ -754,18 +738,6 @@ def kmeans_palette(spark, sf):
     return rounded(model.transform(v).groupBy(F.col("prediction").alias("idx")).agg(F.count("*").alias("n")))
 
 
-@query
-def stream_jump_detect(spark, sf):
-    """State changes per user, as a stateful stream over the events file run to its end."""
-    path = f"{sf}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    name = f"jumps_{abs(hash((id(spark), sf)))}"
-    stream = windows.source(spark, path, schema).select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    run = windows.jumps(stream).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
-
-
 @query
 def session_counts(spark, sf):
     e = A.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))

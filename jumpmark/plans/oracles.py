@@ -140,7 +140,6 @@ ORACLE_SQL: dict[str, str] = {
     "ql_spatial": f"WITH {_ST} SELECT \"by\", bx, count(*) AS n FROM vs WHERE (bx - 1) ** 2 + (\"by\" - 1) ** 2 <= 1 GROUP BY ALL",
     "ql_semantic": f"WITH {_ST} SELECT id, \"by\", bx, tag FROM vs WHERE tag = 'click' AND magnitude > 20 AND ((\"by\" = 0 AND bx = 1) OR (\"by\" = 2 AND bx = 3))",
     "ql_detect": f"WITH {_ST}, w AS (SELECT \"by\", bx, epoch(time)::BIGINT // 21600 * 21600 AS t0, count(*) AS n FROM vs GROUP BY ALL), d AS (SELECT *, n - lag(n) OVER (PARTITION BY \"by\", bx ORDER BY t0) AS intensity_change FROM w) SELECT * FROM d WHERE abs(intensity_change) > 3",
-    "tumbling_counts": "SELECT epoch(ts)::BIGINT // 86400 * 86400 AS t0, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY ALL",
     "sliding_intensity": "SELECT epoch(ts)::BIGINT // 21600 * 21600 - o * 21600 AS t0, event_type, count(*) AS n FROM events, range(2) r(o) GROUP BY ALL",
 }
 
@@ -199,7 +198,6 @@ ORACLE_SQL |= {
     "log_likelihood": f"WITH {_HIST} SELECT event_type, round(sum(n * ln(greatest(alpha, 1e-10))) - sum(alpha * 6) - sum(n) * ln(5), 6) AS loglik, round(7.5 * ln(sum(n)) / ln(2), 6) AS penalty FROM h GROUP BY event_type",
     "error_cube": f"WITH {_PRED}, e AS (SELECT (act_a <> pred_a)::INT AS a, (act_c <> pred_c)::INT AS c FROM bp) SELECT coalesce(a, -1)::BIGINT AS a, coalesce(c, -1)::BIGINT AS c, count(*) AS n, grouping(a, c) AS g FROM e GROUP BY CUBE (a, c)",
     "subsample_420": f"WITH {_G} SELECT block::BIGINT AS block, t, (x // 8) // 2 AS y, (x % 8) // 2 AS x, ((sum(c) + 2) // 4)::BIGINT AS c FROM g GROUP BY ALL",
-    "stream_jump_detect": "WITH l AS (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_type AS after FROM events) SELECT * FROM l WHERE before <> after",
     "session_counts": "WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM l), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
 }
 

@@ -38,3 +38,29 @@ def jumps(events: DataFrame, key: str = "user_id") -> DataFrame:
         yield pd.DataFrame(out, columns=[key, "event_id", "before", "after"])
 
     return events.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, before string, after string", "last string", "append", "NoTimeout")
+
+
+def late(events: DataFrame, size: str, watermark: str) -> DataFrame:
+    """Counts by window that a watermark closes: a window is given out once, when it is over; what comes later is left out."""
+    return tumbling(events, size, watermark)
+
+
+def heat_map(events: DataFrame, size: str, rows: int, columns: int) -> DataFrame:
+    """Events a window by place (by, bx) of a grid of users."""
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    place = [(F.col("user_id") % rows).cast("int").alias("by"), (F.floor(F.col("user_id") / rows) % columns).cast("int").alias("bx")]
+    return e.groupBy(F.window("ts", size), *place).agg(F.count("*").alias("n"))
+
+
+def pushed(events: DataFrame, least: float, key: str = "user_id") -> DataFrame:
+    """Jumps (as jumps()) of events of at least some magnitude; smaller ones neither count nor change a key's state."""
+    return jumps(events.where(F.col("value") >= least), key)
+
+
+def by_chunk(events: DataFrame, path: str) -> None:
+    """Counts of each chunk of a stream, added to a table of partial counts by chunk number; a chunk that runs again replaces its own part."""
+
+    def add(chunk: DataFrame, number: int) -> None:
+        chunk.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v")).write.mode("overwrite").parquet(f"{path}/rows/chunk={number}")
+
+    events.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/state").foreachBatch(add).start().awaitTermination()

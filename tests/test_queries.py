@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from jumpmark.plans import blocks, catalog, choices, oracles, payloads, tables
+from jumpmark.plans import blocks, catalog, choices, oracles, payloads, reports, tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -22,7 +22,7 @@ def plain(rows):
     return sorted(repr(tuple(round(float(v), 6) + 0.0 if isinstance(v, float) and not math.isnan(v) else v for v in r)) for r in rows)
 
 
-ORACLES = oracles.ORACLE_SQL | choices.ORACLE_SQL | tables.ORACLE_SQL | payloads.ORACLE_SQL
+ORACLES = oracles.ORACLE_SQL | choices.ORACLE_SQL | tables.ORACLE_SQL | payloads.ORACLE_SQL | reports.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
