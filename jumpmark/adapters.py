@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -27,20 +27,24 @@ def pp_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("block_id"), F.col("event_id").alias("seq"), t.cast("int").alias("t"), "mark", "ts", "value", "event_type")
 
 
+#: Vectors in a row that make a block of a label; the blocks grow in number with the table.
+GOP = 256
+
+
+def _block() -> Column:
+    return (F.floor(F.col("vec_id") / GOP) * 10 + F.col("label")).cast("long").alias("block")
+
+
 def grid_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells (block: label, t: vec_id, x: position, c: quantised component, v)."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("block"), F.col("vec_id").alias("t"), F.posexplode("embedding").alias("x", "v"))
+    """Cells (block: label in a run of GOP vectors, t: vec_id, x: position, c: quantised component, v)."""
+    e = table(spark, sf_dir, "embeddings").select(_block(), F.col("vec_id").alias("t"), F.posexplode("embedding").alias("x", "v"))
     c = F.least(F.greatest(F.floor((F.col("v").cast("double") + 0.5) * 16), F.lit(0)), F.lit(15))
     return e.select("block", "t", "x", c.cast("int").alias("c"), F.col("v").cast("double").alias("v"))
 
 
-#: Vectors in a row that make a block of a label; the blocks grow in number with the table.
-GOP = 256
-
-
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells (block: label in a run of GOP vectors, t: vec_id, y, x: place in a frame of 8 x 8, c: quantised component)."""
-    e = table(spark, sf_dir, "embeddings").select((F.floor(F.col("vec_id") / GOP) * 10 + F.col("label")).cast("long").alias("block"), F.col("vec_id").alias("t"), F.posexplode("embedding").alias("p", "v"))
+    e = table(spark, sf_dir, "embeddings").select(_block(), F.col("vec_id").alias("t"), F.posexplode("embedding").alias("p", "v"))
     c = F.least(F.greatest(F.floor((F.col("v").cast("double") + 0.5) * 16), F.lit(0)), F.lit(15))
     return e.select("block", "t", F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).cast("int").alias("x"), c.cast("int").alias("c"))
 

@@ -33,19 +33,9 @@ def block_features(events: DataFrame, r: int, block: str = "block_id") -> DataFr
 
 def spatial(cells: DataFrame, block: str = "block") -> DataFrame:
     """Neighbour statistics of rows of cells in the last frame: H_s (equal neighbours) and rho (lag-1 autocorrelation)."""
-    last = cells.withColumn("tm", F.max("t").over(W.partitionBy(block))).where("t = tm")
+    last = cells.join(cells.groupBy(block).agg(F.max("t").alias("t")), [block, "t"])
     w = W.partitionBy(block).orderBy("x")
     n = last.withColumns({"nx": F.lead("c").over(w), "mu": F.avg("c").over(W.partitionBy(block)), "va": F.var_pop("c").over(W.partitionBy(block))})
     g = n.groupBy(block).agg(F.avg((F.col("c") == F.col("nx")).cast("double")).alias("eq"), F.avg((F.col("c") - F.col("mu")) * (F.col("nx") - F.col("mu"))).alias("cov"), F.max("va").alias("va"), F.count_distinct("c").alias("m"), F.count("*").alias("n"), F.avg((F.abs(F.col("c") - F.col("nx")) > 1).cast("double")).alias("edges"))
     rho = F.when(F.col("va") < 1e-10, 1.0).otherwise(F.least(F.greatest((F.col("cov") / F.col("va") + 1) / 2, F.lit(0.0)), F.lit(1.0)))
     return g.select(block, F.coalesce("eq", F.lit(1.0)).alias("H_s"), rho.alias("rho"), (0.3 * F.col("m") / F.least("n", F.lit(256)) + 0.7 * F.coalesce("edges", F.lit(0.0))).alias("texture"))
-
-
-def block_statistics(cells: DataFrame, block: str = "block") -> DataFrame:
-    """Jumps per pixel (mean, spread), colours, change rate, mode share, variance, of a block of cells."""
-    w = W.partitionBy(block, "x").orderBy("t")
-    b = cells.withColumn("ch", (F.col("c") != F.lag("c").over(w)).cast("int"))
-    per = b.groupBy(block, "x").agg((F.sum(F.coalesce("ch", F.lit(0))) + 1).alias("n")).groupBy(block).agg(F.avg("n").alias("mean_n"), F.stddev_pop("n").alias("std_n"))
-    mode = cells.groupBy(block, "c").agg(F.count("*").alias("k")).groupBy(block).agg((F.max("k") / F.sum("k")).alias("mode_share"), F.count("*").alias("n_colors"))
-    whole = b.groupBy(block).agg(F.avg("ch").alias("change_rate"), F.var_pop("c").alias("variance"))
-    return per.join(mode, block).join(whole, block)

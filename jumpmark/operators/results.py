@@ -23,7 +23,10 @@ def summary(runs: DataFrame) -> DataFrame:
 
 
 def compare(runs: DataFrame, metric: str) -> DataFrame:
-    return runs.groupBy("codec").agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"), F.min(metric).alias("min"), F.max(metric).alias("max"), F.median(metric).alias("median"))
+    """Mean, spread, extremes and median of a metric by codec; the median is taken over distinct values with their counts."""
+    whole = runs.groupBy("codec").agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"), F.min(metric).alias("min"), F.max(metric).alias("max"))
+    middle = runs.groupBy("codec", metric).agg(F.count("*").alias("k")).groupBy("codec").agg(F.percentile(metric, F.lit(0.5), F.col("k")).alias("median"))
+    return whole.join(middle, "codec")
 
 
 def best_per(runs: DataFrame, group: str, metric: str, largest: bool, name: str = "codec") -> DataFrame:

@@ -14,12 +14,18 @@ def _match(d: str):
 
 
 def accuracy(p: DataFrame) -> DataFrame:
-    exact = _match("a") & _match("b") & _match("c")
-    rate = lambda c: F.avg(c.cast("int"))
+    """Shares of matches, and the penalties' mean, spread and interpolated percentiles.
+
+    Penalties are counted by value first, so what meets in one place are distinct values, not blocks.
+    """
     penalty = F.greatest(F.col("predicted_cost") - F.col("optimal_cost"), F.lit(0.0))
-    q = F.percentile(penalty, F.array(*(F.lit(x) for x in (0.5, 0.75, 0.9, 0.95, 0.99))))
-    g = p.agg(F.count("*").alias("n"), rate(exact).alias("exact"), *(rate(_match(d)).alias(f"acc_{d}") for d in DIMS), F.avg(penalty).alias("mean_penalty"), F.max(penalty).alias("max_penalty"), F.stddev_pop(penalty).alias("std_penalty"), q.alias("q"))
-    return g.select("n", "exact", *(f"acc_{d}" for d in DIMS), "mean_penalty", "max_penalty", "std_penalty", *(F.col("q")[i].alias(f"p{x}") for i, x in enumerate((50, 75, 90, 95, 99))))
+    hits = {"exact": _match("a") & _match("b") & _match("c"), **{f"acc_{d}": _match(d) for d in DIMS}}
+    per = p.groupBy(penalty.alias("pe")).agg(F.count("*").alias("k"), *(F.count_if(c).alias(n) for n, c in hits.items()))
+    total = F.sum("k")
+    mean = F.sum(F.col("pe") * F.col("k")) / total
+    q = F.percentile("pe", F.array(*(F.lit(x) for x in (0.5, 0.75, 0.9, 0.95, 0.99))), F.col("k"))
+    g = per.agg(total.alias("n"), *((F.sum(n) / total).alias(n) for n in hits), mean.alias("mean_penalty"), F.max("pe").alias("max_penalty"), F.sqrt(F.greatest(F.sum(F.col("pe") * F.col("pe") * F.col("k")) / total - mean * mean, F.lit(0.0))).alias("std_penalty"), q.alias("q"))
+    return g.select("n", *hits, "mean_penalty", "max_penalty", "std_penalty", *(F.col("q")[i].alias(f"p{x}") for i, x in enumerate((50, 75, 90, 95, 99))))
 
 
 def confusion(p: DataFrame) -> DataFrame:

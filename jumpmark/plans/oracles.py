@@ -15,7 +15,7 @@ _COL = "(n_trans + 1) * log2(m) AS Ba, N * log2(m) AS Bb, CASE WHEN m > 1 THEN N
 _TMP = f"log2(N + 1) + N * log2(r) AS R1, r * log2(N / r + 1) AS R2, N * log2(r) AS R3, r AS R4a, log2(N + 1) + {_LC} AS R4b"
 _TMX = f"N * log2(r) AS R1, r * log2(N / r + 1) AS R2, N * log2(r / N + 1) AS R3, r AS R4a, log2(N + 1) + {_LC} AS R4b"
 _TYP = "N * log2(m) AS Aa, 0::DOUBLE AS Ab, N * H AS Ac, 0.8 * N * H AS Ad, n_trans * log2(m) AS Ae"
-_G = "g AS (SELECT label AS block, vec_id AS t, x - 1 AS x, least(greatest(floor((v + 0.5) * 16), 0), 15)::BIGINT AS c FROM (SELECT label, vec_id, generate_subscripts(embedding, 1) AS x, unnest(embedding)::DOUBLE AS v FROM embeddings))"
+_G = "g AS (SELECT vec_id // 256 * 10 + label AS block, vec_id AS t, x - 1 AS x, least(greatest(floor((v + 0.5) * 16), 0), 15)::BIGINT AS c FROM (SELECT label, vec_id, generate_subscripts(embedding, 1) AS x, unnest(embedding)::DOUBLE AS v FROM embeddings))"
 _CH = f"{_G}, ch AS (SELECT *, coalesce(c <> lag(c) OVER (PARTITION BY block, x ORDER BY t), true) AS b, lag(c) OVER (PARTITION BY block, x ORDER BY t) AS p FROM g)"
 _RUNS = """br AS (SELECT n_name AS video, o_orderpriority AS codec, o_orderstatus AS quality_param, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT / 100 AS input_size, sum(round((l_extendedprice * l_discount) * 100)::BIGINT)::BIGINT / 100 + 1 AS output_size,
  sum(round(l_extendedprice * 100)::BIGINT)::BIGINT * 100 // count(*) / 10000 AS bitrate, sum(round(l_quantity * 100)::BIGINT)::BIGINT * 100 // count(*) / 10000 AS psnr, 1 - sum(round(l_tax * 100)::BIGINT)::BIGINT * 100 // count(*) / 10000 AS ssim, count(*) AS n_frames
@@ -112,6 +112,9 @@ ORACLE_SQL: dict[str, str] = {
  SELECT block::BIGINT AS block, node, best::BIGINT AS best, leaves::BIGINT AS leaves FROM b64""",
     "integer_code_lengths": "WITH x AS (SELECT p_partkey, length(bin(p_partkey)) - 1 AS k FROM part WHERE p_partkey > 0) SELECT p_partkey, 2 * k + 1 AS gamma, 1 + k + 2 * (length(bin(1 + k)) - 1) AS delta, repeat('0', k::BIGINT) || bin(p_partkey) AS code, bit_count(p_partkey)::BIGINT AS ones, (bit_count((p_partkey & -p_partkey) - 1))::BIGINT AS zeros FROM x",
     "log_binomial": "WITH x AS (SELECT p_partkey, (p_partkey % 64)::DOUBLE AS k FROM part) SELECT p_partkey, round(CASE WHEN k > 0 AND k < 60 THEN (lgamma(61.0) - lgamma(k + 1) - lgamma(61.0 - k)) / ln(2) ELSE 0 END, 6) + 0.0 AS bits FROM x",
+    "intensity_histogram": f"WITH {_HIST} SELECT event_type, bin, n, round(alpha, 6) AS alpha FROM h",
+    "intensity_cdf": f"WITH {_HIST} SELECT event_type, bin, round(CASE WHEN sum(n) OVER (PARTITION BY event_type) > 0 THEN sum(n) OVER (PARTITION BY event_type ORDER BY bin ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY event_type) ELSE (bin + 1) / 15.0 END, 6) AS cdf FROM h",
+    "moving_intensity": f"WITH {_HIST} SELECT a.event_type, a.bin, round(sum(b.n) / 5, 6) AS smooth FROM h a, range(-2, 3) o(d), h b WHERE b.event_type = a.event_type AND b.bin = CASE WHEN a.bin + d < 0 THEN -1 - (a.bin + d) WHEN a.bin + d > 14 THEN 29 - (a.bin + d) ELSE a.bin + d END GROUP BY ALL",
     "histogram_mle": f"WITH {_HIST}, us AS (SELECT event_type, count(DISTINCT block_id) AS u FROM ev GROUP BY event_type) SELECT h.event_type, bin, round(alpha / u, 6) AS alpha FROM h JOIN us ON us.event_type = h.event_type",
     "hellinger_distance": f"WITH {_HIST}, p AS (SELECT event_type, bin, n / sum(n) OVER (PARTITION BY event_type) AS p FROM h) SELECT round(sum((sqrt(a.p) - sqrt(b.p)) ** 2) / 2, 6) AS h2 FROM p a JOIN p b ON a.bin = b.bin AND a.event_type = 'click' AND b.event_type = 'purchase'",
     "codec_summary": f"WITH {_RUNS}, {_SUM} SELECT codec, n, {_r('ratio psnr ssim bitrate overall_ratio', 4)} FROM su",
