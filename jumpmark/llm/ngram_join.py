@@ -403,6 +403,8 @@ def links(classes: DataFrame, post: DataFrame, percent: int) -> DataFrame:
     # what stands early in a document's order has few rarer tokens before it: such documents are central in their group
     for pivots in (1, PIVOTS):
         rows = post if found is None else _unjoined(post, found, 4 * PIVOTS)
+        if found is not None and rows.isEmpty():
+            break
         top = rows.groupBy("tok", F.pmod("r", F.lit(pivots)).alias("part")).agg(F.min(F.struct(*fields)).alias("p")).select("tok", "p.*")
         differ = F.col("x.r") != F.col("y.r")
         if found is not None:
