@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from jumpmark import adapters as A
 from jumpmark.functions import coding, scalar
 from jumpmark.operators import costs, description, frames, generate, intensity, prediction, results, search, selection
+from jumpmark.plans import fixed
 from jumpmark.plans.catalog import SEGMENT, _colors, _positions, block_table, query, rounded
 from jumpmark.plans.oracles import _CH, _FEAT, _G, _HIST, _RGB, _RUNS, _T, _TMX, _least
 
@@ -318,10 +319,37 @@ def markov_marks(spark, sf):
 
 @query
 def rule_loop(spark, sf):
-    """Rules that set the block side, measured on the grid: bits of the blocks at that side against eight bits a cell."""
-    sides = (64, 32, 16, 8)
-    bits = frames.split_bits(A.grid_emb(spark, sf), sides).groupBy("block", "size").agg(F.sum("bits").alias("bits"))
-    cells = A.grid_emb(spark, sf).groupBy("block").agg(F.count("*").alias("n"))
+    """The bank's rules by axis, each measured as bits of the grid's blocks against eight bits a cell; only whole block sides change them."""
+    sides = {name: int(value) for name, _, parameter, value in fixed.RULES if parameter == "block_size" and value.isdigit()}
+    g = A.grid_emb(spark, sf)
+    bits = frames.split_bits(g, (*sorted({8, *sides.values()}, reverse=True),)).groupBy("block", "size").agg(F.sum("bits").alias("bits"))
+    cells = g.groupBy("block").agg(F.count("*").alias("n"))
     both = bits.join(cells, "block").select(F.col("block").cast("string").alias("video"), "size", (F.col("bits") / F.col("n")).alias("bpp"), (8 * F.col("n") / F.col("bits")).alias("ratio")).cache()
-    rules = [(i, f"block_size={s}") for i, s in enumerate(sorted(sides))]
-    return rounded(search.rule_loop(spark, rules, lambda name: both.where(F.col("size") == int(name.split("=")[1])).drop("size")))
+    try:
+        rules = [(axis, name) for name, axis, _, _ in fixed.RULES]
+        return rounded(search.rule_loop(spark, rules, lambda name: both.where(F.col("size") == sides.get(name, 8)).drop("size"), stalls=len(rules)))
+    finally:
+        both.unpersist()
+
+
+_PATTERNS = ("static_background", "gradient", "animation", "noise", "periodic", "moving_square")
+
+
+@query
+def pattern_benchmark(spark, sf):
+    """Six test patterns of 32 frames of 16 x 16, coded in blocks of 8 x 8 by their shortest process: bits, bits a cell, ratio."""
+    cube = generate.grid(spark, 32, 16, 16)
+    made = {
+        "static_background": generate.static_background(cube, 32, 16, 16), "gradient": generate.gradient(cube, 16), "animation": generate.animation(cube, 32, 16, 16),
+        "noise": generate.noise(cube), "periodic": generate.periodic(cube), "moving_square": generate.moving_square(cube),
+    }
+    cells = None
+    for i, name in enumerate(_PATTERNS):
+        block = (F.lit(i * 100) + F.floor(F.col("y") / 8) * 10 + F.floor(F.col("x") / 8)).cast("long").alias("block")
+        own = made[name].select(block, "t", (F.col("y") % 8 * 8 + F.col("x") % 8).cast("int").alias("x"), "c")
+        cells = own if cells is None else cells.unionByName(own)
+    lengths = description.block_lengths(description.pixels(cells))
+    best = F.array_min(F.filter(F.array("mono", "pp", "spatial", "markov"), lambda v: v >= 0))
+    names = F.array(*(F.lit(n) for n in _PATTERNS))
+    g = lengths.groupBy(F.get(names, F.floor(F.col("block") / 100).cast("int")).alias("pattern")).agg(F.sum(best).alias("bits"), F.count("*").alias("blocks"))
+    return rounded(g.select("pattern", "blocks", "bits", (F.col("bits") / (32 * 256)).alias("bpp"), (8.0 * 32 * 256 / F.col("bits")).alias("ratio")))

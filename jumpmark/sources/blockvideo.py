@@ -113,13 +113,13 @@ class BlockVideo(DataSource):
         return _Writer(self.options["path"])
 
 
-def files(payloads: DataFrame, video: str, columns: int, rows: int) -> DataFrame:
-    """(name, content) of payloads (video, block, gop, n, r, process, payload): a file for each video, blocks in order."""
+def files(payloads: DataFrame, video: str) -> DataFrame:
+    """(name, content) of payloads (video, block, gop, n, r, process, payload, rows, columns): a file for each video, blocks in order."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["block", "gop"])
         blocks = [(int(b), int(g), int(n), int(r), p, bytes(d)) for b, g, n, r, p, d in pdf[["block", "gop", "n", "r", "process", "payload"]].itertuples(index=False)]
-        return pd.DataFrame([(str(pdf[video].iloc[0]), pack(iter(blocks), (columns, rows, int(pdf["r"].sum()))))], columns=["name", "content"])
+        return pd.DataFrame([(str(pdf[video].iloc[0]), pack(iter(blocks), (int(pdf["columns"].iloc[0]), int(pdf["rows"].iloc[0]), int(pdf["r"].sum()))))], columns=["name", "content"])
 
     return payloads.groupBy(video).applyInPandas(one, "name string, content binary")
 

@@ -17,19 +17,38 @@ FEATURES = "block_id long, N int, r int, m int, n_pixels int, lambda_avg double,
 HEADER = ">4sBBHHHBBHHIH"
 
 
-def volumes(spark: SparkSession, path: str, max_frames: int | None = None, pattern: str = "*.npy") -> DataFrame:
-    """Cells (video_id, t, y, x, c) of array files of shape (frames, rows, columns); one task reads a file."""
+def as_gray(volume: np.ndarray) -> np.ndarray:
+    """Frames of three channels (red, green, blue) as one; others as they are."""
+    return np.floor(volume @ np.array([0.299, 0.587, 0.114])).astype(np.int64) if volume.ndim == 4 else volume
+
+
+def resized(volume: np.ndarray, size: tuple[int, int] | None) -> np.ndarray:
+    """Frames of size (rows, columns), each cell the nearest one of the original."""
+    if size is None or volume.shape[1:3] == tuple(size):
+        return volume
+    y, x = (np.arange(n) * have // n for n, have in zip(size, volume.shape[1:3], strict=True))
+    return volume[:, y][:, :, x]
+
+
+def volumes(spark: SparkSession, path: str, max_frames: int | None = None, pattern: str = "*.npy", size: tuple[int, int] | None = None, fps: float = 30.0) -> DataFrame:
+    """Cells (video_id, t, y, x, c, fps) of array files of shape (frames, rows, columns[, 3]), as gray; one task reads a file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                v = np.load(io.BytesIO(content), allow_pickle=False)[:max_frames]
+                v = resized(as_gray(np.load(io.BytesIO(content), allow_pickle=False)[:max_frames]), size)
                 for t in range(v.shape[0]):
                     y, x = np.indices(v[t].shape)
-                    yield pd.DataFrame({"video_id": name.rsplit("/", 1)[-1], "t": t, "y": y.ravel(), "x": x.ravel(), "c": v[t].ravel().astype(np.int64)})
+                    yield pd.DataFrame({"video_id": name.rsplit("/", 1)[-1], "t": t, "y": y.ravel(), "x": x.ravel(), "c": v[t].ravel().astype(np.int64), "fps": fps})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
-    return files.mapInPandas(run, "video_id string, t int, y int, x int, c int")
+    return files.mapInPandas(run, "video_id string, t int, y int, x int, c int, fps double")
+
+
+def palette_table(spark: SparkSession, colors: list[tuple[int, int, int]], path: str) -> DataFrame:
+    """A palette (idx, r, g, b) written as Parquet and read again."""
+    spark.createDataFrame([(i, *c) for i, c in enumerate(colors)], "idx int, r int, g int, b int").coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.schema("idx int, r int, g int, b int").parquet(path).orderBy("idx")
 
 
 def headers(spark: SparkSession, path: str, pattern: str = "*.ppv") -> DataFrame:

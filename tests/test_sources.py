@@ -79,10 +79,10 @@ def test_blocks_round_trip():
 def test_block_video(spark, tmp_path):
     cells = generate.bernoulli(generate.grid(spark, 20, 4, 4), 3, 0.2).select(F.floor(F.col("y") / 2).cast("long").alias("block"), "t", (F.col("y") % 2 * 4 + F.col("x")).cast("int").alias("x"), "c")
     own = registry.codec("Blocks")
-    payloads = own.encode(cells).withColumn("video", F.lit("clip"))
+    payloads = own.encode(cells).withColumns({"video": F.lit("clip"), "rows": F.lit(4), "columns": F.lit(4)})
     blockvideo.register(spark)
     path = str(tmp_path / "videos")
-    blockvideo.files(payloads, "video", 4, 4).write.format("blockvideo").option("path", path).mode("append").save()
+    blockvideo.files(payloads, "video").write.format("blockvideo").option("path", path).mode("append").save()
     read = spark.read.format("blockvideo").option("path", path).load()
     back = blockvideo.cells(read)
     got = {(r["block"], r["x"], r["k"]): r["c"] for r in back.collect()}
@@ -141,3 +141,40 @@ def test_scalars(spark):
 
 def test_fixed_tables(spark):
     assert fixed.rules(spark).count() == 20 and fixed.clips(spark).count() == 39 and fixed.codes(spark).where("field = 'F'").agg(F.min("code")).first()[0] == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from jumpmark.__main__ import main
+
+    rng = np.random.RandomState(3)
+    videos = {"a": rng.randint(0, 4, (40, 11, 9)), "b": np.repeat(rng.randint(0, 9, (1, 8, 8)), 5, axis=0)}
+    (tmp_path / "in").mkdir()
+    for name, v in videos.items():
+        np.save(tmp_path / "in" / f"{name}.npy", v)
+    main(["encode", str(tmp_path / "in"), str(tmp_path / "files")])
+    main(["decode", str(tmp_path / "files"), str(tmp_path / "cells")])
+    got = {(r["name"], r["t"], r["y"], r["x"]): r["c"] for r in spark.read.parquet(str(tmp_path / "cells")).collect()}
+    assert got == {(f"{n}.npy", t, y, x): int(c) for n, v in videos.items() for (t, y, x), c in np.ndenumerate(v)}
+    main(["info", str(tmp_path / "files")])
+    main(["query"])
+    shown = capsys.readouterr().out
+    assert "a.npy" in shown and "quadtree_split" in shown
+    with pytest.raises(SystemExit):
+        main(["encode", "only-one"])
+
+
+def test_volumes(spark, tmp_path):
+    color = np.zeros((3, 4, 4, 3), np.uint8)
+    color[..., 0] = 100
+    np.save(tmp_path / "c.npy", color)
+    rows = stores.volumes(spark, str(tmp_path), max_frames=2, size=(2, 2), fps=25.0).collect()
+    assert len(rows) == 2 * 2 * 2 and {(r["c"], r["fps"]) for r in rows} == {(29, 25.0)}
+    p = stores.palette_table(spark, [(1, 2, 3), (4, 5, 6)], str(tmp_path / "palette"))
+    assert [tuple(r) for r in p.collect()] == [(0, 1, 2, 3), (1, 4, 5, 6)]
+
+
+def test_pattern_benchmark(spark, sf):
+    from jumpmark.plans.catalog import QUERIES
+
+    r = {x["pattern"]: x for x in QUERIES["pattern_benchmark"](spark, sf).collect()}
+    assert len(r) == 6 and r["gradient"]["bpp"] < r["animation"]["bpp"] < r["noise"]["bpp"] and all(x["blocks"] == 4 for x in r.values())
