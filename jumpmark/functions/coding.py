@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
+from collections import Counter
 from math import comb
 
 import pandas as pd
@@ -152,36 +154,73 @@ def fibonacci_decode(bits: str) -> int:
     return total + sum(x for x, b in zip(f, bits[:-1], strict=False) if b == "1")
 
 
-def arithmetic_encode(symbols: list[int], freqs: dict[int, int]) -> tuple[int, int]:
-    """A fraction (numerator, number of bits) inside the interval of a sequence, by exact integers."""
+#: Width of the arithmetic coder's interval, and its half and quarter.
+_WIDE, _HALF, _QUARTER = 1 << 32, 1 << 31, 1 << 30
+
+
+def _bounds(freqs: dict[int, int]) -> tuple[list[int], list[int]]:
+    """Symbols in order, and the sums of the counts below each (one more entry than symbols)."""
     order = sorted(freqs)
-    total = sum(freqs.values())
-    below, acc = {}, 0
+    sums = [0]
     for s in order:
-        below[s], acc = acc, acc + freqs[s]
-    low, width, den = 0, 1, 1
+        sums.append(sums[-1] + freqs[s])
+    return order, sums
+
+
+def arithmetic_encode(symbols: list[int], freqs: dict[int, int]) -> str:
+    """Bits of a sequence by its symbols' counts (together below 2^30): an interval of 32 bits is narrowed by each symbol, and its
+    settled leading bits go out at once, so the work is in proportion to the sequence."""
+    order, sums = _bounds(freqs)
+    at = {s: i for i, s in enumerate(order)}
+    low, high, waiting, out = 0, _WIDE - 1, 0, []
+
+    def settle(bit: str) -> None:
+        nonlocal waiting
+        out.append(bit + ("1" if bit == "0" else "0") * waiting)
+        waiting = 0
+
     for s in symbols:
-        low, width, den = low * total + width * below[s], width * freqs[s], den * total
-    bits = 1
-    while True:
-        num = -(-low * (1 << bits) // den)
-        if (num + 0) * den < (low + width) << bits:
-            return num, bits
-        bits += 1
-
-
-def arithmetic_decode(num: int, bits: int, n: int, freqs: dict[int, int]) -> list[int]:
-    order, total, out = sorted(freqs), sum(freqs.values()), []
-    den = 1 << bits
+        span, i = high - low + 1, at[s]
+        low, high = low + span * sums[i] // sums[-1], low + span * sums[i + 1] // sums[-1] - 1
+        while True:
+            if high < _HALF:
+                settle("0")
+            elif low >= _HALF:
+                settle("1")
+                low, high = low - _HALF, high - _HALF
+            elif low >= _QUARTER and high < _HALF + _QUARTER:
+                waiting += 1
+                low, high = low - _QUARTER, high - _QUARTER
+            else:
+                break
+            low, high = 2 * low, 2 * high + 1
+    waiting += 1
+    settle("0" if low < _QUARTER else "1")
+    return "".join(out)
+
+
+def arithmetic_decode(bits: str, n: int, freqs: dict[int, int]) -> list[int]:
+    """The n symbols that arithmetic_encode() wrote."""
+    order, sums = _bounds(freqs)
+    low, high, place, out = 0, _WIDE - 1, 32, []
+    value = int(bits[:32].ljust(32, "0"), 2)
     for _ in range(n):
-        at = num * total // den
-        acc = 0
-        for s in order:
-            if at < acc + freqs[s]:
+        span = high - low + 1
+        i = bisect.bisect_right(sums, ((value - low + 1) * sums[-1] - 1) // span) - 1
+        out.append(order[i])
+        low, high = low + span * sums[i] // sums[-1], low + span * sums[i + 1] // sums[-1] - 1
+        while True:
+            if high < _HALF:
+                off = 0
+            elif low >= _HALF:
+                off = _HALF
+            elif low >= _QUARTER and high < _HALF + _QUARTER:
+                off = _QUARTER
+            else:
                 break
-            acc += freqs[s]
-        out.append(s)
-        num, den = num * total - acc * den, den * freqs[s]
+            low, high = 2 * (low - off), 2 * (high - off) + 1
+            value = 2 * (value - off) + (bits[place : place + 1] == "1")
+            place += 1
     return out
 
 
@@ -190,11 +229,11 @@ def round_trips(events: DataFrame, block: str = "block_id") -> DataFrame:
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         seq = pdf.sort_values(["t", "seq"])["mark"].astype(int).tolist()
-        freqs = {s: seq.count(s) for s in set(seq)}
+        freqs = dict(Counter(seq))
         codes = canonical(code_lengths(freqs))
         h = encode(seq, codes)
-        num, bits = arithmetic_encode(seq, freqs)
-        ok = decode(h, codes) == seq and arithmetic_decode(num, bits, len(seq), freqs) == seq
-        return pd.DataFrame([(pdf[block].iloc[0], len(h), bits, ok)], columns=[block, "huffman_bits", "arithmetic_bits", "ok"])
+        bits = arithmetic_encode(seq, freqs)
+        ok = decode(h, codes) == seq and arithmetic_decode(bits, len(seq), freqs) == seq
+        return pd.DataFrame([(pdf[block].iloc[0], len(h), len(bits), ok)], columns=[block, "huffman_bits", "arithmetic_bits", "ok"])
 
     return events.select(block, "t", "seq", "mark").groupBy(block).applyInPandas(one, f"{block} {events.schema[block].dataType.simpleString()}, huffman_bits long, arithmetic_bits long, ok boolean")

@@ -136,7 +136,7 @@ def simulation_summary(spark, sf):
         out = n if out is None else out.union(n)
     lengths = costs.uniform_lengths()
     t = out.select("family", "N", *(c.alias(k) for k, c in lengths.items()))
-    return rounded(t.groupBy("family").agg(F.avg("N").alias("mean_n"), *(F.avg(k).alias(k) for k in lengths), F.avg((F.col("L4") <= F.least("L1", "L2", "L3")).cast("int")).alias("l4_best")))
+    return rounded(t.groupBy("family").agg(F.avg("N").alias("mean_n"), *(F.avg(k).alias(k) for k in lengths), F.avg((F.round("L4", 9) <= F.round(F.least("L1", "L2", "L3"), 9)).cast("int")).alias("l4_best")))
 
 
 def _square(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from jumpmark import adapters as A
-from jumpmark.operators import blocks, costs, frames, intensity, results, search, validation
+from jumpmark.operators import blocks, costs, frames, generate, intensity, results, search, validation
 from jumpmark.plans import ql
 from jumpmark.plans.blocks import CELLS, ORACLE_SQL, SPATIAL, feat, query
 from jumpmark.plans.catalog import block_table, rounded
@@ -230,3 +230,24 @@ def chunked_counts(spark, sf):
 ORACLE_SQL["gen_bernoulli"] = f"WITH bn AS (SELECT t, y, x, CASE WHEN t = 0 OR {_HEX.format("'42,j,' || t || ',' || y || ',' || x")} < 0.15 THEN floor({_HEX.format("'42,c,' || t || ',' || y || ',' || x")} * 4)::BIGINT END AS d FROM range(64) a(t), range(16) b(y), range(16) c(x)) SELECT t, y, x, last_value(d IGNORE NULLS) OVER (PARTITION BY y, x ORDER BY t ROWS UNBOUNDED PRECEDING) AS c FROM bn"
 _BIG = {"homogeneous": "0.1::DOUBLE * {t}", "linear": "0.05::DOUBLE * {t} + 0.001::DOUBLE * {t} * {t} / 2", "exponential": "15 * (1 - exp(-0.02::DOUBLE * {t}))", "power": "0.5::DOUBLE * ({t}) ** 0.5::DOUBLE"}
 ORACLE_SQL["gen_poisson"] = "WITH p AS (" + " UNION ALL ".join(f"SELECT '{f}' AS family, t FROM range(200) a(pixel), range(64) b(t) WHERE {_HEX.format(f"'42,{f},' || pixel || ',' || t")} < 1 - exp(-(({e.format(t='(t + 1)')}) - ({e.format(t='t')})))" for f, e in _BIG.items()) + ") SELECT family, count(*) AS n, round(avg(t), 6) AS mean_t FROM p GROUP BY family"
+_SIM = "WITH j AS (" + " UNION ALL ".join(f"SELECT '{f}' AS family, pixel, count(*) FILTER ({_HEX.format(f"'42,{f},' || pixel || ',' || t")} < 1 - exp(-(({e.format(t='(t + 1)')}) - ({e.format(t='t')})))) AS k FROM range(256) a(pixel), range(64) b(t) GROUP BY pixel" for f, e in _BIG.items()) + ")"
+ORACLE_SQL["simulation_summary"] = f"""{_SIM}, n AS (SELECT family, k::DOUBLE AS N, 64::DOUBLE AS r, 3::DOUBLE AS lm FROM j), l AS (SELECT family, N, r * lm AS L1, CASE WHEN N = 0 THEN log2(r) ELSE log2(N) + N * (log2(r) + lm) END AS L2, r + N * lm AS L3, CASE WHEN N = 0 OR N = r THEN log2(r) + N * lm ELSE log2(N) + {_LC} + N * lm END AS L4 FROM n)
+ SELECT family, round(avg(N), 6) AS mean_n, {', '.join(f'round(avg(L{i}), 6) AS L{i}' for i in range(1, 5))}, round(avg((round(L4, 9) <= round(least(L1, L2, L3), 9))::INT), 6) AS l4_best FROM l GROUP BY family"""
+
+
+@query(f"""{_SIM}, g AS (SELECT family, pixel, k, pixel % 4 AS rep FROM j), r AS (SELECT family, rep, sum(k)::DOUBLE AS n, avg(k / 64.0) AS rate, CASE WHEN rep = 3 AND family = 'power' THEN 'failed' END AS error FROM g GROUP BY ALL), w AS (SELECT family, avg(k / 64.0) AS rate FROM j GROUP BY family),
+ x AS (SELECT r.family, n, error, n * log2(64) + 8 AS L4, n * log2(64) * 0.9::DOUBLE + 4 * ln(n) AS mdl, sqrt(0.5 * 64 * (sqrt(r.rate) - sqrt(w.rate)) ** 2) AS h FROM r JOIN w ON w.family = r.family)
+ SELECT family, count(*) AS n_runs, round(avg(L4), 4) AS L4_mean, round(avg(mdl), 4) AS mdl_mean, round(avg((L4 - mdl) / L4), 6) AS gain, round(avg(h), 6) AS h_mean, round(stddev_pop(h), 6) AS h_std, round(avg((h * h <= 0.01)::INT), 6) AS bound_share FROM x WHERE error IS NULL GROUP BY family""")
+def simulations_by_configuration(spark, sf):
+    """Simulated runs (four repetitions of every family, one of them failed) by configuration: lengths, gain, distance from the whole."""
+    out = None
+    for family in sorted(generate.FAMILIES):
+        k = generate.poisson(spark, family, 256, 64).groupBy("pixel").agg(F.count("*").alias("k"))
+        n = spark.range(256).select(F.col("id").cast("int").alias("pixel")).join(k, "pixel", "left").select(F.lit(family).alias("family"), (F.col("pixel") % 4).alias("rep"), F.coalesce("k", F.lit(0)).alias("k"))
+        out = n if out is None else out.union(n)
+    runs = out.groupBy("family", "rep").agg(F.sum("k").cast("double").alias("n"), F.avg(F.col("k") / 64.0).alias("rate"))
+    runs = runs.withColumn("error", F.when((F.col("rep") == 3) & (F.col("family") == "power"), "failed"))
+    whole = out.groupBy("family").agg(F.avg(F.col("k") / 64.0).alias("all"))
+    n = F.col("n")
+    x = runs.join(whole, "family").where("error is null").select("family", (n * 6 + 8).alias("L4"), (n * 6 * 0.9 + 4 * F.log(n)).alias("mdl"), F.sqrt(0.5 * 64 * F.pow(F.sqrt("rate") - F.sqrt("all"), 2)).alias("h"))
+    return rounded(x.groupBy("family").agg(F.count("*").alias("n_runs"), F.round(F.avg("L4"), 4).alias("L4_mean"), F.round(F.avg("mdl"), 4).alias("mdl_mean"), F.avg((F.col("L4") - F.col("mdl")) / F.col("L4")).alias("gain"), F.avg("h").alias("h_mean"), F.stddev_pop("h").alias("h_std"), F.avg((F.col("h") * F.col("h") <= 0.01).cast("int")).alias("bound_share")))

@@ -178,3 +178,19 @@ def test_pattern_benchmark(spark, sf):
 
     r = {x["pattern"]: x for x in QUERIES["pattern_benchmark"](spark, sf).collect()}
     assert len(r) == 6 and r["gradient"]["bpp"] < r["animation"]["bpp"] < r["noise"]["bpp"] and all(x["blocks"] == 4 for x in r.values())
+
+
+def test_arithmetic_coder():
+    """Sequences come back, in about as many bits as their entropy, in time in proportion to their length."""
+    from collections import Counter
+
+    from jumpmark.functions import coding
+
+    rng = random.Random(4)
+    for n, weights in ((1, [1]), (5, [1, 1]), (500, [90, 5, 4, 1]), (60_000, [1, 2, 3, 4, 5])):
+        seq = rng.choices(range(len(weights)), weights, k=n)
+        freqs = dict(Counter(seq))
+        bits = coding.arithmetic_encode(seq, freqs)
+        assert coding.arithmetic_decode(bits, n, freqs) == seq
+        entropy = -sum(c * np.log2(c / n) for c in freqs.values())
+        assert entropy - 1 <= len(bits) <= entropy + 3 + n / 10_000
