@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jumpmark.functions.bits import BitReader, BitWriter, read_huffman, read_symbol, write_huffman
+from jumpmark.functions.bits import BitReader, BitWriter, read_huffman, read_palette, read_symbol, write_huffman, write_palette
 from jumpmark.functions.coding import colex_unrank
 
 # marked sequences: header, counts, times by a representation, marks by a colour mode
@@ -279,6 +279,44 @@ def decode_block(data: bytes, process: str, n: int, r: int, c: int = 8) -> list[
     return out
 
 
+def encode_indexed(pixels: list[list[int]], c: int = 8) -> tuple[bytes, int]:
+    """Payload and bits of pixels by a palette: each pixel's number of steps, their combination, and palette places of its colours."""
+    w = BitWriter()
+    colors = sorted({v for seq in pixels for v in seq})
+    write_palette(w, colors, c)
+    width, at = max(1, (len(colors) - 1).bit_length()), {v: i for i, v in enumerate(colors)}
+    for seq in pixels:
+        k = steps(seq)
+        w.gamma(len(k)).number(colex(k), (comb(len(seq), len(k)) - 1).bit_length())
+        for i in k:
+            w.number(at[seq[i]], width)
+    return w.bytes(), w.size
+
+
+def decode_indexed(data: bytes, n: int, r: int, c: int = 8) -> list[list[int]]:
+    b = BitReader(data)
+    colors = read_palette(b, c)
+    width, out = max(1, (len(colors) - 1).bit_length()), []
+    for _ in range(n):
+        k = b.gamma()
+        at = colex_unrank(b.number((comb(r, k) - 1).bit_length()), k, r)
+        out.append(spread([(i, colors[b.number(width)]) for i in at], r))
+    return out
+
+
+def indexed_blocks(cells: DataFrame, keys: tuple[str, ...] = ("block", "gop")) -> DataFrame:
+    """(keys, bits, same) of cells (keys, x, f, c) written by a palette and read again."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "f"])
+        pixels = [s.astype(int).tolist() for _, s in pdf.groupby("x", sort=True)["c"]]
+        data, bits = encode_indexed(pixels)
+        return pd.DataFrame([(*(pdf[k].iloc[0] for k in keys), bits, decode_indexed(data, len(pixels), len(pixels[0])) == pixels)], columns=[*keys, "bits", "same"])
+
+    kinds = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys)
+    return cells.select(*keys, "x", "f", "c").groupBy(*keys).applyInPandas(one, f"{kinds}, bits long, same boolean")
+
+
 def block_payloads(cells: DataFrame, lengths: DataFrame, keys: tuple[str, ...] = ("block", "gop")) -> DataFrame:
     """(keys, n, r, process, bits, payload) of cells (keys, x, f, c) by the process that lengths (keys, process) names."""
 

@@ -181,3 +181,22 @@ def derived(runs: DataFrame, seconds: Column, encode_seconds: Column, pixels: in
     """runs with bitrate_kbps, fps and bits_per_pixel; each is 0 where what it divides by is not positive."""
     per = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     return runs.withColumns({"bitrate_kbps": per(F.col("output_size") * 8 / 1000, seconds), "fps": per(F.col("n_frames"), encode_seconds), "bits_per_pixel": per(F.col("output_size") * 8, pixels * F.col("n_frames"))})
+
+
+def append(runs: DataFrame, path: str) -> DataFrame:
+    """A store of runs with these added: appended as files, earlier ones stay as they are."""
+    runs.write.mode("append").parquet(path)
+    return runs.sparkSession.read.schema(runs.schema).parquet(path)
+
+
+def lookup(store: DataFrame, video: str, codec: str) -> DataFrame:
+    """The runs of one video and codec."""
+    return keep(store, video=video, codec=codec)
+
+
+def summary_table(store: DataFrame, metrics: list[str]) -> str:
+    """Means by codec as a text table (a row a codec)."""
+    rows = store.groupBy("codec").agg(*(F.round(F.avg(m), 3).alias(m) for m in metrics)).orderBy("codec").collect()
+    lines = [["codec", *metrics], *([str(v) for v in r] for r in rows)]
+    wide = [max(len(line[i]) for line in lines) for i in range(len(lines[0]))]
+    return "\n".join("  ".join(v.ljust(w) for v, w in zip(line, wide, strict=True)).rstrip() for line in lines)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jumpmark import adapters as A
 from jumpmark.functions import bits
 from jumpmark.operators import codec, costs, description
-from jumpmark.plans import oracles
+from jumpmark.plans import choices, oracles
 from jumpmark.plans.blocks import ORACLE_SQL, query
 from jumpmark.plans.catalog import block_table, rounded
 from jumpmark.plans.oracles import _CC, _EV, _FEAT, _least
@@ -116,3 +116,9 @@ def huffman_gate(spark, sf):
     e = features.entropy(c)
     within = (F.col("average") >= F.col("H") - 1e-9) & (F.col("average") <= F.greatest(F.col("H") + 1, F.lit(1.0)) + 1e-9)
     return rounded(e.join(t, "block_id").select("block_id", F.col("N").alias("n"), within.alias("within")))
+
+
+@query(f"SELECT block, gop, indexed AS bits, true AS same FROM ({choices.ORACLE_SQL['index_gain']})")
+def indexed_payload(spark, sf):
+    """Every block of pixels written by a palette and combinations and read again; bits as index_gain says."""
+    return rounded(codec.indexed_blocks(codec.group_of_pictures(A.grid_emb(spark, sf), description.LONGEST)))

@@ -251,3 +251,35 @@ def simulations_by_configuration(spark, sf):
     n = F.col("n")
     x = runs.join(whole, "family").where("error is null").select("family", (n * 6 + 8).alias("L4"), (n * 6 * 0.9 + 4 * F.log(n)).alias("mdl"), F.sqrt(0.5 * 64 * F.pow(F.sqrt("rate") - F.sqrt("all"), 2)).alias("h"))
     return rounded(x.groupBy("family").agg(F.count("*").alias("n_runs"), F.round(F.avg("L4"), 4).alias("L4_mean"), F.round(F.avg("mdl"), 4).alias("mdl_mean"), F.avg((F.col("L4") - F.col("mdl")) / F.col("L4")).alias("gain"), F.avg("h").alias("h_mean"), F.stddev_pop("h").alias("h_std"), F.avg((F.col("h") * F.col("h") <= 0.01).cast("int")).alias("bound_share")))
+
+
+_NEWTON = "list_reduce(list_concat([CASE WHEN s / n > 45 THEN 0.01::DOUBLE ELSE -0.01::DOUBLE END], list_transform(range(30), lambda i: 0.0::DOUBLE)), lambda b, i: b - (s + n / b - n * 90 * exp(b * 90) / (exp(b * 90) - 1)) / (-n / (b * b) + n * 8100 * exp(b * 90) / ((exp(b * 90) - 1) * (exp(b * 90) - 1))))"
+
+
+@query(f"WITH {_EV}, g AS (SELECT event_type, count(*)::DOUBLE AS n, sum(t + 0.5::DOUBLE) AS s FROM ev GROUP BY event_type), b AS (SELECT *, {_NEWTON} AS growth FROM g) SELECT event_type, n::BIGINT AS n, round(n * growth / (exp(growth * 90) - 1), 6) AS rate, round(growth, 6) + 0.0 AS growth FROM b")
+def newton_mle(spark, sf):
+    """The likeliest exponential intensity of every kind of event."""
+    return rounded(intensity.newton_exponential(A.pp_events(spark, sf), float(A.R)))
+
+
+@query(None)
+def heuristic_trees(spark, sf):
+    """Two decision trees on the ten features of blocks, for the shortest process and for the best prediction: accuracy in and out of the sample."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    from jumpmark.operators import description
+
+    g = A.cells(spark, sf)
+    flat = g.select("block", "t", (F.col("y") * 8 + F.col("x")).alias("x"), "c")
+    lengths = description.block_lengths(description.pixels(flat)).where("gop = 0").select("block", "process")
+    prediction = frames.best_prediction(flat).select("block", F.col("mode").alias("best_mode"))
+    t = blocks.ten_features(g).join(lengths, "block").join(prediction, "block").withColumn("train", generate.uniform(42, F.lit("tree"), F.col("block")) < 0.8)
+    v = VectorAssembler(inputCols=[f"f{i}" for i in range(1, 11)], outputCol="features").transform(t)
+    out = None
+    for target in ("process", "best_mode"):
+        labelled = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc").fit(v).transform(v)
+        model = DecisionTreeClassifier(impurity="gini", maxDepth=8, minInstancesPerNode=5, seed=42).fit(labelled.where("train"))
+        r = model.setPredictionCol("guess").transform(labelled).groupBy(F.lit(target).alias("target"), "train").agg(F.count("*").alias("n"), F.avg((F.col("guess") == F.col("label")).cast("int")).alias("accuracy"))
+        out = r if out is None else out.union(r)
+    return rounded(out)

@@ -51,3 +51,29 @@ def html_report(title: str, sections: dict[str, DataFrame | str], digits: int =
     render: Callable = lambda s: f"<p>{html.escape(s)}</p>" if isinstance(s, str) else html_table(s, digits)
     body = "\n".join(f"<h2>{html.escape(name)}</h2>\n{render(s)}" for name, s in sections.items())
     return f'<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head>\n<body>\n<h1>{html.escape(title)}</h1>\n{body}\n</body></html>\n'
+
+
+def json_report(title: str, sections: dict[str, DataFrame | str]) -> str:
+    """The same sections as JSON: tables as lists of objects."""
+    import json
+
+    def rows(df: DataFrame) -> list[dict]:
+        rows_of(df)  # refuses what is not for reading
+        return [r.asDict(recursive=True) for r in df.collect()]
+
+    return json.dumps({"title": title, "sections": {name: s if isinstance(s, str) else rows(s) for name, s in sections.items()}}, default=str)
+
+
+def benchmark_report(runs: DataFrame, title: str = "Benchmark") -> dict[str, DataFrame | str]:
+    """Sections of a report on runs: summary, means by codec, best codec of each of the first twenty videos, what the numbers are."""
+    from pyspark.sql import functions as F
+
+    from jumpmark.operators import results
+
+    r = results.with_ratio(runs)
+    first = r.select("video").distinct().orderBy("video").limit(20)
+    return {
+        "Summary": r.agg(F.count("*").alias("runs"), F.avg("ratio").alias("mean_ratio"), F.max("ratio").alias("max_ratio")),
+        "Codecs": results.summary(runs), "Best by video": results.best_per(r.join(first, "video", "left_semi"), "video", "ratio", True).orderBy("video"),
+        "Method": f"{title}: ratios are input over output bytes; means are taken over runs.",
+    }

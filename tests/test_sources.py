@@ -194,3 +194,49 @@ def test_arithmetic_coder():
         assert coding.arithmetic_decode(bits, n, freqs) == seq
         entropy = -sum(c * np.log2(c / n) for c in freqs.values())
         assert entropy - 1 <= len(bits) <= entropy + 3 + n / 10_000
+
+
+def test_result_store(spark, sf, tmp_path):
+    from jumpmark import adapters
+    from jumpmark.operators import results
+
+    runs = adapters.bench_runs(spark, sf)
+    half = runs.where("quality_param = 'F'")
+    results.append(half, str(tmp_path / "store"))
+    store = results.append(runs.where("quality_param <> 'F'"), str(tmp_path / "store"))
+    assert store.count() == runs.count()
+    one = runs.first()
+    assert results.lookup(store, one["video"], one["codec"]).count() == runs.where((F.col("video") == one["video"]) & (F.col("codec") == one["codec"])).count()
+    text = results.summary_table(store, ["psnr", "ssim"]).splitlines()
+    assert text[0].split() == ["codec", "psnr", "ssim"] and len(text) == 1 + runs.select("codec").distinct().count()
+
+
+def test_newton(spark):
+    """The growth of times drawn from a known intensity."""
+    from jumpmark.operators import intensity
+
+    rng = np.random.RandomState(5)
+    t = np.log(1 + rng.rand(20_000) * (np.exp(0.03 * 90) - 1)) / 0.03
+    e = spark.createDataFrame([("a", float(v) - 0.5) for v in t], "event_type string, t double")
+    r = intensity.newton_exponential(e, 90.0).first()
+    assert abs(r["growth"] - 0.03) < 0.002 and abs(r["rate"] * (np.exp(r["growth"] * 90) - 1) / r["growth"] - 20_000) < 1
+
+
+def test_trees(spark):
+    from jumpmark.plans.catalog import QUERIES
+
+    rows = QUERIES["heuristic_trees"](spark, "/root/testdata/sf0.01").collect()
+    assert {(r["target"], r["train"]) for r in rows} == {("process", True), ("process", False), ("best_mode", True), ("best_mode", False)}
+    assert all(0 <= r["accuracy"] <= 1 and r["n"] > 0 for r in rows)
+
+
+def test_reports(spark, sf):
+    import json
+
+    from jumpmark import adapters
+    from jumpmark.sources import reports
+
+    sections = reports.benchmark_report(adapters.bench_runs(spark, sf))
+    page, data = reports.html_report("Benchmark", sections), json.loads(reports.json_report("Benchmark", sections))
+    assert all(f"<h2>{name}</h2>" in page for name in sections) and data["sections"]["Summary"][0]["runs"] > 0
+    assert len(data["sections"]["Best by video"]) <= 20 and isinstance(data["sections"]["Method"], str)
