@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from jumpmark import registry
 from jumpmark.functions import bits, scalar
 from jumpmark.operators import codec, generate, search
-from jumpmark.plans import fixed
+from jumpmark.plans import choices, fixed, reports  # noqa: F401  register their queries
 from jumpmark.sources import blockvideo, grids, stores
 
 GRID = """
