@@ -167,6 +167,18 @@ def _bounds(freqs: dict[int, int]) -> tuple[list[int], list[int]]:
     return order, sums
 
 
+def average_bits(counts: Column) -> Column:
+    """The bits of a symbol under the Huffman code of a group's counts: an aggregate over a row for each symbol."""
+
+    @F.pandas_udf("double")
+    def over(n: pd.Series) -> float:
+        freqs = dict(enumerate(n.astype(int)))
+        lengths = code_lengths(freqs)
+        return float(sum(freqs[s] * lengths[s] for s in freqs) / sum(freqs.values()))
+
+    return over(counts)
+
+
 def arithmetic_encode(symbols: list[int], freqs: dict[int, int]) -> str:
     """Bits of a sequence by its symbols' counts (together below 2^30): an interval of 32 bits is narrowed by each symbol, and its
     settled leading bits go out at once, so the work is in proportion to the sequence."""

@@ -76,3 +76,33 @@ def pixel_colors(cells: DataFrame, gop: int = LONGEST, block: str = "block") ->
     """(block, gop, m): distinct colours of a group of pictures."""
     frames = cells.select(block, "t").distinct().withColumn("f", F.row_number().over(W.partitionBy(block).orderBy("t")) - 1)
     return cells.join(frames, [block, "t"]).groupBy(block, F.floor(F.col("f") / gop).cast("int").alias("gop")).agg(F.count_distinct("c").alias("m"))
+
+
+def step_colors(cells: DataFrame, gop: int = LONGEST, block: str = "block") -> DataFrame:
+    """(block, gop, c, n): how many steps of a group of pictures take a colour; a pixel's first frame is a step."""
+    frames = cells.select(block, "t").distinct().withColumn("f", F.row_number().over(W.partitionBy(block).orderBy("t")) - 1)
+    c = cells.join(frames, [block, "t"]).withColumn("gop", F.floor(F.col("f") / gop).cast("int"))
+    before = F.lag("c").over(W.partitionBy(block, "gop", "x").orderBy("f"))
+    return c.withColumn("p", before).where("p is null or p <> c").groupBy(block, "gop", "c").agg(F.count("*").alias("n"))
+
+
+def pixel_process_bits(px: DataFrame, colors: DataFrame, color_bits: int = 8, block: str = "block") -> DataFrame:
+    """(block, gop, huffman, rep, bits): independent pixels in their best representation, colours by a Huffman code where that pays.
+
+    The code pays where its table and the whole bits of its colours are below those of a fixed width.
+    """
+    from jumpmark.functions import coding
+
+    c = color_bits
+    average = colors.groupBy(block, "gop").agg(coding.average_bits(F.col("n")).alias("average"))
+    size = colors.groupBy(block, "gop").agg(F.count("*").alias("m"), F.sum("n").alias("k"))
+    overhead = F.col("m") * (c + 5) + F.greatest(2 * F.length(F.bin("m")) - 1, F.lit(1))
+    gate = average.join(size, [block, "gop"]).withColumn("overhead", overhead)
+    pays = (F.col("m") > 1) & (F.col("overhead") + F.floor(F.col("average") * F.col("k")) < c * F.col("k"))
+    gate = gate.select(block, "gop", pays.alias("huffman"), F.when(pays, F.col("overhead")).otherwise(0).alias("overhead"), F.when(pays, F.col("average")).otherwise(float(c)).alias("a"))
+    d, n, r = F.length(F.bin("r")), F.col("n"), F.col("r")
+    marks = F.floor(n * F.col("a"))
+    each = px.join(gate, [block, "gop"]).select(block, "gop", "huffman", "overhead", F.floor(r * c * F.col("a") / c).alias("L1"), (d + n * d + marks).alias("L2"), (r + marks).alias("L3"), (d + binomial_bits(r, n) + marks).alias("L4"))
+    g = each.groupBy(block, "gop", "huffman", "overhead").agg(*(F.sum(f"L{i}").alias(f"L{i}") for i in range(1, 5)))
+    best = F.array_min(F.array(*(F.struct(F.col(f"L{i}").cast("long").alias("bits"), F.lit(i).alias("rep")) for i in range(1, 5))))
+    return g.select(block, "gop", "huffman", best["rep"].alias("rep"), (8 + F.col("overhead") + best["bits"]).cast("long").alias("bits"))

@@ -122,3 +122,10 @@ def huffman_gate(spark, sf):
 def indexed_payload(spark, sf):
     """Every block of pixels written by a palette and combinations and read again; bits as index_gain says."""
     return rounded(codec.indexed_blocks(codec.group_of_pictures(A.grid_emb(spark, sf), description.LONGEST)))
+
+
+@query(None)
+def pixel_process(spark, sf):
+    """Blocks as independent pixels: bits with colours by a Huffman code where it pays."""
+    g = A.grid_emb(spark, sf)
+    return rounded(description.pixel_process_bits(description.pixels(g), description.step_colors(g)))

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 RUNS = "seq long, ts string, video_name string, codec_name string, quality_param string, input_size long, output_size long, compression_ratio double, bitrate_kbps double, bits_per_pixel double, psnr double, ssim double, encode_time double, decode_time double, encode_fps double, decode_fps double, width int, height int, n_frames int, duration double, success boolean, error string"
 FEATURES = "block_id long, N int, r int, m int, n_pixels int, lambda_avg double, H_s double, rho_corr double, R_temp double, m_eff int, H_color double, N_trans int, color_dist map<string,double>, var_delta_tau double, mean_delta_tau double"
+_CONFIG = "struct<threshold_H_s double, threshold_rho_high double, threshold_rho_low double, threshold_chi2 double, density_R1_max double, density_R4b_R2 double, density_R4a_min double>"
+GRID_RESULT = f"best_cost double, n_evaluated long, total_time_sec double, best_config {_CONFIG}, top_k array<struct<total double, config {_CONFIG}>>"
+_MATRIX = "struct<matrix array<array<long>>, labels array<string>>"
+CONFUSION = f"A {_MATRIX}, B {_MATRIX}, C {_MATRIX}"
 #: Fixed layout of the container's header, big-endian, 24 bytes: magic, version, color, rows, columns, frames and so on.
 HEADER = ">4sBBHHHBBHHIH"
 
@@ -75,6 +79,12 @@ def json_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def confusion_rows(store: DataFrame) -> DataFrame:
+    """(dim, act, pred, n) of a store of matrices by dimension."""
+    each = store.select(F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(f"{d}.matrix").alias("m")) for d in "ABC"))).alias("e")).select("e.dim", F.posexplode("e.m").alias("act", "row"))
+    return each.select("dim", "act", F.posexplode("row").alias("pred", "n"))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

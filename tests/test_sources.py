@@ -240,3 +240,50 @@ def test_reports(spark, sf):
     page, data = reports.html_report("Benchmark", sections), json.loads(reports.json_report("Benchmark", sections))
     assert all(f"<h2>{name}</h2>" in page for name in sections) and data["sections"]["Summary"][0]["runs"] > 0
     assert len(data["sections"]["Best by video"]) <= 20 and isinstance(data["sections"]["Method"], str)
+
+
+def test_pixel_process(spark):
+    """Against a plain version, for blocks whose colours are few, many, and one."""
+    from collections import Counter
+    from math import comb
+
+    from jumpmark.functions import coding
+    from jumpmark.operators import description
+
+    rng = random.Random(9)
+    blocks = {0: [[7] * 20] * 9, 1: [[rng.choice([1, 1, 1, 1, 9]) for _ in range(20)] for _ in range(30)], 2: [[rng.randrange(256) for _ in range(20)] for _ in range(4)]}
+    rows = [(b, t, x, c) for b, pixels in blocks.items() for x, seq in enumerate(pixels) for t, c in enumerate(seq)]
+    cells = spark.createDataFrame(rows, "block long, t int, x int, c int")
+    got = {r["block"]: (r["huffman"], r["bits"]) for r in description.pixel_process_bits(description.pixels(cells), description.step_colors(cells)).collect()}
+    for b, pixels in blocks.items():
+        at = [codec.steps(s) for s in pixels]
+        freqs = Counter(s[k] for s, ks in zip(pixels, at, strict=True) for k in ks)
+        n_all, m = sum(freqs.values()), len(freqs)
+        lengths = coding.code_lengths(dict(freqs))
+        average = sum(freqs[s] * lengths[s] for s in freqs) / n_all
+        overhead = m * 13 + max(2 * m.bit_length() - 1, 1)
+        pays = m > 1 and overhead + int(average * n_all) < 8 * n_all
+        a = average if pays else 8.0
+        sums = [0, 0, 0, 0]
+        for ks in at:
+            n, marks = len(ks), int(len(ks) * a)
+            for i, v in enumerate((int(20 * a), 5 + n * 5 + marks, 20 + marks, 5 + (comb(20, n) - 1).bit_length() + marks)):
+                sums[i] += v
+        assert got[b] == (pays, 8 + (overhead if pays else 0) + min(sums)), b
+
+
+def test_json_stores(spark, tmp_path):
+    """Stores of runs, grid results and confusions as JSON, read with their schemas; fields that are missing are null."""
+    import json
+
+    run = {"seq": 1, "video_name": "akiyo", "codec_name": "h264", "quality_param": "28", "input_size": 1000, "output_size": 10, "compression_ratio": 100.0, "psnr": 0.0, "success": True}
+    (tmp_path / "runs.json").write_text(json.dumps([run, {**run, "seq": 2, "success": False, "error": "codec missing"}], indent=1))
+    got = stores.json_store(spark, str(tmp_path / "runs.json"), stores.RUNS)
+    assert [(r["seq"], r["compression_ratio"], r["success"], r["error"], r["ssim"]) for r in got.orderBy("seq").collect()] == [(1, 100.0, True, None, None), (2, 100.0, False, "codec missing", None)]
+    (tmp_path / "grid.json").write_text(json.dumps({"best_cost": 217539.7, "top_k": [{"total": 1.0, "config": {"threshold_H_s": 0.5}}]}))
+    grid = stores.json_store(spark, str(tmp_path / "grid.json"), stores.GRID_RESULT).first()
+    assert grid["best_cost"] == 217539.7 and grid["top_k"][0]["config"]["threshold_H_s"] == 0.5
+    (tmp_path / "confusion.json").write_text(json.dumps({"A": {"matrix": [[1, 2], [0, 4]], "labels": ["x", "y"]}}))
+    c = stores.json_store(spark, str(tmp_path / "confusion.json"), stores.CONFUSION)
+    rows = {(r["dim"], r["act"], r["pred"]): r["n"] for r in stores.confusion_rows(c).collect()}
+    assert rows == {("A", 0, 0): 1, ("A", 0, 1): 2, ("A", 1, 0): 0, ("A", 1, 1): 4}
