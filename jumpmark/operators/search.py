@@ -178,19 +178,20 @@ def climb(costs: DataFrame, start: int, limit: int = 200) -> list[tuple[int, flo
 def rule_loop(spark: SparkSession, rules: list[tuple[int, str]], measure, gain: float = 0.001, stalls: int = 5) -> DataFrame:
     """Try rules (priority, name) in order; keep one whose mean ratio grows by over `gain` without a regression.
 
-    measure(name) gives (video, bpp, ratio) under the rules kept so far and this one. Each step is one aggregation over all
+    measure(name, kept) gives (video, bpp, ratio) under the rules kept so far and this one. Each step is one aggregation over all
     videos; what reaches the driver is its verdict, one row a rule. Stops after `stalls` rejections in a row.
     """
     from jumpmark.operators import joins
 
-    best, log, idle = spark.createDataFrame([], "video string, bpp double, ratio double"), [], 0
+    best, log, idle, held = spark.createDataFrame([], "video string, bpp double, ratio double"), [], 0, []
     for place, (_, name) in enumerate(sorted(rules)):
-        tried = measure(name)
+        tried = measure(name, tuple(held))
         v = joins.judge(joins.deltas(tried, best)).first()
         kept = v["ratio"] is not None and v["ratio"] > gain and v["regressions"] == 0
         log.append((place, name, v["ratio"], v["regressions"], kept))
         if kept:
             best = tried
+            held.append(name)
         idle = 0 if kept else idle + 1
         if idle >= stalls:
             break

@@ -327,7 +327,12 @@ def rule_loop(spark, sf):
     both = bits.join(cells, "block").select(F.col("block").cast("string").alias("video"), "size", (F.col("bits") / F.col("n")).alias("bpp"), (8 * F.col("n") / F.col("bits")).alias("ratio")).cache()
     try:
         rules = [(axis, name) for name, axis, _, _ in fixed.RULES]
-        return rounded(search.rule_loop(spark, rules, lambda name: both.where(F.col("size") == sides.get(name, 8)).drop("size"), stalls=len(rules)))
+
+        def measure(name, kept):
+            side = next((sides[r] for r in (name, *reversed(kept)) if r in sides), 8)  # the last one set
+            return both.where(F.col("size") == side).drop("size")
+
+        return rounded(search.rule_loop(spark, rules, measure, stalls=len(rules)))
     finally:
         both.unpersist()
 
