@@ -170,7 +170,8 @@ def block_inspector(spark, sf):
     s = blocks.stepped(A.cells(spark, sf))
     px = s.groupBy(*blocks.PIXEL).agg(F.count_if(F.col("p").isNull() | (F.col("p") != F.col("c"))).alias("n")).groupBy("block").agg(F.avg("n").alias("mean_jumps"), F.count_if(F.col("n") == 1).alias("still"))
     act = s.where("p is not null").groupBy("block", "t").agg(F.count_if(F.col("p") != F.col("c")).alias("k")).groupBy("block").agg(F.max("k").alias("busiest"), F.count_if(F.col("k") > 0).alias("active_frames"))
-    return rounded(px.join(s.groupBy("block").agg(F.count_distinct("c").alias("m")), "block").join(act, "block").select("block", "m", "mean_jumps", "still", "busiest", "active_frames"))
+    # a block of one frame has no changes to count: it stays, with no busiest frame
+    return rounded(px.join(s.groupBy("block").agg(F.count_distinct("c").alias("m")), "block").join(act, "block", "left").select("block", "m", "mean_jumps", "still", "busiest", F.coalesce("active_frames", F.lit(0)).alias("active_frames")))
 
 
 # features: suggestions, lengths, families
