@@ -131,9 +131,14 @@ def int_to_bits(value: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(width - 1), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftright", value.cast("long"), i).bitwiseAND(F.lit(1)).cast("int"))
 
 
-def log_star_bits(n: Column) -> Column:
-    """1 plus the rounded up iterated binary logarithms that stay above 0; 0 below 1. Six rounds do for any 64-bit number."""
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.struct(n.cast("double").alias("x"), F.lit(1).cast("long").alias("s")), lambda a, _: F.struct(F.when(a["x"] > 1, F.log2(a["x"])).otherwise(a["x"]).alias("x"), (a["s"] + F.when(a["x"] > 1, F.ceil(F.log2(F.greatest(a["x"], F.lit(1.0))))).otherwise(0)).alias("s")))
+def log_star_bits(n: Column, rounds: int = 6) -> Column:
+    """1 plus the rounded up iterated binary logarithms that stay above 0, the first `rounds` of them; 0 below 1. Six rounds do for any 64-bit number.
+
+    The first is rounded up by the length of a binary form: Spark's log2 of some powers of two (2^29) is a little too large.
+    """
+    x, more = n.cast("double"), lambda x: F.when(x > 1, F.log2(x)).otherwise(0.0)
+    first = F.struct(more(x).alias("x"), F.when(n > 1, floor_log2(n - 1) + 2).otherwise(1).cast("long").alias("s"))
+    done = F.aggregate(F.array_repeat(F.lit(0), rounds - 1), first, lambda a, _: F.struct(more(a["x"]).alias("x"), (a["s"] + F.ceil(more(a["x"]))).alias("s")))
     return F.when(n < 1, 0).otherwise(done["s"])
 
 

@@ -1,7 +1,9 @@
 """Queries against their SQL on small tables made for one odd case each."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from jumpmark.functions import scalar
 from jumpmark.plans import catalog
 from test_queries import ORACLES, plain
 
@@ -24,3 +26,11 @@ def test_block_inspector_keeps_blocks_of_one_frame(spark, tmp_path):
     rows = "SELECT v AS vec_id, [((v * 7 + i) % 16 / 16.0 - 0.5)::FLOAT for i in range(64)] AS embedding, 3::INTEGER AS label FROM (VALUES (0), (1), (2), (256)) r(v)"
     out = same(spark, tmp_path, "embeddings", rows, "block_inspector")
     assert [r[1] for r in out] == [13, 3] and out[0][0] == 0 and out[0][2] is None
+
+
+def test_universal_lengths_of_large_keys(spark, tmp_path):
+    rows = "SELECT (1::BIGINT << k) + d AS p_partkey FROM (VALUES (16), (17), (20), (29), (31), (32), (39)) a(k), (VALUES (-1), (0), (1)) b(d)"
+    same(spark, tmp_path, "part", rows, "universal_lengths")
+    # the operator goes on until a logarithm is 1 or less
+    n = spark.sql("SELECT explode(array(65536L, 65537L, 536870912L, 536870913L)) AS n")
+    assert [r["s"] for r in n.select(scalar.log_star_bits(F.col("n")).alias("s")).collect()] == [24, 29, 41, 42]
