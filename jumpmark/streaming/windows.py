@@ -12,9 +12,19 @@ def source(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def tumbling(events: DataFrame, size: str, watermark: str | None = None) -> DataFrame:
-    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    e = e.withWatermark("ts", watermark) if watermark else e
+#: With this lead, windows that begin on even seconds hold the times whose nearest second they hold, as SQL that casts an epoch to BIGINT does.
+NEAREST = "500 milliseconds"
+
+
+def ahead(events: DataFrame, lead: str) -> DataFrame:
+    """Events with ts moved on by lead."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp") + F.expr(f"INTERVAL '{lead}'"))
+
+
+def tumbling(events: DataFrame, size: str, watermark: str | None = None, lead: str = "0 seconds") -> DataFrame:
+    """Counts and sums by window of times moved on by lead; the watermark stays so far behind the times themselves."""
+    e = ahead(events, lead)
+    e = e.withWatermark("ts", f"{watermark} {lead}") if watermark else e
     return e.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from jumpmark.functions import scalar
 from jumpmark.plans import catalog
+from jumpmark.streaming import windows
 from test_queries import ORACLES, plain
 
 
@@ -34,3 +35,19 @@ def test_universal_lengths_of_large_keys(spark, tmp_path):
     # the operator goes on until a logarithm is 1 or less
     n = spark.sql("SELECT explode(array(65536L, 65537L, 536870912L, 536870913L)) AS n")
     assert [r["s"] for r in n.select(scalar.log_star_bits(F.col("n")).alias("s")).collect()] == [24, 29, 41, 42]
+
+
+#: Times at and around the half second before midnight and before six (B), and ordinary ones, on five days: 60 events a day.
+EVENTS = """SELECT row_number() OVER () - 1 AS event_id, TIMESTAMP '2024-01-01' + to_days(d::INTEGER) + to_microseconds(m) AS ts, (d * 7 + m % 5)::BIGINT AS user_id, ['click', 'view'][k % 2 + 1] AS event_type, k + 0.25::DOUBLE AS value
+ FROM range(5) a(d), range(60) b(k), LATERAL (SELECT CASE WHEN k < 20 THEN 86400000000 WHEN k < 30 THEN 21600000000 ELSE k * 1000000000 END - [500001, 500000, 499999, 300000, 1][k % 5 + 1] AS m) c"""
+
+
+def test_tumbling_counts_by_nearest_second(spark, tmp_path):
+    assert len(same(spark, tmp_path, "events", EVENTS, "tumbling_counts")) == 12  # the last half second of the fifth day is a sixth
+
+
+def test_windows_of_exact_times(spark, tmp_path):
+    """Without a lead a window holds the times from its start to before its end."""
+    e = spark.sql("SELECT TIMESTAMP '2024-01-01 23:59:59.9' AS ts, 'click' AS event_type, 1D AS value, 0L AS user_id")
+    assert windows.tumbling(e, "1 day").select(F.unix_seconds("window.start")).first()[0] == 1704067200
+    assert windows.tumbling(e, "1 day", lead=windows.NEAREST).select(F.unix_seconds("window.start")).first()[0] == 1704153600
