@@ -50,9 +50,9 @@ def jumps(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, before string, after string", "last string", "append", "NoTimeout")
 
 
-def late(events: DataFrame, size: str, watermark: str) -> DataFrame:
+def late(events: DataFrame, size: str, watermark: str, lead: str = "0 seconds") -> DataFrame:
     """Counts by window that a watermark closes: a window is given out once, when it is over; what comes later is left out."""
-    return tumbling(events, size, watermark)
+    return tumbling(events, size, watermark, lead)
 
 
 def heat_map(events: DataFrame, size: str, rows: int, columns: int) -> DataFrame:

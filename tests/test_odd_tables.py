@@ -51,3 +51,11 @@ def test_windows_of_exact_times(spark, tmp_path):
     e = spark.sql("SELECT TIMESTAMP '2024-01-01 23:59:59.9' AS ts, 'click' AS event_type, 1D AS value, 0L AS user_id")
     assert windows.tumbling(e, "1 day").select(F.unix_seconds("window.start")).first()[0] == 1704067200
     assert windows.tumbling(e, "1 day", lead=windows.NEAREST).select(F.unix_seconds("window.start")).first()[0] == 1704153600
+
+
+def test_watermark_counts_by_nearest_second(spark, tmp_path):
+    # the latest time closes the third day at six of the fourth, not by a rounded second before it
+    for at, days in (("05:59:59.7", 2), ("06:00:00", 3), ("06:00:00.2", 3)):
+        (folder := tmp_path / at.replace(":", "")).mkdir()
+        rows = f"SELECT * FROM ({EVENTS}) WHERE ts < TIMESTAMP '2024-01-04' UNION ALL SELECT 999, TIMESTAMP '2024-01-04 {at}', 1, 'click', 2.0"
+        assert len(same(spark, folder, "events", rows, "watermark_counts")) == 2 * days
