@@ -55,9 +55,9 @@ def late(events: DataFrame, size: str, watermark: str, lead: str = "0 seconds")
     return tumbling(events, size, watermark, lead)
 
 
-def heat_map(events: DataFrame, size: str, rows: int, columns: int) -> DataFrame:
-    """Events a window by place (by, bx) of a grid of users."""
-    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+def heat_map(events: DataFrame, size: str, rows: int, columns: int, lead: str = "0 seconds") -> DataFrame:
+    """Events a window (of times moved on by lead) by place (by, bx) of a grid of users."""
+    e = ahead(events, lead)
     place = [(F.col("user_id") % rows).cast("int").alias("by"), (F.floor(F.col("user_id") / rows) % columns).cast("int").alias("bx")]
     return e.groupBy(F.window("ts", size), *place).agg(F.count("*").alias("n"))
 

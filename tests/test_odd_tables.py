@@ -59,3 +59,7 @@ def test_watermark_counts_by_nearest_second(spark, tmp_path):
         (folder := tmp_path / at.replace(":", "")).mkdir()
         rows = f"SELECT * FROM ({EVENTS}) WHERE ts < TIMESTAMP '2024-01-04' UNION ALL SELECT 999, TIMESTAMP '2024-01-04 {at}', 1, 'click', 2.0"
         assert len(same(spark, folder, "events", rows, "watermark_counts")) == 2 * days
+
+
+def test_stream_heat_map_by_nearest_second(spark, tmp_path):
+    same(spark, tmp_path, "events", EVENTS, "stream_heat_map")
