@@ -63,3 +63,7 @@ def test_watermark_counts_by_nearest_second(spark, tmp_path):
 
 def test_stream_heat_map_by_nearest_second(spark, tmp_path):
     same(spark, tmp_path, "events", EVENTS, "stream_heat_map")
+
+
+def test_stream_detect_by_nearest_second(spark, tmp_path):
+    assert same(spark, tmp_path, "events", EVENTS, "stream_detect")
