@@ -28,8 +28,9 @@ def tumbling(events: DataFrame, size: str, watermark: str | None = None, lead: s
     return e.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
 
 
-def sliding(events: DataFrame, size: str, slide: str) -> DataFrame:
-    return events.groupBy(F.window(F.col("ts").cast("timestamp"), size, slide), "event_type").agg(F.count("*").alias("n"))
+def sliding(events: DataFrame, size: str, slide: str, lead: str = "0 seconds") -> DataFrame:
+    """Counts by sliding window of times moved on by lead."""
+    return ahead(events, lead).groupBy(F.window("ts", size, slide), "event_type").agg(F.count("*").alias("n"))
 
 
 def jumps(events: DataFrame, key: str = "user_id") -> DataFrame:

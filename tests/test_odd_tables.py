@@ -71,3 +71,7 @@ def test_stream_detect_by_nearest_second(spark, tmp_path):
 
 def test_ql_detect_by_nearest_second(spark, tmp_path):
     assert same(spark, tmp_path, "events", EVENTS, "ql_detect")
+
+
+def test_sliding_intensity_by_nearest_second(spark, tmp_path):
+    same(spark, tmp_path, "events", EVENTS, "sliding_intensity")
