@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def source(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A stream of Parquet files; the folder may be given as one file's path."""
-    folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    """A stream of one Parquet file, or of all files of a folder.
+
+    The last letter stands as a pattern: of a plain path Spark takes only a folder, and of a folder above none of the parts in it.
+    """
+    path = path.rstrip("/")
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 #: With this lead, windows that begin on even seconds hold the times whose nearest second they hold, as SQL that casts an epoch to BIGINT does.

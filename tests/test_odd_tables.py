@@ -75,3 +75,16 @@ def test_ql_detect_by_nearest_second(spark, tmp_path):
 
 def test_sliding_intensity_by_nearest_second(spark, tmp_path):
     same(spark, tmp_path, "events", EVENTS, "sliding_intensity")
+
+
+def test_streams_read_folders_of_parts(spark, tmp_path):
+    c = duckdb.connect()
+    (tmp_path / "events.parquet").mkdir()
+    for k in range(3):
+        c.sql(f"copy (SELECT * FROM ({EVENTS}) WHERE event_id % 3 = {k}) to '{tmp_path}/events.parquet/part-{k}.parquet' (format parquet)")
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("tumbling_counts", "watermark_counts", "stream_heat_map", "stream_detect", "stream_jump_detect", "chunked_counts"):
+        got, want = catalog.QUERIES[name](spark, str(tmp_path)), c.sql(ORACLES[name])
+        cols = sorted(got.columns)
+        out = plain(want.select(*(f'"{x}"' for x in cols)).fetchall())
+        assert out and plain(got.select(*cols).collect()) == out
